@@ -23,25 +23,25 @@ NODE_TYPES = (
 MENTION, RELATED = "提及", "相关"
 # Fixed values: (type, pattern) in order; a capture group, if any, is the label.
 ENTITY_RULES: tuple[tuple[str, str], ...] = (
-    ("Person", r"[一-龥]{2,4}(?:先生|女士|经理|总监|董事长|基金经理)"),
-    ("Person", r"(?<=我叫)[一-龥]{2,4}"),
-    ("Person", r"(?<=姓名)[：:是为\s]*([一-龥]{2,4})"),
+    ("Person", r"[\u4e00-\u9fa5]{2,4}(?:先生|女士|经理|总监|董事长|基金经理)"),
+    ("Person", r"(?<=我叫)[\u4e00-\u9fa5]{2,4}"),
+    ("Person", r"(?<=姓名)[：:是为\s]*([\u4e00-\u9fa5]{2,4})"),
     (
         "Education",
-        r"(?:目前是|就读于|毕业于|来自|在|本科于|硕士于|博士于)([一-龥]{2,20}(?:大学|学院|学校|研究院))",
+        r"(?:目前是|就读于|毕业于|来自|在|本科于|硕士于|博士于)([\u4e00-\u9fa5]{2,20}(?:大学|学院|学校|研究院))",
     ),
-    ("Company", r"[一-龥A-Za-z0-9]{2,20}(?:公司|集团)(?:[^一-龥]|$)"),
+    ("Company", r"[\u4e00-\u9fa5A-Za-z0-9]{2,20}(?:公司|集团)(?:[^\u4e00-\u9fa5]|$)"),
     (
         "Skill",
         r"\b(?:Python|C\+\+|PyTorch|TensorFlow|Transformers?|LoRA|QLoRA|Qwen|GPT|LLM|大模型|机器学习|深度学习|数据分析|算法|NLP|CV)\b",
     ),
     (
         "Org",
-        r"[一-龥A-Za-z]{2,12}?(?:银行|证券|保险|基金管理|信托|交易所|证监会|银保监会|金融监管总局|人民银行|资产管理|资管|券商)(?:股份有限公司|有限公司)?",
+        r"[\u4e00-\u9fa5A-Za-z]{2,12}?(?:银行|证券|保险|基金管理|信托|交易所|证监会|银保监会|金融监管总局|人民银行|资产管理|资管|券商)(?:股份有限公司|有限公司)?",
     ),
     (
         "Product",
-        r"[一-龥A-Za-z0-9]{2,14}?(?:理财产品|信托计划|资管计划|年金险|重疾险|寿险|指数基金|货币基金|债券基金|ETF|结构性存款|定期存款|保单)",
+        r"[\u4e00-\u9fa5A-Za-z0-9]{2,14}?(?:理财产品|信托计划|资管计划|年金险|重疾险|寿险|指数基金|货币基金|债券基金|ETF|结构性存款|定期存款|保单)",
     ),
     ("Clause", r"第[一二三四五六七八九十百千零〇\d]{1,6}条"),
     (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerleaf.functions.display import DIRECT_NAME, agent_avatar, agent_name, mention_name
-from ledgerleaf.functions.text import strip
+from ledgerleaf.functions.text import derive_title, strip
 from ledgerleaf.operators.ordering import next_in_group
 
 # Internal step types that are not shown.
@@ -84,8 +84,6 @@ def latest_assistant_reply(messages: DataFrame) -> DataFrame:
 
 def derive_titles(messages: DataFrame, limit: int = 20, default: str = "新对话") -> DataFrame:
     """``(conv_id, title)`` from each conversation's first user message."""
-    from ledgerleaf.functions.text import derive_title
-
     user = F.col("role") == "user"
     first = F.min_by(F.when(user, F.col("content")), F.when(user, F.col("idx")))
     return messages.groupBy("conv_id").agg(derive_title(first, limit, default).alias("title"))
