@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerleaf.functions.redact import redact_text
 from ledgerleaf.functions.text import strip, to_epoch_ms, truncate_title
+from ledgerleaf.operators.ordering import rank_in_group
 from ledgerleaf.schemas import CONVERSATION_DATA, EVENT, EVENT_DEPTH, EVENT_FIELDS, TRACE
 from ledgerleaf.session import cut_lineage
 
@@ -349,7 +350,7 @@ def attach_traces(messages: DataFrame, runs: DataFrame) -> DataFrame:
     ``runs(conv_id, run_id, at, reply, trace)``, both traces as JSON text. In order
     of time a run takes the last assistant message with the same text, else the
     last assistant message without a trace, else it appends a new message; a later
-    run may overwrite. Appended rows carry ``appended_at`` and sort after ``idx``.
+    run may overwrite.
 
     Runs with a matching message do not depend on each other: one join and one
     aggregate place them all. Only the others are taken one per conversation and
@@ -402,20 +403,19 @@ def attach_traces(messages: DataFrame, runs: DataFrame) -> DataFrame:
         free = cut_lineage(free.join(choice.select("conv_id", "idx"), ["conv_id", "idx"], "left_anti"))
     final = written.groupBy("conv_id", "idx").agg(F.max_by("trace", "stamp").alias("_new"))
     updated = messages.join(final, ["conv_id", "idx"], "left").withColumn("trace", F.coalesce("_new", "trace")).drop("_new")
-    last = messages.groupBy("conv_id").agg(F.max("idx").alias("idx"))
+    last = messages.groupBy("conv_id").agg(F.max("idx").alias("_last"))
+    groups = appended.groupBy("conv_id", "reply").agg(F.min("at").alias("first_at"), F.max_by("trace", stamp).alias("trace"))
     grown = (
-        appended.groupBy("conv_id", "reply")
-        .agg(F.min("at").alias("appended_at"), F.max_by("trace", stamp).alias("trace"))
+        rank_in_group(groups, ["conv_id"], "first_at", "reply", "_no", span=3_600_000)
         .join(last, "conv_id", "left")
         .select(
-            "conv_id", F.coalesce("idx", F.lit(-1)).cast(messages.schema["idx"].dataType).alias("idx"),
+            "conv_id",
+            (F.coalesce("_last", F.lit(-1)) + F.col("_no")).cast(messages.schema["idx"].dataType).alias("idx"),
             F.lit("assistant").alias("role"), F.col("reply").alias("content"),
-            F.col("appended_at").cast(messages.schema["created_at"].dataType).alias("created_at"), "trace", "appended_at",
+            F.col("first_at").cast(messages.schema["created_at"].dataType).alias("created_at"), "trace",
         )
     )
-    return updated.withColumn("appended_at", F.lit(None).cast(grown.schema["appended_at"].dataType)).unionByName(
-        grown, allowMissingColumns=True
-    )
+    return updated.unionByName(grown, allowMissingColumns=True)
 
 
 def append_turns(turns: DataFrame) -> DataFrame:

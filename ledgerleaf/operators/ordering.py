@@ -27,6 +27,17 @@ def next_in_group(df: DataFrame, keys: Sequence[str], order: str, value: str, ou
     return joined.withColumn(out, F.coalesce("_next", "_following")[value]).drop("_span", "_next", "_following")
 
 
+def rank_in_group(df: DataFrame, keys: Sequence[str], order: str, tie: str, out: str, span: int = SPAN) -> DataFrame:
+    """Adds ``out``: the row's number in its group, from 1, by ``order`` then ``tie``."""
+    spanned = df.withColumn("_span", F.floor(F.col(order) / span))
+    local = F.row_number().over(W.partitionBy(*keys, "_span").orderBy(order, tie))
+    counts = spanned.groupBy(*keys, "_span").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(W.partitionBy(*keys).orderBy("_span").rowsBetween(W.unboundedPreceding, -1))
+    before = counts.select(*keys, "_span", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    ranked = spanned.withColumn("_local", local).join(before, [*keys, "_span"])
+    return ranked.withColumn(out, F.col("_before") + F.col("_local")).drop("_span", "_local", "_before")
+
+
 def number_rows(df: DataFrame, order: Sequence[Column], out: str, start: int = 1) -> DataFrame:
     """Consecutive numbers over the whole table in the given order, without one big window.
 

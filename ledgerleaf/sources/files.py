@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ledgerleaf.functions.text import collapse_spaces, strip, strip_html
 
@@ -35,7 +35,7 @@ def utf8_lenient(raw: Column) -> Column:
 
 # ---------------------------------------------------------------- front matter
 _FRONT = r"(?sd)\A\s*---\s*\n(.*?)\n---\s*\n?(.*)\z"
-_LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+_LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def parse_frontmatter(text: Column) -> Column:
@@ -97,7 +97,7 @@ def scan_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- uploads
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _utf16(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for array in arrays:
         yield pa.array(
@@ -107,7 +107,7 @@ def _utf16(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 # The characters kept from a legacy binary document.
 _KEPT = (
-    r"㐀-䶿一-鿿　-〿＀-￯‐-‧‘-‟a-zA-Z0-9"
+    r"\u3400-\u4DBF\u4E00-\u9FFF\u3000-\u303F\uFF00-\uFFEF\u2010-\u2027\u2018-\u201Fa-zA-Z0-9"
     r" ·…—、，。：；！？（）《》“”‘’.,;:!?()'\"+/\-"
 )
 

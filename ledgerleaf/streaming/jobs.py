@@ -171,8 +171,7 @@ def record_run_stream(
         spark = batch.sparkSession
         table = spark.read.parquet(messages_path)
         old = touched_buckets(table, runs, "conv_id", buckets).drop("_bucket")
-        old = old.drop("appended_at") if "appended_at" in old.columns else old
-        write_buckets(cut_lineage(attach_traces(old, runs).drop("appended_at")), messages_path, "conv_id", buckets)
+        write_buckets(cut_lineage(attach_traces(old, runs)), messages_path, "conv_id", buckets)
 
     return (
         payloads.writeStream.foreachBatch(record).option("checkpointLocation", checkpoint)
