@@ -63,6 +63,11 @@ def derive_title(first_user_text: Column, limit: int = 20, default: str = "新
     return F.coalesce(short, F.lit(default))
 
 
+def fixed_point(col: Column, digits: int) -> Column:
+    """Fixed decimals, rounded from the exact binary value (ties to even)."""
+    return F.replace(F.format_number(col, digits), F.lit(","), F.lit(""))
+
+
 def entity_key(col: Column) -> Column:
     """Comparison key of an entity label: no white space, lower case."""
     return F.lower(F.regexp_replace(col, SPACE_CLASS + "+", ""))

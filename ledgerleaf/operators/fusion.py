@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ledgerleaf.functions.text import fixed_point
 from ledgerleaf.operators.recall import _score_block, in_blocks
 
 RECALL_FACTOR = 3  # fixed value: each route recalls this many times top_k
@@ -190,7 +191,7 @@ def format_passage(no: Column, p: str = "") -> Column:
         F.when(c("domain") != "", F.concat(F.lit("领域："), c("domain"))),
         F.when(c("effective_date") != "", F.concat(F.lit("生效："), c("effective_date"))),
         F.when(~c("version").isin("", "1"), F.concat(F.lit("版本："), c("version"))),
-        F.when(score != 0, F.concat(F.lit("相关度："), F.format_string("%.2f", score))),
+        F.when(score != 0, F.concat(F.lit("相关度："), fixed_point(score, 2))),
     )
     number = F.concat(F.lit("["), no.cast("string"), F.lit("]"))
     return F.concat_ws(

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ledgerleaf.functions.text import make_summary
+from ledgerleaf.functions.text import fixed_point, make_summary
 from ledgerleaf.functions.vectors import Embedder, embed
 from ledgerleaf.operators.chunking import chunks_of
 from ledgerleaf.operators.graph import ENTITY_RULES, extract_graph
@@ -36,7 +36,7 @@ def ingest_documents(
     size = F.length("content").cast("bigint")
     limit = int(max_file_mb) * 1024 * 1024
     message = F.concat(
-        F.lit(f"文件超过大小上限 {max_file_mb}MB（当前 "), F.format_string("%.1f", size / F.lit(1048576.0)), F.lit("MB）")
+        F.lit(f"文件超过大小上限 {max_file_mb}MB（当前 "), fixed_point(size / F.lit(1048576.0), 1), F.lit("MB）")
     )
     sized = files.withColumn("size", size).withColumn("_large", F.when(size > limit, message))
     # Bytes of refused files are dropped before any of them is parsed.

@@ -1 +1,349 @@
-QUERIES, ORACLE = {}, {}
+"""Registered queries: vectors, BM25, recall, fusion, context."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerleaf.functions.vectors import check_dimension, cosine, embed, mean_pool_normalize, parse_embedding
+from ledgerleaf.operators.bm25 import bm25_index, bm25_score, bm25_term_stats, index_terms
+from ledgerleaf.operators.fusion import (
+    hybrid_search as search, hybrid_search_full as search_full, minmax_normalize, personal_corpus, rag_context,
+    union_recall,
+)
+from ledgerleaf.operators.recall import (
+    bm25_topk, metadata_prefilter, personal_recall as recall_personal, personal_vector_search as search_personal,
+    recall, vector_topk,
+)
+from ledgerleaf.plans import sqlparts as q
+from ledgerleaf.plans.corpus import build_corpus, spread, stored_once
+from ledgerleaf.plans.ingest import ingest_documents
+from ledgerleaf.plans.text_queries import table
+
+AFTER = "2002-01-01"
+
+
+# ---------------------------------------------------------------- inputs derived from the tables
+def _documents(spark, sf):
+    """Documents with metadata: language as domain, a date from the length."""
+    dated = F.when(F.col("n_chars") > 100, F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("n_chars").cast("int")), "yyyy-MM-dd")).otherwise("")
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("source").alias("title"), F.lit("lab").alias("agency"),
+        F.lit("internal").alias("doc_type"), F.concat("lang", F.lit(",all")).alias("domain"), F.lit("1").alias("version"),
+        dated.alias("effective_date"),
+    )
+
+
+def _corpus(spark, sf):
+    return stored_once(spark, f"public:{sf}", lambda: build_corpus(_documents(spark, sf)))
+
+
+def _whole_texts(spark, sf):
+    """The documents as one chunk each."""
+    return _documents(spark, sf).withColumnRenamed("text", "content").withColumn("chunk_id", F.col("doc_id"))
+
+
+def _pages(spark, sf):
+    """Web pages as uploads; the language in the address stands for the user."""
+    return spread(table(spark, sf, "pages")).select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"),
+        F.regexp_extract("url", "://[^/]+/([a-z]+)/", 1).alias("user_id"),
+        F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")).alias("filename"),
+        F.encode("html", "UTF-8").alias("content"), F.lit("2024-05-01").alias("uploaded_at"),
+    )
+
+
+def _personal(spark, sf):
+    def make():
+        made = ingest_documents(_pages(spark, sf))
+        return index_terms(personal_corpus(made["documents"], made["chunks"], made["embeddings"]))
+
+    return stored_once(spark, f"personal:{sf}", make)
+
+
+def _questions(spark, sf):
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return embed(asked, text="query_text", out="query_vec")
+
+
+def _two_filters(spark, sf):
+    """Every question twice: over everything, and over one domain since a date."""
+    asked = _questions(spark, sf)
+    plain = asked.withColumns({"domain": F.lit(None).cast("string"), "effective_after": F.lit(None).cast("string")})
+    narrow = asked.withColumns(
+        {"query_id": F.col("query_id") + 1_000_000, "domain": F.lit("en"), "effective_after": F.lit(AFTER)}
+    )
+    return plain.unionByName(narrow)
+
+
+def _user_questions(spark, sf):
+    """Every question asked by two users."""
+    asked = _questions(spark, sf)
+    other = asked.withColumns({"query_id": F.col("query_id") + 1_000_000, "user_id": F.lit("fr")})
+    return asked.withColumn("user_id", F.lit("en")).unionByName(other)
+
+
+# ---------------------------------------------------------------- vectors
+def embedding_dimensions(spark, sf):
+    stored = table(spark, sf, "embeddings").select("vec_id", F.to_json("embedding").alias("json"))
+    parsed = check_dimension(stored.select("vec_id", parse_embedding(F.col("json")).alias("embedding")), 64)
+    return parsed.select("vec_id", F.size("embedding").alias("dim"), F.round(F.col("embedding")[0], 5).alias("first"))
+
+
+def neighbor_cosines(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    other = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    pairs = vectors.join(other, "vec_id")
+    zero = F.transform("other", lambda x: x * 0)
+    return pairs.select(
+        "vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"),
+        cosine(F.col("embedding"), zero).alias("with_zero"),
+    )
+
+
+def char_hash_vectors(spark, sf):
+    vectors = embed(table(spark, sf, "documents").select("doc_id", "text"))
+    counts = F.transform("embedding", lambda x: x.cast("int").cast("string"))
+    return vectors.select("doc_id", F.array_join(counts, " ").alias("counts"))
+
+
+def pooled_vectors(spark, sf):
+    tokens = F.array("embedding", F.reverse("embedding"), F.transform("embedding", lambda x: x * 3))
+    mask = F.array(F.lit(1), F.lit(1), F.lit(0))
+    pooled = table(spark, sf, "embeddings").select("vec_id", mean_pool_normalize(tokens, mask).alias("v"))
+    return pooled.select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[63], 6).alias("last"))
+
+
+def prefiltered_chunks(spark, sf):
+    kept = metadata_prefilter(_corpus(spark, sf), "en", AFTER)
+    undated = metadata_prefilter(_corpus(spark, sf), "en", AFTER, keep_undated=True)
+    tag = lambda df, name: df.select("chunk_id", F.lit(name).alias("mode"))
+    return tag(kept, "dated").unionByName(tag(undated, "undated"))
+
+
+def vector_top(spark, sf):
+    """The nearest stored vectors of each label's mean vector."""
+    vectors = table(spark, sf, "embeddings")
+    means = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    # A mean vector has as many entries as a vector, so the list per label is short.
+    labels = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
+    asked = labels.select(F.col("label").alias("query_id"), F.lit("").alias("query_text"), F.col("v.x").alias("query_vec"))
+    return vector_topk(asked, vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), k=10)
+
+
+# ---------------------------------------------------------------- words
+def term_statistics(spark, sf):
+    return bm25_term_stats(bm25_index(_whole_texts(spark, sf)))
+
+
+def bm25_scores(spark, sf):
+    scores = bm25_score(_questions(spark, sf), _whole_texts(spark, sf))
+    return scores.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def bm25_top(spark, sf):
+    return bm25_topk(_two_filters(spark, sf), _corpus(spark, sf), k=5)
+
+
+# ---------------------------------------------------------------- fusion
+def united_routes(spark, sf):
+    found = recall(_questions(spark, sf), _corpus(spark, sf), k=15)
+    route = lambda name, out: found.filter(F.col("route") == name).select("query_id", "chunk_id", F.round("score", 4).alias(out))
+    return union_recall(route("vector", "vec_score"), route("bm25", "bm25_score"))
+
+
+def scaled_balances(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"))
+    scaled = minmax_normalize(rows, ("balance",), by="c_nationkey")
+    return scaled.select("c_custkey", "c_nationkey", F.round("balance", 6).alias("balance"))
+
+
+def _shown(passages):
+    return passages.select(
+        "query_id", "rank", "corpus", "chunk_id", "score", "source", "domain", "effective_date", "doc_id",
+        F.length("content").alias("n_chars"),
+    )
+
+
+def hybrid_search(spark, sf):
+    return _shown(search(_questions(spark, sf), _corpus(spark, sf)))
+
+
+def hybrid_search_filtered(spark, sf):
+    return _shown(search(_two_filters(spark, sf), _corpus(spark, sf)))
+
+
+def hybrid_search_full(spark, sf):
+    return _shown(search_full(_two_filters(spark, sf), _corpus(spark, sf)))
+
+
+def hybrid_search_scoped(spark, sf):
+    return _shown(search(_user_questions(spark, sf), _corpus(spark, sf), _personal(spark, sf)))
+
+
+def hybrid_search_reranked(spark, sf):
+    def longest(_query, rows):
+        return rows["content"].str.len().tolist()
+
+    return _shown(search(_questions(spark, sf), _corpus(spark, sf), reranker=longest, top_k=3))
+
+
+def personal_recall(spark, sf):
+    found = recall_personal(_user_questions(spark, sf), _personal(spark, sf), k=15)
+    return found.select("query_id", "route", "chunk_id", F.round("score", 4).alias("score"), "rank")
+
+
+def personal_vector_search(spark, sf):
+    return search_personal(_user_questions(spark, sf), _personal(spark, sf), k=5)
+
+
+def context_texts(spark, sf):
+    asked = _user_questions(spark, sf)
+    return rag_context(asked, search(asked, _corpus(spark, sf), _personal(spark, sf), top_k=3))
+
+
+QUERIES = {
+    "embedding_dimensions": embedding_dimensions, "neighbor_cosines": neighbor_cosines,
+    "char_hash_vectors": char_hash_vectors, "pooled_vectors": pooled_vectors, "prefiltered_chunks": prefiltered_chunks,
+    "vector_top": vector_top, "term_statistics": term_statistics, "bm25_scores": bm25_scores, "bm25_top": bm25_top,
+    "united_routes": united_routes, "scaled_balances": scaled_balances, "hybrid_search": hybrid_search,
+    "hybrid_search_filtered": hybrid_search_filtered, "hybrid_search_full": hybrid_search_full,
+    "hybrid_search_scoped": hybrid_search_scoped, "hybrid_search_reranked": hybrid_search_reranked,
+    "personal_recall": personal_recall, "personal_vector_search": personal_vector_search, "context_texts": context_texts,
+}
+
+# ---------------------------------------------------------------- the same in SQL
+_META = """meta AS (
+  SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, source AS title, lang || ',all' AS domain, lang,
+    CASE WHEN n_chars > 100 THEN strftime(DATE '2000-01-01' + CAST(n_chars AS INTEGER), '%Y-%m-%d') ELSE '' END AS effective_date FROM documents)"""
+_PUBLIC = f"""{_META},
+{q.chunks_cte('meta', 'doc_id', 'text')},
+public AS (SELECT p.doc_key || ':c' || p.idx AS chunk_id, m.doc_id, m.title, m.domain, m.lang, m.effective_date, '' AS user_id,
+    p.content, '1' AS version, 'lab' AS agency, p.chapter FROM packed p JOIN meta m ON m.doc_id = p.doc_key)"""
+_WHOLE = f"""{_META}, public AS (SELECT doc_id AS chunk_id, doc_id, domain, lang, effective_date, text AS content FROM meta)"""
+_PERSONAL = f"""pages_text AS (SELECT 'p' || page_id AS doc_id, regexp_extract(url, '://[^/]+/([a-z]+)/', 1) AS user_id,
+    'page' || page_id || '.html' AS title, {q.strip_html('html')} AS body FROM pages),
+personal AS (SELECT doc_id || ':c0' AS chunk_id, doc_id, title, '' AS domain, '' AS lang, '2024-05-01' AS effective_date, user_id,
+    CASE WHEN length({q.strip('body')}) <= 600 THEN {q.strip('body')} ELSE right({q.strip('body')}, 80) || chr(10) || {q.strip('body')} END AS content,
+    '' AS version, '' AS agency, '' AS chapter FROM pages_text WHERE {q.strip('body')} <> '')"""
+_ASKED = "asked AS (SELECT item_id AS query_id, text AS query_text, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS after, CAST(NULL AS VARCHAR) AS user_id FROM benchmark)"
+_ASKED_TWICE = f"""asked AS (SELECT item_id AS query_id, text AS query_text, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS after, CAST(NULL AS VARCHAR) AS user_id FROM benchmark
+  UNION ALL SELECT item_id + 1000000, text, 'en', '{AFTER}', NULL FROM benchmark)"""
+_ASKED_USERS = """asked AS (SELECT item_id AS query_id, text AS query_text, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS after, 'en' AS user_id FROM benchmark
+  UNION ALL SELECT item_id + 1000000, text, NULL, NULL, 'fr' FROM benchmark)"""
+
+
+def _hash_counts(name: str, source: str, key: str, body: str) -> str:
+    """CTE ``name(key, d, x, norm)``: character counts by ``(code point * 31) % 32``."""
+    return f"""{name} AS (SELECT {key}, d, x, sqrt(sum(x * x) OVER (PARTITION BY {key})) AS norm FROM (
+      SELECT {key}, (unicode(ch) * 31) % 32 AS d, CAST(count(*) AS DOUBLE) AS x FROM (
+        SELECT {key}, unnest(string_split({body}, '')) AS ch FROM {source}) WHERE ch <> '' GROUP BY 1, 2))"""
+
+
+def _scores(corpora: str, undated: bool = False) -> str:
+    """CTEs from ``corpora`` (an SQL union with ``corpus``) and ``asked`` to ``scored``."""
+    date = "(c.effective_date >= a.after" + (" OR c.effective_date = ''" if undated else "") + ")"
+    scope = f"""(c.corpus = 'public' AND (a.lang IS NULL OR a.lang = c.lang) AND (a.after IS NULL OR {date})
+        OR c.corpus = 'personal' AND a.user_id = c.user_id)"""
+    return f"""
+corpora AS ({corpora}),
+texts AS (SELECT DISTINCT corpus, chunk_id, content FROM corpora),
+{_hash_counts('cv', 'texts', 'chunk_id', 'content')},
+{_hash_counts('qv', 'asked', 'query_id', 'query_text')},
+dots AS (SELECT query_id, chunk_id, sum(cv.x * qv.x) / (any_value(cv.norm) * any_value(qv.norm)) AS s FROM cv JOIN qv USING (d) GROUP BY 1, 2),
+visible AS (SELECT a.query_id, c.corpus, c.chunk_id FROM asked a JOIN corpora c ON {scope}),
+tokens AS (SELECT chunk_id, unnest({q.words('content')}) AS w FROM texts),
+tf AS (SELECT chunk_id, w, count(*) AS f FROM tokens GROUP BY 1, 2),
+dl AS (SELECT chunk_id, len({q.words('content')}) AS dl FROM texts),
+ask_tf AS (SELECT query_id, w, count(*) AS mult FROM (SELECT query_id, unnest({q.words('query_text')}) AS w FROM asked) GROUP BY 1, 2),
+sizes AS (SELECT query_id, corpus, count(*) AS n, avg(dl) AS avgdl FROM visible JOIN dl USING (chunk_id) GROUP BY 1, 2),
+hits AS (SELECT v.query_id, v.corpus, v.chunk_id, t.w, t.f, a.mult, d.dl,
+    count(*) OVER (PARTITION BY v.query_id, v.corpus, t.w) AS df
+  FROM ask_tf a JOIN tf t USING (w) JOIN visible v ON v.query_id = a.query_id AND v.chunk_id = t.chunk_id JOIN dl d ON d.chunk_id = v.chunk_id),
+lexical AS (SELECT h.query_id, h.corpus, h.chunk_id,
+    sum(mult * ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS b
+  FROM hits h JOIN sizes s ON s.query_id = h.query_id AND s.corpus = h.corpus GROUP BY 1, 2, 3),
+scored AS (SELECT v.query_id, v.corpus, v.chunk_id, round(coalesce(d.s, 0), 10) AS vec, round(coalesce(l.b, 0), 10) AS bm
+  FROM visible v LEFT JOIN dots d ON d.query_id = v.query_id AND d.chunk_id = v.chunk_id
+  LEFT JOIN lexical l ON l.query_id = v.query_id AND l.chunk_id = v.chunk_id AND l.corpus = v.corpus)"""
+
+
+def _routes(k: int) -> str:
+    return f"""routes AS (
+  SELECT query_id, corpus, chunk_id, 'vector' AS route, vec AS score, row_number() OVER (PARTITION BY query_id, corpus ORDER BY vec DESC, chunk_id) AS rank FROM scored
+  UNION ALL
+  SELECT query_id, corpus, chunk_id, 'bm25', bm, row_number() OVER (PARTITION BY query_id, corpus ORDER BY bm DESC, chunk_id) FROM scored),
+best AS (SELECT * FROM routes WHERE rank <= {k})"""
+
+
+def _fused(candidates: str) -> str:
+    return f"""cand AS ({candidates}),
+bounds AS (SELECT query_id, min(vec) lv, max(vec) hv, min(bm) lb, max(bm) hb FROM cand GROUP BY 1),
+fused AS (SELECT c.*, round(0.7 * CASE WHEN hv = lv THEN CASE WHEN hv > 0 THEN 1.0 ELSE 0.0 END ELSE (vec - lv) / (hv - lv) END
+    + 0.3 * CASE WHEN hb = lb THEN CASE WHEN hb > 0 THEN 1.0 ELSE 0.0 END ELSE (bm - lb) / (hb - lb) END, 10) AS score FROM cand c JOIN bounds USING (query_id)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CASE corpus WHEN 'public' THEN 0 ELSE 1 END, chunk_id) AS INTEGER) AS rank FROM fused)"""
+
+
+_CUT = """SELECT query_id, corpus, chunk_id, coalesce(max(CASE WHEN route = 'vector' THEN score END), 0.0) AS vec,
+    coalesce(max(CASE WHEN route = 'bm25' THEN score END), 0.0) AS bm FROM best GROUP BY 1, 2, 3"""
+_SHOW = """SELECT r.query_id, r.rank, r.corpus, r.chunk_id, round(r.score, 4) AS score, c.title AS source, c.domain, c.effective_date, c.doc_id,
+    CAST(length(c.content) AS INTEGER) AS n_chars FROM ranked r JOIN corpora c ON c.chunk_id = r.chunk_id AND c.corpus = r.corpus"""
+_ONE = "SELECT 'public' AS corpus, * FROM public"
+_BOTH = "SELECT 'public' AS corpus, * FROM public UNION ALL SELECT 'personal', chunk_id, doc_id, title, domain, lang, effective_date, user_id, content, version, agency, chapter FROM personal"
+
+
+def _hybrid(asked: str, corpora: str, k: int = 15, extra: str = "") -> str:
+    return f"WITH RECURSIVE {_PUBLIC}, {extra}{asked}, {_scores(corpora)}, {_routes(k)}, {_fused(_CUT)}"
+
+
+_WHOLE_SCORES = f"WITH {_WHOLE}, {_ASKED}, {_scores(_ONE.replace('*', '*, NULL AS user_id'))}"
+
+ORACLE = {
+    "embedding_dimensions": "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, round(embedding[1], 5) AS first FROM embeddings",
+    "neighbor_cosines": """SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity, 0.0 AS with_zero
+        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+    "char_hash_vectors": """
+        WITH c AS (SELECT doc_id, (unicode(ch) * 31) % 32 AS d, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1, 2),
+        g AS (SELECT doc_id, d.d FROM documents, (SELECT unnest(range(32)) AS d) d)
+        SELECT g.doc_id, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ' ' ORDER BY g.d) AS counts FROM g LEFT JOIN c ON c.doc_id = g.doc_id AND c.d = g.d GROUP BY 1""",
+    "pooled_vectors": """
+        WITH m AS (SELECT vec_id, list_transform(range(1, 65), lambda i: (embedding[i]::DOUBLE + embedding[65 - i]::DOUBLE) / 2) AS v FROM embeddings)
+        SELECT vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, round(v[64] / sqrt(list_dot_product(v, v)), 6) AS last FROM m""",
+    "prefiltered_chunks": f"""WITH RECURSIVE {_PUBLIC}
+        SELECT chunk_id, 'dated' AS mode FROM public WHERE lang = 'en' AND effective_date >= '{AFTER}'
+        UNION ALL SELECT chunk_id, 'undated' FROM public WHERE lang = 'en' AND (effective_date >= '{AFTER}' OR effective_date = '')""",
+    "vector_top": """
+        WITH e AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
+        m AS (SELECT label, i, avg(x) AS x FROM e GROUP BY 1, 2),
+        s AS (SELECT m.label AS query_id, e.vec_id AS chunk_id, round(sum(m.x * e.x) / sqrt(sum(m.x * m.x)) / sqrt(sum(e.x * e.x)), 10) AS s FROM m JOIN e USING (i) GROUP BY 1, 2),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, chunk_id, round(s, 4) AS score, rank FROM r WHERE rank <= 10""",
+    "term_statistics": f"""SELECT w AS term, count(*) AS df, CAST(sum(f) AS BIGINT) AS total_tf FROM (
+        SELECT doc_id, w, count(*) AS f FROM (SELECT doc_id, unnest({q.words('text')}) AS w FROM documents) GROUP BY 1, 2) GROUP BY 1""",
+    "bm25_scores": f"{_WHOLE_SCORES} SELECT query_id, chunk_id, round(b, 6) AS score FROM lexical",
+    "bm25_top": f"""WITH RECURSIVE {_PUBLIC}, {_ASKED_TWICE}, {_scores(_ONE)}, {_routes(5)}
+        SELECT query_id, chunk_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM best WHERE route = 'bm25'""",
+    "united_routes": f"""WITH RECURSIVE {_PUBLIC}, {_ASKED}, {_scores(_ONE)}, {_routes(15)}
+        SELECT query_id, chunk_id, round(max(CASE WHEN route = 'vector' THEN score END), 4) AS vec_score,
+          round(max(CASE WHEN route = 'bm25' THEN score END), 4) AS bm25_score FROM best GROUP BY 1, 2""",
+    "scaled_balances": """WITH c AS (SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE 0 END AS b FROM customer),
+        m AS (SELECT c_nationkey, min(b) AS lo, max(b) AS hi FROM c GROUP BY 1)
+        SELECT c_custkey, c_nationkey, round(CASE WHEN hi = lo THEN CASE WHEN hi > 0 THEN 1.0 ELSE 0.0 END ELSE (b - lo) / (hi - lo) END, 6) AS balance FROM c JOIN m USING (c_nationkey)""",
+    "hybrid_search": f"{_hybrid(_ASKED, _ONE)} {_SHOW} WHERE r.rank <= 5",
+    "hybrid_search_filtered": f"{_hybrid(_ASKED_TWICE, _ONE)} {_SHOW} WHERE r.rank <= 5",
+    "hybrid_search_full": f"""WITH RECURSIVE {_PUBLIC}, {_ASKED_TWICE}, {_scores(_ONE, undated=True)},
+        {_fused('SELECT query_id, corpus, chunk_id, vec, bm FROM scored')} {_SHOW} WHERE r.rank <= 5""",
+    "hybrid_search_scoped": f"{_hybrid(_ASKED_USERS, _BOTH, extra=_PERSONAL + ', ')} {_SHOW} WHERE r.rank <= 5",
+    "hybrid_search_reranked": f"""{_hybrid(_ASKED, _ONE, k=9)}, pool AS ({_SHOW} WHERE r.rank <= 9),
+        again AS (SELECT * EXCLUDE (rank), CAST(row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, rank) AS INTEGER) AS rank FROM pool)
+        SELECT * FROM again WHERE rank <= 3""",
+    "personal_recall": f"""WITH {_PERSONAL}, {_ASKED_USERS}, {_scores("SELECT 'personal' AS corpus, * FROM personal")}, {_routes(15)}
+        SELECT query_id, route, chunk_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM best""",
+    "personal_vector_search": f"""WITH {_PERSONAL}, {_ASKED_USERS}, {_scores("SELECT 'personal' AS corpus, * FROM personal")}, {_routes(5)}
+        SELECT query_id, chunk_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM best WHERE route = 'vector'""",
+    "context_texts": f"""{_hybrid(_ASKED_USERS, _BOTH, k=9, extra=_PERSONAL + ', ')},
+        lines AS (SELECT r.query_id, r.rank, '[' || r.rank || '] 来源《' || c.title || '》' || CASE WHEN c.agency <> '' THEN '｜机构：' || c.agency ELSE '' END
+          || CASE WHEN c.domain <> '' THEN '｜领域：' || c.domain ELSE '' END || CASE WHEN c.effective_date <> '' THEN '｜生效：' || c.effective_date ELSE '' END
+          || CASE WHEN round(r.score, 4) <> 0 THEN '｜相关度：' || printf('%.2f', round(r.score, 4)) ELSE '' END || chr(10) || c.content AS line
+          FROM ranked r JOIN corpora c ON c.chunk_id = r.chunk_id AND c.corpus = r.corpus WHERE r.rank <= 3)
+        SELECT query_id, string_agg(line, chr(10) || chr(10) ORDER BY rank) AS context FROM lines GROUP BY 1""",
+}
