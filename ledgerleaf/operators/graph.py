@@ -64,16 +64,15 @@ def _paragraphs(text: Column) -> Column:
 def _sightings(paragraphs: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """``array<struct<para, type, label, key>>`` in order of paragraph, rule, position."""
 
+    def by_rule(para: Column, no: Column, kind: str, pattern: str) -> Column:
+        # (?U): words and digits of all scripts; (?d): "$" before \n only.
+        labels = F.regexp_extract_all(para, F.lit("(?Ud)" + pattern), F.lit(min(_groups(pattern), 1)))
+        return F.transform(
+            labels, lambda label: F.struct(no.alias("para"), F.lit(kind).alias("type"), strip(label).alias("label"))
+        )
+
     def in_paragraph(para: Column, no: Column) -> Column:
-        per_rule = [
-            F.transform(
-                # (?U): words and digits of all scripts; (?d): "$" before \n only.
-                F.regexp_extract_all(para, F.lit("(?Ud)" + pattern), F.lit(min(_groups(pattern), 1))),
-                lambda label, kind=kind: F.struct(no.alias("para"), F.lit(kind).alias("type"), strip(label).alias("label")),
-            )
-            for kind, pattern in rules
-        ]
-        return F.concat(*per_rule)
+        return F.concat(*[by_rule(para, no, kind, pattern) for kind, pattern in rules])
 
     found = F.flatten(F.transform(paragraphs, in_paragraph))
     kept = F.filter(found, lambda s: F.length(s["label"]) >= 2)

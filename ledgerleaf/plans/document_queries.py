@@ -1 +1,306 @@
-QUERIES, ORACLE = {}, {}
+"""Registered queries: document lifecycle, roll-ups, entity graphs."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from ledgerleaf.operators import graph as g, lifecycle as lc
+from ledgerleaf.operators.ordering import assign_ids
+from ledgerleaf.operators.recall import recall
+from ledgerleaf.plans import sqlparts as q
+from ledgerleaf.plans.corpus import spread
+from ledgerleaf.plans.ingest import ingest_documents
+from ledgerleaf.plans.search_queries import (
+    _ASKED_USERS, _BOTH, _PERSONAL, _PUBLIC, _corpus, _pages, _personal, _routes, _scores, _user_questions,
+)
+from ledgerleaf.plans.text_queries import table
+from ledgerleaf.streaming.jobs import split_failed
+
+# ---------------------------------------------------------------- roll-ups
+
+
+def kb_stats(spark, sf):
+    return lc.kb_stats(_corpus(spark, sf).withColumn("dim", F.size("embedding")))
+
+
+def kb_documents(spark, sf):
+    return lc.list_kb_docs(_corpus(spark, sf))
+
+
+def chunk_counts(spark, sf):
+    return lc.count_chunks(_corpus(spark, sf))
+
+
+def personal_stats(spark, sf):
+    made = ingest_documents(_pages(spark, sf))
+    return lc.personal_stats(made["documents"], made["chunks"], made["embeddings"])
+
+
+def listed_documents(spark, sf):
+    docs = table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS seq", "o_orderpriority AS user_id", "o_orderdate AS uploaded_at", "o_orderstatus AS status"
+    )
+    return lc.list_docs(docs, "1-URGENT")
+
+
+def pooled_candidates(spark, sf):
+    found = recall(_user_questions(spark, sf), _corpus(spark, sf), _personal(spark, sf), k=15)
+    return found.select("query_id", "corpus", "route", "chunk_id", F.round("score", 4).alias("score"))
+
+
+def surrogate_ids(spark, sf):
+    existing = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    new = table(spark, sf, "documents").select("source", "doc_id")
+    return assign_ids(existing, new, [F.asc("source"), F.asc("doc_id")])
+
+
+# ---------------------------------------------------------------- versions and deletions
+def _stored(spark, sf):
+    return table(spark, sf, "lineitem").selectExpr("l_orderkey AS doc_id", "l_linenumber AS idx", "l_quantity AS amount")
+
+
+def _finished(spark, sf):
+    return table(spark, sf, "orders").filter("o_orderstatus = 'F'")
+
+
+def upserted_rows(spark, sf):
+    batch = _finished(spark, sf).selectExpr("o_orderkey AS doc_id", "0 AS idx", "o_totalprice AS amount")
+    return lc.upsert_by_doc(_stored(spark, sf), batch)
+
+
+def deleted_rows(spark, sf):
+    left, removed = lc.delete_docs(_stored(spark, sf), _finished(spark, sf).select(F.col("o_orderkey").alias("doc_id")))
+    kept = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.lit("kept").alias("state"), "n")
+    return kept.unionByName(removed.select("doc_id", F.lit("removed").alias("state"), F.col("removed").alias("n")))
+
+
+def cascade_deletions(spark, sf):
+    orders = table(spark, sf, "orders")
+    documents = orders.selectExpr("o_orderkey AS id", "o_custkey AS user_id")
+    chunks = table(spark, sf, "lineitem").join(orders, F.expr("l_orderkey = o_orderkey")).selectExpr("o_orderkey AS doc_id", "o_custkey AS user_id")
+    requests = orders.filter("o_orderpriority = '1-URGENT'").selectExpr(
+        "o_orderkey AS doc_id", "CASE o_orderstatus WHEN 'F' THEN o_custkey ELSE o_custkey + 1 END AS user_id"
+    )
+    left, answer = lc.cascade_delete({"documents": documents, "chunks": chunks}, requests)
+    parts = [df.groupBy().count().select(F.lit(name).alias("what"), F.col("count").alias("n")) for name, df in left.items()]
+    parts.append(answer.groupBy(F.concat(F.lit("deleted "), F.col("deleted").cast("string")).alias("what")).agg(F.count(F.lit(1)).alias("n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def own_document(spark, sf):
+    docs = table(spark, sf, "orders").selectExpr("o_orderkey AS id", "o_custkey AS user_id", "o_orderstatus AS status")
+    owner = docs.agg(F.max_by("user_id", "id").alias("user_id"), F.max("id").alias("id")).first()
+    mine = lc.get_doc(docs, owner["id"], owner["user_id"])
+    return mine.unionByName(lc.get_doc(docs, owner["id"], owner["user_id"] + 1))
+
+
+def updated_statuses(spark, sf):
+    docs = table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS id", "o_custkey AS user_id", "o_orderstatus AS status", "CAST(NULL AS STRING) AS error",
+        "o_orderpriority AS summary", "0 AS updated_at",
+    )
+    # Line numbers repeat within an order, so time is the line number and the part together.
+    updates = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey AS doc_id", "l_linestatus AS status", "CASE WHEN l_returnflag = 'R' THEN concat('bad ', l_partkey) END AS error",
+        "CASE WHEN l_quantity > 25 THEN concat('part ', l_partkey) END AS summary",
+        "l_linenumber * 10000000 + l_partkey AS at",
+    ).dropDuplicates(["doc_id", "at"])
+    return lc.apply_status_updates(docs, updates).select("id", "error", "summary", "updated_at")
+
+
+def purged_sessions(spark, sf):
+    rows = table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS id", "o_custkey AS user_id",
+        "CASE o_orderstatus WHEN 'P' THEN NULL ELSE concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T00:00:00+00:00') END AS updated_at",
+    )
+    kept, purged = lc.purge_before(rows, 852_076_800_000, 1, admins=[1], allow_admin_all=True)
+    tag = lambda df, name: df.select("id", F.lit(name).alias("state"))
+    return tag(kept, "kept").unionByName(tag(purged, "purged"))
+
+
+def remaining_sessions(spark, sf):
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey AS id", "o_custkey AS user_id")
+    first = rows.agg(F.min_by("user_id", "id").alias("u"), F.min("id").alias("id")).first()
+    return lc.delete_session(rows, first["id"], first["u"])
+
+
+def quarantined_payloads(spark, sf):
+    payload = F.expr("CASE event_type WHEN 'error' THEN substring(props, 1, 4) ELSE props END")
+    rows = table(spark, sf, "events").select("event_id", payload.alias("payload"))
+    good, bad = split_failed(rows, T.StructType([T.StructField("k", T.LongType())]))
+    fine = good.groupBy("k").agg(F.count(F.lit(1)).alias("n")).select(F.col("k").cast("string").alias("what"), "n")
+    return fine.unionByName(bad.groupBy(F.col("payload").alias("what")).agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------- graphs
+# Rules that find something in the test texts.
+TEST_RULES = (
+    ("Email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    ("Number", r"[0-9]{5,}"),
+    ("Name", r"[A-Z][a-z]{7,}"),
+    ("Pair", r"of ([a-z]{9,})"),
+)
+
+
+def _named_documents(spark, sf):
+    return spread(table(spark, sf, "documents")).select(
+        "doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("filename"), F.col("source").alias("user_id"),
+        "lang", "text",
+    )
+
+
+def _graph(spark, sf):
+    return g.extract_graph(_named_documents(spark, sf), TEST_RULES)
+
+
+def graph_nodes(spark, sf):
+    nodes, _edges = _graph(spark, sf)
+    return nodes.select("id", "doc_id", "label", "type", F.col("properties")["chars"].alias("chars"))
+
+
+def graph_edges(spark, sf):
+    _nodes, edges = _graph(spark, sf)
+    return edges.select("id", "doc_id", "source", "target", "label")
+
+
+def mention_edges(spark, sf):
+    _nodes, edges = _graph(spark, sf)
+    return edges.filter(F.col("label") == g.MENTION).select("doc_id", "source", "target")
+
+
+_W1, _W2 = "regexp_extract(text, '[A-Za-z]{3,}', 0)", "regexp_extract(text, '[A-Za-z]{3,}[^A-Za-z]+([A-Za-z]{4,})', 1)"
+_REPLY = (
+    "concat('sure: {\"nodes\": [{\"label\": \"', w1, '\", \"type\": \"Org\"}, {\"label\": \" ', w2, ' \", \"type\": \"Nope\"},"
+    " {\"label\": \"not in the text at all\", \"type\": \"Org\"}], \"edges\": [{\"source\": \"', w1, '\", \"target\": \"', w2,"
+    " '\", \"label\": \"a label of more than twenty\"}, {\"source\": \"', w1, '\", \"target\": \"nobody\"}]} done')"
+)
+
+
+def model_graph(spark, sf):
+    docs = _named_documents(spark, sf).withColumns({"w1": F.expr(_W1), "w2": F.expr(_W2)})
+    raw = F.when(F.col("lang") != "de", F.expr(_REPLY)).otherwise(F.lit("no graph {"))
+    nodes, edges = g.extract_graph(docs.withColumn("raw", raw), TEST_RULES)
+    node = nodes.select("id", "label", "type", F.lit("").alias("source"), F.lit("").alias("target"))
+    return node.unionByName(edges.select("id", "label", F.lit("edge").alias("type"), "source", "target"))
+
+
+def user_graph(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    status = F.when(F.col("lang") == "en", "done").otherwise("error")
+    docs = _named_documents(spark, sf).select(F.col("doc_id").alias("id"), "user_id", status.alias("status"))
+    own_nodes, own_edges = g.user_graph(nodes, edges, docs, "src3")
+    return own_nodes.select("id").unionByName(own_edges.select("id"))
+
+
+def filtered_graph(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    some, visible = g.filter_graph(nodes, edges, types=("Email", "Number"))
+    return some.select("id").unionByName(visible.select("id"))
+
+
+def graph_adjacency(spark, sf):
+    return g.adjacency(_graph(spark, sf)[1])
+
+
+def node_neighbors(spark, sf):
+    edges = _graph(spark, sf)[1]
+    hub = edges.groupBy("source").count().orderBy(F.desc("count"), "source").first()
+    return g.neighbors(edges, hub["source"] if hub else "")
+
+
+def node_types(spark, sf):
+    return g.distinct_types(_graph(spark, sf)[0])
+
+
+QUERIES = {
+    "kb_stats": kb_stats, "kb_documents": kb_documents, "chunk_counts": chunk_counts, "personal_stats": personal_stats,
+    "listed_documents": listed_documents, "pooled_candidates": pooled_candidates, "surrogate_ids": surrogate_ids,
+    "upserted_rows": upserted_rows, "deleted_rows": deleted_rows, "cascade_deletions": cascade_deletions,
+    "own_document": own_document, "updated_statuses": updated_statuses, "purged_sessions": purged_sessions,
+    "remaining_sessions": remaining_sessions, "quarantined_payloads": quarantined_payloads, "graph_nodes": graph_nodes,
+    "graph_edges": graph_edges, "mention_edges": mention_edges, "model_graph": model_graph, "user_graph": user_graph,
+    "filtered_graph": filtered_graph, "graph_adjacency": graph_adjacency, "node_neighbors": node_neighbors,
+    "node_types": node_types,
+}
+
+# ---------------------------------------------------------------- the same in SQL
+_MATCHES = " UNION ALL ".join(
+    f"""SELECT doc_id, para, {no} AS rule, '{kind}' AS type, generate_subscripts(m, 1) AS pos, unnest(m) AS raw
+    FROM (SELECT doc_id, para, regexp_extract_all(p, '{pattern}', {1 if '(' in pattern else 0}) AS m FROM paras)"""
+    for no, (kind, pattern) in enumerate(TEST_RULES)
+)
+_GRAPH = f"""
+split AS (SELECT doc_id, regexp_split_to_array(text, '\\n+') AS ps FROM docs),
+paras AS (SELECT doc_id, para, p FROM (SELECT doc_id, generate_subscripts(ps, 1) AS para, {q.strip('unnest(ps)')} AS p FROM split) WHERE p <> ''),
+seen AS (SELECT doc_id, para, rule, type, pos, label, lower(regexp_replace(label, '{q.WS}+', '', 'g')) AS key
+  FROM (SELECT * EXCLUDE (raw), {q.strip('raw')} AS label FROM ({_MATCHES})) WHERE length(label) >= 2),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY para, rule, pos) AS r FROM seen) WHERE r = 1),
+entities AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para, rule, pos) AS no FROM firsts) WHERE no <= 39),
+hits AS (SELECT doc_id, para, no, type, row_number() OVER (PARTITION BY doc_id, para ORDER BY place) AS h FROM (
+  SELECT s.doc_id, s.para, e.no, e.type, min(s.rule * 1000000 + s.pos) AS place FROM seen s JOIN entities e ON e.doc_id = s.doc_id AND e.key = s.key GROUP BY 1, 2, 3, 4)),
+pairs AS (SELECT a.doc_id, a.para, a.h AS i, b.h AS j, least(a.doc_id || ':n' || a.no, b.doc_id || ':n' || b.no) AS source,
+    greatest(a.doc_id || ':n' || a.no, b.doc_id || ':n' || b.no) AS target
+  FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.para = b.para AND a.h < b.h AND a.type <> b.type),
+links AS (SELECT doc_id, source, target, row_number() OVER (PARTITION BY doc_id ORDER BY para, i, j) AS n FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, source, target ORDER BY para, i, j) AS r FROM pairs) WHERE r = 1),
+known AS (SELECT doc_id, count(*) AS k FROM entities GROUP BY 1),
+nodes AS (SELECT doc_id || ':root' AS id, doc_id, filename AS label, 'Document' AS type, CAST(length(text) AS VARCHAR) AS chars FROM docs
+  UNION ALL SELECT doc_id || ':n' || no, doc_id, label, type, NULL FROM entities),
+edges AS (SELECT doc_id || ':e' || (no - 1) AS id, doc_id, doc_id || ':root' AS source, doc_id || ':n' || no AS target, '{g.MENTION}' AS label FROM entities
+  UNION ALL SELECT l.doc_id || ':e' || (k + n - 1), l.doc_id, source, target, '{g.RELATED}' FROM links l JOIN known USING (doc_id) WHERE k + n <= 80)"""
+_DOCS = "docs AS (SELECT doc_id, 'd' || doc_id AS filename, source AS user_id, lang, text FROM documents)"
+_G = f"WITH {_DOCS}, {_GRAPH}"
+_P = f"WITH RECURSIVE {_PUBLIC}"
+_W1_SQL, _W2_SQL = "regexp_extract(text, '[A-Za-z]{3,}')", "regexp_extract(text, '[A-Za-z]{3,}[^A-Za-z]+([A-Za-z]{4,})', 1)"
+
+ORACLE = {
+    "kb_stats": f"{_P} SELECT count(DISTINCT doc_id) AS doc_count, count(*) AS chunk_count, CAST(32 AS INTEGER) AS dim FROM public",
+    "kb_documents": f"{_P} SELECT doc_id, title, 'internal' AS doc_type, 'lab' AS agency, domain, '1' AS version, count(*) AS chunk_count FROM public GROUP BY doc_id, title, domain",
+    "chunk_counts": f"{_P} SELECT doc_id, count(*) AS chunk_count FROM public GROUP BY 1",
+    "personal_stats": f"""WITH {_PERSONAL}, d AS (SELECT regexp_extract(url, '://[^/]+/([a-z]+)/', 1) AS user_id, count(*) AS doc_count, CAST(sum(octet_length(encode(html))) AS BIGINT) AS total_size FROM pages GROUP BY 1),
+        c AS (SELECT user_id, count(*) AS n FROM personal GROUP BY 1)
+        SELECT user_id, doc_count, total_size, coalesce(n, 0) AS chunk_count, coalesce(n, 0) AS vector_count, CASE WHEN n IS NOT NULL THEN CAST(32 AS INTEGER) END AS dim FROM d LEFT JOIN c USING (user_id)""",
+    "listed_documents": "SELECT o_orderkey AS seq, o_orderpriority AS user_id, o_orderdate AS uploaded_at, o_orderstatus AS status FROM orders WHERE o_orderpriority = '1-URGENT'",
+    "pooled_candidates": f"WITH RECURSIVE {_PUBLIC}, {_PERSONAL}, {_ASKED_USERS}, {_scores(_BOTH)}, {_routes(15)} SELECT query_id, corpus, route, chunk_id, round(score, 4) AS score FROM best",
+    "surrogate_ids": "SELECT source, doc_id, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY source, doc_id) AS id FROM documents",
+    "upserted_rows": """SELECT l_orderkey AS doc_id, l_linenumber AS idx, l_quantity AS amount FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
+        UNION ALL SELECT o_orderkey, 0, o_totalprice FROM orders WHERE o_orderstatus = 'F'""",
+    "deleted_rows": """SELECT l_orderkey AS doc_id, CASE WHEN o.o_orderkey IS NULL THEN 'kept' ELSE 'removed' END AS state, count(*) AS n
+        FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') o ON o.o_orderkey = l_orderkey GROUP BY 1, 2""",
+    "cascade_deletions": """WITH gone AS (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')
+        SELECT 'documents' AS what, count(*) AS n FROM orders WHERE o_orderkey NOT IN (FROM gone)
+        UNION ALL SELECT 'chunks', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey NOT IN (FROM gone)
+        UNION ALL SELECT 'deleted ' || CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END, count(*) FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1""",
+    "own_document": "SELECT o_orderkey AS id, o_custkey AS user_id, o_orderstatus AS status FROM orders ORDER BY o_orderkey DESC LIMIT 1",
+    "updated_statuses": """WITH u AS (SELECT l_orderkey AS doc_id, l_linenumber * 10000000 + l_partkey AS moment,
+          any_value(CASE WHEN l_returnflag = 'R' THEN 'bad ' || l_partkey END) AS error, any_value(CASE WHEN l_quantity > 25 THEN 'part ' || l_partkey END) AS summary FROM lineitem GROUP BY 1, 2),
+        m AS (SELECT doc_id, arg_max(error, moment) FILTER (error IS NOT NULL) AS error, arg_max(summary, moment) FILTER (summary IS NOT NULL) AS summary, max(moment) AS moment FROM u GROUP BY 1)
+        SELECT o_orderkey AS id, error, coalesce(summary, o_orderpriority) AS summary, coalesce(moment, 0) AS updated_at FROM orders LEFT JOIN m ON doc_id = o_orderkey""",
+    "purged_sessions": "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' OR o_orderdate < TIMESTAMP '1997-01-01' THEN 'purged' ELSE 'kept' END AS state FROM orders",
+    "remaining_sessions": "SELECT o_orderkey AS id, o_custkey AS user_id FROM orders WHERE o_orderkey > (SELECT min(o_orderkey) FROM orders)",
+    "quarantined_payloads": """SELECT CASE event_type WHEN 'error' THEN substr(props, 1, 4) ELSE json_extract_string(props, '$.k') END AS what, count(*) AS n FROM events GROUP BY 1""",
+    "graph_nodes": f"{_G} SELECT id, doc_id, label, type, chars FROM nodes",
+    "graph_edges": f"{_G} SELECT id, doc_id, source, target, label FROM edges",
+    "mention_edges": f"{_G} SELECT doc_id, source, target FROM edges WHERE label = '{g.MENTION}'",
+    "model_graph": f"""WITH every AS (SELECT doc_id, 'd' || doc_id AS filename, source AS user_id, lang, text, {_W1_SQL} AS w1, {_W2_SQL} AS w2 FROM documents),
+        usable AS (SELECT *, lower(w1) = lower(w2) OR w2 = '' AS one FROM every WHERE lang <> 'de' AND (w1 <> '' OR w2 <> '')),
+        docs AS (SELECT * FROM every WHERE doc_id NOT IN (SELECT doc_id FROM usable)), {_GRAPH}
+        SELECT id, label, type, '' AS source, '' AS target FROM nodes
+        UNION ALL SELECT id, label, 'edge', source, target FROM edges
+        UNION ALL SELECT doc_id || ':root', filename, 'Document', '', '' FROM usable
+        UNION ALL SELECT doc_id || ':n1', w1, 'Org', '', '' FROM usable
+        UNION ALL SELECT doc_id || ':n2', w2, 'Concept', '', '' FROM usable WHERE NOT one
+        UNION ALL SELECT doc_id || ':e0', '{g.MENTION}', 'edge', doc_id || ':root', doc_id || ':n1' FROM usable
+        UNION ALL SELECT doc_id || ':e1', '{g.MENTION}', 'edge', doc_id || ':root', doc_id || ':n2' FROM usable WHERE NOT one
+        UNION ALL SELECT doc_id || ':e2', 'a label of more than', 'edge', doc_id || ':n1', doc_id || ':n2' FROM usable WHERE NOT one""",
+    "user_graph": f"""{_G} SELECT id FROM nodes WHERE doc_id IN (SELECT doc_id FROM docs WHERE user_id = 'src3' AND lang = 'en')
+        UNION ALL SELECT id FROM edges WHERE doc_id IN (SELECT doc_id FROM docs WHERE user_id = 'src3' AND lang = 'en')""",
+    "filtered_graph": f"""{_G}, some AS (SELECT id FROM nodes WHERE type IN ('Email', 'Number'))
+        SELECT id FROM some UNION ALL SELECT id FROM edges WHERE source IN (FROM some) AND target IN (FROM some)""",
+    "graph_adjacency": f"{_G} SELECT source AS node, target AS neighbor FROM edges UNION SELECT target, source FROM edges",
+    "node_neighbors": f"""{_G}, hub AS (SELECT source AS h FROM edges GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+        SELECT DISTINCT CASE WHEN source = h THEN target ELSE source END AS neighbor FROM edges, hub WHERE h IN (source, target)""",
+    "node_types": f"{_G} SELECT DISTINCT type FROM nodes",
+}
