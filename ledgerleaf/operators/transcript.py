@@ -32,15 +32,13 @@ def build_transcript(steps: DataFrame, runs: DataFrame, direct: str = DIRECT_NAM
         ]
 
     shown = steps.filter(~F.coalesce(F.col("type"), F.lit("")).isin(*HIDDEN_STEPS))
-    ahead = next_in_group(
-        shown.withColumn("_key", F.struct("agent")), ["run_id"], "seq", "_key", "_next"
-    )
+    ahead = next_in_group(shown, ["run_id"], "seq", "agent", "_ahead")
     after = F.when(has("compliance_notes"), F.lit("review")).when(has("risk_flags"), F.lit("risk")).otherwise(
         F.lit("Coordinator")
     )
     outcome = runs.select("run_id", after.alias("_after"))
     # The last shown step points at what comes after; one without an agent name, too.
-    following = F.coalesce(F.col("_next.agent"), F.col("_after"))
+    following = F.coalesce("_ahead", "_after")
     speaker = F.coalesce(F.nullif(F.col("agent"), F.lit("")), F.lit("Coordinator"))
     talk = ahead.join(outcome, "run_id").select(
         *bubble(0, F.col("seq"), "agent", speaker, F.coalesce("type", F.lit("")), F.col("content"), mention_name(following, direct))

@@ -106,7 +106,7 @@ def updated_statuses(spark, sf):
         "l_orderkey AS doc_id", "l_linestatus AS status", "CASE WHEN l_returnflag = 'R' THEN concat('bad ', l_partkey) END AS error",
         "CASE WHEN l_quantity > 25 THEN concat('part ', l_partkey) END AS summary",
         "l_linenumber * 10000000 + l_partkey AS at",
-    ).dropDuplicates(["doc_id", "at"])
+    ).groupBy("doc_id", "at").agg(F.max("status").alias("status"), F.max("error").alias("error"), F.max("summary").alias("summary"))
     return lc.apply_status_updates(docs, updates).select("id", "error", "summary", "updated_at")
 
 
@@ -275,7 +275,7 @@ ORACLE = {
         UNION ALL SELECT 'deleted ' || CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END, count(*) FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1""",
     "own_document": "SELECT o_orderkey AS id, o_custkey AS user_id, o_orderstatus AS status FROM orders ORDER BY o_orderkey DESC LIMIT 1",
     "updated_statuses": """WITH u AS (SELECT l_orderkey AS doc_id, l_linenumber * 10000000 + l_partkey AS moment,
-          any_value(CASE WHEN l_returnflag = 'R' THEN 'bad ' || l_partkey END) AS error, any_value(CASE WHEN l_quantity > 25 THEN 'part ' || l_partkey END) AS summary FROM lineitem GROUP BY 1, 2),
+          max(CASE WHEN l_returnflag = 'R' THEN 'bad ' || l_partkey END) AS error, max(CASE WHEN l_quantity > 25 THEN 'part ' || l_partkey END) AS summary FROM lineitem GROUP BY 1, 2),
         m AS (SELECT doc_id, arg_max(error, moment) FILTER (error IS NOT NULL) AS error, arg_max(summary, moment) FILTER (summary IS NOT NULL) AS summary, max(moment) AS moment FROM u GROUP BY 1)
         SELECT o_orderkey AS id, error, coalesce(summary, o_orderpriority) AS summary, coalesce(moment, 0) AS updated_at FROM orders LEFT JOIN m ON doc_id = o_orderkey""",
     "purged_sessions": "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' OR o_orderdate < TIMESTAMP '1997-01-01' THEN 'purged' ELSE 'kept' END AS state FROM orders",
@@ -297,8 +297,8 @@ ORACLE = {
         UNION ALL SELECT doc_id || ':e2', 'a label of more than', 'edge', doc_id || ':n1', doc_id || ':n2' FROM usable WHERE NOT one""",
     "user_graph": f"""{_G} SELECT id FROM nodes WHERE doc_id IN (SELECT doc_id FROM docs WHERE user_id = 'src3' AND lang = 'en')
         UNION ALL SELECT id FROM edges WHERE doc_id IN (SELECT doc_id FROM docs WHERE user_id = 'src3' AND lang = 'en')""",
-    "filtered_graph": f"""{_G}, some AS (SELECT id FROM nodes WHERE type IN ('Email', 'Number'))
-        SELECT id FROM some UNION ALL SELECT id FROM edges WHERE source IN (FROM some) AND target IN (FROM some)""",
+    "filtered_graph": f"""{_G}, chosen AS (SELECT id FROM nodes WHERE type IN ('Email', 'Number'))
+        SELECT id FROM chosen UNION ALL SELECT id FROM edges WHERE source IN (FROM chosen) AND target IN (FROM chosen)""",
     "graph_adjacency": f"{_G} SELECT source AS node, target AS neighbor FROM edges UNION SELECT target, source FROM edges",
     "node_neighbors": f"""{_G}, hub AS (SELECT source AS h FROM edges GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
         SELECT DISTINCT CASE WHEN source = h THEN target ELSE source END AS neighbor FROM edges, hub WHERE h IN (source, target)""",
