@@ -232,10 +232,10 @@ ORACLE = {
     "turn_details": f"""SELECT CAST({_ID} AS VARCHAR) AS conversation_id, 't' || conv_id || '-' || turn AS turn_id, 'ask' AS user_message, text AS assistant_reply,
         CAST(3 AS INTEGER) AS n_events, '0user,0expert_opinion,1rag_hit' AS events FROM conversations WHERE role = 'assistant'""",
     "keyword_hits": f"""SELECT CAST({_ID} AS VARCHAR) AS conversation_id, 't' || conv_id || '-' || turn AS turn_id, CAST(0 AS INTEGER) AS event_id, substr(text, 1, 200) AS snippet,
-        1.0 AS score, role AS type, {_AT} AS created_at FROM conversations WHERE role = 'assistant' AND turn <= 3 AND turn <> 2 AND contains(lower(text), 'tion')
+        CAST(1 AS DOUBLE) AS score, role AS type, {_AT} AS created_at FROM conversations WHERE role = 'assistant' AND turn <= 3 AND turn <> 2 AND contains(lower(text), 'tion')
         ORDER BY created_at DESC, conversation_id LIMIT 20""",
     "keyword_hits_of_admin": f"""SELECT CAST({_ID} AS VARCHAR) AS conversation_id, CASE role WHEN 'assistant' THEN 't' || conv_id || '-' || turn ELSE '' END AS turn_id, CAST(0 AS INTEGER) AS event_id,
-        substr(text, 1, 200) AS snippet, 1.0 AS score, role AS type, {_AT} AS created_at FROM conversations WHERE role <> 'system' AND contains(lower(text), 'eau')
+        substr(text, 1, 200) AS snippet, CAST(1 AS DOUBLE) AS score, role AS type, {_AT} AS created_at FROM conversations WHERE role <> 'system' AND contains(lower(text), 'eau')
         ORDER BY created_at DESC, conversation_id LIMIT 30""",
     "trace_events": """WITH e AS (
           SELECT conv_id || '-' || turn AS run_id, turn, role, text, 0 AS o, 'user' AS agent, 'user' AS type, role AS summary_in, '' AS summary_out, '' AS meta_json FROM conversations WHERE turn > 0

@@ -299,7 +299,7 @@ _WHOLE_SCORES = f"WITH {_WHOLE}, {_ASKED}, {_scores(_ONE.replace('*', '*, NULL A
 
 ORACLE = {
     "embedding_dimensions": "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, round(embedding[1], 5) AS first FROM embeddings",
-    "neighbor_cosines": """SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity, 0.0 AS with_zero
+    "neighbor_cosines": """SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity, CAST(0 AS DOUBLE) AS with_zero
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "char_hash_vectors": """
         WITH c AS (SELECT doc_id, (unicode(ch) * 31) % 32 AS d, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1, 2),

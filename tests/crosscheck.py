@@ -14,6 +14,12 @@ import duckdb
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+SAME = {
+    "VARCHAR": "string", "INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "BOOLEAN": "boolean",
+    "TIMESTAMP": "timestamp_ntz", "FLOAT": "float",
+}
+
+
 def connect(sf_dir: str):
     con = duckdb.connect()
     for name in TABLES:
@@ -40,6 +46,10 @@ def compare(spark, con, query, sql, sf_dir):
     ours, our_names = rows_of(df.columns, [tuple(r) for r in df.collect()])
     done = con.execute(sql)
     theirs, their_names = rows_of([d[0] for d in done.description], done.fetchall())
+    kinds = {n: t for n, t in df.dtypes}
+    other = {d[0]: SAME.get(str(d[1]), str(d[1])) for d in done.description}
+    if our_names == their_names and any(kinds[n] != other[n] for n in kinds):
+        return f"types { {n: (kinds[n], other[n]) for n in kinds if kinds[n] != other[n]} }"
     if our_names != their_names:
         return f"columns {our_names} / {their_names}"
     if len(ours) != len(theirs):
