@@ -22,13 +22,16 @@ MASKS: tuple[tuple[str, str], ...] = (
 
 
 def redact_email(col: Column) -> Column:
-    return F.regexp_replace(col, *MASKS[3])
+    return F.when(F.contains(col, F.lit("@")), F.regexp_replace(col, *MASKS[3])).otherwise(col)
 
 
 def _mask(col: Column) -> Column:
-    for pattern, replacement in MASKS:
-        col = F.regexp_replace(col, pattern, replacement)
-    return col
+    """All masks; texts without a long digit run or an ``@`` skip the patterns that need one."""
+    digits = col
+    for pattern, replacement in MASKS[:3]:
+        digits = F.regexp_replace(digits, pattern, replacement)
+    numbers = F.when(col.rlike(rf"{_DIGIT}{{11}}"), digits).otherwise(col)
+    return F.when(F.contains(col, F.lit("@")), F.regexp_replace(numbers, *MASKS[3])).otherwise(numbers)
 
 
 def redact_text(col: Column, whitelist: Sequence[str] = ()) -> Column:

@@ -13,18 +13,23 @@ K1, B = 1.5, 0.75
 def index_terms(df: DataFrame, text: str = "content") -> DataFrame:
     """Adds ``dl`` (words), ``terms`` (distinct, sorted) and ``tfs`` (their counts).
 
-    Counting happens inside the row: in a sorted word list the count of a word
-    is the distance between the first positions of neighbouring words.
+    Counting happens inside the row, in one pass: in the sorted word list a word
+    starts where it differs from the one before, and its count is the distance to
+    the next start.
     """
     with_words = df.withColumn("_words", F.sort_array(tokenize(F.coalesce(F.col(text), F.lit("")))))
-    with_terms = with_words.withColumn("dl", F.size("_words")).withColumn("terms", F.array_distinct("_words"))
-    first = F.transform("terms", lambda term: F.array_position("_words", term).cast("int"))
-    with_first = with_terms.withColumn("_first", first)
-    shifted = F.concat(F.slice("_first", 2, F.size("_first")), F.array(F.col("dl") + 1))
-    counts = F.zip_with("_first", shifted, lambda here, following: following - here)
-    return with_first.withColumn(
-        "tfs", F.when(F.col("dl") > 0, counts).otherwise(F.array().cast("array<int>"))
-    ).drop("_words", "_first")
+    place = F.when(F.size("_words") > 0, F.sequence(F.lit(0), F.size("_words") - 1)).otherwise(
+        F.array().cast("array<int>")
+    )
+    starts = F.filter(place, lambda i: (i == 0) | (F.get("_words", i) != F.get("_words", i - 1)))
+    with_starts = with_words.withColumn("dl", F.size("_words")).withColumn("_starts", starts)
+    following = F.concat(F.slice("_starts", 2, F.greatest(F.size("_starts"), F.lit(1))), F.array("dl"))
+    counts = F.zip_with("_starts", following, lambda here, after: after - here)
+    return (
+        with_starts.withColumn("terms", F.array_distinct("_words"))
+        .withColumn("tfs", F.when(F.col("dl") > 0, counts).otherwise(F.array().cast("array<int>")))
+        .drop("_words", "_starts")
+    )
 
 
 def bm25_index(chunks: DataFrame, text: str = "content") -> DataFrame:

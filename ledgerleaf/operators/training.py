@@ -139,15 +139,20 @@ def judge_prompt(question: Column, gold_thinking: Column, gold_output: Column, r
     )
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_scores(reply: Column) -> Column:
     """``map<key, score>`` of the known dimensions; empty when anything is unreadable."""
     strict = {"allowSingleQuotes": "false"}
     given = F.from_json(F.from_json(reply, F.lit("map<string,string>"), strict)["dimensions"], F.lit("map<string,string>"), strict)
     known = F.map_filter(given, lambda key, _v: key.isin(*[key for key, _w, _d in RUBRIC]))
     scores = F.transform_values(known, lambda _k, v: strip_number(v))
-    bad = F.exists(F.map_values(scores), lambda v: v.isNull())
     empty = F.create_map().cast("map<string,double>")
-    return F.coalesce(F.when(~bad, scores), empty)
+    unreadable = lambda s: s.isNull() | F.exists(F.map_values(s), lambda v: v.isNull())
+    return _once(scores, lambda s: F.when(~unreadable(s), s).otherwise(empty))
 
 
 def strip_number(value: Column) -> Column:
@@ -165,7 +170,7 @@ def rubric_reward(scores: Column) -> Column:
 
 def compute_reward(response: Column, judge_reply: Column) -> Column:
     """0 without both think tags, else the reward of the judge's reply."""
-    return F.when(format_gate(response), rubric_reward(parse_scores(judge_reply))).otherwise(F.lit(0.0))
+    return F.when(format_gate(response), _once(parse_scores(judge_reply), rubric_reward)).otherwise(F.lit(0.0))
 
 
 # ---------------------------------------------------------------- metric series

@@ -25,12 +25,15 @@ def ingest_documents(
     rules: Sequence[tuple[str, str]] = ENTITY_RULES,
     max_chars: int = 600,
     overlap: int = 80,
+    staging: str | None = None,
 ) -> dict[str, DataFrame]:
     """Uploads ``(id, user_id, filename, content, uploaded_at)`` -> five tables.
 
     A file that is too large, unsupported, empty or without chunks becomes an
     ``error`` row of ``documents`` and owns nothing else; the others are unaffected.
     All tables are row-local projections of the files, so nothing is shuffled.
+    With ``staging`` (a path in shared storage) the parsed files are written there
+    once, so that writing all five tables does not parse the files five times.
     """
     # The limit is cut to whole megabytes before it is applied.
     size = F.length("content").cast("bigint")
@@ -43,26 +46,34 @@ def ingest_documents(
     sized = sized.withColumn("content", F.when(F.col("_large").isNull(), F.col("content")))
     parsed = dispatch_by_extension(sized)
     pieces = F.when(F.coalesce("_large", "error").isNull(), chunks_of(F.col("text"), max_chars, overlap))
-    parsed = parsed.withColumn("_pieces", pieces)
-    no_chunks = F.when(F.size("_pieces") == 0, F.lit(NO_CHUNKS))
-    parsed = parsed.withColumn("error", F.coalesce("_large", "error", no_chunks))
+    parsed = parsed.withColumn("pieces", pieces)
+    no_chunks = F.when(F.size("pieces") == 0, F.lit(NO_CHUNKS))
+    raw = [c for c in ("raw",) if c in files.columns]
+    parsed = parsed.select(
+        "id", "user_id", "filename", "size", "uploaded_at", "text", "pieces", *raw,
+        F.coalesce("_large", "error", no_chunks).alias("error"),
+    )
+    if staging:
+        parsed.write.parquet(staging)
+        parsed = files.sparkSession.read.parquet(staging)
+    fine = F.col("error").isNull()
     documents = parsed.select(
-        "id", "user_id", "filename", "size",
-        F.when(F.col("error").isNull(), F.lit("done")).otherwise(F.lit("error")).alias("status"),
-        "error", "uploaded_at",
-        F.when(F.col("error").isNull(), make_summary(F.col("text"))).alias("summary"),
+        "id", "user_id", "filename", "size", F.when(fine, F.lit("done")).otherwise(F.lit("error")).alias("status"),
+        "error", "uploaded_at", F.when(fine, make_summary(F.col("text"))).alias("summary"),
     )
-    good = parsed.filter(F.col("error").isNull()).withColumn("doc_id", F.col("id"))
-    chunks = good.select("doc_id", "user_id", F.posexplode("_pieces").alias("idx", "piece")).select(
+    # A refused file has no pieces, so it yields no chunk; a filter on its error
+    # would be pushed below the parsing and have every file parsed twice.
+    chunks = parsed.select(F.col("id").alias("doc_id"), "user_id", F.posexplode("pieces").alias("idx", "piece")).select(
         F.concat(F.col("doc_id").cast("string"), F.lit(":c"), F.col("idx").cast("string")).alias("id"),
         "doc_id", "user_id", "idx", F.col("piece.text").alias("text"), F.col("piece.chapter").alias("chapter"),
     )
     vectors = embed(chunks, embedder).select(
         F.col("id").alias("chunk_id"), "doc_id", "user_id", "embedding", F.size("embedding").alias("dim")
     )
-    nodes, edges = extract_graph(
-        good.select("doc_id", "user_id", "filename", "text", *[c for c in ("raw",) if c in good.columns]), rules
+    accepted = parsed.select(
+        F.col("id").alias("doc_id"), "user_id", "filename", F.when(fine, F.col("text")).alias("text"), *raw
     )
+    nodes, edges = extract_graph(accepted, rules)
     return {"documents": documents, "chunks": chunks, "embeddings": vectors, "nodes": nodes, "edges": edges}
 
 

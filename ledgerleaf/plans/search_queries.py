@@ -15,9 +15,10 @@ from ledgerleaf.operators.recall import (
     recall, vector_topk,
 )
 from ledgerleaf.plans import sqlparts as q
-from ledgerleaf.plans.corpus import build_corpus, spread, stored_once
+from ledgerleaf.plans.corpus import build_corpus, stored_once
 from ledgerleaf.plans.ingest import ingest_documents
 from ledgerleaf.plans.text_queries import table
+from ledgerleaf.session import scratch_path
 
 AFTER = "2002-01-01"
 
@@ -44,7 +45,7 @@ def _whole_texts(spark, sf):
 
 def _pages(spark, sf):
     """Web pages as uploads; the language in the address stands for the user."""
-    return spread(table(spark, sf, "pages")).select(
+    return table(spark, sf, "pages").select(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"),
         F.regexp_extract("url", "://[^/]+/([a-z]+)/", 1).alias("user_id"),
         F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")).alias("filename"),
@@ -54,7 +55,7 @@ def _pages(spark, sf):
 
 def _personal(spark, sf):
     def make():
-        made = ingest_documents(_pages(spark, sf))
+        made = ingest_documents(_pages(spark, sf), staging=scratch_path(spark, "uploads"))
         return index_terms(personal_corpus(made["documents"], made["chunks"], made["embeddings"]))
 
     return stored_once(spark, f"personal:{sf}", make)

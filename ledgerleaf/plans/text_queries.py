@@ -11,6 +11,7 @@ from ledgerleaf.operators.fusion import format_passage
 from ledgerleaf.operators.lifecycle import USER_DEFAULTS, backfill_columns
 from ledgerleaf.operators.transcript import derive_titles
 from ledgerleaf.plans import sqlparts as q
+from ledgerleaf.plans.corpus import spread
 from ledgerleaf.plans.ingest import ingest_documents
 from ledgerleaf.sources.chat_json import parse_chat_lines, read_chat_json, write_training_parquet
 from ledgerleaf.sources.files import (
@@ -20,7 +21,8 @@ from ledgerleaf.session import scratch_path
 
 
 def table(spark, sf, name):
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 # Word lists for the test texts, which hold no Chinese words.

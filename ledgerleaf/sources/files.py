@@ -125,9 +125,11 @@ def dispatch_by_extension(files: DataFrame) -> DataFrame:
     ext = extension(F.col("filename"))
     supplied = F.col("extracted") if "extracted" in files.columns else F.lit(None).cast("string")
     plain = utf8_lenient(F.col("content"))
+    # Only the bytes of such files are sent to Python.
+    legacy = extract_legacy_doc_text(F.when(F.col("ext").isin(*WORD_FILES), F.col("content")))
     text = (
         F.when(F.col("ext").isin(*HTML), strip_html(plain))
-        .when(F.col("ext").isin(*WORD_FILES), F.coalesce(supplied, extract_legacy_doc_text(F.col("content"))))
+        .when(F.col("ext").isin(*WORD_FILES), F.coalesce(supplied, legacy))
         .when(F.col("ext") == PDF, supplied)
         .when(F.col("ext").isin(*SUPPORTED), plain)
     )
