@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerleaf.functions.text import fixed_point
-from ledgerleaf.operators.recall import _score_block, in_blocks
+from ledgerleaf.operators.recall import MAX_QUERIES, _score_block, in_blocks
+from ledgerleaf.session import cut_lineage
 
 RECALL_FACTOR = 3  # fixed value: each route recalls this many times top_k
 METADATA = ("title", "agency", "doc_type", "domain", "version", "doc_id", "chapter", "content", "effective_date")
@@ -87,18 +88,30 @@ def rerank(candidates: DataFrame, queries: DataFrame, reranker: Reranker, top_k:
     return texted.groupBy("query_id").applyInPandas(run, schema).filter(F.col("rank") <= top_k)
 
 
-def _with_metadata(ranked: DataFrame, public: DataFrame, personal: DataFrame | None) -> DataFrame:
-    """Passage columns for the ranked chunks.
+MAX_LOCAL = 50_000  # ranked rows that may pass through the driver
 
-    The ranked side has at most ``MAX_QUERIES * top_k`` rows per block, which is
-    why it may be broadcast; the corpus side is read once, without a shuffle.
+
+def _settled(ranked: DataFrame, top_k: int) -> tuple[DataFrame, bool]:
+    """The ranking computed once, although each corpus looks its chunks up in it.
+
+    A block ranks at most ``MAX_QUERIES * top_k`` rows. Up to ``MAX_LOCAL`` they
+    become a local table that is safe to broadcast, beyond it they are written out.
     """
+    if MAX_QUERIES * top_k <= MAX_LOCAL:
+        return ranked.sparkSession.createDataFrame(ranked.collect(), ranked.schema), True
+    return cut_lineage(ranked), False
+
+
+def _with_metadata(ranked: DataFrame, top_k: int, public: DataFrame, personal: DataFrame | None) -> DataFrame:
+    """Passage columns for the ranked chunks; each corpus is read once, without a shuffle."""
+    ranked, small = _settled(ranked, top_k)
     frames = [("public", public)] + ([("personal", personal)] if personal is not None else [])
     out = None
     for name, corpus in frames:
         have = [c if c in corpus.columns else F.lit("").alias(c) for c in METADATA]
         side = corpus.select("chunk_id", *have)
-        hits = side.join(F.broadcast(ranked.filter(F.col("corpus") == name)), "chunk_id")
+        own = ranked.filter(F.col("corpus") == name)
+        hits = side.join(F.broadcast(own) if small else own, "chunk_id")
         out = hits if out is None else out.unionByName(hits)
     text = {c: F.coalesce(F.col(c), F.lit("")) for c in METADATA}
     out = out.withColumns(text)
@@ -128,13 +141,10 @@ def hybrid_search(
     def block(part: DataFrame) -> DataFrame:
         found = _score_block(part, public, personal, top_k * RECALL_FACTOR, True, True, keep_undated)
         fused = fuse(_pivot_routes(found), vec_weight)
-        ranked = _ranked(fused, top_k * RECALL_FACTOR if reranker else top_k).select(
-            "query_id", "corpus", "chunk_id", "score", "rank"
-        )
-        if reranker:
-            passages = _with_metadata(ranked, public, personal)
-            return rerank(passages, part, reranker, top_k)
-        return _with_metadata(ranked, public, personal)
+        kept = top_k * RECALL_FACTOR if reranker else top_k
+        ranked = _ranked(fused, kept).select("query_id", "corpus", "chunk_id", "score", "rank")
+        passages = _with_metadata(ranked, kept, public, personal)
+        return rerank(passages, part, reranker, top_k) if reranker else passages
 
     return in_blocks(queries, block)
 
@@ -152,7 +162,7 @@ def hybrid_search_full(
         found = _score_block(
             part, public, None, top_k, True, True, keep_undated, full=True, vec_weight=vec_weight
         )
-        return _with_metadata(found.drop("route"), public, None)
+        return _with_metadata(found.drop("route"), top_k, public, None)
 
     return in_blocks(queries, block)
 

@@ -256,7 +256,7 @@ def extract_graph(
     node = node.select(
         "n.id", "doc_id", *keep, "n.label", "n.type", F.col("doc_id").alias("source_doc_id"), empty.alias("properties")
     )
-    edge = by_model.select("doc_id", *keep, F.posexplode("edges").alias("no", "e")).select(
+    edge = by_model.select("doc_id", *keep, F.posexplode(F.slice("edges", 1, MAX_EDGES)).alias("no", "e")).select(
         F.concat(F.col("doc_id").cast("string"), F.lit(":e"), F.col("no").cast("string")).alias("id"), "doc_id", *keep,
         "e.source", "e.target", "e.label", F.col("doc_id").alias("source_doc_id"),
     )

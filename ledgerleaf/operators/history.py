@@ -26,18 +26,25 @@ class AccessError(PermissionError):
 
 
 # ---------------------------------------------------------------- records and messages
+def _messages_of(data: str = "data") -> Column:
+    parsed = F.from_json(data, CONVERSATION_DATA)["messages"]
+    return F.coalesce(parsed, F.array().cast(CONVERSATION_DATA["messages"].dataType))
+
+
 def parse_records(conversations: DataFrame) -> DataFrame:
     """Adds ``messages``; unreadable JSON gives an empty list."""
-    parsed = F.from_json("data", CONVERSATION_DATA)["messages"]
-    empty = F.array().cast(CONVERSATION_DATA["messages"].dataType)
-    return conversations.withColumn("messages", F.coalesce(parsed, empty))
+    return conversations.withColumn("messages", _messages_of())
 
 
 def explode_messages(conversations: DataFrame) -> DataFrame:
-    """One row per message, with the record's ``conv_id``, ``user_id`` and ``scene``."""
-    rows = parse_records(conversations).select(
+    """One row per message, with the record's ``conv_id``, ``user_id`` and ``scene``.
+
+    The expression itself is exploded, not a column holding it: for a column the
+    optimizer adds a non-empty filter, and the JSON would be parsed twice.
+    """
+    rows = conversations.select(
         F.col("id").alias("conv_id"), "user_id", F.col("scene").alias("conv_scene"),
-        F.posexplode("messages").alias("idx", "m"),
+        F.posexplode(_messages_of()).alias("idx", "m"),
     )
     return rows.select("conv_id", "user_id", "conv_scene", "idx", "m.*")
 

@@ -188,10 +188,9 @@ def parse_metric_lines(lines: DataFrame) -> DataFrame:
     key = F.coalesce(*[F.when(F.map_contains_key("pairs", F.lit(k)), F.lit(k)) for k in STEP_KEYS])
     rows = rows.withColumn("_key", key).withColumn("step", whole_number(F.col("pairs")[F.col("_key")]))
     rows = rows.filter(F.col("step").isNotNull())
-    rows = rows.select("file", "line_no", "step", "_key", F.explode("typed").alias("metric", "raw"))
-    kind = F.schema_of_variant("raw")
-    numeric = kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
-    rows = rows.filter((F.col("metric") != F.col("_key")) & numeric)
+    numeric = "^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"
+    numbers = F.map_filter("typed", lambda k, v: (k != F.col("_key")) & F.schema_of_variant(v).rlike(numeric))
+    rows = rows.select("file", "line_no", "step", F.explode(numbers).alias("metric", "raw"))
     return rows.select("file", "line_no", "metric", "step", F.try_variant_get("raw", "$", "double").alias("value"))
 
 

@@ -61,9 +61,11 @@ def ingest_documents(
         "id", "user_id", "filename", "size", F.when(fine, F.lit("done")).otherwise(F.lit("error")).alias("status"),
         "error", "uploaded_at", F.when(fine, make_summary(F.col("text"))).alias("summary"),
     )
-    # A refused file has no pieces, so it yields no chunk; a filter on its error
-    # would be pushed below the parsing and have every file parsed twice.
-    chunks = parsed.select(F.col("id").alias("doc_id"), "user_id", F.posexplode("pieces").alias("idx", "piece")).select(
+    # A refused file has no pieces, so it yields no chunk. A filter (also the one the
+    # optimizer infers for a bare exploded column) would be pushed below the parsing
+    # and have every file parsed twice.
+    pieces = F.coalesce("pieces", F.array().cast(parsed.schema["pieces"].dataType))
+    chunks = parsed.select(F.col("id").alias("doc_id"), "user_id", F.posexplode(pieces).alias("idx", "piece")).select(
         F.concat(F.col("doc_id").cast("string"), F.lit(":c"), F.col("idx").cast("string")).alias("id"),
         "doc_id", "user_id", "idx", F.col("piece.text").alias("text"), F.col("piece.chapter").alias("chapter"),
     )
