@@ -394,7 +394,7 @@ def _score_block(
     spark = block.sparkSession
     queries, filters, users = _collect(block)
     parts: list[tuple[str, DataFrame, list[_Pair]]] = []
-    if public is not None:
+    if public is not None and queries:
         pairs = [_Pair(q.query_id, q.public_scope, q.vector, q.words) for q in queries]
         parts.append(("public", _public_scopes(public, filters, keep_undated), pairs))
     if personal is not None and users:
