@@ -243,9 +243,11 @@ def extract_graph(
     if "raw" not in docs.columns:
         extracted = extract_entities(docs, rules)
         return graph_nodes(extracted), graph_edges(extracted)
-    checked = validate_model_graph(docs)
-    by_model = checked.filter(F.col("nodes").isNotNull())
-    by_rules = extract_entities(checked.filter(F.col("nodes").isNull()).drop("nodes", "edges"), rules)
+    # No filters here: each would have the model's answer checked once more. A row
+    # whose array is null yields nothing, and rules are matched only where text is left.
+    by_model = validate_model_graph(docs)
+    unanswered = by_model.withColumn("text", F.when(F.col("nodes").isNull(), F.col("text"))).drop("nodes", "edges")
+    by_rules = extract_entities(unanswered, rules)
     keep = [c for c in ("user_id",) if c in docs.columns]
     empty = F.create_map().cast("map<string,string>")
     root = F.struct(

@@ -152,8 +152,8 @@ def streamed_documents(spark, sf):
     for version in (1, 2):
         docs = _stream_of(spark, sf, "documents").selectExpr("doc_id", "text", f"{version} AS version")
         state = scratch_path(spark, "ingest-state")
-        jobs.ingest_stream(docs, build_corpus, out, state, buckets=8).awaitTermination()
-    rows = spark.read.parquet(out)
+        jobs.ingest_stream(docs, build_corpus, out, state).awaitTermination()
+    rows = jobs.current_rows(spark.read.parquet(out))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("version").alias("version"), F.min("version").alias("oldest"))
 
 

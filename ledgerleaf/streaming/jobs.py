@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -69,7 +70,11 @@ def fold_chat_stream(lines: DataFrame, watermark: str | None = None) -> DataFram
 
 # ---------------------------------------------------------------- tables in buckets
 def write_buckets(df: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
-    """Write ``df`` split by a hash of ``key``; only the buckets it holds are replaced."""
+    """Write ``df`` split by a hash of ``key``; only the buckets it holds are replaced.
+
+    Choose ``buckets`` so that one holds about a gigabyte: a batch rewrites the
+    buckets it touches.
+    """
     bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
     (
         bucketed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -106,14 +111,39 @@ def upsert_table(batch: DataFrame, path: str, key: str = "doc_id", buckets: int
     write_buckets(cut_lineage(upsert_by_doc(old, batch, key)), path, key, buckets)
 
 
+# ---------------------------------------------------------------- tables in versions
+def append_version(rows: DataFrame, path: str, version: int) -> None:
+    """Add rows as one version of their documents; nothing stored before is rewritten."""
+    rows.write.mode("overwrite").parquet(f"{path}/_version={version}")
+
+
+def current_rows(table: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The newest version of each document of a table written by ``append_version``.
+
+    Only keys and versions are aggregated; what is joined back to the table is the
+    list of replaced versions, which is short between compactions.
+    """
+    versions = table.groupBy(key, "_version").agg(F.lit(1).alias("_one")).drop("_one")
+    newest = versions.groupBy(key).agg(F.max("_version").alias("_newest"), F.count(F.lit(1)).alias("_count"))
+    replaced = newest.filter(F.col("_count") > 1).join(versions, key).filter(F.col("_version") < F.col("_newest"))
+    return table.join(replaced.select(key, "_version"), [key, "_version"], "left_anti")
+
+
+def compact(spark: SparkSession, path: str, target: str, key: str = "doc_id") -> None:
+    """Write the current rows of a versioned table to a new place, as one version."""
+    newest = current_rows(spark.read.parquet(path), key).drop("_version")
+    append_version(newest, target, time.time_ns() // 1_000_000)
+
+
 def ingest_stream(
-    uploads: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, buckets: int = BUCKETS
+    uploads: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
 ) -> StreamingQuery:
-    """Ingest arriving documents; each replaces its earlier version.
+    """Ingest arriving documents; each replaces its earlier version (see ``current_rows``).
 
     ``transform`` turns a batch of documents into the rows to store (with
     ``doc_id``), for example ``build_corpus``. A document that arrives twice in one
-    batch counts with its latest ``arrived_at``.
+    batch counts with its latest ``arrived_at``. The cost of a batch is that of its
+    own documents. A replayed batch becomes the newest version of the same rows.
     """
 
     def store(batch: DataFrame, _number: int) -> None:
@@ -121,7 +151,7 @@ def ingest_stream(
         if "arrived_at" in batch.columns:
             newest = batch.groupBy("doc_id").agg(F.max("arrived_at").alias("arrived_at"))
             latest = batch.join(newest, ["doc_id", "arrived_at"], "left_semi")
-        upsert_table(cut_lineage(transform(latest)), path, "doc_id", buckets)
+        append_version(transform(latest), path, time.time_ns() // 1_000_000)
 
     return (
         uploads.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -165,3 +165,15 @@ def test_upserts_are_idempotent(spark):
         jobs.upsert_table(batch([("a", 0, "new"), ("c", 0, "add")]), path, buckets=4)
     got = sorted((r.doc_id, r.idx, r.content) for r in spark.read.parquet(path).collect())
     assert got == [("a", 0, "new"), ("b", 0, "keep"), ("c", 0, "add")]
+
+
+def test_versions_and_compaction(spark):
+    path, target = scratch_path(spark, "versions"), scratch_path(spark, "compact")
+    batch = lambda rows: spark.createDataFrame(rows, "doc_id string, idx int, content string")
+    jobs.append_version(batch([("a", 0, "old"), ("a", 1, "old"), ("b", 0, "keep")]), path, 1)
+    jobs.append_version(batch([("a", 0, "new")]), path, 2)
+    want = [("a", 0, "new"), ("b", 0, "keep")]
+    read = lambda at: sorted((r.doc_id, r.idx, r.content) for r in jobs.current_rows(spark.read.parquet(at)).collect())
+    assert read(path) == want
+    jobs.compact(spark, path, target)
+    assert read(target) == want
