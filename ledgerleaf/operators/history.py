@@ -303,13 +303,13 @@ def build_trace_events(results: DataFrame) -> DataFrame:
     return rows.select("run_id", "seq", "e.*", "created_at")
 
 
-def flatten_event_table(events: DataFrame, max_depth: int = 10_000, salt: int = 16) -> DataFrame:
+def flatten_event_table(events: DataFrame, max_depth: int = 10_000, salt: int = 4) -> DataFrame:
     """``(run_id, id, parent_id, seq)`` -> adds ``root_id``, ``depth`` and ``path``.
 
     An event without a known parent is a root. ``path`` lists the ``seq`` of all
     ancestors, so sorting by it is depth-first order. One join per level, between
     the frontier and the events still without a place; a parent with very many
-    children is spread by a salt on its children. Events on a cycle never get a
+    children is spread by a salt on its children, and further by adaptive execution. Events on a cycle never get a
     place and are left out.
     """
     slot = F.pmod(F.xxhash64("id"), F.lit(salt))

@@ -181,15 +181,21 @@ def parse_metric_lines(lines: DataFrame) -> DataFrame:
     that are no numbers (true and false are none).
     """
     text = F.trim("line")
-    # Values as raw JSON, so that 1 and "1" and true stay different.
-    pairs = F.from_json(F.when(text.startswith("{"), text), F.lit("map<string,string>"), {"allowSingleQuotes": "false"})
-    typed = F.from_json(text, F.lit("map<string,variant>"), {"allowSingleQuotes": "false"})
-    rows = lines.select("file", "line_no", pairs.alias("pairs"), typed.alias("typed")).filter(F.col("pairs").isNotNull())
-    key = F.coalesce(*[F.when(F.map_contains_key("pairs", F.lit(k)), F.lit(k)) for k in STEP_KEYS])
-    rows = rows.withColumn("_key", key).withColumn("step", whole_number(F.col("pairs")[F.col("_key")]))
-    rows = rows.filter(F.col("step").isNotNull())
+    # Variant values, so that 1 and "1" and true stay different after one parse.
+    typed = F.from_json(
+        F.when(text.startswith("{"), text), F.lit("map<string,variant>"), {"allowSingleQuotes": "false"}
+    )
+    rows = lines.select("file", "line_no", typed.alias("typed"))
+    key = F.coalesce(*[F.when(F.map_contains_key("typed", F.lit(k)), F.lit(k)) for k in STEP_KEYS])
+    rows = rows.withColumn("_key", key)
+    given = F.col("typed")[F.col("_key")]
+    digits = F.try_variant_get(given, "$", "string")
+    # A number is cut to its integer part, a text must be an integer.
+    fraction_as_text = (F.schema_of_variant(given) == "STRING") & ~digits.rlike(r"^\s*[+-]?\d+\s*$")
+    rows = rows.withColumn("step", F.when(~fraction_as_text, whole_number(digits)))
+    # The map is emptied, not the row filtered: a filter would parse the line again.
     numeric = "^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"
-    numbers = F.map_filter("typed", lambda k, v: (k != F.col("_key")) & F.schema_of_variant(v).rlike(numeric))
+    numbers = F.map_filter("typed", lambda k, v: F.col("step").isNotNull() & (k != F.col("_key")) & F.schema_of_variant(v).rlike(numeric))
     rows = rows.select("file", "line_no", "step", F.explode(numbers).alias("metric", "raw"))
     return rows.select("file", "line_no", "metric", "step", F.try_variant_get("raw", "$", "double").alias("value"))
 

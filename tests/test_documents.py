@@ -108,9 +108,9 @@ def test_metric_logs(spark, tmp_path):
     (tmp_path / "wandb-x").mkdir()
     (tmp_path / "wandb-x" / "m.jsonl").write_text('{"step": 1, "loss": 99}\n')
     (tmp_path / "a" / "1.jsonl").write_text('{"step": 1, "loss": 0.5, "on": true}\nbad\n[1]\n{"loss": 3}\n{"step": 1, "loss": 0.25}\n')
-    (tmp_path / "b.jsonl").write_text('{"global_step": "2", "loss": 1, "name": "x"}\n')
+    (tmp_path / "b.jsonl").write_text('{"global_step": "2", "loss": 1, "name": "x"}\n{"step": "2.5", "loss": 7}\n{"step": 3.9, "loss": 8}\n')
     got = sorted((r.metric, r.step, r.value) for r in read_metric_logs(spark, str(tmp_path)).collect())
-    assert got == [("loss", 1, 0.25), ("loss", 2, 1.0)]
+    assert got == [("loss", 1, 0.25), ("loss", 2, 1.0), ("loss", 3, 8.0)]
 
 
 def test_model_output(spark):
