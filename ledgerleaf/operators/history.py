@@ -346,8 +346,42 @@ def flatten_event_table(events: DataFrame, max_depth: int = 10_000, salt: int =
 
 
 # ---------------------------------------------------------------- writing runs and turns
-def redact_runs(runs: DataFrame, columns: Sequence[str] = ("reply", "trace")) -> DataFrame:
-    return runs.withColumns({c: redact_text(F.col(c)) for c in columns if c in runs.columns})
+def _redact_events(events: Column, levels: int) -> Column:
+    """The texts of events and of all events below them are masked, their ids are not."""
+
+    def masked(e: Column) -> Column:
+        fields = [
+            (redact_text(e[name]) if name in ("summary_in", "summary_out", "meta_json") else e[name]).alias(name)
+            for name in EVENT_FIELDS
+        ]
+        below = [] if levels == 1 else [_redact_events(e["children"], levels - 1).alias("children")]
+        return F.struct(*fields, *below)
+
+    return F.transform(events, masked)
+
+
+def redact_trace(trace: Column, record_events: bool = True) -> Column:
+    """A trace as JSON text with its result and event texts masked; other text is masked whole.
+
+    Without ``record_events`` only the head of the trace is kept.
+    """
+    parsed = F.from_json(trace, TRACE, {"allowSingleQuotes": "false"})
+
+    def rebuilt(t: Column) -> Column:
+        none = F.array().cast(TRACE["events"].dataType)
+        events = F.coalesce(_redact_events(t["events"], EVENT_DEPTH), none) if record_events else none
+        head = [t[f.name].alias(f.name) for f in TRACE.fields if f.name not in ("final_result", "events")]
+        return F.struct(*head, redact_text(t["final_result"]).alias("final_result"), events.alias("events"))
+
+    known = F.transform(F.array(parsed), lambda t: F.when(t["run_id"].isNotNull(), F.to_json(rebuilt(t))))
+    return F.coalesce(F.get(known, F.lit(0)), redact_text(trace))
+
+
+def redact_runs(runs: DataFrame, record_events: bool = True) -> DataFrame:
+    """Runs ``(reply, trace)`` as they may be stored."""
+    return runs.withColumns(
+        {"reply": redact_text(F.col("reply")), "trace": redact_trace(F.col("trace"), record_events)}
+    )
 
 
 def attach_traces(messages: DataFrame, runs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ledgerleaf.plans import sqlparts as q
 from ledgerleaf.plans.corpus import build_corpus
 from ledgerleaf.plans.text_queries import table
 from ledgerleaf.session import scratch_path
+from ledgerleaf.sources.metric_logs import read_metric_logs
 from ledgerleaf.streaming import jobs
 
 HUMAN = (*tr.HUMAN_ROLES, "user")  # the test table spells the human's role "user"
@@ -114,6 +115,13 @@ def metric_series(spark, sf):
     return tr.metric_series(tr.parse_metric_lines(_log_lines(spark, sf)))
 
 
+def metric_log_files(spark, sf):
+    """The log lines in order of their number, written to files and read back as a log folder."""
+    folder = scratch_path(spark, "logs")
+    _log_lines(spark, sf).orderBy("line_no").select("line").write.text(folder)
+    return read_metric_logs(spark, folder, names="*.txt")
+
+
 def metric_charts(spark, sf):
     return tr.resolve_metric_groups(metric_series(spark, sf), tr.RL_METRICS)
 
@@ -177,6 +185,7 @@ QUERIES = {
     "sft_messages": sft_messages, "sft_records": sft_records, "dapo_records": dapo_records, "dapo_extra_info": dapo_extra_info,
     "prompt_messages": prompt_messages, "opd_records": opd_records, "format_gates": format_gates, "judge_prompts": judge_prompts,
     "parsed_scores": parsed_scores, "rewards": rewards, "metric_points": metric_points, "metric_series": metric_series,
+    "metric_log_files": metric_log_files,
     "metric_charts": metric_charts, "folded_chat_runs": folded_chat_runs, "streamed_chat_messages": streamed_chat_messages,
     "streamed_documents": streamed_documents, "streamed_runs": streamed_runs,
 }
@@ -216,6 +225,7 @@ ORACLE = {
     "rewards": f"SELECT event_id, round({_REWARD}, 6) AS reward FROM events",
     "metric_points": f"WITH {_POINTS} SELECT line_no, metric, step, value FROM points",
     "metric_series": f"WITH {_POINTS} SELECT metric, step, arg_max(value, file || lpad(CAST(line_no AS VARCHAR), 12, '0')) AS value FROM points GROUP BY 1, 2",
+    "metric_log_files": f"WITH {_POINTS} SELECT metric, step, arg_max(value, line_no) AS value FROM points GROUP BY 1, 2",
     "metric_charts": """SELECT chart, CASE WHEN event_type IS NULL OR NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = c.event_type) THEN NULL ELSE metric END AS metric
         FROM (VALUES ('reward_mean', 'critic/score/mean', 'view'), ('actor_loss', 'actor/loss', 'click'), ('kl', NULL, NULL), ('response_length', NULL, NULL)) c(chart, metric, event_type)""",
     "folded_chat_runs": """WITH e AS (SELECT * FROM conversations WHERE turn NOT IN (4, 5))

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerleaf.operators.training import metric_series, parse_metric_lines
 
 
-def read_metric_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """``(file, line_no, line)`` of all ``*.jsonl`` below the folder.
+def read_metric_lines(spark: SparkSession, folder: str, names: str = "*.jsonl") -> DataFrame:
+    """``(file, line_no, line)`` of all files with such names below the folder.
 
     ``file`` (path parts) and ``line_no`` (split start, position) sort in reading
     order, so files of any size are split over tasks without losing their order.
     """
-    lines = spark.read.text(folder, pathGlobFilter="*.jsonl", recursiveFileLookup=True).select(
+    lines = spark.read.text(folder, pathGlobFilter=names, recursiveFileLookup=True).select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("path"),
         F.struct(
@@ -24,6 +24,6 @@ def read_metric_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.filter(~skipped).select(F.split("path", "/").alias("file"), "line_no", "line")
 
 
-def read_metric_logs(spark: SparkSession, folder: str) -> DataFrame:
+def read_metric_logs(spark: SparkSession, folder: str, names: str = "*.jsonl") -> DataFrame:
     """``(metric, step, value)`` of a log folder."""
-    return metric_series(parse_metric_lines(read_metric_lines(spark, folder)))
+    return metric_series(parse_metric_lines(read_metric_lines(spark, folder, names)))

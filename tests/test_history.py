@@ -138,3 +138,16 @@ def test_event_tree_skips_cycles_and_roots_orphans(spark):
 def test_participants(spark):
     df = spark.createDataFrame([([("B",), ("A",), ("B",), ("",)],), ([],)], "s array<struct<agent:string>>")
     assert [r.p for r in df.select(participants(F.col("s")).alias("p")).collect()] == [["B", "A"], ["Assistant"]]
+
+
+def test_stored_traces_are_masked_but_keep_their_ids(spark):
+    trace = dict(TRACE, run_id="e13800138000f", final_result={"reply": "13800138000"})
+    trace["events"] = [{"type": "user", "summary_in": "13800138000", "children": [{"type": "rag_hit", "summary_out": "a@b.com"}]}]
+    rows = [("r", json.dumps(trace)), ("r", "text 13800138000")]
+    df = spark.createDataFrame(rows, "reply string, trace string")
+    kept, plain = [r.trace for r in h.redact_runs(df).collect()]
+    kept = json.loads(kept)
+    assert kept["run_id"] == "e13800138000f" and json.loads(kept["final_result"])["reply"] == "138****8000"
+    assert kept["events"][0]["summary_in"] == "138****8000" and kept["events"][0]["children"][0]["summary_out"] == "***@b.com"
+    assert plain == "text 138****8000"
+    assert json.loads(h.redact_runs(df, record_events=False).first().trace)["events"] == []
