@@ -21,8 +21,9 @@ def parse_stream_events(lines: DataFrame) -> DataFrame:
     """``(run_id, seq, line, at)`` -> event columns; lines that are no event are skipped."""
     body = F.when(F.col("line").startswith("data: "), F.substring("line", 7, 1_000_000_000))
     event = F.from_json(body, STREAM_EVENT, {"allowSingleQuotes": "false"})
-    rows = lines.withColumn("e", event).filter(F.col("e.type").isNotNull())
-    return rows.select("run_id", "seq", "at", "e.*")
+    # Exploding the readable events parses each line once; a filter would parse it again.
+    readable = F.filter(F.array(event), lambda e: e["type"].isNotNull())
+    return lines.select("run_id", "seq", "at", F.inline(readable))
 
 
 def chat_messages(lines: DataFrame) -> DataFrame:
@@ -161,12 +162,11 @@ def ingest_stream(
 # ---------------------------------------------------------------- trace recording
 def split_failed(payloads: DataFrame, schema: T.StructType, column: str = "payload") -> tuple[DataFrame, DataFrame]:
     """``(parsed rows, failed rows)``: a payload that cannot be read is set aside, never an exception."""
-    parsed = payloads.withColumn(
-        "_row", F.from_json(column, schema, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
-    )
-    required = F.col(f"_row.{schema.fields[0].name}").isNotNull()
-    good = parsed.filter(required).select(*[c for c in payloads.columns if c != column], "_row.*")
-    bad = parsed.filter(~F.coalesce(required, F.lit(False))).select(
+    parsed = F.from_json(column, schema, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
+    required = schema.fields[0].name
+    readable = F.filter(F.array(parsed), lambda row: row[required].isNotNull())
+    good = payloads.select(*[c for c in payloads.columns if c != column], F.inline(readable))
+    bad = payloads.filter(F.size(readable) == 0).select(
         F.lit("payload is not readable").alias("error"), F.col(column).alias("payload"),
         F.unix_millis(F.current_timestamp()).alias("at"),
     )
