@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerleaf.llm import mixing
+from ledgerleaf.llm import mixing, quality
 from ledgerleaf.llm.common import stored
 
 
@@ -74,10 +74,74 @@ SELECT doc_id, size, d.source_size, d.target,
 FROM drawn d LEFT JOIN closing c ON d.source IS NOT DISTINCT FROM c.source
 """
 
+def op2_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and verdict of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality_report(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def _op2_sql() -> str:
+    """The same model in SQL: one pair of tables for each round."""
+    n = len(quality.RULES)
+    cases = ", ".join(
+        f"CASE WHEN {bad} THEN '-' WHEN {good} THEN '+' ELSE '0' END" for bad, good in quality.RULES.values()
+    )
+    w, g, b = quality.PRIOR_WEIGHT, quality.BAD_VOTE_ON_GOOD, quality.BAD_VOTE_ON_BAD
+    rounds = ""
+    score = """post{k} AS MATERIALIZED (
+        SELECT pattern, any_value(n) AS n, 1 / (1 + exp(sum(ln(bad)) + ln(1 - any_value(share)) - sum(ln(good)) - ln(any_value(share)))) AS q
+        FROM cast_votes JOIN rates{k} USING (j, vote), share{k} GROUP BY pattern),
+    """
+    for k in range(quality.ROUNDS):
+        rounds += score.format(k=k) + f"""share{k + 1} AS MATERIALIZED (
+        SELECT (sum(n * q) + {w * quality.PRIOR_GOOD} * sum(n)) / ({1 + w} * sum(n)) AS share, sum(n) AS total, sum(n * q) AS good_total FROM post{k}),
+    rates{k + 1} AS MATERIALIZED (
+        SELECT j, vote,
+            (coalesce(sum(p.n * q), 0) + {w} * any_value(total) * any_value(prior_good)) / (any_value(good_total) + {w} * any_value(total)) AS good,
+            (coalesce(sum(p.n * (1 - q)), 0) + {w} * any_value(total) * any_value(prior_bad)) / (any_value(total - good_total) + {w} * any_value(total)) AS bad
+        FROM all_votes LEFT JOIN cast_votes c USING (j, vote) LEFT JOIN post{k} p USING (pattern), share{k + 1} GROUP BY j, vote),
+    """
+    rounds += score.format(k=quality.ROUNDS)
+    return rf"""
+WITH words AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT r, i, (w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM grams) WHERE c > 1),
+covered AS (SELECT r, count(DISTINCT i + d)::BIGINT AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2]) AS d) GROUP BY r),
+lined AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM words),
+feat AS MATERIALIZED (
+    SELECT r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+        len(regexp_extract_all(t, '{quality.SYMBOLS}'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words, len(l)::BIGINT AS n_lines, len(regexp_extract_all(t, '[\p{{L}}\p{{N}}]')) AS n_letters,
+        len(regexp_extract_all(t, '\p{{Lu}}')) AS n_capitals, len(regexp_extract_all(t, '!')) AS n_exclaims
+    FROM words JOIN lined USING (r) LEFT JOIN covered USING (r)),
+voted AS MATERIALIZED (SELECT *, concat({cases}) AS pattern FROM feat),
+patterns AS MATERIALIZED (SELECT pattern, count(*)::DOUBLE AS n FROM voted GROUP BY pattern),
+rule_numbers AS (SELECT unnest(range(1, {n + 1})) AS j),
+cast_votes AS MATERIALIZED (SELECT pattern, n, j, substr(pattern, j::INT, 1) AS vote FROM patterns, rule_numbers),
+all_votes AS MATERIALIZED (
+    SELECT j, vote, CASE vote WHEN '-' THEN {g}::DOUBLE ELSE {(1 - g) / 2}::DOUBLE END AS prior_good,
+        CASE vote WHEN '-' THEN {b}::DOUBLE ELSE {(1 - b) / 2}::DOUBLE END AS prior_bad
+    FROM rule_numbers, (SELECT unnest(['-', '0', '+']) AS vote)),
+share0 AS (SELECT {quality.PRIOR_GOOD}::DOUBLE AS share),
+rates0 AS (SELECT j, vote, prior_good AS good, prior_bad AS bad FROM all_votes),
+{rounds}
+verdicts AS (SELECT pattern, q FROM post{quality.ROUNDS})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+    NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) AND q >= {quality.THRESHOLD} AS kept
+FROM voted JOIN verdicts USING (pattern)
+"""
+
+
 QUERIES = {
+    "op2_weak_rules": op2_weak_rules,
     "op1_pareto_mix": op1_pareto_mix,
 }
 
 ORACLE = {
+    "op2_weak_rules": _op2_sql(),
     "op1_pareto_mix": OP1_SQL,
 }
