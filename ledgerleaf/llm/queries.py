@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerleaf.llm import mixing, quality
+from ledgerleaf.llm import lines, mixing, quality
 from ledgerleaf.llm.common import stored
 
 
@@ -136,12 +136,44 @@ FROM voted JOIN verdicts USING (pattern)
 """
 
 
+def op4_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after cross-site boilerplate removal, with digest and length of its text."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return lines.drop_boilerplate(docs).select(
+        "doc_id", "lines_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256")
+    )
+
+
+OP4_SQL = r"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, string_split(text, chr(10)) AS l FROM documents),
+lines AS MATERIALIZED (
+    SELECT r, doc_id, source, place, trim(l[place], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
+    FROM (SELECT r, doc_id, source, l, unnest(range(1, len(l) + 1)) AS place FROM docs)),
+long_lines AS (SELECT * FROM lines WHERE len(regexp_extract_all(line, '[^ 	-
+]+')) >= 4),
+boilerplate AS (
+    SELECT line, min((doc_id, place)) AS first FROM long_lines GROUP BY line
+    HAVING count(DISTINCT source) + max((source IS NULL)::INT) >= 10),
+gone AS (SELECT r, place FROM long_lines JOIN boilerplate USING (line) WHERE (doc_id, place) <> first),
+counts AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+kept AS (
+    SELECT d.r, string_agg(d.l[place], chr(10) ORDER BY place) AS text
+    FROM (SELECT r, l, unnest(range(1, len(l) + 1)) AS place FROM docs) d ANTI JOIN gone USING (r, place) GROUP BY d.r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS lines_removed,
+    CASE WHEN d.l IS NOT NULL THEN length(coalesce(text, ''))::BIGINT END AS n_chars,
+    CASE WHEN d.l IS NOT NULL THEN sha256(coalesce(text, '')) END AS text_sha256
+FROM docs d LEFT JOIN kept USING (r) LEFT JOIN counts USING (r)
+"""
+
+
 QUERIES = {
+    "op4_site_spread": op4_site_spread,
     "op2_weak_rules": op2_weak_rules,
     "op1_pareto_mix": op1_pareto_mix,
 }
 
 ORACLE = {
+    "op4_site_spread": OP4_SQL,
     "op2_weak_rules": _op2_sql(),
     "op1_pareto_mix": OP1_SQL,
 }
