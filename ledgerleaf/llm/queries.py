@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerleaf.llm import lines, mixing, quality
-from ledgerleaf.llm.common import stored
+from ledgerleaf.llm import bpe, lines, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -166,7 +165,20 @@ FROM docs d LEFT JOIN kept USING (r) LEFT JOIN counts USING (r)
 """
 
 
+def tokenizer_path() -> str:
+    """The installed byte-level tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text of every document."""
+    return bpe.digest(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 QUERIES = {
+    "op9_word_table_bpe": op9_word_table_bpe,
     "op4_site_spread": op4_site_spread,
     "op2_weak_rules": op2_weak_rules,
     "op1_pareto_mix": op1_pareto_mix,
