@@ -16,6 +16,7 @@ import functools
 import hashlib
 import json
 import re
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
@@ -41,26 +42,23 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 @functools.lru_cache(maxsize=4)
 def character_classes(tokenizer_json: str) -> np.ndarray:
-    """Class of every code point, asked of the tokenizer's own splitter, so Unicode versions agree.
+    """Class of every code point, as the tokenizer's own splitter sees it, so Unicode versions agree.
 
-    After a letter, a letter does not start a new word; after a digit, a digit
-    does not; a space swallows no further space but is followed by one.
+    Python's categories group the code points; the splitter keeps each group in
+    one word except where it differs, and what it sets apart is asked singly.
     """
-    splitter = Tokenizer.from_str(tokenizer_json).pre_tokenizer
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    classes = np.zeros(0x110000, np.uint8)
-    for before, of in (("a", LETTER), ("1", NUMBER), ("!", OTHER)):
-        # "\n" ends each probe; a probe whose two characters stay together is one word.
-        for start in range(0, len(points), 50_000):
-            some = points[start:start + 50_000]
-            text = "".join(f"{before}{chr(c)}\n" for c in some)
-            starts = {span[0] for _, span in splitter.pre_tokenize_str(text)}
-            together = [c for i, c in enumerate(some) if 3 * i + 1 not in starts]
-            classes[together] = of if of != OTHER else 9
-    unsure = classes == 0
-    classes[classes == 9] = OTHER
-    # What joins neither letters, digits nor signs is white space.
-    classes[unsure] = SPACE
+    split = Tokenizer.from_str(tokenizer_json).pre_tokenizer.pre_tokenize_str
+    classes = np.full(0x110000, OTHER, np.uint8)
+    classes[0x20] = SPACE
+    groups: dict[int, list[int]] = {LETTER: [], NUMBER: [], OTHER: []}
+    for c in range(0x110000):
+        if c != 0x20 and not 0xD800 <= c < 0xE000:
+            groups[{"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER)].append(c)
+    for points in groups.values():
+        for _, (start, end) in split("".join(map(chr, points))):
+            asked = chr(points[start])
+            joins = [kind for before, kind in (("a", LETTER), ("1", NUMBER), ("!", OTHER)) if len(split(before + asked)) == 1]
+            classes[points[start:end]] = joins[0] if joins else SPACE
     return classes
 
 

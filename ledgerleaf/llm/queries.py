@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerleaf.llm import bpe, lines, mixing, quality
+from ledgerleaf.llm import bpe, jaccard, lines, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,7 +177,33 @@ def op9_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op8_count_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component and number of shingles of every document."""
+    return jaccard.near_duplicate_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE words AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+shingles AS MATERIALIZED (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (
+    SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * o >= 75 * (x.n + y.n - o)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(a, b) AS (SELECT doc_id, doc_id FROM words UNION SELECT r.a, e.b FROM reached r JOIN both_ways e ON r.b = e.a)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id
+FROM words w LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) c ON c.a = w.doc_id
+"""
+
+
 QUERIES = {
+    "op8_count_vector_tree": op8_count_vector_tree,
     "op9_word_table_bpe": op9_word_table_bpe,
     "op4_site_spread": op4_site_spread,
     "op2_weak_rules": op2_weak_rules,
@@ -185,6 +211,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op8_count_vector_tree": OP8_SQL,
     "op4_site_spread": OP4_SQL,
     "op2_weak_rules": _op2_sql(),
     "op1_pareto_mix": OP1_SQL,
