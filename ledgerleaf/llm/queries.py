@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerleaf.llm import bpe, jaccard, lines, mixing, quality
+from ledgerleaf.llm import bpe, jaccard, lines, mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -202,7 +202,33 @@ FROM words w LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS component_
 """
 
 
+def op10_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.contiguous_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# The checksum's table follows from its polynomial; it is applied byte by byte, all texts at once.
+OP10_SQL = r"""
+WITH RECURSIVE bits(i, k, c) AS (
+    SELECT i, 0, i::UBIGINT FROM range(256) t(i)
+    UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+docs AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size FROM documents),
+sums AS (SELECT doc_id, xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::UBIGINT)),
+    lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT])))::BIGINT AS text_crc32 FROM docs, crc),
+placed AS (
+    SELECT doc_id, size, text_crc32, sum(size) OVER (ORDER BY doc_id) - size AS before, sum(size) OVER () AS total
+    FROM docs JOIN sums USING (doc_id)),
+cut AS (SELECT *, least(((2 * before + size) * 16) // (2 * total), 15)::INT AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+    row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INT AS grown_shard
+FROM cut
+"""
+
+
 QUERIES = {
+    "op10_prefix_sum_shards": op10_prefix_sum_shards,
     "op8_count_vector_tree": op8_count_vector_tree,
     "op9_word_table_bpe": op9_word_table_bpe,
     "op4_site_spread": op4_site_spread,
@@ -211,6 +237,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op10_prefix_sum_shards": OP10_SQL,
     "op8_count_vector_tree": OP8_SQL,
     "op4_site_spread": OP4_SQL,
     "op2_weak_rules": _op2_sql(),
