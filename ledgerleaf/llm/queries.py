@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerleaf.llm import bpe, jaccard, lines, mixing, quality, sharding
+from ledgerleaf.llm import bpe, jaccard, ledger, lines, mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -227,7 +227,48 @@ FROM cut
 """
 
 
+def op5_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, each distinct text scanned once."""
+    return ledger.secret_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))[0]
+
+
+def _op5_sql() -> str:
+    """Matches with the pieces between them, walked in a list: the piece before, the match."""
+    kinds = []
+    for rank, rule in enumerate(ledger.RULES):
+        pattern = rule.pattern.replace("'", "''").replace("(?i:(", "((?i:").replace(r"\x20", " ")
+        value = f"regexp_extract(m, '{pattern}', {rule.group})" if rule.group else "m"
+        # A character that the texts do not hold marks the ends of matches.
+        kinds.append(f"""
+    SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, m, length({value}) AS size, pieces, k
+    FROM (SELECT doc_id, ms[k] AS m, pieces, k FROM (
+        SELECT doc_id, pieces, ms, unnest(range(1, len(ms) + 1)) AS k FROM (
+            SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms,
+                string_split(regexp_replace(t, '{pattern}', chr(57344), 'g'), chr(57344)) AS pieces FROM docs)))""")
+    union = " UNION ALL ".join(kinds)
+    base = ", ".join(f"'{rule.kind}'" for rule in ledger.BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{rule.kind}') AS n_{rule.kind}" for rule in ledger.BASE_RULES)
+    return f"""
+WITH docs AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+matched AS MATERIALIZED ({union}),
+placed AS (
+    SELECT *, sum(length(pieces[k]) + length(m)) OVER (PARTITION BY doc_id, rank ORDER BY k) AS stop FROM matched),
+spans AS (SELECT doc_id, rank, kind, (stop - length(m))::BIGINT AS start, stop::BIGINT AS stop FROM placed
+    JOIN (VALUES {", ".join(f"({rank}, {rule.least})" for rank, rule in enumerate(ledger.RULES))}) least(rank, size_least) USING (rank)
+    WHERE size >= size_least),
+listed AS (
+    SELECT doc_id, {counts},
+        sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE kind IN ({base})), '')) AS base_sha256,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
+    FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN listed USING (doc_id)
+"""
+
+
 QUERIES = {
+    "op5_blob_ledger": op5_blob_ledger,
     "op10_prefix_sum_shards": op10_prefix_sum_shards,
     "op8_count_vector_tree": op8_count_vector_tree,
     "op9_word_table_bpe": op9_word_table_bpe,
@@ -237,6 +278,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op5_blob_ledger": _op5_sql(),
     "op10_prefix_sum_shards": OP10_SQL,
     "op8_count_vector_tree": OP8_SQL,
     "op4_site_spread": OP4_SQL,
