@@ -190,9 +190,11 @@ class _Block:
 
     def record(self, docs: pa.StructArray) -> pa.RecordBatch:
         codes = np.concatenate(self.codes) if self.codes else np.empty(0, np.int32)
-        # Frequent words get small numbers, which compress well, as does each byte of them by itself.
+        # Frequent words get small numbers, which compress well, as does each byte of them by itself;
+        # equally frequent ones stand in the order of their letters.
         seen = np.bincount(codes, minlength=len(self.words))
-        order = np.argsort(-seen, kind="stable")
+        listed = np.array(sorted(range(len(self.words)), key=self.words.__getitem__), np.int64)
+        order = listed[np.argsort(-seen[listed], kind="stable")]
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         planes = np.ascontiguousarray(rank[codes]).view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -243,6 +245,7 @@ def _encoder(tokenizer_json: str) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer.from_str(tokenizer_json)
+        kind = id_kind(tokenizer.get_vocab_size())
         last: tuple[str | None, bytes] = (None, b"")
         for batch in batches:
             coded = batch.column("word").dictionary_encode()
@@ -253,7 +256,7 @@ def _encoder(tokenizer_json: str) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 tokenizer.encode_special_tokens = not special
                 fresh = [w for w in words if (w[0] == SPECIAL) == special and w not in ids]
                 for word, encoding in zip(fresh, tokenizer.encode_batch_fast([w[1:] for w in fresh], add_special_tokens=False)):
-                    ids[word] = np.array(encoding.ids, np.uint32).tobytes()
+                    ids[word] = np.array(encoding.ids, kind).tobytes()
             packed = pa.array([ids[w] for w in words], pa.binary()).take(coded.indices)
             if words:
                 last = (words[-1], ids[words[-1]])
@@ -277,6 +280,11 @@ def enumerate_pieces(tokenizer_json: str) -> dict[int, bytes]:
     return pieces | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
 
 
+def id_kind(size: int) -> type:
+    """The smallest type that holds all ids of a vocabulary."""
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
 def _texts_from_words(pieces, emit: Callable) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A block and the ids of its words -> its documents, by position."""
 
@@ -285,7 +293,8 @@ def _texts_from_words(pieces, emit: Callable) -> Callable[[pa.Table, pa.Table],
             return emit(None, [], [], [])
         piece = pieces.value
         order = np.argsort(np.asarray(words.column("at")))
-        ids = [np.frombuffer(x, np.uint32) for x in words.column("ids").take(pa.array(order)).to_pylist()]
+        kind = id_kind(max(piece) + 1)
+        ids = [np.frombuffer(x, kind) for x in words.column("ids").take(pa.array(order)).to_pylist()]
         decoded = [b"".join([piece[i] for i in x.tolist()]) for x in ids]
         planes = np.frombuffer(zstandard.decompress(block.column("places")[0].as_py()), np.uint8)
         places = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).reshape(-1)
@@ -312,7 +321,7 @@ def _digests(docs, places, ids, decoded) -> pa.Table:
 
 
 def _id_lists(docs, places, ids, decoded) -> pa.Table:
-    flat = [np.concatenate([ids[i] for i in p.tolist()] or [np.empty(0, np.uint32)]).astype(np.int32) for p in places]
+    flat = [np.concatenate([ids[i] for i in p.tolist()] or [np.empty(0, np.uint16)]).astype(np.int32) for p in places]
     columns = dict(zip((f.name for f in docs.type), docs.flatten())) if docs is not None else {}
     sizes = [len(x) for x in flat]
     offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))

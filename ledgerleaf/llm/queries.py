@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerleaf.llm import bpe, jaccard, ledger, lines, mixing, quality, sharding
+from ledgerleaf.llm import bpe, jaccard, ledger, licenses, lines, mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -267,7 +267,40 @@ FROM docs LEFT JOIN listed USING (doc_id)
 """
 
 
+def op6_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License templates that lines of a document, or the whole of it, match."""
+    return licenses.license_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _op6_sql() -> str:
+    rows = []
+    for name, text in licenses.TEMPLATES:
+        grams = licenses.template_bigrams(text)
+        low, high = licenses.size_bounds(len(grams), licenses.THRESHOLD)
+        rows.append(f"('{name}', {low}, {high}, [{', '.join(map(repr, grams))}])")
+    return rf"""
+WITH templates(license, low, high, grams) AS (VALUES {", ".join(rows)}),
+units AS (
+    SELECT doc_id, true AS is_line, unnest(string_split(coalesce(text, ''), chr(10))) AS t FROM documents
+    UNION ALL SELECT doc_id, false, text FROM documents WHERE contains(text, chr(10))),
+words AS (
+    SELECT row_number() OVER () AS u, doc_id, is_line, regexp_extract_all(
+        translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM units),
+grams AS MATERIALIZED (
+    SELECT u, doc_id, is_line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words),
+scored AS (
+    SELECT u, doc_id, is_line, license, len(list_intersect(grams.g, templates.grams)) * 2.0::DOUBLE / (len(grams.g) + len(templates.grams)) AS dice
+    FROM grams JOIN templates ON len(grams.g) BETWEEN low AND high),
+best AS (SELECT u, any_value(doc_id) AS doc_id, any_value(is_line) AS is_line, max((dice, license)) AS m FROM scored WHERE dice >= {licenses.THRESHOLD} GROUP BY u),
+found AS (
+    SELECT doc_id, count(*) FILTER (WHERE is_line) AS n_matches, string_agg(DISTINCT m[2], ',' ORDER BY m[2]) AS licenses, max(m[1]) AS best_dice
+    FROM best GROUP BY doc_id)
+SELECT doc_id, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS licenses, best_dice FROM documents LEFT JOIN found USING (doc_id)
+"""
+
+
 QUERIES = {
+    "op6_license_dice": op6_license_dice,
     "op5_blob_ledger": op5_blob_ledger,
     "op10_prefix_sum_shards": op10_prefix_sum_shards,
     "op8_count_vector_tree": op8_count_vector_tree,
@@ -278,6 +311,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op6_license_dice": _op6_sql(),
     "op5_blob_ledger": _op5_sql(),
     "op10_prefix_sum_shards": OP10_SQL,
     "op8_count_vector_tree": OP8_SQL,
