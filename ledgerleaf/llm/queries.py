@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerleaf.llm import bpe, jaccard, ledger, licenses, lines, mixing, quality, sharding
+from ledgerleaf.llm import ann, bpe, jaccard, ledger, licenses, lines, mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -299,7 +299,13 @@ SELECT doc_id, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(licenses, '
 """
 
 
+def op3_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th vector."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
+    "op3_kmeans_tree": op3_kmeans_tree,
     "op6_license_dice": op6_license_dice,
     "op5_blob_ledger": op5_blob_ledger,
     "op10_prefix_sum_shards": op10_prefix_sum_shards,
