@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerleaf.llm import ann, bpe, jaccard, ledger, licenses, lines, mixing, quality, sharding
+from ledgerleaf.llm import ann, bpe, jaccard, ledger, licenses, lines, mixing, quality, sharding, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -304,7 +304,13 @@ def op3_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
 
+def op7_suffix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat earlier ones, and the digest of the rest."""
+    return suffixes.removal_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op7_suffix_shards": op7_suffix_shards,
     "op3_kmeans_tree": op3_kmeans_tree,
     "op6_license_dice": op6_license_dice,
     "op5_blob_ledger": op5_blob_ledger,
