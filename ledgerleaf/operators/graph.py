@@ -16,7 +16,6 @@ from ledgerleaf.functions.text import entity_key, strip
 from ledgerleaf.schemas import GRAPH_REPLY
 
 # Limits per document, node types, edge labels.
-MAX_NODES, MAX_EDGES = 40, 80
 NODE_TYPES = (
     "Document", "Org", "Product", "Clause", "Metric", "Person", "Education", "Company", "Skill", "Concept",
 )
@@ -83,15 +82,18 @@ def _sightings(paragraphs: Column, rules: Sequence[tuple[str, str]]) -> Column:
 
 
 def extract_entities(
-    docs: DataFrame, rules: Sequence[tuple[str, str]] = ENTITY_RULES, max_nodes: int = MAX_NODES
+    docs: DataFrame, rules: Sequence[tuple[str, str]] = ENTITY_RULES, max_nodes: int | None = None
 ) -> DataFrame:
     """``docs(doc_id, filename, text, ...)`` -> adds ``entities`` and ``hits``.
 
-    ``entities``: the first ``max_nodes - 1`` distinct labels, each with its number
-    from 1, type and label. ``hits``: per paragraph the numbers of those it names.
+    ``entities``: the distinct labels (with a limit, the first ``max_nodes - 1``),
+    each with its number from 1, type and label; ``cut_entities``: how many the
+    limit left out. ``hits``: per paragraph the numbers of those it names.
     """
     seen = docs.withColumn("_seen", _sightings(_paragraphs(F.col("text")), rules))
-    seen = seen.withColumn("_keys", F.slice(F.array_distinct(F.transform("_seen", lambda s: s["key"])), 1, max_nodes - 1))
+    seen = seen.withColumn("_every", F.array_distinct(F.transform("_seen", lambda s: s["key"])))
+    kept = F.col("_every") if max_nodes is None else F.slice("_every", 1, max_nodes - 1)
+    seen = seen.withColumn("_keys", kept).withColumn("cut_entities", F.size("_every") - F.size("_keys")).drop("_every")
     numbered = seen.withColumn(
         "_known",
         F.filter(
@@ -143,7 +145,7 @@ def graph_nodes(extracted: DataFrame) -> DataFrame:
     return rows.select("n.id", "doc_id", *keep, "n.label", "n.type", F.col("doc_id").alias("source_doc_id"), "n.properties")
 
 
-def graph_edges(extracted: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
+def graph_edges(extracted: DataFrame, max_edges: int | None = None) -> DataFrame:
     """Edge rows: one mention per entity, then entities of different types that share a paragraph.
 
     A pair counts once per document, its ends ordered by node id as text.
@@ -157,7 +159,7 @@ def graph_edges(extracted: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     kind = lambda no: F.element_at("entities", no)["type"]
 
     def pairs(hit: Column) -> Column:
-        # At most max_nodes - 1 entities meet here, so the pairs of a paragraph are bounded.
+        # The entities of one paragraph meet here.
         return F.flatten(
             F.transform(
                 hit,
@@ -173,7 +175,7 @@ def graph_edges(extracted: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
         )
 
     related = F.array_distinct(F.flatten(F.transform("hits", pairs)))
-    every = F.slice(F.concat(mention, related), 1, max_edges)
+    every = _first(F.concat(mention, related), max_edges)
     keep = [c for c in ("user_id",) if c in extracted.columns]
     rows = extracted.select("doc_id", *keep, F.posexplode(every).alias("no", "e"))
     return rows.select(
@@ -183,7 +185,13 @@ def graph_edges(extracted: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
 
 
 # ---------------------------------------------------------------- graphs proposed by a model
-def validate_model_graph(docs: DataFrame, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> DataFrame:
+def _first(items: Column, most: int | None) -> Column:
+    return items if most is None else F.slice(items, 1, most)
+
+
+def validate_model_graph(
+    docs: DataFrame, max_nodes: int | None = None, max_edges: int | None = None, label_chars: int = 20
+) -> DataFrame:
     """``docs(doc_id, filename, text, raw)`` -> adds ``nodes``, ``edges`` (null: use the rules).
 
     ``raw`` is the model's answer. Labels that the text does not hold are dropped,
@@ -193,7 +201,7 @@ def validate_model_graph(docs: DataFrame, max_nodes: int = MAX_NODES, max_edges:
     reply = F.from_json(outer_object(F.coalesce("raw", F.lit(""))), GRAPH_REPLY, {"allowSingleQuotes": "false"})
     parsed = docs.withColumn("_reply", reply)
     proposed = F.transform(
-        F.slice(F.coalesce("_reply.nodes", F.array().cast(GRAPH_REPLY["nodes"].dataType)), 1, max_nodes),
+        _first(F.coalesce("_reply.nodes", F.array().cast(GRAPH_REPLY["nodes"].dataType)), max_nodes),
         lambda n: F.struct(
             strip(F.coalesce(n["label"], F.lit(""))).alias("label"),
             F.when(n["type"].isin(*NODE_TYPES), n["type"]).otherwise(F.lit("Concept")).alias("type"),
@@ -225,29 +233,32 @@ def validate_model_graph(docs: DataFrame, max_nodes: int = MAX_NODES, max_edges:
         links,
         lambda e: F.struct(
             _node_id(doc, number(e["source"])).alias("source"), _node_id(doc, number(e["target"])).alias("target"),
-            F.substring(F.coalesce(F.nullif(e["label"], F.lit("")), F.lit(RELATED)), 1, 20).alias("label"),
+            F.substring(F.coalesce(F.nullif(e["label"], F.lit("")), F.lit(RELATED)), 1, label_chars).alias("label"),
         ),
     )
     usable = F.size("_keys") > 0
     return (
         parsed.withColumn("nodes", F.when(usable, nodes))
-        .withColumn("edges", F.when(usable, F.slice(F.concat(mention, related), 1, max_edges)))
+        .withColumn("edges", F.when(usable, _first(F.concat(mention, related), max_edges)))
         .drop("_reply", "_real", "_all", "_keys")
     )
 
 
 def extract_graph(
-    docs: DataFrame, rules: Sequence[tuple[str, str]] = ENTITY_RULES
+    docs: DataFrame, rules: Sequence[tuple[str, str]] = ENTITY_RULES, max_nodes: int | None = None, max_edges: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of documents: from ``raw`` model output where usable, else by the rules."""
+    """Nodes and edges of documents: from ``raw`` model output where usable, else by the rules.
+
+    Nothing is left out unless a document's limits are given.
+    """
     if "raw" not in docs.columns:
-        extracted = extract_entities(docs, rules)
-        return graph_nodes(extracted), graph_edges(extracted)
+        extracted = extract_entities(docs, rules, max_nodes)
+        return graph_nodes(extracted), graph_edges(extracted, max_edges)
     # No filters here: each would have the model's answer checked once more. A row
     # whose array is null yields nothing, and rules are matched only where text is left.
-    by_model = validate_model_graph(docs)
+    by_model = validate_model_graph(docs, max_nodes, max_edges)
     unanswered = by_model.withColumn("text", F.when(F.col("nodes").isNull(), F.col("text"))).drop("nodes", "edges")
-    by_rules = extract_entities(unanswered, rules)
+    by_rules = extract_entities(unanswered, rules, max_nodes)
     keep = [c for c in ("user_id",) if c in docs.columns]
     empty = F.create_map().cast("map<string,string>")
     root = F.struct(
@@ -258,11 +269,11 @@ def extract_graph(
     node = node.select(
         "n.id", "doc_id", *keep, "n.label", "n.type", F.col("doc_id").alias("source_doc_id"), empty.alias("properties")
     )
-    edge = by_model.select("doc_id", *keep, F.posexplode(F.slice("edges", 1, MAX_EDGES)).alias("no", "e")).select(
+    edge = by_model.select("doc_id", *keep, F.posexplode("edges").alias("no", "e")).select(
         F.concat(F.col("doc_id").cast("string"), F.lit(":e"), F.col("no").cast("string")).alias("id"), "doc_id", *keep,
         "e.source", "e.target", "e.label", F.col("doc_id").alias("source_doc_id"),
     )
-    return graph_nodes(by_rules).unionByName(node), graph_edges(by_rules).unionByName(edge)
+    return graph_nodes(by_rules).unionByName(node), graph_edges(by_rules, max_edges).unionByName(edge)
 
 
 # ---------------------------------------------------------------- reads

@@ -346,32 +346,55 @@ def flatten_event_table(events: DataFrame, max_depth: int = 10_000, salt: int =
 
 
 # ---------------------------------------------------------------- writing runs and turns
-def _redact_events(events: Column, levels: int) -> Column:
-    """The texts of events and of all events below them are masked, their ids are not."""
+# Texts of a trace that name things and stay as they are.
+KEPT_KEYS = ("run_id", "turn_id", "id", "parent_event_id", "agent", "type", "model", "status", "role", "scene")
 
-    def masked(e: Column) -> Column:
-        fields = [
-            (redact_text(e[name]) if name in ("summary_in", "summary_out", "meta_json") else e[name]).alias(name)
-            for name in EVENT_FIELDS
-        ]
-        below = [] if levels == 1 else [_redact_events(e["children"], levels - 1).alias("children")]
-        return F.struct(*fields, *below)
+_STRING = r'"(?:[^"\\\\]|\\\\.)*"'
+#: A key with its text, a key, a text, or what stands between.
+_JSON_PARTS = rf'{_STRING}\s*:\s*{_STRING}|{_STRING}\s*:|{_STRING}|[^"]+|"'
 
-    return F.transform(events, masked)
+
+def redact_json(text: Column, kept: Sequence[str] = KEPT_KEYS) -> Column:
+    """JSON text with its string values masked, at any depth and under any key but ``kept``.
+
+    Keys, numbers and structure stay as they are written; values with escapes are
+    read, masked and written again.
+    """
+    keys = "|".join(kept)
+
+    def value(token: Column) -> Column:
+        plain = F.from_json(F.concat(F.lit('{"v":'), token, F.lit("}")), F.lit("v string"))["v"]
+        written = F.to_json(F.struct(F.coalesce(redact_text(plain), F.lit("")).alias("v")))
+        escaped = F.substring(written, F.lit(6), F.length(written) - 6)
+        return F.when(F.contains(token, F.lit("\\")), F.when(plain.isNull(), redact_text(token)).otherwise(escaped)).otherwise(redact_text(token))
+
+    def part(token: Column) -> Column:
+        key = F.regexp_extract(token, rf"^({_STRING}\s*:\s*)", 1)
+        return (
+            F.when(token.rlike(rf'^"({keys})"\s*:'), token)
+            .when(token.rlike(rf"(?s)^{_STRING}\s*:\s*{_STRING}$"), F.concat(key, value(F.substring(token, F.length(key) + 1, F.length(token)))))
+            .when(token.rlike(rf"(?s)^{_STRING}$"), value(token))
+            .otherwise(token)
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_JSON_PARTS), F.lit(0)), part), "")
 
 
 def redact_trace(trace: Column, record_events: bool = True) -> Column:
-    """A trace as JSON text with its result and event texts masked; other text is masked whole.
+    """A trace as JSON text with its texts masked, whatever its depth and fields; other text is masked whole.
 
     Without ``record_events`` only the head of the trace is kept.
     """
-    parsed = F.from_json(trace, TRACE, {"allowSingleQuotes": "false"})
+    head = T.StructType([f for f in TRACE.fields if f.name != "events"])
+    parsed = F.from_json(trace, head, {"allowSingleQuotes": "false"})
+    if record_events:
+        known = F.when(parsed["run_id"].isNotNull(), redact_json(trace))
+        return F.coalesce(known, redact_text(trace))
 
     def rebuilt(t: Column) -> Column:
-        none = F.array().cast(TRACE["events"].dataType)
-        events = F.coalesce(_redact_events(t["events"], EVENT_DEPTH), none) if record_events else none
-        head = [t[f.name].alias(f.name) for f in TRACE.fields if f.name not in ("final_result", "events")]
-        return F.struct(*head, redact_text(t["final_result"]).alias("final_result"), events.alias("events"))
+        fields = [t[f.name].alias(f.name) for f in head.fields if f.name != "final_result"]
+        none = F.array().cast("array<string>").alias("events")
+        return F.struct(*fields, redact_text(t["final_result"]).alias("final_result"), none)
 
     known = F.transform(F.array(parsed), lambda t: F.when(t["run_id"].isNotNull(), F.to_json(rebuilt(t))))
     return F.coalesce(F.get(known, F.lit(0)), redact_text(trace))

@@ -164,6 +164,12 @@ def graph_edges(spark, sf):
     return edges.select("id", "doc_id", "source", "target", "label")
 
 
+def capped_entities(spark, sf):
+    """With a limit, what it cuts is reported."""
+    capped = g.extract_entities(_named_documents(spark, sf), TEST_RULES, max_nodes=10)
+    return capped.select("doc_id", F.size("entities").alias("kept"), F.col("cut_entities").alias("cut"))
+
+
 def mention_edges(spark, sf):
     _nodes, edges = _graph(spark, sf)
     return edges.filter(F.col("label") == g.MENTION).select("doc_id", "source", "target")
@@ -219,7 +225,7 @@ QUERIES = {
     "upserted_rows": upserted_rows, "deleted_rows": deleted_rows, "cascade_deletions": cascade_deletions,
     "own_document": own_document, "updated_statuses": updated_statuses, "purged_sessions": purged_sessions,
     "remaining_sessions": remaining_sessions, "quarantined_payloads": quarantined_payloads, "graph_nodes": graph_nodes,
-    "graph_edges": graph_edges, "mention_edges": mention_edges, "model_graph": model_graph, "user_graph": user_graph,
+    "graph_edges": graph_edges, "capped_entities": capped_entities, "mention_edges": mention_edges, "model_graph": model_graph, "user_graph": user_graph,
     "filtered_graph": filtered_graph, "graph_adjacency": graph_adjacency, "node_neighbors": node_neighbors,
     "node_types": node_types,
 }
@@ -236,7 +242,7 @@ paras AS (SELECT doc_id, para, p FROM (SELECT doc_id, generate_subscripts(ps, 1)
 seen AS (SELECT doc_id, para, rule, type, pos, label, lower(regexp_replace(label, '{q.WS}+', '', 'g')) AS key
   FROM (SELECT * EXCLUDE (raw), {q.strip('raw')} AS label FROM ({_MATCHES})) WHERE length(label) >= 2),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY para, rule, pos) AS r FROM seen) WHERE r = 1),
-entities AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para, rule, pos) AS no FROM firsts) WHERE no <= 39),
+entities AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para, rule, pos) AS no FROM firsts)),
 hits AS (SELECT doc_id, para, no, type, row_number() OVER (PARTITION BY doc_id, para ORDER BY place) AS h FROM (
   SELECT s.doc_id, s.para, e.no, e.type, min(s.rule * 1000000 + s.pos) AS place FROM seen s JOIN entities e ON e.doc_id = s.doc_id AND e.key = s.key GROUP BY 1, 2, 3, 4)),
 pairs AS (SELECT a.doc_id, a.para, a.h AS i, b.h AS j, least(a.doc_id || ':n' || a.no, b.doc_id || ':n' || b.no) AS source,
@@ -248,7 +254,7 @@ known AS (SELECT doc_id, count(*) AS k FROM entities GROUP BY 1),
 nodes AS (SELECT doc_id || ':root' AS id, doc_id, filename AS label, 'Document' AS type, CAST(length(text) AS VARCHAR) AS chars FROM docs
   UNION ALL SELECT doc_id || ':n' || no, doc_id, label, type, NULL FROM entities),
 edges AS (SELECT doc_id || ':e' || (no - 1) AS id, doc_id, doc_id || ':root' AS source, doc_id || ':n' || no AS target, '{g.MENTION}' AS label FROM entities
-  UNION ALL SELECT l.doc_id || ':e' || (k + n - 1), l.doc_id, source, target, '{g.RELATED}' FROM links l JOIN known USING (doc_id) WHERE k + n <= 80)"""
+  UNION ALL SELECT l.doc_id || ':e' || (k + n - 1), l.doc_id, source, target, '{g.RELATED}' FROM links l JOIN known USING (doc_id))"""
 _DOCS = "docs AS (SELECT doc_id, 'd' || doc_id AS filename, source AS user_id, lang, text FROM documents)"
 _G = f"WITH {_DOCS}, {_GRAPH}"
 _P = f"WITH RECURSIVE {_PUBLIC}"
@@ -282,6 +288,8 @@ ORACLE = {
     "quarantined_payloads": """SELECT CASE event_type WHEN 'error' THEN substr(props, 1, 4) ELSE json_extract_string(props, '$.k') END AS what, count(*) AS n FROM events GROUP BY 1""",
     "graph_nodes": f"{_G} SELECT id, doc_id, label, type, chars FROM nodes",
     "graph_edges": f"{_G} SELECT id, doc_id, source, target, label FROM edges",
+    "capped_entities": f"""{_G}, found AS (SELECT doc_id, count(*)::INT AS k FROM entities GROUP BY doc_id)
+        SELECT doc_id, least(coalesce(k, 0), 9)::INT AS kept, greatest(coalesce(k, 0) - 9, 0)::INT AS cut FROM docs LEFT JOIN found USING (doc_id)""",
     "mention_edges": f"{_G} SELECT doc_id, source, target FROM edges WHERE label = '{g.MENTION}'",
     "model_graph": f"""WITH every AS (SELECT doc_id, 'd' || doc_id AS filename, source AS user_id, lang, text, {_W1_SQL} AS w1, {_W2_SQL} AS w2 FROM documents),
         usable AS (SELECT *, lower(w1) = lower(w2) OR w2 = '' AS one FROM every WHERE lang <> 'de' AND (w1 <> '' OR w2 <> '')),

@@ -15,7 +15,7 @@ from ledgerleaf.plans.corpus import spread
 from ledgerleaf.plans.ingest import ingest_documents
 from ledgerleaf.sources.chat_json import parse_chat_lines, read_chat_json, write_training_parquet
 from ledgerleaf.sources.files import (
-    NO_PDF_TEXT, SUPPORTED, corpus_documents, dispatch_by_extension, extract_legacy_doc_text, parse_frontmatter,
+    NO_PDF_TEXT, NO_WORD_TEXT, SUPPORTED, corpus_documents, dispatch_by_extension, extract_legacy_doc_text, parse_frontmatter,
 )
 from ledgerleaf.session import scratch_path
 
@@ -241,8 +241,9 @@ def _uploads(spark, sf):
         "encode(text, 'UTF-8') AS content", "source AS user_id",
     )
     talks = table(spark, sf, "conversations").selectExpr(
-        "concat('talk', conv_id, '-', turn, CASE role WHEN 'user' THEN '.pdf' ELSE '.txt' END) AS filename",
-        "encode(CASE WHEN turn = 1 THEN ' \\n ' ELSE text END, 'UTF-8') AS content", "role AS user_id",
+        "concat('talk', conv_id, '-', turn, CASE role WHEN 'user' THEN '.pdf' WHEN 'system' THEN '.DOCX' ELSE '.txt' END) AS filename",
+        "encode(CASE WHEN turn = 1 THEN ' \\n ' WHEN role = 'system' THEN concat('PK', char(3), char(4), text) ELSE text END, 'UTF-8') AS content",
+        "role AS user_id",
     )
     return pages.unionByName(docs).unionByName(talks).withColumn("id", F.col("filename")).withColumn("uploaded_at", F.lit("2024"))
 
@@ -263,14 +264,15 @@ def chunked_documents(spark, sf):
     return chunk_text(table(spark, sf, "documents"))
 
 
-_SECTIONS = "concat('  # ', url, '\\n', substr({flat}, 1, 300), '\\n## empty\\n\\nNotes:\\n', url, '\\r\\nnot a heading.')"
+_SECTIONS = "concat('  # ', url, '\\n', {flat}, '\\n## empty\\n\\nNotes:\\n', url, '\\r\\nnot a heading.')"
 
 
 def chunked_sections(spark, sf):
     flat = F.regexp_replace("html", r"[\s:#]+", " ")
     pages = table(spark, sf, "pages").withColumn("flat", flat)
     docs = pages.select("page_id", F.expr(_SECTIONS.replace("{flat}", "flat")).alias("text"))
-    return chunk_text(docs, keep=("page_id",))
+    # One chunk for each section, so that whole pages are compared.
+    return chunk_text(docs, 10_000_000, keep=("page_id",))
 
 
 def backfilled_users(spark, sf):
@@ -336,13 +338,15 @@ uploads AS (
   SELECT 'page' || page_id || '.html' AS filename, '.html' AS ext, html AS content FROM pages
   UNION ALL SELECT 'doc' || doc_id || CASE lang WHEN 'en' THEN '.md' WHEN 'fr' THEN '.TXT' WHEN 'de' THEN '.xlsx' ELSE '' END,
     CASE lang WHEN 'en' THEN '.md' WHEN 'fr' THEN '.txt' WHEN 'de' THEN '.xlsx' ELSE '' END, text FROM documents
-  UNION ALL SELECT 'talk' || conv_id || '-' || turn || CASE role WHEN 'user' THEN '.pdf' ELSE '.txt' END,
-    CASE role WHEN 'user' THEN '.pdf' ELSE '.txt' END, CASE WHEN turn = 1 THEN ' ' || chr(10) || ' ' ELSE text END FROM conversations),
+  UNION ALL SELECT 'talk' || conv_id || '-' || turn || CASE role WHEN 'user' THEN '.pdf' WHEN 'system' THEN '.DOCX' ELSE '.txt' END,
+    CASE role WHEN 'user' THEN '.pdf' WHEN 'system' THEN '.docx' ELSE '.txt' END,
+    CASE WHEN turn = 1 THEN ' ' || chr(10) || ' ' WHEN role = 'system' THEN 'PK' || chr(3) || chr(4) || text ELSE text END FROM conversations),
 parsed AS (
   SELECT filename, ext, octet_length(encode(content)) AS size,
     CASE WHEN ext = '.html' THEN {q.strip_html('content')} WHEN ext IN ('.md', '.txt') THEN content END AS body,
     CASE WHEN ext IN ('.xlsx', '') THEN '暂不支持的文档类型：' || CASE ext WHEN '' THEN '(无扩展名)' ELSE ext END || '（本期支持 {'/'.join(SUPPORTED)}）'
          WHEN ext = '.pdf' THEN '{NO_PDF_TEXT}'
+         WHEN ext = '.docx' THEN '{NO_WORD_TEXT}'
          WHEN {q.strip("CASE WHEN ext = '.html' THEN " + q.strip_html('content') + " ELSE content END")} = '' THEN '文档内容为空，无可解析文本。' END AS error
   FROM uploads)"""
 
@@ -404,7 +408,7 @@ ORACLE = {
           CAST(sum(CASE WHEN error IS NULL THEN length({q.summary('body')}) END) AS BIGINT) AS summary_chars FROM parsed GROUP BY 1, 2""",
     "chunked_documents": f"WITH RECURSIVE {q.chunks_cte('documents', 'doc_id', 'text')} SELECT doc_key AS doc_id, idx, chapter, content AS text FROM packed",
     "chunked_sections": r"""
-        WITH p AS (SELECT page_id, url, trim(substr(regexp_replace(html, '[\t\n\v\f\r :#]+', ' ', 'g'), 1, 300)) AS body FROM pages)
+        WITH p AS (SELECT page_id, url, trim(regexp_replace(html, '[\t\n\v\f\r :#]+', ' ', 'g')) AS body FROM pages)
         SELECT page_id, CAST(0 AS INTEGER) AS idx, '# ' || url AS chapter, '# ' || url || chr(10) || body AS text FROM p
         UNION ALL SELECT page_id, 1, 'Notes:', 'Notes:' || chr(10) || url || chr(10) || 'not a heading.' FROM p""",
     "backfilled_users": "SELECT c_custkey, c_name, '' AS hashed_password, CAST(1 AS INTEGER) AS is_active FROM customer",

@@ -26,10 +26,13 @@ def build_session(app: str = "ledgerleaf", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 
-    Only where none is configured (unit tests) a local folder is made.
+    Only where none is configured and everything runs in one process (unit tests)
+    a local folder is made; on a cluster the setting is required.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -24,6 +24,12 @@ def extension(filename: Column) -> Column:
     return F.lower(F.regexp_extract(base, r"^\.*[^.].*?(\.[^.]*)$", 1))
 
 
+def file_path(path: Column | None = None) -> Column:
+    """The path of the file a row was read from, as it is named on disk."""
+    shown = F.col("_metadata.file_path") if path is None else path
+    return F.url_decode(F.replace(shown, F.lit("+"), F.lit("%2B")))
+
+
 def _base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/]*$", 0)
 
@@ -92,7 +98,7 @@ def scan_corpus(spark: SparkSession, folder: str) -> DataFrame:
     names = ",".join(either(e[1:]) for e in (*MARKDOWN, *HTML, *PLAIN))
     files = spark.read.text(folder, wholetext=True, pathGlobFilter=f"*.{{{names}}}")
     return corpus_documents(
-        files.select(F.col("_metadata.file_path").alias("path"), utf8_lenient(F.col("value").cast("binary")).alias("text"))
+        files.select(file_path().alias("path"), utf8_lenient(F.col("value").cast("binary")).alias("text"))
     )
 
 
@@ -120,13 +126,15 @@ def extract_legacy_doc_text(raw: Column) -> Column:
 def dispatch_by_extension(files: DataFrame) -> DataFrame:
     """Adds ``ext``, ``text`` and ``error`` to ``(filename, content)``; a bad file is a row, not a failure.
 
-    PDF bytes are not parsed here: supply their text in a column ``extracted``.
+    The bytes of PDF and zipped Word files are not parsed here: supply their text in
+    a column ``extracted``, else they become error rows.
     """
     ext = extension(F.col("filename"))
     supplied = F.col("extracted") if "extracted" in files.columns else F.lit(None).cast("string")
     plain = utf8_lenient(F.col("content"))
-    # Only the bytes of such files are sent to Python.
-    legacy = extract_legacy_doc_text(F.when(F.col("ext").isin(*WORD_FILES), F.col("content")))
+    # Only the bytes of such files are sent to Python; zipped documents are not readable that way.
+    zipped = F.coalesce(F.substring("content", 1, 4) == F.lit(b"PK\x03\x04"), F.lit(False))
+    legacy = extract_legacy_doc_text(F.when(F.col("ext").isin(*WORD_FILES) & ~zipped, F.col("content")))
     text = (
         F.when(F.col("ext").isin(*HTML), strip_html(plain))
         .when(F.col("ext").isin(*WORD_FILES), F.coalesce(supplied, legacy))

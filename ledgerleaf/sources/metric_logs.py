@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerleaf.operators.training import metric_series, parse_metric_lines
+from ledgerleaf.sources.files import file_path
 
 
 def read_metric_lines(spark: SparkSession, folder: str, names: str = "*.jsonl") -> DataFrame:
@@ -15,7 +16,7 @@ def read_metric_lines(spark: SparkSession, folder: str, names: str = "*.jsonl")
     """
     lines = spark.read.text(folder, pathGlobFilter=names, recursiveFileLookup=True).select(
         F.col("value").alias("line"),
-        F.col("_metadata.file_path").alias("path"),
+        file_path().alias("path"),
         F.struct(
             F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place")
         ).alias("line_no"),

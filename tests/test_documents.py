@@ -63,8 +63,11 @@ def test_graph_limits(spark):
     text = "\n".join(" ".join(f"n{i}x{j}@ab.de {100000 + 50 * i + j}" for j in range(6)) for i in range(9))
     df = spark.createDataFrame([(1, "f", text)], "doc_id int, filename string, text string")
     rules = (("Email", r"[a-z0-9]+@[a-z]+\.[a-z]{2,}"), ("Number", r"[0-9]{6}"))
-    nodes, edges = g.extract_graph(df, rules)
+    nodes, edges = g.extract_graph(df, rules, max_nodes=40, max_edges=80)
     assert nodes.count() == 40 and edges.count() == 80
+    assert g.extract_entities(df, rules, 40).first().cut_entities == 108 - 39
+    nodes, edges = g.extract_graph(df, rules)
+    assert nodes.count() == 109 and edges.count() == 108 + 9 * 36
 
 
 def test_frontmatter(spark):
