@@ -16,6 +16,13 @@ from ledgerleaf.session import cut_lineage
 SPAN = 100_000
 
 
+def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on all ``keys``, a null being equal to a null."""
+    named = {key: f"_of_{key}" for key in keys}
+    same = [left[key].eqNullSafe(F.col(other)) for key, other in named.items()]
+    return left.join(right.withColumnsRenamed(named), same).drop(*named.values())
+
+
 def next_in_group(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, span: int = SPAN) -> DataFrame:
     """Adds ``out``: ``value`` of the following row of the same group, else null."""
     spanned = df.withColumn("_span", F.floor(F.col(order) / span))
@@ -23,7 +30,7 @@ def next_in_group(df: DataFrame, keys: Sequence[str], order: str, value: str, ou
     local = spanned.withColumn("_next", F.lead(F.struct(value)).over(inside))
     firsts = spanned.groupBy(*keys, "_span").agg(F.min_by(F.struct(value), order).alias("_first"))
     following = firsts.withColumn("_following", F.lead("_first").over(W.partitionBy(*keys).orderBy("_span")))
-    joined = local.join(following.drop("_first"), [*keys, "_span"])
+    joined = _join_groups(local, following.drop("_first"), [*keys, "_span"])
     return joined.withColumn(out, F.coalesce("_next", "_following")[value]).drop("_span", "_next", "_following")
 
 
@@ -34,7 +41,7 @@ def rank_in_group(df: DataFrame, keys: Sequence[str], order: str, tie: str, out:
     counts = spanned.groupBy(*keys, "_span").agg(F.count(F.lit(1)).alias("_n"))
     earlier = F.sum("_n").over(W.partitionBy(*keys).orderBy("_span").rowsBetween(W.unboundedPreceding, -1))
     before = counts.select(*keys, "_span", F.coalesce(earlier, F.lit(0)).alias("_before"))
-    ranked = spanned.withColumn("_local", local).join(before, [*keys, "_span"])
+    ranked = _join_groups(spanned.withColumn("_local", local), before, [*keys, "_span"])
     return ranked.withColumn(out, F.col("_before") + F.col("_local")).drop("_span", "_local", "_before")
 
 

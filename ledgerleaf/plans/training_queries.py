@@ -158,7 +158,7 @@ def streamed_documents(spark, sf):
     """Documents chunked and stored by a streaming query, twice: the second version replaces the first."""
     out = scratch_path(spark, "ingest")
     for version in (1, 2):
-        docs = _stream_of(spark, sf, "documents").selectExpr("doc_id", "text", f"{version} AS version")
+        docs = _stream_of(spark, sf, "documents").selectExpr("doc_id", "text", f"{version} AS version", "doc_id AS arrived_at")
         state = scratch_path(spark, "ingest-state")
         jobs.ingest_stream(docs, build_corpus, out, state).awaitTermination()
     rows = jobs.current_rows(spark.read.parquet(out))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -131,9 +130,24 @@ def current_rows(table: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def compact(spark: SparkSession, path: str, target: str, key: str = "doc_id") -> None:
-    """Write the current rows of a versioned table to a new place, as one version."""
-    newest = current_rows(spark.read.parquet(path), key).drop("_version")
-    append_version(newest, target, time.time_ns() // 1_000_000)
+    """Write the current rows of a versioned table to a new place, as its newest version."""
+    table = spark.read.parquet(path)
+    append_version(current_rows(table, key).drop("_version"), target, table.agg(F.max("_version")).first()[0] or 0)
+
+
+def _first_version(spark: SparkSession, path: str, checkpoint: str) -> int:
+    """The version of a stream's first batch: one above all that were stored when it began.
+
+    It is kept beside the stream's own checkpoint, so a restart goes on with the same numbers.
+    """
+    note, kind = f"{checkpoint}/_first_version", T.StructType([T.StructField("version", T.LongType())])
+    known = _existing(spark, note, kind)
+    if known is None:
+        table = _existing(spark, path, T.StructType([T.StructField("_version", T.LongType())]))
+        top = table.agg(F.max("_version")).first()[0] if table is not None else None
+        spark.createDataFrame([((top or 0) + 1,)], kind).write.mode("overwrite").parquet(note)
+        known = spark.read.schema(kind).parquet(note)
+    return known.first()["version"]
 
 
 def ingest_stream(
@@ -143,16 +157,18 @@ def ingest_stream(
 
     ``transform`` turns a batch of documents into the rows to store (with
     ``doc_id``), for example ``build_corpus``. A document that arrives twice in one
-    batch counts with its latest ``arrived_at``. The cost of a batch is that of its
-    own documents. A replayed batch becomes the newest version of the same rows.
+    batch counts with its latest ``arrived_at``, which is required and does not
+    reach ``transform``. The cost of a batch is that of its own documents. Versions
+    follow the batch numbers, so a replayed batch overwrites itself.
     """
+    if "arrived_at" not in uploads.columns:
+        raise ValueError("documents need a column arrived_at")
+    first = _first_version(uploads.sparkSession, path, checkpoint)
 
-    def store(batch: DataFrame, _number: int) -> None:
-        latest = batch
-        if "arrived_at" in batch.columns:
-            newest = batch.groupBy("doc_id").agg(F.max("arrived_at").alias("arrived_at"))
-            latest = batch.join(newest, ["doc_id", "arrived_at"], "left_semi")
-        append_version(transform(latest), path, time.time_ns() // 1_000_000)
+    def store(batch: DataFrame, number: int) -> None:
+        newest = batch.groupBy("doc_id").agg(F.max("arrived_at").alias("arrived_at"))
+        latest = batch.join(newest, ["doc_id", "arrived_at"], "left_semi").drop("arrived_at")
+        append_version(transform(latest), path, first + number)
 
     return (
         uploads.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -173,11 +189,24 @@ def split_failed(payloads: DataFrame, schema: T.StructType, column: str = "paylo
     return good, bad
 
 
-def quarantine(bad: DataFrame, path: str) -> None:
-    """Append failed payloads as JSON lines with error and time."""
-    bad.write.mode("append").json(path)
+def quarantine(bad: DataFrame, path: str, batch: int | None = None) -> None:
+    """Add failed payloads as JSON lines with error and time; those of a numbered batch replace themselves."""
+    if batch is None:
+        bad.write.mode("append").json(path)
+    else:
+        bad.write.mode("overwrite").json(f"{path}/_batch={batch}")
 
 
+MESSAGES = T.StructType(
+    [
+        T.StructField("conv_id", T.LongType()),
+        T.StructField("idx", T.IntegerType()),
+        T.StructField("role", T.StringType()),
+        T.StructField("content", T.StringType()),
+        T.StructField("created_at", T.LongType()),
+        T.StructField("trace", T.StringType()),
+    ]
+)
 RUN = T.StructType(
     [
         T.StructField("conv_id", T.LongType()),
@@ -192,15 +221,25 @@ RUN = T.StructType(
 def record_run_stream(
     payloads: DataFrame, messages_path: str, quarantine_path: str, checkpoint: str, buckets: int = BUCKETS
 ) -> StreamingQuery:
-    """Attach arriving runs (JSON text) to the stored messages, redacted; bad ones go to quarantine."""
+    """Attach arriving runs (JSON text) to the stored messages, redacted; bad ones go to quarantine.
+
+    Without a stored table the runs begin one. A run whose trace is stored already
+    is passed over, so a batch may be replayed.
+    """
 
-    def record(batch: DataFrame, _number: int) -> None:
+    def record(batch: DataFrame, number: int) -> None:
         good, bad = split_failed(batch, RUN)
-        quarantine(bad, quarantine_path)
-        runs = cut_lineage(redact_runs(good.select(*RUN.names)))
+        quarantine(bad, quarantine_path, number)
         spark = batch.sparkSession
-        table = spark.read.parquet(messages_path)
-        old = touched_buckets(table, runs, "conv_id", buckets).drop("_bucket")
+        runs = redact_runs(good.select(*RUN.names))
+        table = _existing(spark, messages_path, MESSAGES)
+        if table is None:
+            old = spark.createDataFrame([], MESSAGES)
+        else:
+            old = touched_buckets(spark.read.parquet(messages_path), runs, "conv_id", buckets).drop("_bucket")
+            stored = old.select("conv_id", F.get_json_object("trace", "$.run_id").alias("run_id")).where("run_id IS NOT NULL")
+            runs = runs.join(stored, ["conv_id", "run_id"], "left_anti")
+        runs = cut_lineage(runs)
         write_buckets(cut_lineage(attach_traces(old, runs)), messages_path, "conv_id", buckets)
 
     return (
