@@ -144,43 +144,30 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs sorted by anchor, whole, key, first -> runs that occur earlier as a whole (``again``), and of
-    anchors with different runs the first of each. All else is unique and drops out."""
-    held = None
+    anchors with different runs the first of each. All else is unique and drops out.
+
+    Of the anchor that a batch ends with, one row is held: its last different run.
+    """
+    held, several = None, False  # several: the held row's anchor has other runs, and the row has been given
     for batch in batches:
         columns = [np.asarray(batch.column(c)) for c in ("anchor", "whole", "key", "first", "windows")]
         if not len(columns[0]):
             continue
         if held is not None:
-            columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
-        anchor = columns[0]
-        # The last anchor may go on: its rows wait, but of equal runs only the first needs to.
-        open_from = int(np.searchsorted(anchor == anchor[-1], True))
-        yield _settled([c[:open_from] for c in columns])
-        rest = [c[open_from:] for c in columns]
-        new = np.ones(len(rest[0]), bool)
-        new[1:] = rest[1][1:] != rest[1][:-1]
-        yield _again([c[~new] for c in rest])
-        held = [c[new] for c in rest]
-    if held is not None:
-        yield _settled(held)
-
-
-def _again(columns: list[np.ndarray], again: np.ndarray | None = None) -> pa.RecordBatch:
-    flags = np.ones(len(columns[0]), bool) if again is None else again
-    return pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.array(c) for c in columns[2:]), pa.array(flags)], ["anchor", "key", "first", "windows", "again"])
-
-
-def _settled(columns: list[np.ndarray]) -> pa.RecordBatch:
-    anchor, whole = columns[:2]
-    again = np.zeros(len(anchor), bool)
-    again[1:] = (anchor[1:] == anchor[:-1]) & (whole[1:] == whole[:-1])
-    # Anchors with several different runs.
-    edge = np.ones(len(anchor), bool)
-    edge[1:] = anchor[1:] != anchor[:-1]
-    group = np.cumsum(edge) - 1
-    kinds = np.bincount(group, weights=~again, minlength=int(group[-1]) + 1 if len(group) else 0)
-    keep = again | (kinds[group] > 1 if len(group) else np.zeros(0, bool))
-    return _again([c[keep] for c in columns], again[keep])
+            columns = [np.append(h, c) for h, c in zip(held, columns)]
+        anchor, whole = columns[:2]
+        same = anchor[1:] == anchor[:-1]
+        again = np.append(False, same & (whole[1:] == whole[:-1]))
+        group = np.cumsum(np.append(False, ~same))
+        kinds = np.bincount(group, weights=~again)
+        kinds[0] += several
+        keep = again | (kinds[group] > 1)
+        keep[0] &= not several
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(anchor[keep]), *(pa.array(c[keep]) for c in columns[2:]), pa.array(again[keep])], ["anchor", "key", "first", "windows", "again"]
+        )
+        last = int(np.flatnonzero(~again)[-1])
+        held, several = [c[last:last + 1] for c in columns], bool(kinds[-1] > 1)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

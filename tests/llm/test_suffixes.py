@@ -49,7 +49,11 @@ def test_against_brute_force(spark):
 def test_dealt_anchors_and_small_slices(spark, monkeypatch):
     docs = some_documents(120, 9)
     monkeypatch.setattr(suffixes, "SHARD_RUNS", 3)
-    assert rows_of(suffixes.removal_report(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))) == brute(docs)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert rows_of(suffixes.removal_report(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))) == brute(docs)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_long_text(spark):
