@@ -9,9 +9,10 @@ joined with itself: the overlap of two nodes is at most the sum of the minima of
 their coordinates, and that of two subtrees at most the sum over the tree nodes'
 upper corners. Pairs that survive are verified on their whole sets.
 
-Two measures keep buckets small. First, each node is verified against its best
-neighbour in order of size, so that large groups of near copies become one
-component; afterwards only pairs of different components are looked for.
+Two measures keep buckets small. First, each node is verified against the most
+central node that it shares shingles with, so that large groups of near copies
+become one component; afterwards only pairs of different components are looked
+for.
 Second, prefixes are longer than needed, so that a node may leave out as many
 frequent shingles as its prefix is longer and still meets all its partners
 elsewhere; only nodes with more frequent ones look into frequent buckets.
@@ -30,12 +31,15 @@ from ledgerleaf.llm.common import WORD_PATTERN, stored
 from ledgerleaf.llm.graphs import components
 from ledgerleaf.llm.shingles import finish, shingle_sets
 
-GROUPS = 64
+#: Shingles in a group of a point, about; the number of groups is a power of two and grows with the set.
+GROUP_SIZE = 2
 LEAF, FANOUT = 32, 8
 #: A shingle in so many prefixes is frequent.
 FREQUENT = 128
-#: So many texts' digests may be broadcast (16 bytes each); beyond it, texts are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: So many look-up rows (40 bytes each) may be broadcast; beyond it, texts are shuffled.
+BROADCAST_ROWS = 500_000
+#: Sets that are compared with one and the same set in one group.
+STAR = 500
 
 
 def _needed(n: int) -> int:
@@ -58,17 +62,36 @@ def _node(shingles: np.ndarray) -> int:
     return int(finish(both).view(np.int64)[0]) or 1
 
 
-def _points(shingles: np.ndarray) -> bytes:
-    return np.bincount((shingles % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes()
+def _groups(n: int) -> int:
+    return 1 << max(3, (n // GROUP_SIZE).bit_length())
+
+
+def _point(shingles: np.ndarray) -> bytes:
+    groups = _groups(len(shingles))
+    counts = np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups)
+    # The first byte tells the width of the numbers.
+    return b"\x01" + counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"\x04" + counts.astype(np.uint32).tobytes()
+
+
+def _width(point: bytes) -> int:
+    return (len(point) - 1) // point[0]
+
+
+def _folded(points: list[bytes], groups: int) -> np.ndarray:
+    """Points in ``groups`` coordinates: those of more are added up, which keeps the bound."""
+    out = np.empty((len(points), groups), np.int32)
+    for i, point in enumerate(points):
+        out[i] = np.frombuffer(point, np.uint8 if point[0] == 1 else np.uint32, offset=1).reshape(-1, groups).sum(axis=0)
+    return out
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, k, text -> doc_id, k, node, n, point."""
+    """doc_id, k, text -> doc_id, k, node, n, point (of sets that are compared at all)."""
     for batch in batches:
         sets = list(shingle_sets(batch.column("text")))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("k"), pa.array([_node(s) for s in sets], pa.int64()),
-             pa.array([len(s) for s in sets], pa.int64()), pa.array([_points(s) for s in sets], pa.binary())],
+             pa.array([len(s) for s in sets], pa.int64()), pa.array([_point(s) for s in sets], pa.binary())],
             ["doc_id", "k", "node", "n", "point"],
         )
 
@@ -94,10 +117,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token, n, node -> those whose token has several nodes, each node once.
-
-    ``prev``, ``prev_n``: the node before in the token's bucket, null for its first.
-    """
+    """Rows sorted by token, node -> those whose token has several nodes, each node once."""
     held = None  # the last row so far, and whether it has been given out
     for batch in batches:
         t, v, n = (np.asarray(batch.column(c)) for c in ("token", "node", "n"))
@@ -113,12 +133,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.zeros(len(t) + 1, bool)
         same[1:-1] = t[1:] == t[:-1]
         give = (same[:-1] | same[1:]) & ~out
-        before, before_n = np.roll(v, 1)[give], np.roll(n, 1)[give]
-        first = ~same[:-1][give]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(t[give]), pa.array(v[give]), pa.array(n[give]), pa.array(before, mask=first), pa.array(before_n, mask=first)],
-            ["token", "node", "n", "prev", "prev_n"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(t[give]), pa.array(v[give]), pa.array(n[give])], ["token", "node", "n"])
         held = (t[-1], v[-1], n[-1], bool(out[-1] or give[-1]))
 
 
@@ -164,85 +179,126 @@ def tree_join(points: np.ndarray, n: np.ndarray, label: np.ndarray, asks: np.nda
     return i, j
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets (rows sorted by token, n) -> pairs a, b that the tree leaves, each once a task."""
-    kept: list[tuple] = []
-    seen: set[tuple[int, int]] = set()
+def level_join(points: list[bytes], n: np.ndarray, label: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``tree_join`` of a bucket whose points have different numbers of groups.
 
-    def pairs(t, v, n, label, asks, points):
-        a, b = [], []
-        ends = np.flatnonzero(np.append(t[1:] != t[:-1], True)) + 1
-        first = 0
-        for end in ends.tolist():
-            i, j = tree_join(points[first:end], n[first:end], label[first:end], asks[first:end])
-            for x, y in zip(v[first + i].tolist(), v[first + j].tolist()):
-                pair = (x, y) if x < y else (y, x)
-                if pair not in seen:
-                    if len(seen) < 1_000_000:  # only saves repetition, the pairs are made distinct later
-                        seen.add(pair)
-                    a.append(pair[0])
-                    b.append(pair[1])
-            first = end
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    def joined():
-        return [np.concatenate([k[c] for k in kept]) for c in range(6)]
+    Similar sets differ by a third in size at most, hence by one level; each
+    level is joined with itself and the next in its own number of groups.
+    """
+    width = np.array([_width(p) for p in points])
+    found = []
+    for groups in np.unique(width).tolist():
+        rows = np.flatnonzero((width == groups) | (width == 2 * groups))
+        i, j = tree_join(_folded([points[r] for r in rows.tolist()], groups), n[rows], label[rows], asks[rows])
+        lower = (width[rows[i]] == groups) | (width[rows[j]] == groups)
+        found.append((rows[i[lower]], rows[j[lower]]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets (rows sorted by token, n) -> pairs a, b that the tree leaves."""
+    kept: list[pa.RecordBatch] = []
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        t, v, n, label, asks = (np.asarray(table.column(c)) for c in ("token", "node", "n", "label", "asks"))
+        points = table.column("point").to_pylist()
+        a, b, first, size = [], [], 0, 0
+        for end in (np.flatnonzero(np.append(t[1:] != t[:-1], True)) + 1).tolist():
+            i, j = level_join(points[first:end], n[first:end], label[first:end], asks[first:end])
+            x, y = v[first + i], v[first + j]
+            a.append(np.minimum(x, y))
+            b.append(np.maximum(x, y))
+            first, size = end, size + len(x)
+            if size > 200_000:
+                yield distinct(a, b)
+                a, b, size = [], [], 0
+        if a:
+            yield distinct(a, b)
+
+    def distinct(a: list, b: list) -> pa.RecordBatch:
+        a, b = np.concatenate(a), np.concatenate(b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        points = np.frombuffer(b"".join(batch.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS)
-        rows = tuple(np.asarray(batch.column(c)) for c in ("token", "node", "n", "label", "asks"))
-        kept.append((*rows, points))
-        if rows[0][0] != rows[0][-1] or kept[0][0][0] != rows[0][-1]:
-            t, *rest = joined()
+        kept.append(batch)
+        tokens = np.asarray(batch.column("token"))
+        if tokens[0] != tokens[-1] or kept[0].column("token")[0].as_py() != tokens[-1]:
+            table = pa.Table.from_batches(kept)
+            t = np.asarray(table.column("token"))
             # The last bucket may go on in the next batch.
             cut = int(np.flatnonzero(t != t[-1])[-1]) + 1
-            yield pairs(t[:cut], *(r[:cut] for r in rest))
-            kept = [(t[cut:], *(r[cut:] for r in rest))]
+            yield from pairs(table.slice(0, cut))
+            kept = table.slice(cut).combine_chunks().to_batches()
     if kept:
-        yield pairs(*joined())
-
-
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with both points -> those that the sum of minima allows."""
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, GROUPS) for c in ("point_a", "point_b"))
-        n = [p.sum(axis=1, dtype=np.int64) for p in (x, y)]
-        keep = _enough(*n, np.minimum(x, y).sum(axis=1, dtype=np.int64))
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+        yield from pairs(pa.Table.from_batches(kept))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text -> node, shingles (packed), each set once a task and batch."""
+    """center, part, node, text -> center, part, node, shingles (packed)."""
     for batch in batches:
-        sets = {}
-        for s in shingle_sets(batch.column("text")):
-            sets.setdefault(_node(s), s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], ["node", "shingles"])
+        packed = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("center"), batch.column("part"), batch.column("node"), packed], ["center", "part", "node", "shingles"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with both sets -> links."""
+    """Stars, the center's set first, then those it may be similar to -> links."""
+    now, center = None, np.empty(0, np.uint64)
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-            a, b = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-            keep.append(7 * len(np.intersect1d(a, b, assume_unique=True)) >= 3 * (len(a) + len(b)))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        a, b = [], []
+        for at, part, node, packed in zip(batch.column("center").to_pylist(), batch.column("part").to_pylist(), batch.column("node").to_pylist(), batch.column("shingles")):
+            own = np.frombuffer(packed.as_buffer(), np.uint64)
+            if node == at:
+                now, center = (at, part), own.copy()
+            elif now == (at, part) and 7 * len(np.intersect1d(center, own, assume_unique=True)) >= 3 * (len(center) + len(own)):
+                a.append(at)
+                b.append(node)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Verify pairs (a, b) on whole sets; stored."""
+    """Verify pairs (a, b) on whole sets; stored.
+
+    Pairs are gathered into stars around ``a``, large ones in parts, so a set
+    travels once for each star it is in.
+    """
     pairs = stored(pairs, "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    # One text for each wanted node, by its digest.
-    keys = stored(nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("k").alias("k")).select("k").distinct(), "wanted")
-    few = keys.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(keys) if few else keys, "k", "left_semi").select("text")
-    sets = stored(texts.mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    return stored(both.mapInArrow(_verified, "a long, b long"), "links")
+    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
+    stars = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / STAR)).cast("int").alias("part"))
+    members = stars.select(F.col("a").alias("center"), "part", F.col("b").alias("node")).union(
+        stars.select(F.col("a").alias("center"), "part", F.col("a").alias("node")).distinct()
+    )
+    # One document of each wanted node.
+    one = nodes.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
+        F.min(F.struct("k", F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("one")
+    )
+    wanted = stored(members.join(one, "node").select("center", "part", "node", F.col("one.k").alias("k"), F.col("one.doc_id").alias("id")), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    match = (docs["k"] == wanted["k"]) & docs["doc_id"].eqNullSafe(wanted["id"])
+    texts = docs.join(F.broadcast(wanted) if few else wanted, match).select("center", "part", "node", "text")
+    order = [F.col("center"), F.col("part"), F.col("node") != F.col("center"), F.col("node")]
+    sets = texts.mapInArrow(_sets, "center long, part int, node long, shingles binary")
+    return stored(sets.repartition("center", "part").sortWithinPartitions(*order).mapInArrow(_verified, "a long, b long").distinct(), "links")
+
+
+def _central_pairs(shared: DataFrame) -> DataFrame:
+    """Each node (b) with one central node (a) of its buckets, where they share enough to be promising.
+
+    A node is the more central the more other nodes its shingles are shared
+    with, for its size: the text that near copies were made of comes first.
+    """
+    m = shared.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
+    weight = shared.join(m, "token").groupBy("node").agg((F.sum("m") / F.first("n")).alias("weight"))
+    weighed = shared.join(weight, "node")
+    leaders = weighed.groupBy("token").agg(F.max(F.struct("weight", "node", "n")).alias("top")).select("token", "top.*").toDF("token", "a_weight", "a", "a_n")
+    pairs = shared.join(leaders, "token").where("node <> a AND 4 * a_n >= 3 * n AND 4 * n >= 3 * a_n")
+    counted = pairs.groupBy("node", "a").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("a_weight").alias("weight"))
+    return counted.where("3 * c >= n DIV 4 + 1").groupBy("node").agg(F.max_by("a", F.struct("weight", "c", "a")).alias("a")).select("a", F.col("node").alias("b"))
 
 
 def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -252,19 +308,10 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = stored(keyed.mapInArrow(_nodes, f"doc_id {id_type}, k long, node long, n long, point binary"), "nodes")
     tokens = keyed.select("text").mapInArrow(_prefixes, "token long, node long, n int")
     shared = stored(
-        tokens.repartition("token").sortWithinPartitions("token", "n", "node")
-        .mapInArrow(_shared, "token long, node long, n int, prev long, prev_n int"),
+        tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, n int"),
         "shared",
     )
-    # Each node with the node before it that shares most; sizes must allow similarity.
-    near = (
-        shared.where("4 * prev_n >= 3 * n").groupBy("node", "prev").agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("node").agg(F.max_by("prev", F.struct("c", "prev")).alias("prev"))
-        .select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b")).distinct()
-    )
-    points = stored(nodes.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("point").alias("point")), "points")
-    bounded = near.join(points.toDF("a", "point_a"), "a").join(points.toDF("b", "point_b"), "b").mapInArrow(_bounded, "a long, b long")
-    first = _links(keyed, nodes, bounded)
+    first = _links(keyed, nodes, _central_pairs(shared))
     labels = components(first)
 
     # What is left to look for: buckets with several components.
@@ -287,7 +334,9 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("asks", (F.col("m") < FREQUENT) | F.coalesce("full", F.lit(False)))
     )
     asked = rows.where("asks").select("token").distinct()
-    rows = rows.join(asked, "token", "left_semi").join(points, "node").select("token", "node", "n", "label", "asks", "point")
+    rows = stored(rows.join(asked, "token", "left_semi").select("token", "node", "n", "label", "asks"), "open")
+    points = nodes.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("point").alias("point"))
+    rows = rows.join(points, "node").select("token", "node", "n", "label", "asks", "point")
     pairs = (
         rows.repartition("token").sortWithinPartitions("token", "n", "node")
         .mapInArrow(_bucket_pairs, "a long, b long").distinct()
