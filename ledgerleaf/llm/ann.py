@@ -8,8 +8,10 @@ how many leaves it visits is calibrated: on held-out queries whose true
 neighbours are found by brute force, visits widen until the recall is reached.
 
 Equal vectors are filed once, with as many of their ids (the smallest) as a
-result can hold, so a very common vector is one row. Leaves are cut into blocks
-and the queries of a leaf into parts, so no task holds more than one of each.
+result can hold, so a very common vector is one row. Leaves stand on shelves of
+bounded size, large leaves are cut over several, and the queries that visit a
+shelf are cut into parts, so no task holds more than one of each; of a shelf,
+each query is compared with the leaves it visits and gives ``k`` rows on.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from ledgerleaf.llm.common import stored
 #: Vectors the tree is fitted on, and held-out queries it is calibrated with; both at most.
 SAMPLE, HELD_OUT = 20_000, 200
 LEAF_ROWS, BRANCHES = 400, 8
-BLOCK_ROWS, PART_QUERIES = 4096, 2048
+SHELF_ROWS, PART_QUERIES = 16_384, 2048
 RECALL = 0.97
 
 
@@ -194,57 +196,91 @@ def _calibrate(filed: DataFrame, held: list, tree: Tree, shared_tree, counts: np
     return int(np.argmax(np.cumsum(reached) / len(truth) >= min(recall, 1.0) - 1e-9)) or 1
 
 
-def _walk(tree, counts: np.ndarray, blocks: np.ndarray, at_least: int, rows: int, dimension: int):
-    """Queries -> one row for each leaf they visit and each block of it."""
+def shelves(rows: np.ndarray) -> list[list[int]]:
+    """The shelves of every leaf: several small leaves share one, a large one has several of its own."""
+    out: list[list[int]] = []
+    last, held = -1, SHELF_ROWS
+    for n in rows.tolist():
+        if n > SHELF_ROWS:
+            own = -(-n // SHELF_ROWS)
+            out.append(list(range(last + 1, last + 1 + own)))
+            last, held = last + own, SHELF_ROWS
+            continue
+        if held + n > SHELF_ROWS:
+            last, held = last + 1, 0
+        held += n
+        out.append([last])
+    return out
+
+
+def _walk(tree, counts: np.ndarray, places: list[list[int]], at_least: int, rows: int, dimension: int):
+    """Queries -> one row for each shelf they visit, with the leaves they visit there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             distance = _distances(_ask(_matrix(batch.column("vector"), dimension), tree.value.longest), tree.value.centers)
-            row, leaf, block = [], [], []
+            row, shelf, leaves = [], [], []
             for i in range(batch.num_rows):
-                for at in visits(tree.value, distance[i], counts, at_least, rows):
-                    for b in range(blocks[at]):
-                        row.append(i)
-                        leaf.append(at)
-                        block.append(b)
+                seen: dict[int, list[int]] = {}
+                for leaf in visits(tree.value, distance[i], counts, at_least, rows):
+                    for place in places[leaf]:
+                        seen.setdefault(place, []).append(leaf)
+                row += [i] * len(seen)
+                shelf += seen
+                leaves += seen.values()
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf, pa.int32()), pa.array(block, pa.int32()), batch.column("query_id").take(take), batch.column("vector").take(take)],
-                ["leaf", "block", "query_id", "vector"],
+                [pa.array(shelf, pa.int32()), pa.array(leaves, pa.list_(pa.int32())), batch.column("query_id").take(take), batch.column("vector").take(take)],
+                ["shelf", "leaves", "query_id", "vector"],
             )
 
     return run
 
 
 def _compare(dimension: int, k: int):
-    """A part of a leaf's queries against a block of its vectors -> the best ``k`` ids of each query."""
+    """A part of a shelf's queries against its vectors -> the best ``k`` ids of each query."""
     empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
-    def run(queries: pa.Table, block: pa.Table) -> pa.Table:
-        if not queries.num_rows or not block.num_rows:
+    def run(queries: pa.Table, shelf: pa.Table) -> pa.Table:
+        if not queries.num_rows or not shelf.num_rows:
             return empty
-        q, x = _matrix(queries.column("vector"), dimension), _matrix(block.column("vector"), dimension)
-        own, rid, ids = np.asarray(queries.column("query_id")), np.asarray(block.column("rid")), block.column("ids").to_pylist()
+        q, x = _matrix(queries.column("vector"), dimension), _matrix(shelf.column("vector"), dimension)
+        own, rid, ids = np.asarray(queries.column("query_id")), np.asarray(shelf.column("rid")), shelf.column("ids").to_pylist()
+        leaf = np.asarray(shelf.column("leaf"))
+        visitors: dict[int, list[int]] = {}
+        for i, leaves in enumerate(queries.column("leaves").to_pylist()):
+            for at in leaves:
+                visitors.setdefault(at, []).append(i)
+        near: list[list[np.ndarray]] = [[] for _ in range(len(q))]
+        for at, asking in visitors.items():
+            rows = np.flatnonzero(leaf == at)
+            if not len(rows):
+                continue
+            # A few more than asked for, so that rounding at the edge does not matter; equal vectors are one row.
+            width = min(k + 9, len(rows))
+            for first in range(0, len(asking), 256):
+                some = asking[first:first + 256]
+                best = np.argpartition(-(q[some] @ x[rows].T), width - 1, axis=1)[:, :width]
+                for i, picked in zip(some, best):
+                    near[i].append(rows[picked])
         out_q, out_v, out_s = [], [], []
-        # A few more than asked for, so that rounding at the edge does not matter; equal vectors are one row.
-        width = min(k + 9, len(x))
-        for first in range(0, len(q), 256):
-            rough = q[first:first + 256] @ x.T
-            near = np.argpartition(-rough, width - 1, axis=1)[:, :width]
-            for i, rows in enumerate(near, first):
-                exact = (x[rows] * q[i]).sum(axis=1)
-                left = k
-                for at in np.lexsort((rid[rows], -exact)):
-                    for v in ids[rows[at]]:
-                        if v != own[i] and left:
-                            left -= 1
-                            out_q.append(own[i])
-                            out_v.append(v)
-                            out_s.append(exact[at])
-                    if not left:
-                        break
+        for i, found in enumerate(near):
+            if not found:
+                continue
+            rows = np.concatenate(found)
+            exact = (x[rows] * q[i]).sum(axis=1)
+            left = k
+            for at in np.lexsort((rid[rows], -exact)):
+                for v in ids[rows[at]]:
+                    if v != own[i] and left:
+                        left -= 1
+                        out_q.append(own[i])
+                        out_v.append(v)
+                        out_s.append(exact[at])
+                if not left:
+                    break
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
     return run
@@ -288,23 +324,21 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, recall: float = RE
     for row in filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("ids")).collect():  # one row a leaf
         rows[row["leaf"]], held_ids[row["leaf"]] = row["n"], row["ids"]
     at_least = _calibrate(filed, held, tree, shared_tree, held_ids, dimension, k, recall)
-    blocks = np.maximum(1, -(-rows // BLOCK_ROWS))
+    places = shelves(rows)
     asked = clean.where(queries).select(F.col("vec_id").alias("query_id"), "vector").dropDuplicates(["query_id"])
     walks = stored(
-        asked.mapInArrow(_walk(shared_tree, held_ids, blocks, at_least, k + 1, dimension), "leaf int, block int, query_id long, vector array<double>"), "walks"
+        asked.mapInArrow(_walk(shared_tree, held_ids, places, at_least, k + 1, dimension), "shelf int, leaves array<int>, query_id long, vector array<double>"), "walks"
     )
-    parts = {r["leaf"]: -(-r["n"] // PART_QUERIES) for r in walks.where("block = 0").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shape = spark.createDataFrame([(leaf, int(blocks[leaf]), n) for leaf, n in parts.items()], "leaf int, blocks int, parts int")
-    # One row a leaf, as the tree itself.
-    cut = lambda df, key, by: df.join(F.broadcast(shape), "leaf").withColumn("own", F.pmod(F.xxhash64(key), by).cast("int"))
+    parts = {r["shelf"]: -(-r["n"] // PART_QUERIES) for r in walks.groupBy("shelf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # One row a leaf and one a shelf; shelves are as many as leaves, or as blocks of the large ones.
+    of_leaf = spark.createDataFrame([(leaf, own[0], len(own)) for leaf, own in enumerate(places)], "leaf int, shelf int, blocks int")
+    of_shelf = spark.createDataFrame(list(parts.items()), "shelf int, parts int")
+    mine = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
+    candidates = filed.join(F.broadcast(of_leaf), "leaf").withColumn("shelf", F.col("shelf") + mine).join(F.broadcast(of_shelf), "shelf")
     sides = (
-        cut(walks, "query_id", F.col("parts")).select("leaf", "block", F.col("own").alias("part"), "query_id", "vector"),
-        cut(filed, "rid", F.col("blocks")).select(
-            "leaf", F.col("own").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rid", "ids", "vector"
-        ),
-    )
-    near = sides[0].groupBy("leaf", "block", "part").cogroup(sides[1].groupBy("leaf", "block", "part")).applyInArrow(
-        _compare(dimension, k), "query_id long, vec_id long, score double"
+        walks.join(F.broadcast(of_shelf), "shelf").select("shelf", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part"), "leaves", "query_id", "vector"),
+        candidates.select("shelf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "leaf", "rid", "ids", "vector"),
     )
+    near = sides[0].groupBy("shelf", "part").cogroup(sides[1].groupBy("shelf", "part")).applyInArrow(_compare(dimension, k), "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
