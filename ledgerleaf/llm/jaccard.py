@@ -196,15 +196,34 @@ def level_join(points: list[bytes], n: np.ndarray, label: np.ndarray, asks: np.n
 
 
 def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets (rows sorted by token, n) -> pairs a, b that the tree leaves."""
+    """Buckets (rows sorted by token, n) -> pairs a, b that the tree leaves.
+
+    A row holds the tokens of all buckets its node is in, ``rare`` and
+    ``often``: a pair is given out in the bucket of its smallest common rare
+    token, else of its smallest frequent one, so once.
+    """
+
+    def first_common(x: np.ndarray, y: np.ndarray) -> int | None:
+        both = np.intersect1d(x, y, assume_unique=True)
+        return int(both[0]) if len(both) else None
     kept: list[pa.RecordBatch] = []
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         t, v, n, label, asks = (np.asarray(table.column(c)) for c in ("token", "node", "n", "label", "asks"))
-        points = table.column("point").to_pylist()
+        points, frequent = table.column("point").to_pylist(), table.column("frequent").to_pylist()
+        rare, often = ([np.asarray(own.values) for chunk in table.column(c).chunks for own in chunk] for c in ("rare", "often"))
+
+        def here(x: int, y: int) -> bool:
+            token = first_common(rare[x], rare[y])
+            if token is not None:
+                return not frequent[x] and token == t[x]
+            return frequent[x] and first_common(often[x], often[y]) == t[x]
+
         a, b, first, size = [], [], 0, 0
         for end in (np.flatnonzero(np.append(t[1:] != t[:-1], True)) + 1).tolist():
             i, j = level_join(points[first:end], n[first:end], label[first:end], asks[first:end])
+            once = np.array([here(x, y) for x, y in zip((first + i).tolist(), (first + j).tolist())], bool)
+            i, j = i[once], j[once]
             x, y = v[first + i], v[first + j]
             a.append(np.minimum(x, y))
             b.append(np.maximum(x, y))
@@ -269,7 +288,7 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     pairs = stored(pairs, "candidates")
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
-    stars = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / STAR)).cast("int").alias("part"))
+    stars = stored(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / STAR)).cast("int").alias("part")), "stars")
     members = stars.select(F.col("a").alias("center"), "part", F.col("b").alias("node")).union(
         stars.select(F.col("a").alias("center"), "part", F.col("a").alias("node")).distinct()
     )
@@ -334,9 +353,12 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("asks", (F.col("m") < FREQUENT) | F.coalesce("full", F.lit(False)))
     )
     asked = rows.where("asks").select("token").distinct()
-    rows = stored(rows.join(asked, "token", "left_semi").select("token", "node", "n", "label", "asks"), "open")
+    rows = stored(rows.join(asked, "token", "left_semi").select("token", "node", "n", "label", "asks", (F.col("m") >= FREQUENT).alias("frequent")), "open")
     points = nodes.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("point").alias("point"))
-    rows = rows.join(points, "node").select("token", "node", "n", "label", "asks", "point")
+    # At most as many tokens as the node's prefix has.
+    some = lambda which: F.array_sort(F.collect_list(F.when(which, F.col("token"))))
+    lists = rows.groupBy("node").agg(some(~F.col("frequent")).alias("rare"), some(F.col("frequent")).alias("often"))
+    rows = rows.join(points, "node").join(lists, "node").select("token", "node", "n", "label", "asks", "frequent", "point", "rare", "often")
     pairs = (
         rows.repartition("token").sortWithinPartitions("token", "n", "node")
         .mapInArrow(_bucket_pairs, "a long, b long").distinct()
