@@ -31,7 +31,7 @@ from tokenizers import Tokenizer
 from ledgerleaf.session import scratch_path
 
 BLOCK_BYTES = 32 << 20
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 19
 
 #: First character of a listed word: of a special token, of any other word.
 SPECIAL, ORDINARY = "s", "o"
