@@ -19,6 +19,7 @@ import re
 import unicodedata
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
@@ -290,25 +291,29 @@ def _texts_from_words(pieces, emit: Callable) -> Callable[[pa.Table, pa.Table],
 
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
         if not block.num_rows:
-            return emit(None, [], [], [])
+            return emit(None, [], np.empty(0, np.uint32), np.zeros(1, np.int64), [])
         piece = pieces.value
-        order = np.argsort(np.asarray(words.column("at")))
         kind = id_kind(max(piece) + 1)
-        ids = [np.frombuffer(x, kind) for x in words.column("ids").take(pa.array(order)).to_pylist()]
-        decoded = [b"".join([piece[i] for i in x.tolist()]) for x in ids]
+        # All ids in one array, and where each word's begin; as single arrays they would take ten times the memory.
+        packed = words.column("ids").combine_chunks().take(pa.array(np.argsort(np.asarray(words.column("at")))))
+        offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset:packed.offset + len(packed) + 1]
+        ids = np.frombuffer(packed.buffers()[2] or b"", kind)
+        bounds = offsets.astype(np.int64) // np.dtype(kind).itemsize
+        decoded = [b"".join([piece[i] for i in ids[a:b].tolist()]) for a, b in pairwise(bounds.tolist())]
         planes = np.frombuffer(zstandard.decompress(block.column("places")[0].as_py()), np.uint8)
         places = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).reshape(-1)
+        del planes
         counts = np.asarray(block.column("counts").chunk(0).values)
         ends = np.cumsum(counts)
         docs = block.column("docs").chunk(0).flatten()
-        return emit(docs, [places[e - n:e] for e, n in zip(ends.tolist(), counts.tolist())], ids, decoded)
+        return emit(docs, [places[e - n:e] for e, n in zip(ends.tolist(), counts.tolist())], ids, bounds, decoded)
 
     return run
 
 
-def _digests(docs, places, ids, decoded) -> pa.Table:
-    listed = [b"".join([b"%d," % i for i in x.tolist()]) for x in ids]
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+def _digests(docs, places, ids, bounds, decoded) -> pa.Table:
+    listed = [b"".join([b"%d," % i for i in ids[a:b].tolist()]) for a, b in pairwise(bounds.tolist())]
+    sizes = np.diff(bounds)
     tokens, coded, texts = [], [], []
     for p in places:
         words = p.tolist()
@@ -320,8 +325,15 @@ def _digests(docs, places, ids, decoded) -> pa.Table:
     return pa.table(columns | {"n_tokens": pa.array(tokens, pa.int64()), "ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(texts, pa.string())})
 
 
-def _id_lists(docs, places, ids, decoded) -> pa.Table:
-    flat = [np.concatenate([ids[i] for i in p.tolist()] or [np.empty(0, np.uint16)]).astype(np.int32) for p in places]
+def _id_lists(docs, places, ids, bounds, decoded) -> pa.Table:
+    sizes = np.diff(bounds)
+
+    def gathered(p: np.ndarray) -> np.ndarray:
+        own = sizes[p]
+        step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        return ids[np.repeat(bounds[:-1][p], own) + step].astype(np.int32)
+
+    flat = [gathered(p) for p in places]
     columns = dict(zip((f.name for f in docs.type), docs.flatten())) if docs is not None else {}
     sizes = [len(x) for x in flat]
     offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
