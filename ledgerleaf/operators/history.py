@@ -349,7 +349,8 @@ def flatten_event_table(events: DataFrame, max_depth: int = 10_000, salt: int =
 # Texts of a trace that name things and stay as they are.
 KEPT_KEYS = ("run_id", "turn_id", "id", "parent_event_id", "agent", "type", "model", "status", "role", "scene")
 
-_STRING = r'"(?:[^"\\\\]|\\\\.)*"'
+#: Possessive, so that long texts are matched in a loop and not by recursion.
+_STRING = r'"(?:[^"\\]++|\\(?s:.))*+"'
 #: A key with its text, a key, a text, or what stands between.
 _JSON_PARTS = rf'{_STRING}\s*:\s*{_STRING}|{_STRING}\s*:|{_STRING}|[^"]+|"'
 

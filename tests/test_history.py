@@ -151,3 +151,15 @@ def test_stored_traces_are_masked_but_keep_their_ids(spark):
     assert kept["events"][0]["summary_in"] == "138****8000" and kept["events"][0]["children"][0]["summary_out"] == "***@b.com"
     assert plain == "text 138****8000"
     assert json.loads(h.redact_runs(df, record_events=False).first().trace)["events"] == []
+
+
+def test_escaped_values_of_stored_traces_are_masked(spark):
+    values = [
+        'say "mail a@b.com" now', 'call "13800138000"', json.dumps({"reply": "mail a@b.com, call 13800138000"}), 'a\\"13800138000"', '"a@b.com\\',
+        'long "13800138000" ' + 'x "y" \\ ' * 20_000 + "z " * 50_000 + ' "a@b.com"',
+    ]
+    rows = [("r", json.dumps(dict(TRACE, final_result=v, events=[{"type": "user", "summary_in": v}]), ensure_ascii=False)) for v in values]
+    got = [json.loads(r.trace) for r in h.redact_runs(spark.createDataFrame(rows, "reply string, trace string").coalesce(1)).collect()]
+    for value, trace in zip(values, got):
+        masked = value.replace("a@b.com", "***@b.com").replace("13800138000", "138****8000")
+        assert trace["final_result"] == masked and trace["events"][0]["summary_in"] == masked
