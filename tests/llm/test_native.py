@@ -185,6 +185,20 @@ def test_licenses(spark):
     assert all(got[i] == (0, "") for i in (3, 4, 5, 6))
 
 
+def test_licenses_inside_texts(spark):
+    def wrapped(text, width=9):
+        words = text.split(" ")
+        return "\n * ".join(" ".join(words[i:i + width]) for i in range(0, len(words), width))
+
+    known = dict((name, text) for name, text in licenses.TEMPLATES)
+    prose = "\n".join(f"line {i} of the code, which is in the middle of a long document" for i in range(80))
+    texts = [f"{prose}\n{wrapped(known[name])}\n{prose}" for name in ("mit", "bsd", "isc", "cc-by-4.0", "cc-by-sa-4.0")]
+    texts += [f"{prose}\n{wrapped(licenses.TEMPLATES[1][1])}\n{prose}", "Released under the MIT License. See LICENSE for details.", prose]
+    texts += [f"Made by us. {known['cc-by-4.0']} Parts by others: {known['cc-by-sa-4.0']} Thanks"]
+    got = {r.doc_id: r.licenses for r in licenses.license_report(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert [got[i] for i in range(9)] == ["mit", "bsd", "isc", "cc-by-4.0", "cc-by-sa-4.0", "apache-2.0", "mit", "", "cc-by-4.0,cc-by-sa-4.0"]
+
+
 def test_size_bounds_leave_no_match_out():
     for n in range(1, 200):
         low, high = licenses.size_bounds(n, 0.75)
