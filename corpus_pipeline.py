@@ -20,8 +20,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without boilerplate lines; those left without a word go. ``n_chars`` follows the text."""
-    cleaned = lines.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Documents without boilerplate lines of any length; those left without a word go. ``n_chars`` follows the text."""
+    cleaned = lines.drop_boilerplate(docs, min_words=1).withColumn("n_chars", F.length("text").cast("long"))
     return cleaned.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 

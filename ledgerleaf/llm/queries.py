@@ -136,9 +136,9 @@ FROM voted JOIN verdicts USING (pattern)
 
 
 def op4_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document after cross-site boilerplate removal, with digest and length of its text."""
+    """Every document after cross-site boilerplate removal, lines of any length, with digest and length of its text."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return lines.drop_boilerplate(docs).select(
+    return lines.drop_boilerplate(docs, min_words=1).select(
         "doc_id", "lines_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256")
     )
 

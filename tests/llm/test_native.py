@@ -8,7 +8,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import ledger, licenses, lines, mixing, quality, sharding
+import corpus_pipeline
+from ledgerleaf.llm import ledger, licenses, lines, mixing, quality, queries, sharding
 
 WORDS = "one two three four five six seven eight nine ten "
 LONG = "word " * 50_000
@@ -117,6 +118,16 @@ def test_boilerplate(spark):
     assert got[(100, "")] == 2
 
 
+def test_short_boilerplate_lines_go_from_query_and_pipeline(spark, tmp_path):
+    rows = [(i, f"text of {i} alone\nShare this page\n版权所有不得转载本站全部内容\nÉtc\n \n", f"s{i % 12}", "en", 9) for i in range(24)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.lines_removed, r.text_sha256) for r in queries.op4_site_spread(spark, str(tmp_path)).collect()}
+    left = {i: t if i == 0 else f"text of {i} alone\n \n" for i, t, *_ in rows}
+    assert got == {i: (3 if i else 0, hashlib.sha256(left[i].encode()).hexdigest()) for i in left}
+    cleaned = corpus_pipeline.drop_boilerplate(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert {r.doc_id: r.text for r in cleaned.collect()} == left
+
+
 def test_lines_of_odd_rows(odd):
     out = lines.drop_boilerplate(odd)
     assert out.columns == [*odd.columns, "lines_removed"] and out.count() == len(ODD)
