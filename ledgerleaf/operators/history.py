@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ledgerleaf.functions.redact import redact_text
 from ledgerleaf.functions.text import strip, to_epoch_ms, truncate_title
 from ledgerleaf.operators.ordering import rank_in_group
-from ledgerleaf.schemas import CONVERSATION_DATA, EVENT, EVENT_DEPTH, EVENT_FIELDS, TRACE
+from ledgerleaf.schemas import CONVERSATION_DATA, EVENT, EVENT_FIELDS, TRACE
 from ledgerleaf.session import cut_lineage
 
 _NO_NULLS = {"ignoreNullFields": "false"}
@@ -173,21 +173,39 @@ def get_session(
 
 
 # ---------------------------------------------------------------- events inside a record
-def flatten_nodes(events: Column, levels: int = EVENT_DEPTH, depth: int = 0) -> Column:
-    """Nested events, depth first, as ``array<struct<depth, ...event fields>>``."""
+def flatten_nodes(events: Column) -> Column:
+    """JSON texts of nested events, depth first, as ``array<struct<depth, ...event fields>>``.
 
-    def node(e: Column) -> Column:
-        return F.struct(F.lit(depth).alias("depth"), *[e[name].alias(name) for name in EVENT_FIELDS])
+    One round per level opens the events of that level. A row has no more levels
+    than the deepest of its texts has brackets, so the rounds end by themselves.
+    """
+    entry = T.StructType([T.StructField("depth", T.IntegerType()), T.StructField("e", EVENT)])
+    none = F.array().cast(T.ArrayType(entry))
+
+    def read(texts: Column, depth: Column) -> Column:
+        return F.transform(texts, lambda t: F.struct(depth.cast("int").alias("depth"), F.from_json(t, EVENT).alias("e")))
+
+    def open_level(state: Column, depth: Column) -> Column:
+        below = lambda x: F.when(x["depth"] == depth, F.coalesce(read(x["e"]["children"], depth + 1), none)).otherwise(none)
+        return F.flatten(F.transform(state, lambda x: F.concat(F.array(x), below(x))))
+
+    def node(x: Column) -> Column:
+        return F.struct(x["depth"].alias("depth"), *[x["e"][name].alias(name) for name in EVENT_FIELDS])
 
-    if levels == 1:
-        return F.transform(events, node)
+    levels = F.coalesce(F.array_max(F.transform(events, _json_depth)), F.lit(0))
+    opened = F.aggregate(F.sequence(F.lit(0), levels), read(events, F.lit(0)).cast(T.ArrayType(entry)), open_level)
+    return F.transform(opened, node)
 
-    def with_children(e: Column) -> Column:
-        below = flatten_nodes(e["children"], levels - 1, depth + 1)
-        none = F.array().cast(_flat_type())
-        return F.concat(F.array(node(e)), F.coalesce(below, none))
 
-    return F.flatten(F.transform(events, with_children))
+def _json_depth(text: Column) -> Column:
+    """How deep arrays are nested in a JSON text."""
+    brackets = F.split(F.regexp_replace(F.regexp_replace(text, _STRING, ""), r"[^\[\]]", ""), "")
+    step = lambda s, c: F.struct(
+        (s["now"] + F.when(c == "[", 1).when(c == "]", -1).otherwise(0)).alias("now"),
+        F.greatest(s["most"], s["now"] + F.when(c == "[", 1).otherwise(0)).alias("most"),
+    )
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(F.coalesce(brackets, F.array().cast("array<string>")), zero, step, lambda s: s["most"])
 
 
 def _flat_type() -> T.DataType:
@@ -303,14 +321,14 @@ def build_trace_events(results: DataFrame) -> DataFrame:
     return rows.select("run_id", "seq", "e.*", "created_at")
 
 
-def flatten_event_table(events: DataFrame, max_depth: int = 10_000, salt: int = 4) -> DataFrame:
+def flatten_event_table(events: DataFrame, salt: int = 4) -> DataFrame:
     """``(run_id, id, parent_id, seq)`` -> adds ``root_id``, ``depth`` and ``path``.
 
     An event without a known parent is a root. ``path`` lists the ``seq`` of all
     ancestors, so sorting by it is depth-first order. One join per level, between
     the frontier and the events still without a place; a parent with very many
     children is spread by a salt on its children, and further by adaptive execution. Events on a cycle never get a
-    place and are left out.
+    place and are left out; so do events below a repeated id of their own ancestors.
     """
     slot = F.pmod(F.xxhash64("id"), F.lit(salt))
     slots = F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_slot")
@@ -322,23 +340,25 @@ def flatten_event_table(events: DataFrame, max_depth: int = 10_000, salt: int =
     )
     placed = linked.filter(F.col("_known").isNull()).select(
         "run_id", "id", "parent_id", "seq", F.col("id").alias("root_id"), F.lit(0).alias("depth"),
-        F.array("seq").alias("path"),
+        F.array("seq").alias("path"), F.array("id").alias("_ids"),
     )
     children = linked.filter(F.col("_known").isNotNull()).drop("_known")
-    levels, frontier = [placed], placed
-    for depth in range(1, max_depth + 1):
+    levels, frontier, depth = [placed.drop("_ids")], placed, 0
+    while True:
+        depth += 1
         parents = frontier.select(
-            "run_id", F.col("id").alias("parent_id"), "root_id", F.col("path").alias("_above"), slots
+            "run_id", F.col("id").alias("parent_id"), "root_id", F.col("path").alias("_above"), "_ids", slots
         )
         frontier = cut_lineage(
-            children.join(parents, ["run_id", "parent_id", "_slot"]).select(
+            children.join(parents, ["run_id", "parent_id", "_slot"]).where(~F.array_contains("_ids", F.col("id"))).select(
                 "run_id", "id", "parent_id", "seq", "root_id", F.lit(depth).alias("depth"),
                 F.array_append("_above", F.col("seq")).alias("path"),
+                F.array_append("_ids", F.col("id")).alias("_ids"),
             )
         )
         if frontier.isEmpty():
             break
-        levels.append(frontier)
+        levels.append(frontier.drop("_ids"))
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
@@ -580,9 +600,20 @@ def render_export(details: DataFrame) -> DataFrame:
 
 
 def export_json(details: DataFrame) -> DataFrame:
-    """The same as JSON text; absent values stay as null."""
-    body = F.struct("conversation_id", "meta", "messages", "trace", "has_trace")
-    return details.select("conversation_id", F.to_json(body, _NO_NULLS).alias("document"))
+    """The same as JSON text; absent values stay as null. Events are written as they are stored, at any depth."""
+    head = F.struct("conversation_id", "meta", "messages")
+
+    def run(t: Column) -> Column:
+        fields = F.to_json(F.struct(*[t[f.name].alias(f.name) for f in TRACE.fields if f.name != "events"]), _NO_NULLS)
+        events = F.concat(F.lit("["), F.array_join(t["events"], ",", "null"), F.lit("]"))
+        return F.concat(F.substring(fields, F.lit(1), F.length(fields) - 1), F.lit(',"events":'), F.coalesce(events, F.lit("null")), F.lit("}"))
+
+    runs = F.coalesce(F.concat(F.lit("["), F.array_join(F.transform("trace", run), ","), F.lit("]")), F.lit("null"))
+    start = F.to_json(head, _NO_NULLS)
+    document = F.concat(
+        F.substring(start, F.lit(1), F.length(start) - 1), F.lit(',"trace":'), runs, F.lit(',"has_trace":'), F.col("has_trace").cast("string"), F.lit("}")
+    )
+    return details.select("conversation_id", document.alias("document"))
 
 
 def review_context(details: DataFrame) -> DataFrame:

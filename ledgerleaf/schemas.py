@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-EVENT_DEPTH = 6  # levels of nested events a stored record may hold
-
-
-def _event_type(levels: int) -> T.StructType:
-    fields = [
+#: One event of a stored trace; ``children`` are the JSON texts of the events below it, so nothing limits the levels.
+EVENT = T.StructType(
+    [
         T.StructField("id", T.LongType()),
         T.StructField("parent_event_id", T.LongType()),
         T.StructField("agent", T.StringType()),
@@ -19,14 +17,10 @@ def _event_type(levels: int) -> T.StructType:
         T.StructField("tokens", T.LongType()),
         T.StructField("duration_ms", T.LongType()),
         T.StructField("created_at", T.LongType()),
+        T.StructField("children", T.ArrayType(T.StringType())),
     ]
-    if levels > 1:
-        fields.append(T.StructField("children", T.ArrayType(_event_type(levels - 1))))
-    return T.StructType(fields)
-
-
-EVENT = _event_type(EVENT_DEPTH)
-EVENT_FIELDS = [f.name for f in _event_type(1).fields]
+)
+EVENT_FIELDS = [f.name for f in EVENT.fields if f.name != "children"]
 
 TRACE = T.StructType(
     [
@@ -38,7 +32,7 @@ TRACE = T.StructType(
         T.StructField("duration_ms", T.LongType()),
         T.StructField("total_tokens", T.LongType()),
         T.StructField("final_result", T.StringType()),  # JSON text
-        T.StructField("events", T.ArrayType(EVENT)),
+        T.StructField("events", T.ArrayType(T.StringType())),  # JSON text of each root
     ]
 )
 

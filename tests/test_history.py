@@ -163,3 +163,26 @@ def test_escaped_values_of_stored_traces_are_masked(spark):
     for value, trace in zip(values, got):
         masked = value.replace("a@b.com", "***@b.com").replace("13800138000", "138****8000")
         assert trace["final_result"] == masked and trace["events"][0]["summary_in"] == masked
+
+
+def test_events_of_any_depth_are_read(spark):
+    def nested(depth, last):
+        return {"type": "step", "agent": f"a{depth}", "summary_out": f"out [{depth}]", "more": {"k": [depth]}, "children": [nested(depth + 1, last)] if depth < last else []}
+
+    events = [nested(0, 40), {"type": "rag_hit", "agent": "z", "summary_out": "second root"}]
+    talk = [{"role": "assistant", "content": "c", "trace": dict(TRACE, events=events)}]
+    df = spark.createDataFrame([record(1, 1, talk)], REC)
+    flat = h.turn_detail(df).first().events
+    assert [(e.depth, e.agent) for e in flat] == [(i, f"a{i}") for i in range(41)] + [(0, "z")]
+    detail = h.session_detail(df)
+    assert json.loads(detail.first().trace[0].events[0]) == events[0]
+    document = json.loads(h.export_json(detail).first().document)
+    assert document["trace"][0]["events"] == events and document["trace"][0]["run_id"] == TRACE["run_id"] and document["has_trace"] is True
+    assert "  " * 40 + "- [step] a40" in h.render_export(detail).first().document
+    assert "- [step/a40] out [40]" in h.review_context(detail).first().context
+
+
+def test_event_tree_ends_where_a_repeated_id_closes_a_circle(spark):
+    rows = [("r", "a", None, 0), ("r", "b", "a", 1), ("r", "a", "b", 2), ("r", "c", "b", 3)]
+    got = h.flatten_event_table(spark.createDataFrame(rows, "run_id string, id string, parent_id string, seq long"))
+    assert sorted((r.id, r.depth) for r in got.collect()) == [("a", 0), ("b", 1), ("c", 2)]
