@@ -34,7 +34,9 @@ def normalized_texts(spark, sf):
 
 
 def detoxed_documents(spark, sf):
-    return gov.detox_filter(table(spark, sf, "documents"), table(spark, sf, "labels"), TERMS).select("doc_id")
+    """Without labelled toxic documents, those with one of ``TERMS``, and unlabelled ones with a term that the labels mark as toxic."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    return gov.detox_unlabelled(gov.detox_filter(docs, labels, TERMS), labels, gov.toxic_terms(docs, labels)).select("doc_id")
 
 
 def deduped_documents(spark, sf):

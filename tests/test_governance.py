@@ -43,3 +43,24 @@ def test_rollback_asks_for_new_data_after_three_drops(spark):
     got = gov.rollback(spark.createDataFrame(rows, "label string, round int, metric double, allocation int")).orderBy("round").collect()
     assert [r.regenerate for r in got] == [False, False, False, True, False]
     assert [r.effective for r in got] == [0, 0, 10, 20, 40]
+
+
+def test_terms_that_labels_mark_reach_unlabelled_documents(spark):
+    rows = [(i, f"text {i % 7} {'SCUM!' if i % 4 == 0 else 'good'} everywhere") for i in range(200)] + [(900, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.where("doc_id < 100").selectExpr("doc_id", "CAST(doc_id % 4 = 0 AS INT) AS toxic")
+    terms = gov.toxic_terms(docs, labels)
+    assert [tuple(r) for r in terms.collect()] == [("scum", 25, 0)]
+    left = {r.doc_id for r in gov.detox_unlabelled(gov.detox_filter(docs, labels, ("idiot",)), labels, terms).collect()}
+    assert left == {i for i in range(200) if i % 4} | {900}
+
+
+def test_recall_of_terms_on_labels_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    fitted, held_out = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    asked = docs.join(held_out, "doc_id")
+    left = gov.detox_unlabelled(asked, fitted, gov.toxic_terms(docs, fitted))
+    share = {r.toxic: r["count"] for r in left.groupBy("toxic").count().collect()}
+    total = {r.toxic: r["count"] for r in asked.groupBy("toxic").count().collect()}
+    print("left", share, "of", total)
+    assert 1 - share[1] / total[1] >= 0.65 and 1 - share[0] / total[0] <= 0.01
