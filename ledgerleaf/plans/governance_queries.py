@@ -43,6 +43,13 @@ def deduped_documents(spark, sf):
     return gov.dedup(table(spark, sf, "documents")).select("doc_id")
 
 
+def near_deduped_documents(spark, sf):
+    """Of the documents that exact dedup leaves, one of each component of near duplicates: that with the smallest id."""
+    from ledgerleaf.llm import jaccard  # the corpus operators may be absent
+
+    return jaccard.keep_one_of_each(gov.dedup(table(spark, sf, "documents"))).select("doc_id")
+
+
 def benchmark_overlaps(spark, sf):
     return gov.benchmark_overlap(table(spark, sf, "documents"), table(spark, sf, "benchmark"), N)
 
@@ -148,7 +155,7 @@ def truncated_texts(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        assigned_labels, normalized_texts, detoxed_documents, deduped_documents, benchmark_overlaps, decontaminated_documents, answer_consistency,
+        assigned_labels, normalized_texts, detoxed_documents, deduped_documents, near_deduped_documents, benchmark_overlaps, decontaminated_documents, answer_consistency,
         stratified_documents, final_documents, passes_at_k, difficulty, loss, attributed_gaps, allocated_budget, rolled_back, scorecard, fit_samples,
         composition, overlong_dropped, truncated_texts,
     )

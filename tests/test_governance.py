@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerleaf.operators import governance as gov
+from ledgerleaf.plans import governance_queries
 
 
 def test_pass_at_k_leaves_short_problems_out(spark):
@@ -64,3 +65,12 @@ def test_recall_of_terms_on_labels_held_out(spark):
     total = {r.toxic: r["count"] for r in asked.groupBy("toxic").count().collect()}
     print("left", share, "of", total)
     assert 1 - share[1] / total[1] >= 0.65 and 1 - share[0] / total[0] <= 0.01
+
+
+def test_near_copies_go(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, long), (2, long + " more"), (3, long.upper()), (4, "another text of its own that nobody has"), (5, None), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    of = lambda query: {r.doc_id for r in query(spark, str(tmp_path)).collect()}
+    assert of(governance_queries.deduped_documents) == {1, 2, 4, 5, 6}
+    assert of(governance_queries.near_deduped_documents) == {1, 4, 5, 6}
