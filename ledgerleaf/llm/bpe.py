@@ -3,8 +3,8 @@
 Texts are split into words in Spark tasks and written as blocks: the distinct
 words of the block, and the documents as positions in that list. Each distinct
 word of the corpus is encoded once; the ids return to the blocks by a join on
-the word and to the documents by position. Pieces are found by a join of the
-words' ids with the vocabulary, and texts are decoded from the pieces.
+the word and to the documents by position. Where texts are decoded, a dictionary
+of the vocabulary gives the pieces of each word; ``decode`` joins ids with it.
 
 A block is bounded in bytes (one longer text makes a block of its own), so
 memory does not depend on the corpus or on how often a word or text occurs.
