@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerleaf.llm import ann, bpe, jaccard, ledger, licenses, lines, mixing, quality, sharding, suffixes
+from ledgerleaf.llm import ann, balls, bpe, jaccard, ledger, licenses, lines, mixing, quality, sharding, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -309,7 +311,48 @@ def op7_suffix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removal_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and quantisation error of every vector."""
+    made = balls.ball_codes(_table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(map(str, made.codebooks.ravel().tolist())).encode()).hexdigest()
+    return balls.with_label_error(made.rows).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256")
+    )
+
+
+def _op13_sql() -> str:
+    """Every round over all entries, in whole numbers."""
+    rounds = ""
+    for k in range(balls.ROUNDS + 1):
+        rounds += f""",
+near{k} AS MATERIALIZED (
+    SELECT r, p, min((d, e)) AS best FROM (
+        SELECT r, p, e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT AS d
+        FROM cut JOIN book{k} USING (p)) GROUP BY r, p)"""
+        if k < balls.ROUNDS:
+            rounds += f""",
+means{k} AS (
+    SELECT p, e, list(floor_div ORDER BY i) AS c FROM (
+        SELECT p, e, i, (s - ((s % n) + n) % n) // n AS floor_div FROM (
+            SELECT p, best[2] AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n
+            FROM cut JOIN near{k} USING (r, p), (SELECT unnest(range(1, w + 1)) AS i FROM width) GROUP BY 1, 2, 3)) GROUP BY p, e),
+book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN means{k} m USING (p, e))"""
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor({balls.SCALE} * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+width AS MATERIALIZED (SELECT any_value(len(v)) // {balls.PARTS} AS w FROM kept),
+cut AS MATERIALIZED (SELECT r, p, v[p * w + 1:(p + 1) * w] AS x FROM kept, width, (SELECT unnest(range({balls.PARTS})) AS p)),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM cut WHERE r <= {balls.ENTRIES}){rounds},
+coded AS (SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM near{balls.ROUNDS} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+    (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{balls.ROUNDS}) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
+
 QUERIES = {
+    "op13_ball_codes": op13_ball_codes,
     "op7_suffix_shards": op7_suffix_shards,
     "op3_kmeans_tree": op3_kmeans_tree,
     "op6_license_dice": op6_license_dice,
@@ -323,6 +366,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op13_ball_codes": _op13_sql(),
     "op6_license_dice": _op6_sql(),
     "op5_blob_ledger": _op5_sql(),
     "op10_prefix_sum_shards": OP10_SQL,
