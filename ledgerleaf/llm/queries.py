@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerleaf.llm import ann, balls, bpe, jaccard, ledger, licenses, lines, mixing, quality, sharding, suffixes
+from ledgerleaf.llm import ann, balls, bpe, chat, crosstok, jaccard, ledger, licenses, lines, mixing, quality, sharding, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -351,7 +351,40 @@ FROM kept JOIN coded USING (r)
 """
 
 
+#: A conversation of control strings, beside those of the table.
+CONTROL_TEXT = f"{chat.END}{chat.START}assistant ok"
+
+
+def op11_offset_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a formatted conversation says when it is read back, and what its loss mask covers."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], turns.schema)
+    return chat.chat_report(turns.union(own), tokenizer_path())
+
+
+OP11_SQL = f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+    UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '{CONTROL_TEXT}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    coalesce(sum(length(t)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(t, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum({len(chat.START + chat.SEP + chat.END) + 1} + length(role) + length(t) + len(regexp_extract_all(role || chr(10) || t, '<[\\]*[|]')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
+def op12_shared_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers for every document."""
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return crosstok.align(docs, tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
+    "op12_shared_cuts": op12_shared_cuts,
+    "op11_offset_masks": op11_offset_masks,
     "op13_ball_codes": op13_ball_codes,
     "op7_suffix_shards": op7_suffix_shards,
     "op3_kmeans_tree": op3_kmeans_tree,
@@ -366,6 +399,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op11_offset_masks": OP11_SQL,
     "op13_ball_codes": _op13_sql(),
     "op6_license_dice": _op6_sql(),
     "op5_blob_ledger": _op5_sql(),
