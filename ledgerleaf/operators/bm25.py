@@ -55,27 +55,46 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("mult"))
 
 
-def bm25_score(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``(query_id, chunk_id, score)`` of every chunk that holds a query word.
+def bm25_score(
+    queries: DataFrame, corpus: DataFrame, candidates: DataFrame | None = None, n: int | None = None,
+    avgdl: float | None = None, stats: DataFrame | None = None,
+) -> DataFrame:
+    """``(query_id, chunk_id, score)`` of the ``candidates`` (query_id, chunk_id), else of every chunk that holds a query word.
 
     Chunks not listed score 0. The statistics are those of ``corpus`` as given,
-    so filter it first. Only postings of asked words reach the joins.
+    so filter it first; known ones (``n``, ``avgdl``, ``stats`` with term and df)
+    can be passed in. Without candidates there is a row for each pair that shares
+    a word, which grows with both sides: give candidates where only some count.
     """
     indexed = corpus if "terms" in corpus.columns else index_terms(corpus)
-    size = indexed.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = F.lit(float(size["n"])), F.lit(float(size["avgdl"] or 1.0) or 1.0)
+    if n is None or avgdl is None:
+        size = indexed.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+        n, avgdl = size["n"], float(size["avgdl"] or 1.0) or 1.0
+    size, mean = F.lit(float(n)), F.lit(avgdl)
     asked = query_terms(queries)
+    part = lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
     words = asked.select("term").distinct()
+    if stats is None:
+        held = indexed.select(F.explode("terms").alias("term")).join(words, "term", "left_semi")
+        stats = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weights = asked.join(stats, "term").select("query_id", "term", (F.col("mult") * idf(size, F.col("df"))).alias("weight"))
+    if candidates is not None:
+        # A query's words are as many as its text holds; the sum is taken inside the row.
+        of_query = weights.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"))
+        pairs = candidates.join(indexed.select("chunk_id", "dl", "terms", "tfs"), "chunk_id").join(of_query, "query_id")
+        tf = F.map_from_arrays("terms", "tfs")
+        shared = F.array_intersect(F.map_keys("weights"), "terms")
+        score = F.aggregate(
+            F.transform(shared, lambda t: F.element_at("weights", t) * part(F.element_at(F.col("counts"), t), F.col("dl"))), F.lit(0.0), lambda a, x: a + x
+        )
+        return pairs.withColumn("counts", tf).select("query_id", "chunk_id", score.alias("score"))
     postings = (
         indexed.select("chunk_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("entry"))
         .select("chunk_id", "dl", F.col("entry.terms").alias("term"), F.col("entry.tfs").alias("tf"))
         .join(words, "term", "left_semi")
     )
-    stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = asked.join(stats, "term").select("query_id", "term", (F.col("mult") * idf(n, F.col("df"))).alias("weight"))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     return (
         postings.join(weights, "term")
         .groupBy("query_id", "chunk_id")
-        .agg(F.sum(F.col("weight") * part).alias("score"))
+        .agg(F.sum(F.col("weight") * part(F.col("tf"), F.col("dl"))).alias("score"))
     )

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerleaf.functions.text import fixed_point
-from ledgerleaf.operators.recall import MAX_QUERIES, _score_block, in_blocks
+from ledgerleaf.operators.recall import recall
 from ledgerleaf.session import cut_lineage
 
 RECALL_FACTOR = 3  # fixed value: each route recalls this many times top_k
@@ -88,23 +88,17 @@ def rerank(candidates: DataFrame, queries: DataFrame, reranker: Reranker, top_k:
     return texted.groupBy("query_id").applyInPandas(run, schema).filter(F.col("rank") <= top_k)
 
 
-MAX_LOCAL = 50_000  # ranked rows that may pass through the driver
+MAX_LOCAL = 50_000  # ranked rows that are broadcast to the corpus; more of them are joined by a shuffle
 
 
-def _settled(ranked: DataFrame, top_k: int) -> tuple[DataFrame, bool]:
-    """The ranking computed once, although each corpus looks its chunks up in it.
+def _with_metadata(ranked: DataFrame, public: DataFrame, personal: DataFrame | None) -> DataFrame:
+    """Passage columns for the ranked chunks; each corpus is read once, its texts for ranked ids only.
 
-    A block ranks at most ``MAX_QUERIES * top_k`` rows. Up to ``MAX_LOCAL`` they
-    become a local table that is safe to broadcast, beyond it they are written out.
+    The ranking is written once, although each corpus looks its chunks up in it;
+    its size decides how the ids get to the corpus.
     """
-    if MAX_QUERIES * top_k <= MAX_LOCAL:
-        return ranked.sparkSession.createDataFrame(ranked.collect(), ranked.schema), True
-    return cut_lineage(ranked), False
-
-
-def _with_metadata(ranked: DataFrame, top_k: int, public: DataFrame, personal: DataFrame | None) -> DataFrame:
-    """Passage columns for the ranked chunks; each corpus is read once, without a shuffle."""
-    ranked, small = _settled(ranked, top_k)
+    ranked = cut_lineage(ranked)
+    small = ranked.count() <= MAX_LOCAL
     frames = [("public", public)] + ([("personal", personal)] if personal is not None else [])
     out = None
     for name, corpus in frames:
@@ -138,15 +132,12 @@ def hybrid_search(
     both corpora are scaled and ranked together.
     """
 
-    def block(part: DataFrame) -> DataFrame:
-        found = _score_block(part, public, personal, top_k * RECALL_FACTOR, True, True, keep_undated)
-        fused = fuse(_pivot_routes(found), vec_weight)
-        kept = top_k * RECALL_FACTOR if reranker else top_k
-        ranked = _ranked(fused, kept).select("query_id", "corpus", "chunk_id", "score", "rank")
-        passages = _with_metadata(ranked, kept, public, personal)
-        return rerank(passages, part, reranker, top_k) if reranker else passages
-
-    return in_blocks(queries, block)
+    found = recall(queries, public, personal, top_k * RECALL_FACTOR, keep_undated=keep_undated)
+    fused = fuse(_pivot_routes(found), vec_weight)
+    kept = top_k * RECALL_FACTOR if reranker else top_k
+    ranked = _ranked(fused, kept).select("query_id", "corpus", "chunk_id", "score", "rank")
+    passages = _with_metadata(ranked, public, personal)
+    return rerank(passages, queries, reranker, top_k) if reranker else passages
 
 
 def hybrid_search_full(
@@ -158,13 +149,8 @@ def hybrid_search_full(
     best fused scores per task. Undated chunks pass the date bound by default.
     """
 
-    def block(part: DataFrame) -> DataFrame:
-        found = _score_block(
-            part, public, None, top_k, True, True, keep_undated, full=True, vec_weight=vec_weight
-        )
-        return _with_metadata(found.drop("route"), top_k, public, None)
-
-    return in_blocks(queries, block)
+    found = recall(queries, public, k=top_k, keep_undated=keep_undated, full=True, vec_weight=vec_weight)
+    return _with_metadata(found.drop("route"), public, None)
 
 
 def personal_corpus(docs: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
-"""Exact recall of the best chunks for a batch of queries in one corpus scan.
-
-Each task keeps, per query, only its best ``k`` chunks of each route while it
-streams over the corpus in Arrow batches: a matrix product for the vector route
-and a sparse product for BM25. So a scan shuffles ``k`` rows per query and task,
-however large the corpus is, and no (query, chunk) pair ever leaves a task.
-
-The query batch is what gets broadcast, and its size is checked: larger query
-tables are worked off in blocks, one corpus scan per block, each block's result
-written to the shared folder.
+"""Exact recall of the best chunks for a table of queries, as one plan.
+
+Queries stay a table. They are gathered into blocks of bounded size and the
+corpus into packs of rows; every pack meets every block once, in a grid that
+Spark lays over its tasks (packs of one corpus partition x some blocks). A task
+keeps, per query, only its best ``k`` chunks of each route: a matrix product for
+the vector route and a sparse product for BM25. So ``k`` rows per query and task
+are shuffled, however large the corpus is, no (query, chunk) pair leaves a task,
+and the number of jobs does not depend on the number of queries.
+
+BM25 statistics and score bounds are earlier rounds over the same grid, whose
+sums are joined to the blocks.
 """
 
 from __future__ import annotations
@@ -21,14 +23,16 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerleaf.functions.text import domain_tags, strip, tokenize
 from ledgerleaf.operators.bm25 import B, K1, index_terms
 from ledgerleaf.session import cut_lineage
 
-MAX_QUERIES = 512  # per broadcast block
-MAX_TEXT = 1_000_000  # characters of query text per broadcast block
+MAX_QUERIES = 512  # per block
+MAX_TEXT = 1_000_000  # characters of query text per block
+PACK_ROWS = 1024  # rows of the corpus in one pack
 RANK_DIGITS = 10  # scores closer than this are ties, decided by chunk id
 
 
@@ -47,14 +51,6 @@ def metadata_prefilter(
     return chunks
 
 
-class _Query(NamedTuple):
-    query_id: object
-    vector: np.ndarray
-    words: Counter
-    public_scope: int
-    user_scope: int | None
-
-
 class _Pair(NamedTuple):
     """One query against one scope: a filtered public corpus, or a user's chunks."""
 
@@ -64,71 +60,93 @@ class _Pair(NamedTuple):
     words: Counter
 
 
-# ---------------------------------------------------------------- blocks of queries
-def in_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``run`` over the whole query table, in blocks that are safe to broadcast."""
+# ---------------------------------------------------------------- the grid
+def query_blocks(queries: DataFrame) -> DataFrame:
+    """``(block, asked)``: the queries in lists of about ``MAX_QUERIES`` at most, written once."""
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("query_text")).alias("chars")).first()
-    blocks = max(1, math.ceil(size["n"] / MAX_QUERIES), math.ceil((size["chars"] or 0) / MAX_TEXT))
-    if blocks == 1:
-        return run(queries)
-    block_of = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
-    parts = [cut_lineage(run(queries.filter(block_of == number))) for number in range(2 * blocks)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _collect(queries: DataFrame) -> tuple[list[_Query], list[tuple], list]:
-    """The block's queries, its distinct public filters and its distinct users."""
+    count = max(1, math.ceil(size["n"] / MAX_QUERIES), math.ceil((size["chars"] or 0) / MAX_TEXT))
     for name in ("domain", "effective_after", "user_id"):
         if name not in queries.columns:
             queries = queries.withColumn(name, F.lit(None).cast("string"))
-    rows = queries.select(
-        "query_id", "query_vec", tokenize(F.col("query_text")).alias("words"), "domain", "effective_after", "user_id"
-    ).collect()
-    filters = list(dict.fromkeys((r["domain"], r["effective_after"]) for r in rows))
-    users = list(dict.fromkeys(r["user_id"] for r in rows if r["user_id"] is not None))
-    made = [
-        _Query(
-            r["query_id"],
-            np.asarray(r["query_vec"] if r["query_vec"] is not None else [], dtype=np.float64),
-            Counter(r["words"] or []),
-            filters.index((r["domain"], r["effective_after"])),
-            None if r["user_id"] is None else len(filters) + users.index(r["user_id"]),
-        )
-        for r in rows
-    ]
-    return made, filters, users
+    asked = F.struct(
+        "query_id", F.col("query_vec").cast("array<double>").alias("vector"), tokenize(F.col("query_text")).alias("words"),
+        "domain", "effective_after", F.col("user_id").cast("string").alias("user_id"),
+    )
+    dealt = queries.select(F.pmod(F.monotonically_increasing_id(), F.lit(count)).cast("int").alias("block"), asked.alias("asked"))
+    # The list is bounded by the number of blocks chosen above.
+    return cut_lineage(dealt.groupBy("block").agg(F.collect_list("asked").alias("asked")))
 
 
-def _public_scopes(corpus: DataFrame, filters: list[tuple], keep_undated: bool) -> DataFrame:
-    for name in ("domain", "effective_date"):
+def corpus_packs(corpus: DataFrame, vectors: bool, words: bool) -> DataFrame:
+    """``(pack)``: up to ``PACK_ROWS`` rows of the corpus as one Arrow message, with the columns that scoring reads."""
+    for name in ("domain", "effective_date", "user_id"):
         if name not in corpus.columns:
             corpus = corpus.withColumn(name, F.lit("").cast("string"))
-    if len(filters) == 1:
-        return metadata_prefilter(corpus, *filters[0], keep_undated).withColumn("_scopes", F.array(F.lit(0)))
-    known = F.array(
-        *[
-            F.struct(F.lit(i).alias("no"), F.lit(d).cast("string").alias("tag"), F.lit(a).cast("string").alias("after"))
-            for i, (d, a) in enumerate(filters)
-        ]
-    )
-    tags = domain_tags(F.col("domain"))
-    date = F.col("effective_date")
-
-    def admits(rule: Column) -> Column:
-        dated = F.coalesce(date >= rule["after"], F.lit(False))
-        if keep_undated:
-            dated = dated | (strip(F.coalesce(date, F.lit(""))) == "")
-        return (rule["tag"].isNull() | F.array_contains(tags, rule["tag"])) & (rule["after"].isNull() | dated)
-
-    scopes = F.transform(F.filter(known, admits), lambda rule: rule["no"])
-    return corpus.withColumn("_scopes", scopes).filter(F.size("_scopes") > 0)
+    columns = [F.col("chunk_id"), domain_tags(F.col("domain")).alias("tags"), F.col("effective_date").alias("date")]
+    columns += [(strip(F.coalesce(F.col("effective_date"), F.lit(""))) == "").alias("undated"), F.col("user_id").cast("string").alias("user_id")]
+    columns += [F.col("embedding")] if vectors else []
+    columns += [F.col("dl"), F.col("terms"), F.col("tfs")] if words else []
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACK_ROWS):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.slice(at, PACK_ROWS))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["pack"])
+
+    return corpus.select(*columns).mapInArrow(pack, "pack binary")
+
+
+class _Asked:
+    """A block as a task uses it: its pairs, and which rows of a pack each scope holds."""
+
+    def __init__(self, rows: list[dict], personal: bool, keep_undated: bool) -> None:
+        self.personal, self.keep_undated = personal, keep_undated
+        if personal:
+            rows = [r for r in rows if r["user_id"] is not None]
+            self.scopes = list(dict.fromkeys(r["user_id"] for r in rows))
+            scope_of = lambda r: self.scopes.index(r["user_id"])
+        else:
+            self.scopes = list(dict.fromkeys((r["domain"], r["effective_after"]) for r in rows))
+            scope_of = lambda r: self.scopes.index((r["domain"], r["effective_after"]))
+        self.pairs = [
+            _Pair(r["query_id"], scope_of(r), np.asarray(r["vector"] if r["vector"] is not None else [], dtype=np.float64), Counter(r["words"] or []))
+            for r in rows
+        ]
 
-def _user_scopes(corpus: DataFrame, users: list, offset: int) -> DataFrame:
-    """Chunks of the asked users only; the lookup has one row per asked user."""
-    schema = T.StructType([corpus.schema["user_id"], T.StructField("_scope", T.IntegerType())])
-    lookup = corpus.sparkSession.createDataFrame([(u, offset + i) for i, u in enumerate(users)], schema)
-    return corpus.join(F.broadcast(lookup), "user_id").withColumn("_scopes", F.array("_scope")).drop("_scope")
+    def rows_of(self, pack: pa.RecordBatch) -> dict[int, np.ndarray]:
+        if self.personal:
+            owner = pc.index_in(pack.column("user_id"), value_set=pa.array(self.scopes, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
+            return {int(s): np.flatnonzero(owner == s) for s in np.unique(owner[owner >= 0])}
+        tags, found = pack.column("tags"), {}
+        for number, (tag, after) in enumerate(self.scopes):
+            inside = np.ones(pack.num_rows, dtype=bool)
+            if tag is not None:
+                hit = pc.equal(tags.flatten(), tag).to_numpy(zero_copy_only=False).astype(bool)
+                inside = np.bincount(pc.list_parent_indices(tags).to_numpy()[hit], minlength=pack.num_rows) > 0
+            if after is not None:
+                dated = pc.greater_equal(pack.column("date"), after).fill_null(False).to_numpy(zero_copy_only=False)
+                if self.keep_undated:
+                    dated = dated | pack.column("undated").to_numpy(zero_copy_only=False)
+                inside &= dated
+            if inside.any():
+                found[number] = np.flatnonzero(inside)
+        return found
+
+
+def _met(batches: Iterator[pa.RecordBatch], prepare: Callable[[dict], object]) -> Iterator[tuple[int, object, pa.RecordBatch]]:
+    """Every (block number, what ``prepare`` makes of the block, pack) of a task's part of the grid."""
+    ready: dict[int, object] = {}
+    for batch in batches:
+        blocks = batch.column("block").to_pylist()
+        others = [c for c in batch.schema.names if c not in ("pack", "block")]
+        for i, number in enumerate(blocks):
+            if number not in ready:
+                ready[number] = prepare({c: batch.column(c)[i].as_py() for c in others})
+            with pa.ipc.open_stream(batch.column("pack")[i].as_buffer()) as message:
+                for pack in message:
+                    yield number, ready[number], pack
 
 
 # ---------------------------------------------------------------- statistics
@@ -147,70 +165,66 @@ def _word_numbers(batch: pa.RecordBatch, vocabulary: list[str]) -> tuple[np.ndar
     return pc.list_parent_indices(words).to_numpy()[place], number[place].astype(np.int64), place
 
 
-def _scopes_of(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
-    """Scope -> row numbers."""
-    column = batch.column("scopes")
-    owner = pc.list_parent_indices(column).to_numpy()
-    scope = column.flatten().to_numpy(zero_copy_only=False)
-    return {int(s): owner[scope == s] for s in np.unique(scope)}
+def _scope_stats(grid: DataFrame, personal: bool, keep_undated: bool) -> DataFrame:
+    """``(block, stats)``: chunk count, total length and document frequencies of each block's scopes.
 
-
-def _scope_stats(corpus: DataFrame, pairs: list[_Pair]) -> dict[int, _ScopeStats]:
-    """Chunk count, mean length and document frequencies of each scope, in one scan.
-
-    Tasks count their own rows; what is summed up and collected has at most one
-    row per scope and asked word (number -1 carries the scope's totals).
+    Tasks count their own rows; what is summed up has at most one row per block,
+    scope and asked word (the null word carries the scope's totals).
     """
-    asked: dict[int, set[str]] = defaultdict(set)
-    for pair in pairs:
-        asked[pair.scope].update(pair.words)
-    vocabulary = sorted(set().union(*asked.values())) if asked else []
-    place = {w: i for i, w in enumerate(vocabulary)}
-    wanted = {s: np.array(sorted(place[w] for w in ws), dtype=np.int64) for s, ws in asked.items()}
+
+    def prepare(row: dict):
+        asked = _Asked(row["asked"], personal, keep_undated)
+        by_scope: dict[int, set[str]] = defaultdict(set)
+        for pair in asked.pairs:
+            by_scope[pair.scope].update(pair.words)
+        vocabulary = sorted(set().union(*by_scope.values())) if by_scope else []
+        place = {w: i for i, w in enumerate(vocabulary)}
+        return asked, vocabulary, {s: np.array(sorted(place[w] for w in ws), dtype=np.int64) for s, ws in by_scope.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows_in: Counter = Counter()
-        words_in: Counter = Counter()
-        df_in: dict[int, np.ndarray] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            row_of, number, _place = _word_numbers(batch, vocabulary)
-            dl = batch.column("dl").to_numpy(zero_copy_only=False)
-            for scope, rows in _scopes_of(batch).items():
-                if scope not in wanted:
-                    continue
-                inside = np.zeros(batch.num_rows, dtype=bool)
+        totals: dict[tuple[int, int], list[int]] = {}
+        df_in: dict[tuple[int, int], np.ndarray] = {}
+        known: dict[int, tuple] = {}
+        for block, made, pack in _met(batches, prepare):
+            asked, vocabulary, wanted = known.setdefault(block, made)
+            row_of, number, _place = _word_numbers(pack, vocabulary)
+            dl = pack.column("dl").to_numpy(zero_copy_only=False)
+            for scope, rows in asked.rows_of(pack).items():
+                inside = np.zeros(pack.num_rows, dtype=bool)
                 inside[rows] = True
-                rows_in[scope] += len(rows)
-                words_in[scope] += int(dl[rows].sum())
                 counts = np.bincount(number[inside[row_of]], minlength=len(vocabulary))[wanted[scope]]
-                df_in[scope] = df_in[scope] + counts if scope in df_in else counts
-        for scope, df in df_in.items():
+                at = block, scope
+                old = totals.get(at, [0, 0])
+                totals[at] = [old[0] + len(rows), old[1] + int(dl[rows].sum())]
+                df_in[at] = df_in[at] + counts if at in df_in else counts
+        for (block, scope), df in df_in.items():
+            _asked, vocabulary, wanted = known[block]
             seen = np.flatnonzero(df)
             size = len(seen) + 1
+            n, dl = totals[block, scope]
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array([block] * size, pa.int32()),
                     pa.array([scope] * size, pa.int32()),
-                    pa.array([-1, *wanted[scope][seen].tolist()], pa.int32()),
-                    pa.array([rows_in[scope], *df[seen].tolist()], pa.int64()),
-                    pa.array([words_in[scope]] + [0] * len(seen), pa.int64()),
+                    pa.array([None, *(vocabulary[i] for i in wanted[scope][seen])], pa.string()),
+                    pa.array([n, *df[seen].tolist()], pa.int64()),
+                    pa.array([dl] + [0] * len(seen), pa.int64()),
                 ],
-                names=["scope", "word", "n", "dl"],
+                names=["block", "scope", "word", "n", "dl"],
             )
 
-    counted = (
-        corpus.select(F.col("_scopes").alias("scopes"), "dl", "terms")
-        .mapInArrow(run, "scope int, word int, n long, dl long")
-        .groupBy("scope", "word")
-        .agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"))
-        .collect()
-    )
+    counted = grid.mapInArrow(run, "block int, scope int, word string, n long, dl long")
+    summed = counted.groupBy("block", "scope", "word").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"))
+    # One entry for each scope and asked word of a block.
+    return summed.groupBy("block").agg(F.collect_list(F.struct("scope", "word", "n", "dl")).alias("stats"))
+
+
+def _stats_of(rows: list[dict] | None) -> dict[int, _ScopeStats]:
     df: dict[int, dict[str, int]] = defaultdict(dict)
-    for r in counted:
-        if r["word"] >= 0:
-            df[r["scope"]][vocabulary[r["word"]]] = r["n"]
-    return {r["scope"]: _ScopeStats(r["n"], r["dl"] / r["n"], df[r["scope"]]) for r in counted if r["word"] < 0}
+    for r in rows or []:
+        if r["word"] is not None:
+            df[r["scope"]][r["word"]] = r["n"]
+    return {r["scope"]: _ScopeStats(r["n"], r["dl"] / r["n"], df[r["scope"]]) for r in rows or [] if r["word"] is None}
 
 
 # ---------------------------------------------------------------- the scan
@@ -242,7 +256,7 @@ class _TopK:
 
 
 class _Scorer:
-    """Both scores of every pair over one Arrow batch."""
+    """Both scores of every pair over one pack."""
 
     def __init__(self, pairs: list[_Pair], stats: dict[int, _ScopeStats], vectors: bool, words: bool) -> None:
         self.pairs, self.vectors, self.words = pairs, vectors, words
@@ -265,7 +279,7 @@ class _Scorer:
         norms = [float(np.linalg.norm(p.vector)) for p in pairs]
         self.units = [p.vector / n if n > 0 else p.vector for p, n in zip(pairs, norms)]
 
-    def __call__(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray | None, np.ndarray | None]]:
+    def __call__(self, batch: pa.RecordBatch, scopes: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray | None, np.ndarray | None]]:
         """Yields (pair number, row numbers, vector scores, word scores)."""
         count = batch.num_rows
         if self.vectors:
@@ -281,7 +295,7 @@ class _Scorer:
             by_term = np.argsort(term_no, kind="stable")
             start = np.searchsorted(term_no[by_term], np.arange(len(self.vocabulary) + 1))
             row_by_term = row_of[by_term]
-        for scope, rows in _scopes_of(batch).items():
+        for scope, rows in scopes.items():
             members = self.by_scope.get(scope)
             if not members:
                 continue
@@ -304,13 +318,6 @@ class _Scorer:
                 yield no, rows, similar, lexical
 
 
-def _scan_frame(corpus: DataFrame, vectors: bool, words: bool) -> DataFrame:
-    columns = [F.col("chunk_id"), F.col("_scopes").alias("scopes")]
-    columns += [F.col("embedding")] if vectors else []
-    columns += [F.col("dl"), F.col("terms"), F.col("tfs")] if words else []
-    return corpus.select(*columns)
-
-
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
     column = batch.column("chunk_id")
     if pa.types.is_integer(column.type):
@@ -318,37 +325,48 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=str)
 
 
-def _local_top(scorer: _Scorer, k: int, ranges: dict | None, vec_weight: float):
+def _prepared(personal: bool, keep_undated: bool, vectors: bool, words: bool) -> Callable[[dict], tuple]:
+    def prepare(row: dict) -> tuple:
+        asked = _Asked(row["asked"], personal, keep_undated)
+        # Without the word route only the scopes are needed, and no statistics.
+        stats = _stats_of(row["stats"]) if words else {p.scope: _ScopeStats(1, 1.0, {}) for p in asked.pairs}
+        ranges = {r["pair"]: (r["low_v"], r["high_v"], r["low_b"], r["high_b"]) for r in row.get("ranges") or []}
+        return asked, _Scorer(asked.pairs, stats, vectors, words), ranges
+
+    return prepare
+
+
+def _local_top(prepare: Callable[[dict], tuple], k: int, full: bool, vec_weight: float, query_type: pa.DataType, id_type: pa.DataType):
     """The task function: best k per pair and route, or per pair by fused score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops: dict[tuple[int, str], _TopK] = {}
-        id_type = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            id_type = batch.column("chunk_id").type
-            ids = _ids(batch)
-            for no, rows, similar, lexical in scorer(batch):
-                if ranges is None:
-                    routes = {"vector": similar, "bm25": lexical}
-                else:
+        tops: dict[tuple[int, int, str], _TopK] = {}
+        pairs: dict[int, list[_Pair]] = {}
+        for block, (asked, scorer, ranges), pack in _met(batches, prepare):
+            pairs[block] = asked.pairs
+            ids = _ids(pack)
+            for no, rows, similar, lexical in scorer(pack, asked.rows_of(pack)):
+                if full:
                     low_v, high_v, low_b, high_b = ranges[no]
                     fused = vec_weight * _scale(similar, low_v, high_v) + (1 - vec_weight) * _scale(lexical, low_b, high_b)
                     routes = {"fused": np.round(fused, RANK_DIGITS)}
+                else:
+                    routes = {"vector": similar, "bm25": lexical}
                 for route, scores in routes.items():
                     if scores is not None:
-                        tops.setdefault((no, route), _TopK(k)).add(scores, ids[rows])
-        for (no, route), top in tops.items():
+                        tops.setdefault((block, no, route), _TopK(k)).add(scores, ids[rows])
+        for (block, no, route), top in tops.items():
             size = len(top.scores)
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array([block] * size, pa.int32()),
                     pa.array([no] * size, pa.int32()),
+                    pa.array([pairs[block][no].query_id] * size, query_type),
                     pa.array([route] * size, pa.string()),
                     pa.array(top.ids.tolist(), id_type),
                     pa.array(top.scores, pa.float64()),
                 ],
-                names=["pair", "route", "chunk_id", "score"],
+                names=["block", "pair", "query_id", "route", "chunk_id", "score"],
             )
 
     return run
@@ -360,100 +378,61 @@ def _scale(values: np.ndarray, low: float, high: float) -> np.ndarray:
     return (values - low) / (high - low)
 
 
-def _local_range(scorer: _Scorer):
+def _local_range(prepare: Callable[[dict], tuple]):
     """The task function: lowest and highest score per pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, list[float]] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            for no, _rows, similar, lexical in scorer(batch):
+        seen: dict[tuple[int, int], list[float]] = {}
+        for block, (asked, scorer, _ranges), pack in _met(batches, prepare):
+            for no, _rows, similar, lexical in scorer(pack, asked.rows_of(pack)):
                 new = [similar.min(), similar.max(), lexical.min(), lexical.max()]
-                old = seen.get(no, new)
-                seen[no] = [min(old[0], new[0]), max(old[1], new[1]), min(old[2], new[2]), max(old[3], new[3])]
+                old = seen.get((block, no), new)
+                seen[block, no] = [min(old[0], new[0]), max(old[1], new[1]), min(old[2], new[2]), max(old[3], new[3])]
         if seen:
-            table = [pa.array(list(seen), pa.int32())] + [pa.array(list(c), pa.float64()) for c in zip(*seen.values())]
-            yield pa.RecordBatch.from_arrays(table, names=["pair", "low_v", "high_v", "low_b", "high_b"])
+            keys = [pa.array(list(c), pa.int32()) for c in zip(*seen)]
+            table = keys + [pa.array(list(c), pa.float64()) for c in zip(*seen.values())]
+            yield pa.RecordBatch.from_arrays(table, names=["block", "pair", "low_v", "high_v", "low_b", "high_b"])
 
     return run
 
 
-def _score_block(
-    block: DataFrame,
-    public: DataFrame | None,
-    personal: DataFrame | None,
-    k: int,
-    vectors: bool,
-    words: bool,
-    keep_undated: bool,
-    full: bool = False,
-    vec_weight: float = 0.7,
+_RANGES = "block int, pair int, low_v double, high_v double, low_b double, high_b double"
+
+
+def _score_corpus(
+    blocks: DataFrame, corpus: DataFrame, personal: bool, k: int, vectors: bool, words: bool, keep_undated: bool,
+    full: bool, vec_weight: float,
 ) -> DataFrame:
-    """``(query_id, corpus, route, chunk_id, score)``: the best k per query, corpus and route."""
-    spark = block.sparkSession
-    queries, filters, users = _collect(block)
-    parts: list[tuple[str, DataFrame, list[_Pair]]] = []
-    if public is not None and queries:
-        pairs = [_Pair(q.query_id, q.public_scope, q.vector, q.words) for q in queries]
-        parts.append(("public", _public_scopes(public, filters, keep_undated), pairs))
-    if personal is not None and users:
-        pairs = [_Pair(q.query_id, q.user_scope, q.vector, q.words) for q in queries if q.user_scope is not None]
-        parts.append(("personal", _user_scopes(personal, users, len(filters)), pairs))
-    id_type = (public if public is not None else personal).schema["chunk_id"].dataType
-    found: list[DataFrame] = []
-    for name, corpus, pairs in parts:
-        if words and "terms" not in corpus.columns:
-            corpus = index_terms(corpus)
-        # Without the word route only the scopes are needed, and no statistics.
-        stats = (
-            _scope_stats(corpus, pairs)
-            if words
-            else {p.scope: _ScopeStats(1, 1.0, {}) for p in pairs}
-        )
-        scorer = _Scorer(pairs, stats, vectors, words)
-        frame = _scan_frame(corpus, vectors, words)
-        ranges = None
-        if full:
-            spans = frame.mapInArrow(
-                _local_range(scorer), "pair int, low_v double, high_v double, low_b double, high_b double"
-            )
-            spans = spans.groupBy("pair").agg(
-                F.min("low_v").alias("low_v"), F.max("high_v").alias("high_v"),
-                F.min("low_b").alias("low_b"), F.max("high_b").alias("high_b"),
-            )
-            ranges = {r["pair"]: (r["low_v"], r["high_v"], r["low_b"], r["high_b"]) for r in spans.collect()}
-        schema = T.StructType(
-            [
-                T.StructField("pair", T.IntegerType()),
-                T.StructField("route", T.StringType()),
-                T.StructField("chunk_id", id_type),
-                T.StructField("score", T.DoubleType()),
-            ]
+    """The best ``k`` per query and route in one corpus."""
+    if words and "terms" not in corpus.columns:
+        corpus = index_terms(corpus)
+    if personal:
+        # Only chunks of users who ask.
+        users = blocks.select(F.explode("asked.user_id").alias("user_id")).where("user_id is not null").distinct()
+        corpus = corpus.withColumn("user_id", F.col("user_id").cast("string")).join(users, "user_id", "left_semi")
+    packs = corpus_packs(corpus, vectors, words)
+    if words:
+        blocks = blocks.join(_scope_stats(packs.crossJoin(blocks), personal, keep_undated), "block", "left")
+    prepare = _prepared(personal, keep_undated, vectors, words)
+    if full:
+        spans = packs.crossJoin(blocks).mapInArrow(_local_range(prepare), _RANGES).groupBy("block", "pair").agg(
+            F.min("low_v").alias("low_v"), F.max("high_v").alias("high_v"), F.min("low_b").alias("low_b"), F.max("high_b").alias("high_b"),
         )
-        local = frame.mapInArrow(_local_top(scorer, k, ranges, vec_weight), schema)
-        order = W.partitionBy("pair", "route").orderBy(F.desc("score"), F.asc("chunk_id"))
-        best = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        id_schema = T.StructType([T.StructField("pair", T.IntegerType()), block.schema["query_id"]])
-        names = spark.createDataFrame([(no, p.query_id) for no, p in enumerate(pairs)], id_schema)
-        found.append(
-            best.join(F.broadcast(names), "pair").select(
-                "query_id", F.lit(name).alias("corpus"), "route", "chunk_id", "score", "rank"
-            )
-        )
-    if not found:
-        schema = T.StructType(
-            [
-                block.schema["query_id"],
-                T.StructField("corpus", T.StringType()),
-                T.StructField("route", T.StringType()),
-                T.StructField("chunk_id", id_type),
-                T.StructField("score", T.DoubleType()),
-                T.StructField("rank", T.IntegerType()),
-            ]
-        )
-        return spark.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, found)
+        # One entry for each pair of a block.
+        listed = spans.groupBy("block").agg(F.collect_list(F.struct(*spans.columns[1:])).alias("ranges"))
+        blocks = blocks.join(listed, "block", "left")
+    query_type, id_type = blocks.schema["asked"].dataType.elementType["query_id"].dataType, corpus.schema["chunk_id"].dataType
+    schema = T.StructType([
+        *T.StructType.fromDDL("block int, pair int").fields, T.StructField("query_id", query_type), T.StructField("route", T.StringType()),
+        T.StructField("chunk_id", id_type), T.StructField("score", T.DoubleType()),
+    ])
+    local = packs.crossJoin(blocks).mapInArrow(
+        _local_top(prepare, k, full, vec_weight, to_arrow_type(query_type), to_arrow_type(id_type)), schema
+    )
+    order = W.partitionBy("block", "pair", "route").orderBy(F.desc("score"), F.asc("chunk_id"))
+    best = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    name = "personal" if personal else "public"
+    return best.select("query_id", F.lit(name).alias("corpus"), "route", "chunk_id", "score", "rank")
 
 
 def recall(
@@ -464,11 +443,23 @@ def recall(
     vectors: bool = True,
     words: bool = True,
     keep_undated: bool = False,
+    full: bool = False,
+    vec_weight: float = 0.7,
 ) -> DataFrame:
-    """Best ``k`` chunks per query, corpus (public / personal) and route (vector / bm25)."""
-    return in_blocks(
-        queries, lambda block: _score_block(block, public, personal, k, vectors, words, keep_undated)
-    )
+    """Best ``k`` chunks per query, corpus (public / personal) and route (vector / bm25).
+
+    With ``full``, the one route is ``fused``: both scores of all chunks in scope,
+    scaled by their bounds and weighted. Queries without a user see no personal
+    chunks. One plan for all queries; filter the corpus beforehand
+    (``metadata_prefilter``) where all of them share a filter, so that it
+    reaches the scan.
+    """
+    blocks = query_blocks(queries)
+    found = [
+        _score_corpus(blocks, corpus, corpus is personal, k, vectors, words, keep_undated, full, vec_weight)
+        for corpus in (public, personal) if corpus is not None
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:

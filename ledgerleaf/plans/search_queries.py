@@ -14,6 +14,7 @@ from ledgerleaf.operators.recall import (
     bm25_topk, metadata_prefilter, personal_recall as recall_personal, personal_vector_search as search_personal,
     recall, vector_topk,
 )
+from ledgerleaf.operators.postings import blockmax_topk, open_postings, store_postings
 from ledgerleaf.plans import sqlparts as q
 from ledgerleaf.plans.corpus import build_corpus, stored_once
 from ledgerleaf.plans.ingest import ingest_documents
@@ -21,6 +22,7 @@ from ledgerleaf.plans.text_queries import table
 from ledgerleaf.session import scratch_path
 
 AFTER = "2002-01-01"
+_POSTINGS: dict[tuple[str, str], str] = {}
 
 
 # ---------------------------------------------------------------- inputs derived from the tables
@@ -145,6 +147,23 @@ def bm25_top(spark, sf):
     return bm25_topk(_two_filters(spark, sf), _corpus(spark, sf), k=5)
 
 
+def bm25_blockmax_top(spark, sf):
+    """The best chunks of every question from stored postings; few of their blocks are opened."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _POSTINGS:
+        _POSTINGS[at] = scratch_path(spark, "postings")
+        store_postings(_corpus(spark, sf), _POSTINGS[at])
+    return blockmax_topk(_questions(spark, sf), open_postings(spark, _POSTINGS[at]), k=5)
+
+
+def bm25_candidate_scores(spark, sf):
+    """Word scores of the chunks that the vector route found, and of no others."""
+    asked, corpus = _questions(spark, sf), _corpus(spark, sf)
+    near = recall(asked, corpus, k=15, words=False).select("query_id", "chunk_id")
+    scores = bm25_score(asked, corpus, near)
+    return scores.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 # ---------------------------------------------------------------- fusion
 def united_routes(spark, sf):
     found = recall(_questions(spark, sf), _corpus(spark, sf), k=15)
@@ -206,6 +225,7 @@ QUERIES = {
     "embedding_dimensions": embedding_dimensions, "neighbor_cosines": neighbor_cosines,
     "char_hash_vectors": char_hash_vectors, "pooled_vectors": pooled_vectors, "prefiltered_chunks": prefiltered_chunks,
     "vector_top": vector_top, "term_statistics": term_statistics, "bm25_scores": bm25_scores, "bm25_top": bm25_top,
+    "bm25_blockmax_top": bm25_blockmax_top, "bm25_candidate_scores": bm25_candidate_scores,
     "united_routes": united_routes, "scaled_balances": scaled_balances, "hybrid_search": hybrid_search,
     "hybrid_search_filtered": hybrid_search_filtered, "hybrid_search_full": hybrid_search_full,
     "hybrid_search_scoped": hybrid_search_scoped, "hybrid_search_reranked": hybrid_search_reranked,
@@ -323,6 +343,10 @@ ORACLE = {
     "bm25_scores": f"{_WHOLE_SCORES} SELECT query_id, chunk_id, round(b, 6) AS score FROM lexical",
     "bm25_top": f"""WITH RECURSIVE {_PUBLIC}, {_ASKED_TWICE}, {_scores(_ONE)}, {_routes(5)}
         SELECT query_id, chunk_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM best WHERE route = 'bm25'""",
+    "bm25_blockmax_top": f"""WITH RECURSIVE {_PUBLIC}, {_ASKED}, {_scores(_ONE)}, {_routes(5)}
+        SELECT query_id, chunk_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM best WHERE route = 'bm25'""",
+    "bm25_candidate_scores": f"""WITH RECURSIVE {_PUBLIC}, {_ASKED}, {_scores(_ONE)}, {_routes(15)}
+        SELECT b.query_id, b.chunk_id, round(s.bm, 6) AS score FROM best b JOIN scored s USING (query_id, chunk_id) WHERE route = 'vector'""",
     "united_routes": f"""WITH RECURSIVE {_PUBLIC}, {_ASKED}, {_scores(_ONE)}, {_routes(15)}
         SELECT query_id, chunk_id, round(max(CASE WHEN route = 'vector' THEN score END), 4) AS vec_score,
           round(max(CASE WHEN route = 'bm25' THEN score END), 4) AS bm25_score FROM best GROUP BY 1, 2""",
