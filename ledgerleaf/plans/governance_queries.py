@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerleaf.operators import governance as gov
+from ledgerleaf.operators import governance as gov, neardup
 from ledgerleaf.plans.text_queries import table
 
-TERMS = ("idiot", "stupid", "moron")
 N = 8
 _PAIRS = [(s, t) for i, s in enumerate(gov.SCENES) for j, t in enumerate(gov.TASKS) if (i + j) % 3]
 
@@ -34,9 +33,9 @@ def normalized_texts(spark, sf):
 
 
 def detoxed_documents(spark, sf):
-    """Without labelled toxic documents, those with one of ``TERMS``, and unlabelled ones with a term that the labels mark as toxic."""
+    """Without labelled toxic documents, and unlabelled ones with a term that the labels mark as toxic."""
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    return gov.detox_unlabelled(gov.detox_filter(docs, labels, TERMS), labels, gov.toxic_terms(docs, labels)).select("doc_id")
+    return gov.detox_unlabelled(gov.detox_filter(docs, labels, ()), labels, gov.toxic_terms(docs, labels)).select("doc_id")
 
 
 def deduped_documents(spark, sf):
@@ -45,9 +44,7 @@ def deduped_documents(spark, sf):
 
 def near_deduped_documents(spark, sf):
     """Of the documents that exact dedup leaves, one of each component of near duplicates: that with the smallest id."""
-    from ledgerleaf.llm import jaccard  # the corpus operators may be absent
-
-    return jaccard.keep_one_of_each(gov.dedup(table(spark, sf, "documents"))).select("doc_id")
+    return neardup.near_dedup(gov.dedup(table(spark, sf, "documents"))).select("doc_id")
 
 
 def benchmark_overlaps(spark, sf):
@@ -200,9 +197,27 @@ ORACLE = {
     "assigned_labels": f"""WITH {_PLACED}, valid(scene, task) AS (VALUES {", ".join(f"('{s}', '{t}')" for s, t in _PAIRS)})
         SELECT doc_id, CASE WHEN v.scene IS NOT NULL THEN p.scene || '/' || p.task END AS label FROM placed p LEFT JOIN valid v USING (scene, task)""",
     "normalized_texts": f"SELECT doc_id, md5({_normal('text')}) AS digest FROM documents",
-    "detoxed_documents": f"""SELECT doc_id FROM documents WHERE NOT regexp_matches(lower(text), '(^|[^a-z])({"|".join(TERMS)})([^a-z]|$)')
-        AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+    "detoxed_documents": """
+        WITH judged AS (SELECT doc_id, max(toxic) AS toxic FROM labels WHERE toxic IS NOT NULL GROUP BY doc_id),
+        worded AS MATERIALIZED (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM documents),
+        counted AS (SELECT term, count(*) FILTER (toxic = 1) AS toxic, count(*) FILTER (toxic <> 1) AS clean
+            FROM (SELECT toxic, unnest(w) AS term FROM worded JOIN judged USING (doc_id)) GROUP BY term),
+        terms AS (SELECT term FROM counted WHERE toxic >= 10 AND toxic >= 0.99 * (toxic + clean) ORDER BY toxic DESC, term LIMIT 1000),
+        marked AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(w) AS term FROM worded) SEMI JOIN terms USING (term))
+        SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+        AND (doc_id IN (SELECT doc_id FROM judged) OR doc_id NOT IN (SELECT doc_id FROM marked))""",
     "deduped_documents": f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {_normal('text')}",
+    "near_deduped_documents": f"""
+        WITH RECURSIVE firsts AS MATERIALIZED (SELECT min(doc_id) AS doc_id, {_normal('text')} AS t FROM documents WHERE text IS NOT NULL GROUP BY 2),
+        windows AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g
+            FROM (SELECT doc_id, string_split(t, ' ') AS w FROM firsts WHERE t <> '')),
+        sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM windows GROUP BY doc_id),
+        common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM windows x JOIN windows y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+        links AS MATERIALIZED (SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * o >= 75 * (x.n + y.n - o)),
+        ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached(a, b) AS (SELECT a, a FROM ways UNION SELECT r.a, w.b FROM reached r JOIN ways w ON r.b = w.a),
+        later AS (SELECT a FROM reached GROUP BY a HAVING min(b) < a)
+        SELECT doc_id FROM firsts WHERE doc_id NOT IN (SELECT a FROM later)""",
     "benchmark_overlaps": f"WITH {_OVERLAPS} SELECT doc_id, overlap FROM overlaps_of",
     "decontaminated_documents": f"WITH {_OVERLAPS} SELECT doc_id FROM overlaps_of WHERE overlap = 0",
     "answer_consistency": f"""
