@@ -1,8 +1,8 @@
 """Entity graphs of documents: extraction, model output, scoped reads.
 
 Extraction works inside the document's row: every rule is matched against every
-paragraph by built-in functions, the first sighting of a label decides, and the
-node and edge limits keep what one document yields small. Nothing is shuffled.
+paragraph by built-in functions, and the first sighting of a label decides. Edges
+are rows: the entities of a paragraph meet in tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -13,13 +13,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerleaf.functions.structured import outer_object
 from ledgerleaf.functions.text import entity_key, strip
+from ledgerleaf.operators.ordering import rank_in_group
 from ledgerleaf.schemas import GRAPH_REPLY
+from ledgerleaf.session import cut_lineage
 
 # Limits per document, node types, edge labels.
 NODE_TYPES = (
     "Document", "Org", "Product", "Clause", "Metric", "Person", "Education", "Company", "Skill", "Concept",
 )
 MENTION, RELATED = "提及", "相关"
+TILE = 64  # entities of a paragraph in one tile
 # Fixed values: (type, pattern) in order; a capture group, if any, is the label.
 ENTITY_RULES: tuple[tuple[str, str], ...] = (
     ("Person", r"[\u4e00-\u9fa5]{2,4}(?:先生|女士|经理|总监|董事长|基金经理)"),
@@ -145,42 +148,62 @@ def graph_nodes(extracted: DataFrame) -> DataFrame:
     return rows.select("n.id", "doc_id", *keep, "n.label", "n.type", F.col("doc_id").alias("source_doc_id"), "n.properties")
 
 
-def graph_edges(extracted: DataFrame, max_edges: int | None = None) -> DataFrame:
-    """Edge rows: one mention per entity, then entities of different types that share a paragraph.
+def _tile_pairs(extracted: DataFrame, keep: list[str]) -> DataFrame:
+    """doc_id, a, b, place: pairs of entities of different types in one paragraph, a before b.
 
-    A pair counts once per document, its ends ordered by node id as text.
+    The entities of a paragraph are cut into tiles; every pair of tiles is a row
+    of its own and bounded, so a paragraph of any size is spread over tasks.
+    ``place`` orders pairs by paragraph, then by a, then by b.
     """
-    doc = F.col("doc_id").cast("string")
-    root = F.concat(doc, F.lit(":root"))
-    mention = F.transform(
-        "entities",
-        lambda e: F.struct(root.alias("source"), _node_id(doc, e["no"]).alias("target"), F.lit(MENTION).alias("label")),
+    paras = extracted.select("doc_id", *keep, "entities", F.posexplode("hits").alias("para", "hit")).where(F.size("hit") > 1)
+    count = F.ceil(F.size("hit") / TILE).cast("int")
+    tiles = F.flatten(
+        F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.transform(F.sequence(i, count - 1), lambda j: F.struct(i.alias("i"), j.alias("j"))))
     )
-    kind = lambda no: F.element_at("entities", no)["type"]
-
-    def pairs(hit: Column) -> Column:
-        # The entities of one paragraph meet here.
-        return F.flatten(
-            F.transform(
-                hit,
-                lambda a, i: F.transform(
-                    F.filter(F.slice(hit, i + 2, F.size(hit)), lambda b: kind(b) != kind(a)),
-                    lambda b: F.struct(
-                        F.least(_node_id(doc, a), _node_id(doc, b)).alias("source"),
-                        F.greatest(_node_id(doc, a), _node_id(doc, b)).alias("target"),
-                        F.lit(RELATED).alias("label"),
-                    ),
-                ),
-            )
+    typed = F.transform("hit", lambda no: F.struct(no.alias("no"), F.element_at("entities", no)["type"].alias("kind")))
+    tiled = paras.select("doc_id", *keep, "para", typed.alias("typed"), F.explode(tiles).alias("t"))
+    side = lambda which: F.slice("typed", F.col(f"t.{which}") * TILE + 1, F.lit(TILE))
+    dealt = tiled.select("doc_id", *keep, "para", "t", side("i").alias("left"), side("j").alias("right")).repartition("doc_id", "para", "t")
+
+    def met(a: Column, x: Column) -> Column:
+        i = F.col("t.i") * TILE + x
+        others = F.transform("right", lambda b, y: F.struct(b["no"].alias("b"), b["kind"].alias("kind"), (F.col("t.j") * TILE + y).alias("j")))
+        place = lambda j: F.shiftleft(F.col("para").cast("long"), 40) + F.shiftleft(i.cast("long"), 20) + j
+        return F.transform(
+            F.filter(others, lambda o: (o["j"] > i) & (o["kind"] != a["kind"])),
+            lambda o: F.struct(a["no"].alias("a"), o["b"].alias("b"), place(o["j"]).alias("place")),
         )
 
-    related = F.array_distinct(F.flatten(F.transform("hits", pairs)))
-    every = _first(F.concat(mention, related), max_edges)
+    # The outer form: for the plain one, the optimizer would compute all pairs twice.
+    pairs = dealt.select("doc_id", *keep, F.explode_outer(F.flatten(F.transform("left", met))).alias("p"))
+    return pairs.where("p IS NOT NULL").select("doc_id", *keep, "p.a", "p.b", "p.place")
+
+
+def graph_edges(extracted: DataFrame, max_edges: int | None = None) -> DataFrame:
+    """Edge rows: one mention per entity, then entities of different types that share a paragraph.
+
+    A pair counts once per document, its ends ordered by node id as text. Edges
+    are numbered from 0: mentions by entity, pairs by where they occur first.
+    """
+    doc = F.col("doc_id").cast("string")
     keep = [c for c in ("user_id",) if c in extracted.columns]
-    rows = extracted.select("doc_id", *keep, F.posexplode(every).alias("no", "e"))
+    # Entities are found once, although three parts of the plan read them.
+    extracted = cut_lineage(extracted.select("doc_id", *keep, "entities", "hits"))
+    mentions = extracted.select("doc_id", *keep, F.explode("entities").alias("e")).select(
+        "doc_id", *keep, (F.col("e.no") - 1).cast("long").alias("no"), F.concat(doc, F.lit(":root")).alias("source"),
+        _node_id(doc, F.col("e.no")).alias("target"), F.lit(MENTION).alias("label"),
+    )
+    ends = _node_id(doc, F.col("a")), _node_id(doc, F.col("b"))
+    related = _tile_pairs(extracted, keep).groupBy("doc_id", *keep, F.least(*ends).alias("source"), F.greatest(*ends).alias("target")).agg(F.min("place").alias("place"))
+    sizes = extracted.select(F.col("doc_id").alias("_doc"), F.size("entities").alias("_n"))
+    placed = rank_in_group(related, ["doc_id"], "place", "target", "_rank", span=1 << 26).join(sizes, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    pairs = placed.select("doc_id", *keep, (F.col("_n") + F.col("_rank") - 1).alias("no"), "source", "target", F.lit(RELATED).alias("label"))
+    rows = mentions.unionByName(pairs)
+    if max_edges is not None:
+        rows = rows.where(F.col("no") < max_edges)
     return rows.select(
         F.concat(doc, F.lit(":e"), F.col("no").cast("string")).alias("id"), "doc_id", *keep,
-        "e.source", "e.target", "e.label", F.col("doc_id").alias("source_doc_id"),
+        "source", "target", "label", F.col("doc_id").alias("source_doc_id"),
     )
 
 

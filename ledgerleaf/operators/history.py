@@ -8,8 +8,9 @@ content, ...)`` are the exploded form, and use aggregates with map-side combine.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerleaf.functions.redact import redact_text
@@ -321,48 +322,41 @@ def build_trace_events(results: DataFrame) -> DataFrame:
     return rows.select("run_id", "seq", "e.*", "created_at")
 
 
-def flatten_event_table(events: DataFrame, salt: int = 4) -> DataFrame:
-    """``(run_id, id, parent_id, seq)`` -> adds ``root_id``, ``depth`` and ``path``.
+def flatten_event_table(events: DataFrame) -> DataFrame:
+    """``(run_id, id, parent_id, seq)`` -> adds ``root_id``, ``depth`` and ``path``; one row per row.
 
     An event without a known parent is a root. ``path`` lists the ``seq`` of all
-    ancestors, so sorting by it is depth-first order. One join per level, between
-    the frontier and the events still without a place; a parent with very many
-    children is spread by a salt on its children, and further by adaptive execution. Events on a cycle never get a
-    place and are left out; so do events below a repeated id of their own ancestors.
+    ancestors and its own, so sorting by it is depth-first order. Of a repeated id,
+    children hang under the row with the largest ``seq``. Events on a cycle, or
+    below one, have no root: their ``root_id``, ``depth`` and ``path`` are null.
+
+    By doubling: a row knows an ancestor and the path from there; each round puts
+    the ancestor's own ancestor and path in front, so all rows of depth less than
+    2^k are placed after k rounds. A round that places no row leaves cycles only.
     """
-    slot = F.pmod(F.xxhash64("id"), F.lit(salt))
-    slots = F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_slot")
-    known = events.select(F.col("run_id"), F.col("id").alias("parent_id")).distinct()
-    known_slots = known.select("run_id", "parent_id", slots)
-    salted = events.withColumn("_slot", slot)
+    rows = cut_lineage(events.select("run_id", "id", "parent_id", "seq").withColumn("_row", F.monotonically_increasing_id()))
+    parents = rows.groupBy("run_id", F.col("id").alias("parent_id")).agg(F.max_by("_row", F.struct("seq", "_row")).alias("_up"))
     linked = cut_lineage(
-        salted.join(known_slots.withColumn("_known", F.lit(True)), ["run_id", "parent_id", "_slot"], "left")
-    )
-    placed = linked.filter(F.col("_known").isNull()).select(
-        "run_id", "id", "parent_id", "seq", F.col("id").alias("root_id"), F.lit(0).alias("depth"),
-        F.array("seq").alias("path"), F.array("id").alias("_ids"),
-    )
-    children = linked.filter(F.col("_known").isNotNull()).drop("_known")
-    levels, frontier, depth = [placed.drop("_ids")], placed, 0
-    while True:
-        depth += 1
-        parents = frontier.select(
-            "run_id", F.col("id").alias("parent_id"), "root_id", F.col("path").alias("_above"), "_ids", slots
+        rows.join(parents, ["run_id", "parent_id"], "left").select(
+            "_row", "_up", F.col("_up").isNotNull().cast("int").alias("depth"), F.array("seq").alias("path"),
+            F.when(F.col("_up").isNull(), F.col("id")).alias("root_id"),
         )
-        frontier = cut_lineage(
-            children.join(parents, ["run_id", "parent_id", "_slot"]).where(~F.array_contains("_ids", F.col("id"))).select(
-                "run_id", "id", "parent_id", "seq", "root_id", F.lit(depth).alias("depth"),
-                F.array_append("_above", F.col("seq")).alias("path"),
-                F.array_append("_ids", F.col("id")).alias("_ids"),
+    )
+    placed, open_ = linked.where("_up IS NULL"), linked.where("_up IS NOT NULL")
+    left = open_.count()
+    while left:
+        upper = placed.unionByName(open_).toDF("_at", "_next", "_steps", "_above", "_root")
+        moved = cut_lineage(
+            open_.join(upper, F.col("_up") == F.col("_at")).select(
+                "_row", F.col("_next").alias("_up"), (F.col("depth") + F.col("_steps")).alias("depth"), F.concat("_above", "path").alias("path"),
+                F.col("_root").alias("root_id"),
             )
         )
-        if frontier.isEmpty():
+        placed, open_ = placed.unionByName(moved.where("_up IS NULL")), moved.where("_up IS NOT NULL")
+        before, left = left, open_.count()
+        if left == before:
             break
-        levels.append(frontier.drop("_ids"))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    return rows.join(placed.drop("_up"), "_row", "left").select("run_id", "id", "parent_id", "seq", "root_id", "depth", "path")
 
 
 # ---------------------------------------------------------------- writing runs and turns
@@ -428,6 +422,34 @@ def redact_runs(runs: DataFrame, record_events: bool = True) -> DataFrame:
     )
 
 
+def _take_free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per conversation its free messages, last first, then its runs in order of time -> (_row, idx) of runs that take one.
+
+    A free message whose time has come for one run stays taken for all later
+    runs, so both are walked once.
+    """
+    now: tuple = ()
+    free: list[tuple] = []  # (idx, time of the first matching run), the last message at the end
+    reverse = False
+    for batch in batches:
+        rows, places = [], []
+        for conv, kind, idx, at, run_id, row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
+            if now != (conv,):
+                now, free, reverse = (conv,), [], True
+            if kind == 0:
+                free.append((idx, None if run_id is None and at is None else (at, run_id)))
+                continue
+            if reverse:
+                free.reverse()
+                reverse = False
+            while free and free[-1][1] is not None and free[-1][1] <= (at, run_id):
+                free.pop()
+            if free:
+                rows.append(row)
+                places.append(free.pop()[0])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(places, batch.schema.field("idx").type)], ["_row", "idx"])
+
+
 def attach_traces(messages: DataFrame, runs: DataFrame) -> DataFrame:
     """Hang each run's trace on the assistant message it belongs to.
 
@@ -438,8 +460,9 @@ def attach_traces(messages: DataFrame, runs: DataFrame) -> DataFrame:
     run may overwrite.
 
     Runs with a matching message do not depend on each other: one join and one
-    aggregate place them all. Only the others are taken one per conversation and
-    round, and only while their conversation has an untraced message left.
+    aggregate place them all. The others and the messages they may take meet, as
+    numbers without texts, in one ordered pass over each conversation. The number
+    of jobs does not depend on the number of runs.
     """
     replies = (
         messages.filter(F.col("role") == "assistant")
@@ -447,10 +470,9 @@ def attach_traces(messages: DataFrame, runs: DataFrame) -> DataFrame:
     )
     targets = replies.groupBy("conv_id", "reply").agg(F.max("idx").alias("idx"))
     timed = runs.withColumn("reply", F.coalesce("reply", F.lit(""))).join(targets, ["conv_id", "reply"], "left")
-    timed = cut_lineage(timed)
+    timed = cut_lineage(timed.withColumn("_row", F.monotonically_increasing_id()))
     stamp = F.struct("at", "run_id")
     exact = timed.filter(F.col("idx").isNotNull())
-    written = exact.select("conv_id", "idx", stamp.alias("stamp"), "trace")
     taken_from = exact.groupBy("conv_id", "idx").agg(F.min(stamp).alias("taken_at"))
     # Messages that some unmatched run may still take, and until when.
     pending = timed.filter(F.col("idx").isNull()).drop("idx")
@@ -458,34 +480,19 @@ def attach_traces(messages: DataFrame, runs: DataFrame) -> DataFrame:
         replies.filter(~F.col("traced"))
         .join(pending.select("conv_id").distinct(), "conv_id", "left_semi")
         .join(taken_from, ["conv_id", "idx"], "left")
-        .select("conv_id", "idx", "taken_at")
+        .select("conv_id", F.lit(0).alias("kind"), "idx", "taken_at.at", "taken_at.run_id", F.lit(None).cast("long").alias("_row"))
     )
-    free, pending = cut_lineage(free), cut_lineage(pending)
-    appended = None
-    while True:
-        first = pending.groupBy("conv_id").agg(
-            F.min(F.struct(F.col("at"), F.col("run_id"), F.col("trace"))).alias("first")
-        )
-        still = (F.col("taken_at").isNull()) | (F.col("taken_at") > F.struct(F.col("first.at"), F.col("first.run_id")))
-        choice = free.join(first, "conv_id").filter(still).groupBy("conv_id").agg(
-            F.max("idx").alias("idx"), F.first("first").alias("first")
-        )
-        choice = cut_lineage(choice)
-        # Without a free message now, all later runs of that conversation append.
-        closed = pending.join(choice.select("conv_id"), "conv_id", "left_anti")
-        appended = closed if appended is None else appended.unionByName(closed)
-        if choice.isEmpty():
-            break
-        written = written.unionByName(
-            choice.select(
-                "conv_id", "idx", F.struct(F.col("first.at").alias("at"), F.col("first.run_id").alias("run_id")).alias("stamp"),
-                F.col("first.trace").alias("trace"),
-            )
-        )
-        open_runs = pending.join(choice.select("conv_id"), "conv_id", "left_semi")
-        gone = choice.select("conv_id", F.col("first.run_id").alias("run_id"))
-        pending = cut_lineage(open_runs.join(gone, ["conv_id", "run_id"], "left_anti"))
-        free = cut_lineage(free.join(choice.select("conv_id", "idx"), ["conv_id", "idx"], "left_anti"))
+    asking = pending.select(
+        "conv_id", F.lit(1).alias("kind"), F.lit(None).cast(messages.schema["idx"].dataType).alias("idx"), "at", "run_id", "_row"
+    )
+    ordered = free.unionByName(asking).repartition("conv_id").sortWithinPartitions("conv_id", "kind", F.desc("idx"), "at", "run_id")
+    schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("idx", messages.schema["idx"].dataType)])
+    choice = cut_lineage(ordered.mapInArrow(_take_free, schema))
+    written = exact.select("conv_id", "idx", stamp.alias("stamp"), "trace").unionByName(
+        pending.join(choice, "_row").select("conv_id", "idx", stamp.alias("stamp"), "trace")
+    )
+    # Without a free message, a run appends; and so do all later ones of its conversation.
+    appended = pending.join(choice, "_row", "left_anti")
     final = written.groupBy("conv_id", "idx").agg(F.max_by("trace", "stamp").alias("_new"))
     updated = messages.join(final, ["conv_id", "idx"], "left").withColumn("trace", F.coalesce("_new", "trace")).drop("_new")
     last = messages.groupBy("conv_id").agg(F.max("idx").alias("_last"))

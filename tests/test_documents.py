@@ -180,3 +180,20 @@ def test_versions_and_compaction(spark):
     assert read(path) == want
     jobs.compact(spark, path, target)
     assert read(target) == want
+
+
+def test_a_paragraph_of_two_thousand_entities(spark):
+    rules = (("A", r"a\d+"), ("B", r"b\d+"))
+    names = [f"{'ab'[i % 2]}{i}" for i in range(2000)]
+    rows = [(1, "big", " ".join(names), 7), (2, "small", "a1 b2 a3\nb2 a1\nb4", 7), (3, "none", "nothing", 8), (4, "null", None, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, filename string, text string, user_id int")
+    edges = g.graph_edges(g.extract_entities(df, rules))
+    sizes = {r.doc_id: (r["n"], r["ids"], r["last"]) for r in edges.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.max(F.substring_index("id", ":e", -1).cast("long")).alias("last")).collect()}
+    assert sizes[1] == (2000 + 1_000_000, 2000 + 1_000_000, 2000 + 1_000_000 - 1)
+    small = [(r.id, r.source, r.target, r.label, r.user_id) for r in edges.where("doc_id = 2").collect()]
+    assert len(small) == 4 + 2 and len({i for i, *_ in small}) == 6 and {u for *_, u in small} == {7}
+    nodes = {r.id: r.label for r in g.graph_nodes(g.extract_entities(df.where("doc_id = 2"), rules)).collect()}
+    ends = {frozenset((nodes[s], nodes[t])) for _, s, t, k, _ in small if k == g.RELATED}
+    assert ends == {frozenset(("a1", "b2")), frozenset(("a3", "b2"))}
+    assert g.graph_edges(g.extract_entities(df, rules), max_edges=3).groupBy("doc_id").count().where("count > 3").count() == 0

@@ -128,11 +128,28 @@ def test_order_helpers_with_one_hot_group(spark):
     assert [r.no for r in numbered.orderBy(F.desc("n")).collect()] == list(range(1, 3001))
 
 
-def test_event_tree_skips_cycles_and_roots_orphans(spark):
-    rows = [("r", "a", None, 0), ("r", "b", "a", 1), ("r", "c", "b", 2), ("r", "d", "gone", 3), ("r", "x", "y", 4), ("r", "y", "x", 5)]
-    got = h.flatten_event_table(spark.createDataFrame(rows, "run_id string, id string, parent_id string, seq long"))
-    order = [(r.id, r.root_id, r.depth) for r in sorted(got.collect(), key=lambda r: r.path)]
-    assert order == [("a", "a", 0), ("b", "a", 1), ("c", "a", 2), ("d", "d", 0)]
+TREE = "run_id string, id string, parent_id string, seq long"
+
+
+def test_event_tree_reports_cycles_and_roots_orphans(spark):
+    rows = [("r", "a", None, 0), ("r", "b", "a", 1), ("r", "c", "b", 2), ("r", "d", "gone", 3), ("r", "x", "y", 4), ("r", "y", "x", 5), ("r", "below", "y", 6), ("r", "self", "self", 7)]
+    rows += [("q", "b", "a", 0), (None, "n", None, 0)]
+    got = h.flatten_event_table(spark.createDataFrame(rows, TREE)).collect()
+    assert len(got) == len(rows)
+    placed = [(r.id, r.root_id, r.depth) for r in sorted((r for r in got if r.path is not None and r.run_id == "r"), key=lambda r: r.path)]
+    assert placed == [("a", "a", 0), ("b", "a", 1), ("c", "a", 2), ("d", "d", 0)]
+    assert {r.id for r in got if r.path is None} == {"x", "y", "below", "self"} == {r.id for r in got if r.depth is None and r.root_id is None}
+    assert h.flatten_event_table(spark.createDataFrame([], TREE)).count() == 0
+
+
+def test_long_chains_and_wide_levels_take_few_rounds(spark, monkeypatch):
+    rows = [("r", f"c{i}", f"c{i - 1}" if i else None, i) for i in range(1000)] + [("r", f"w{i}", "c500", 1000 + i) for i in range(2000)]
+    cuts = []
+    monkeypatch.setattr(h, "cut_lineage", lambda df, real=h.cut_lineage: cuts.append(1) or real(df))
+    got = {r.id: r for r in h.flatten_event_table(spark.createDataFrame(rows, TREE)).collect()}
+    assert len(got) == 3000 and all(got[f"c{i}"].depth == i and got[f"c{i}"].path == list(range(i + 1)) for i in range(1000))
+    assert all(got[f"w{i}"].depth == 501 and got[f"w{i}"].root_id == "c0" and got[f"w{i}"].path[-2:] == [500, 1000 + i] for i in range(2000))
+    assert len(cuts) <= 2 + 10
 
 
 def test_participants(spark):
@@ -182,7 +199,24 @@ def test_events_of_any_depth_are_read(spark):
     assert "- [step/a40] out [40]" in h.review_context(detail).first().context
 
 
-def test_event_tree_ends_where_a_repeated_id_closes_a_circle(spark):
-    rows = [("r", "a", None, 0), ("r", "b", "a", 1), ("r", "a", "b", 2), ("r", "c", "b", 3)]
-    got = h.flatten_event_table(spark.createDataFrame(rows, "run_id string, id string, parent_id string, seq long"))
-    assert sorted((r.id, r.depth) for r in got.collect()) == [("a", 0), ("b", 1), ("c", 2)]
+def test_children_of_a_repeated_id_hang_under_its_last_row(spark):
+    rows = [("r", "a", None, 0), ("r", "b", "a", 1), ("r", "a", None, 2), ("r", "c", "b", 3)]
+    got = h.flatten_event_table(spark.createDataFrame(rows, TREE))
+    assert sorted((r.seq, r.id, r.depth, r.path) for r in got.collect()) == [(0, "a", 0, [0]), (1, "b", 1, [2, 1]), (2, "a", 0, [2]), (3, "c", 2, [2, 1, 3])]
+
+
+def test_traces_take_as_many_jobs_for_many_runs(spark):
+    messages = [(c, i, "assistant", f"text {c} {i}", i, None) for c in range(3) for i in range(100)]
+    counts = []
+    for n in (2, 500):
+        runs = [(i % 3, f"r{i:04}", i, f"reply {i % 450}", f"t{i}") for i in range(n)]
+        df = spark.createDataFrame(messages, "conv_id int, idx long, role string, content string, created_at long, trace string")
+        rf = spark.createDataFrame(runs, "conv_id int, run_id string, at long, reply string, trace string")
+        spark.sparkContext.setJobGroup(f"traces-{n}", "")
+        rows = h.attach_traces(df, rf).collect()
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"traces-{n}")))
+        taken = {(r.conv_id, r.idx): r.trace for r in rows if r.idx < 100 and r.trace is not None}
+        assert len(taken) == min(n, 300) and taken[0, 99] == "t0" and taken[1, 99] == "t1"
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Spark may broadcast the small sides of one and not of the other, each a job of its own.
+    assert max(counts) <= 60 and abs(counts[1] - counts[0]) <= 8
