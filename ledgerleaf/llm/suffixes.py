@@ -34,9 +34,9 @@ SPAN = LENGTH - K + 1  # K-grams in a window
 #: Bytes that are scanned at once; places in them fit 20 bits.
 SLICE = 1 << 20
 #: Runs of one anchor in one shard at most; more are dealt over several.
-SHARD_RUNS = 20_000
+SHARD_RUNS = 8_000
 #: Bytes of one suffix array, about.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _PLACE = np.uint64((1 << 20) - 1)
@@ -180,7 +180,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 piece = bytes(text[run["first"]:run["first"] + run["windows"] + LENGTH - 1])
                 out.append((run["anchor"], run["part"], key, run["first"], piece))
                 size += len(piece)
-            if size > 8 << 20:
+            if size > 2 << 20:
                 yield _rows(out)
                 out, size = [], 0
         if out:
