@@ -14,6 +14,7 @@ from ledgerleaf.operators.recall import (
     bm25_topk, metadata_prefilter, personal_recall as recall_personal, personal_vector_search as search_personal,
     recall, vector_topk,
 )
+from ledgerleaf.operators.lsh import vector_topk_lsh
 from ledgerleaf.operators.postings import blockmax_topk, open_postings, store_postings
 from ledgerleaf.plans import sqlparts as q
 from ledgerleaf.plans.corpus import build_corpus, stored_once
@@ -123,14 +124,24 @@ def prefiltered_chunks(spark, sf):
     return tag(kept, "dated").unionByName(tag(undated, "undated"))
 
 
-def vector_top(spark, sf):
-    """The nearest stored vectors of each label's mean vector."""
-    vectors = table(spark, sf, "embeddings")
+def _label_means(vectors):
+    """The mean vector of each label as a query."""
     means = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     # A mean vector has as many entries as a vector, so the list per label is short.
     labels = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
-    asked = labels.select(F.col("label").alias("query_id"), F.lit("").alias("query_text"), F.col("v.x").alias("query_vec"))
-    return vector_topk(asked, vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), k=10)
+    return labels.select(F.col("label").alias("query_id"), F.lit("").alias("query_text"), F.col("v.x").alias("query_vec"))
+
+
+def vector_top(spark, sf):
+    """The nearest stored vectors of each label's mean vector."""
+    vectors = table(spark, sf, "embeddings")
+    return vector_topk(_label_means(vectors), vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), k=10)
+
+
+def vector_top_lsh(spark, sf):
+    """The same by random projections; recall is measured in a test."""
+    vectors = table(spark, sf, "embeddings")
+    return vector_topk_lsh(_label_means(vectors), vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), k=10)
 
 
 # ---------------------------------------------------------------- words
@@ -224,7 +235,7 @@ def context_texts(spark, sf):
 QUERIES = {
     "embedding_dimensions": embedding_dimensions, "neighbor_cosines": neighbor_cosines,
     "char_hash_vectors": char_hash_vectors, "pooled_vectors": pooled_vectors, "prefiltered_chunks": prefiltered_chunks,
-    "vector_top": vector_top, "term_statistics": term_statistics, "bm25_scores": bm25_scores, "bm25_top": bm25_top,
+    "vector_top": vector_top, "vector_top_lsh": vector_top_lsh, "term_statistics": term_statistics, "bm25_scores": bm25_scores, "bm25_top": bm25_top,
     "bm25_blockmax_top": bm25_blockmax_top, "bm25_candidate_scores": bm25_candidate_scores,
     "united_routes": united_routes, "scaled_balances": scaled_balances, "hybrid_search": hybrid_search,
     "hybrid_search_filtered": hybrid_search_filtered, "hybrid_search_full": hybrid_search_full,
