@@ -247,7 +247,7 @@ def _compare(dimension: int, k: int):
         if not queries.num_rows or not shelf.num_rows:
             return empty
         q, x = _matrix(queries.column("vector"), dimension), _matrix(shelf.column("vector"), dimension)
-        own, rid, ids = np.asarray(queries.column("query_id")), np.asarray(shelf.column("rid")), shelf.column("ids").to_pylist()
+        own, ids = np.asarray(queries.column("query_id")), shelf.column("ids").to_pylist()
         leaf = np.asarray(shelf.column("leaf"))
         visitors: dict[int, list[int]] = {}
         for i, leaves in enumerate(queries.column("leaves").to_pylist()):
@@ -258,29 +258,35 @@ def _compare(dimension: int, k: int):
             rows = np.flatnonzero(leaf == at)
             if not len(rows):
                 continue
-            # A few more than asked for, so that rounding at the edge does not matter; equal vectors are one row.
-            width = min(k + 9, len(rows))
+            # Every row that is not below the k-th by more than rounding goes on, so ties are settled exactly; one more for the query itself.
+            width = min(k + 1, len(rows))
+            slack = 1e-12 * dimension * float(np.abs(x[rows]).max())
             for first in range(0, len(asking), 256):
                 some = asking[first:first + 256]
-                best = np.argpartition(-(q[some] @ x[rows].T), width - 1, axis=1)[:, :width]
-                for i, picked in zip(some, best):
-                    near[i].append(rows[picked])
+                scores = q[some] @ x[rows].T
+                edge = np.partition(scores, len(rows) - width, axis=1)[:, len(rows) - width] - slack * np.abs(q[some]).max(axis=1)
+                for i, row, least in zip(some, scores, edge):
+                    near[i].append(rows[row >= least])
         out_q, out_v, out_s = [], [], []
         for i, found in enumerate(near):
             if not found:
                 continue
             rows = np.concatenate(found)
             exact = (x[rows] * q[i]).sum(axis=1)
-            left = k
-            for at in np.lexsort((rid[rows], -exact)):
-                for v in ids[rows[at]]:
-                    if v != own[i] and left:
-                        left -= 1
-                        out_q.append(own[i])
-                        out_v.append(v)
-                        out_s.append(exact[at])
-                if not left:
+            # Ids of equal scores are ranked together; a row holds the smallest ids of its vector.
+            ranked: list[tuple[float, int]] = []
+            for at in np.argsort(-exact, kind="stable").tolist():
+                if len(ranked) >= k and -exact[at] > ranked[k - 1][0]:
                     break
+                ranked += [(-exact[at], v) for v in ids[rows[at]] if v != own[i]]
+                if len(ranked) > 4 * k:
+                    ranked = sorted(ranked)[:k]
+                else:
+                    ranked.sort()
+            for score, v in sorted(ranked)[:k]:
+                out_q.append(own[i])
+                out_v.append(v)
+                out_s.append(-score)
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
     return run
@@ -292,7 +298,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, recall: float = RE
     Score: inner product in double precision; equal scores in the order of
     vec_id. A query's own id is no candidate. Null, zero or non-finite vectors,
     vectors without id and those not of the most frequent dimension take no
-    part; repeated rows count once each id; with fewer candidates than ``k`` all
+    part; repeated rows count once each id, and of an id with several vectors the
+    smallest asks; with fewer candidates than ``k`` all
     are returned; an empty table gives an empty result. Tree, calibration and
     counts run at once.
     """
@@ -325,7 +332,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, recall: float = RE
         rows[row["leaf"]], held_ids[row["leaf"]] = row["n"], row["ids"]
     at_least = _calibrate(filed, held, tree, shared_tree, held_ids, dimension, k, recall)
     places = shelves(rows)
-    asked = clean.where(queries).select(F.col("vec_id").alias("query_id"), "vector").dropDuplicates(["query_id"])
+    # Of a repeated id, the smallest vector asks.
+    asked = clean.where(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("vector"))
     walks = stored(
         asked.mapInArrow(_walk(shared_tree, held_ids, places, at_least, k + 1, dimension), "shelf int, leaves array<int>, query_id long, vector array<double>"), "walks"
     )

@@ -58,3 +58,23 @@ def test_small_and_empty(spark):
     got = ann.nearest(vectors, F.col("vec_id") % 20 == 0).collect()
     assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 2, 1.0), (2, 1, 0.5)]
     assert ann.nearest(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_many_equal_scores_go_to_the_smaller_ids(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.integers(0, 2, 12)]) for i in range(4000)]
+    rows = [(i, v) for i, v in rows if any(v)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(vectors, F.col("vec_id") % 20 == 0, recall=1.0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    want = brute(rows, 20)
+    assert {q: [(n, v, s) for n, v, s in sorted(found)] for q, found in got.items()} == {q: [(n + 1, v, s) for n, (v, s) in enumerate(w)] for q, w in want.items()}
+
+
+def test_of_a_repeated_id_the_smallest_vector_asks(spark):
+    rows = [(0, [2.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 3.0])]
+    for order in (rows, rows[::-1]):
+        vectors = spark.createDataFrame(order, "vec_id long, embedding array<double>")
+        got = ann.nearest(vectors, F.col("vec_id") % 20 == 0, recall=1.0).collect()
+        assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 2, 3.0), (2, 1, 0.0)]
