@@ -9,8 +9,7 @@ Runs find notices that are wrapped over lines of a longer text or share a line
 with other words. A best run starts and ends at a bigram of its template, so
 only those are tried, and only in texts that hold enough of its bigrams. A run
 has at most the template's largest set, times the template's own repetition, in
-bigrams. Of runs that overlap, the best stays. A run that opens a longer
-template is judged by the longer one alone.
+bigrams. Of runs that overlap, the best stays.
 """
 
 from __future__ import annotations
@@ -23,8 +22,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerleaf.llm.common import bind
 
 THRESHOLD = 0.75
-#: Words after a template by which the longer one is known that it opens.
-CONTINUED = 4
 
 # Short notices and grant texts of common licenses.
 TEMPLATES = (
@@ -71,15 +68,6 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
 
 
-def _continued(words: list[str], templates) -> str | None:
-    """The last word of a template that opens a longer one, with the next words there."""
-    for _, text in templates:
-        longer = _words(text)
-        if len(longer) > len(words) and longer[: len(words)] == words:
-            return " ".join(longer[len(words) - 1 : len(words) + CONTINUED])
-    return None
-
-
 def _templates(templates, threshold: float) -> Column:
     rows = []
     for name, text in templates:
@@ -89,7 +77,6 @@ def _templates(templates, threshold: float) -> Column:
             F.lit(name).alias("license"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.array(*map(F.lit, grams)).alias("grams"),
             # Bigrams of the template that a match holds at least, bigrams of a run at most.
             F.lit(math.ceil(threshold * (low + len(grams)) / 2 - 1e-9)).alias("least"), F.lit(high * (len(words) - 1) // len(grams)).alias("reach"),
-            F.lit(len(words)).alias("n_words"), F.lit(_continued(words, templates)).cast("string").alias("continued"),
         ))
     return F.array(*rows)
 
@@ -113,7 +100,7 @@ def _dice(grams: Column, template: Column) -> Column:
     return F.size(F.array_intersect(grams, template["grams"])) * 2.0 / (F.size(grams) + F.size(template["grams"]))
 
 
-def _runs(words: Column, grams: Column, template: Column, threshold: float) -> Column:
+def _runs(grams: Column, template: Column, threshold: float) -> Column:
     """array<struct(dice, license, start, stop)>: per bigram of the template in a text, the best run that starts there."""
     least, reach = template["least"], template["reach"]
 
@@ -130,12 +117,8 @@ def _runs(words: Column, grams: Column, template: Column, threshold: float) -> C
         starts = F.sequence(F.lit(0), F.size(at) - least)
         return F.filter(F.transform(starts, lambda i: best(at, i)), lambda r: r["dice"] >= threshold)
 
-    def opens_longer(run: Column) -> Column:
-        ahead = F.array_join(F.slice(words, run["start"] + 1, template["n_words"] + CONTINUED), " ")
-        return F.coalesce(F.contains(ahead, template["continued"]), F.lit(False))
-
     at = F.filter(F.sequence(F.lit(0), F.size(grams) - 1), lambda p: F.array_contains(template["grams"], F.get(grams, p)))
-    return F.filter(bind(at, of), lambda r: ~opens_longer(r))
+    return bind(at, of)
 
 
 def best_runs(text: Column, templates: Column, every: Column, threshold: float) -> Column:
@@ -146,13 +129,13 @@ def best_runs(text: Column, templates: Column, every: Column, threshold: float)
         hit = F.exists(kept, lambda k: (k["start"] <= run["stop"]) & (run["start"] <= k["stop"]))
         return F.when(hit, kept).otherwise(F.array_append(kept, run))
 
-    def found(words: Column, grams: Column) -> Column:
+    def found(grams: Column) -> Column:
         near = lambda seen: F.filter(templates, lambda t: F.size(F.array_intersect(seen, t["grams"])) >= t["least"])
         fitting = bind(F.array_intersect(grams, every), near)
-        runs = F.flatten(F.transform(fitting, lambda t: _runs(words, grams, t, threshold)))
+        runs = F.flatten(F.transform(fitting, lambda t: _runs(grams, t, threshold)))
         return F.aggregate(F.reverse(F.array_sort(runs)), F.array().cast(kind), apart)
 
-    return bind(text_words(F.coalesce(text, F.lit(""))), lambda w: bind(_pairs(w), lambda g: found(w, g)))
+    return bind(text_words(F.coalesce(text, F.lit(""))), lambda w: bind(_pairs(w), found))
 
 
 def best_match(text: Column, templates: Column, threshold: float) -> Column:

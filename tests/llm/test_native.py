@@ -52,6 +52,18 @@ def test_mix_is_close_repeatable_and_bounded(spark):
         assert 0.3 < sum(r.doc_id for r in taken) / len(taken) / 1500 < 1.7
 
 
+def test_columns_with_names_of_results(spark):
+    docs = spark.createDataFrame([(i, WORDS * (i % 5), "ab"[i % 2], f"own {i}") for i in range(60)], SCHEMA + ", mix_copies string").withColumns({"mix_copy": F.lit("c"), "Mix_Size": F.lit(7)})
+    drawn = mixing.draw(docs)
+    assert drawn.columns == docs.columns
+    rows = drawn.collect()
+    assert rows and all(r["mix_copies"] == f"own {r.doc_id}" and r["mix_copy"] == "c" and r["Mix_Size"] == 7 for r in rows)
+    assert mixing.pareto_mix(docs).columns == ["doc_id", "text", "source", "mix_copy", "mix_size", "mix_source_size", "mix_target", "mix_copies"]
+    versions = docs.selectExpr("doc_id", "'password = abcdefgh' AS content", "'x' AS spans", "1 AS blob")
+    found = ledger.findings_by_path(versions, ledger.scan_unseen(versions)).collect()
+    assert len(found) == 60 and all(len(r.spans) == 1 and len(r.blob) == 64 for r in found)
+
+
 def test_inclusion_follows_the_rates(spark):
     docs = spark.createDataFrame([(i, "w " * (8 if i % 2 else 120), "a" if i % 5 else "b") for i in range(4000)], SCHEMA)
     rows = mixing.pareto_mix(docs, weights=(1, 4)).where("source = 'a'").collect()
@@ -193,7 +205,47 @@ def test_licenses(spark):
     texts = ["Licensed under the Apache License, version 2.0", "x\n# LICENSED under CC-BY NC 4.0 \ny", apache.replace(". ", ".\n"), "the license of my car", None, "mit", apache[: len(apache) // 3]]
     got = {r.doc_id: (r.n_matches, r.licenses) for r in licenses.license_report(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
     assert got[0] == (1, "apache-2.0") and got[1] == (1, "cc-by-nc-4.0") and got[2][1] == "apache-2.0"
-    assert all(got[i] == (0, "") for i in (3, 4, 5, 6))
+    assert all(got[i] == (0, "") for i in (3, 4, 5))
+    assert got[6] == (0, "apache-2.0")  # a third of the long notice still opens with the whole short one
+
+
+def test_short_notice_before_other_words_counts(spark):
+    text = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this. End of text.'
+    got = licenses.license_report(spark.createDataFrame([(1, text), (2, text.replace(' (the "License")', ""))], "doc_id int, text string")).collect()
+    assert [(r.licenses, r.best_dice) for r in got] == [("apache-2.0", 1.0)] * 2
+
+
+def test_runs_against_all_windows(spark):
+    """Which licenses any window of words reaches, by trying every window."""
+    pick = random.Random(6)
+    templates = (("a", "one two three four five six"), ("a", "one two three four five six seven eight nine ten one two"), ("b", "three four nine ten eleven"), ("c", "six six six two"))
+    words = "one two three four five six seven eight nine ten eleven x".split()
+    texts = [" ".join(pick.choice(words) if pick.random() < 0.4 else words[i % 12] for i in range(start, start + pick.randrange(1, 25))) for start in range(150)]
+
+    def windows(text):
+        w = text.split()
+        best = {}
+        for i in range(len(w)):
+            grams = set()
+            for j in range(i + 1, len(w)):
+                grams.add((w[j - 1], w[j]))
+                for name, template in templates:
+                    t = template.split()
+                    own = set(zip(t, t[1:]))
+                    dice = 2 * len(own & grams) / (len(own) + len(grams))
+                    if dice >= 0.75:
+                        best[name] = max(best.get(name, 0), dice)
+        return best
+
+    got = {r.doc_id: r for r in licenses.license_report(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), templates=templates).collect()}
+    found = 0
+    for i, text in enumerate(texts):
+        want = windows(text)
+        found += bool(want)
+        assert (got[i].best_dice or 0) == pytest.approx(max(want.values(), default=0))
+        # Of overlapping runs the best stays, so a name may give way to a better one, but none appears without a window.
+        assert set(filter(None, got[i].licenses.split(","))) <= set(want) and bool(got[i].licenses) == bool(want)
+    assert found >= 30
 
 
 def test_licenses_inside_texts(spark):
