@@ -106,12 +106,15 @@ def scan_unseen(versions: DataFrame, rules=RULES, ledger: DataFrame | None = Non
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
-    """``versions`` without content, plus ``blob`` and ``spans``: all findings, ordered by start, then rule."""
+    """``versions`` without content, plus ``blob`` and ``spans``: all findings, ordered by start, then rule.
+
+    Columns of ``versions`` with one of these names are replaced.
+    """
     found = (
         ledger.where(F.col("rule").isin(rule_names(rules)) & (F.size("spans") > 0))
         .groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     )
-    paths = versions.withColumn("blob", blob_of(F.col("content"))).drop("content")
+    paths = versions.withColumn("blob", blob_of(F.col("content"))).drop("content", "spans")
     return paths.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
 
 

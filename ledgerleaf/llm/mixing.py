@@ -179,6 +179,10 @@ def mixing_plan(sizes: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES)
     )
 
 
+#: Columns that the mix adds.
+RESULTS = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+
+
 def pareto_mix(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED, sizes: DataFrame | None = None) -> DataFrame:
     """``docs`` (doc_id, text, source and any others) with ``mix_size``, ``mix_source_size``,
     ``mix_target`` and ``mix_copies`` (0 to ``max_copies``).
@@ -190,7 +194,7 @@ def pareto_mix(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, s
     A null text has size 0, a null source is a source of its own (the last), a
     null id counts as empty; rows equal in id and text share one fate and are
     counted each; an empty table gives an empty result. Existing columns keep
-    their values; helper names give way to them.
+    their values, but for those with the name of a result, which it replaces.
     """
     if sizes is None:
         sizes = stored(mixing_sizes(docs, seed), "mix-sizes")
@@ -210,7 +214,7 @@ def pareto_mix(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, s
     )
     extra = F.when(odds.isNotNull() & F.coalesce(drawn, F.lit(False)), 1).otherwise(0)
     return joined.select(
-        *(d(c) for c in docs.columns),
+        *(d(c) for c in docs.columns if c.lower() not in RESULTS),
         d(size).alias("mix_size"),
         p("source_size").alias("mix_source_size"),
         p("target").alias("mix_target"),
@@ -224,7 +228,14 @@ def mixing_sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 
 def draw(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
-    mixed = pareto_mix(docs, **options)
+    """The mix itself: every document as often as it is taken, with the columns of ``docs``, whatever their names.
+
+    Null, empty and repeated rows as in ``pareto_mix``: a text without words is
+    in the mix only where its part is taken whole; an empty table gives none.
+    """
+    # Columns with the name of a result are set aside meanwhile.
+    aside = {c: f"kept_{i}_{c}" for i, c in enumerate(docs.columns) if c.lower() in (*RESULTS, "mix_copy")}
+    mixed = pareto_mix(docs.withColumnsRenamed(aside), **options)
     # The copy number stays out of the select, so the array is not built where nothing is taken.
-    return mixed.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    copies = mixed.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    return copies.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))

@@ -150,12 +150,11 @@ WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, str
 lines AS MATERIALIZED (
     SELECT r, doc_id, source, place, trim(l[place], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
     FROM (SELECT r, doc_id, source, l, unnest(range(1, len(l) + 1)) AS place FROM docs)),
-long_lines AS (SELECT * FROM lines WHERE len(regexp_extract_all(line, '[^ 	-
-]+')) >= 4),
+solid AS (SELECT * FROM lines WHERE line <> ''),
 boilerplate AS (
-    SELECT line, min((doc_id, place)) AS first FROM long_lines GROUP BY line
+    SELECT line, min((doc_id, place)) AS first FROM solid GROUP BY line
     HAVING count(DISTINCT source) + max((source IS NULL)::INT) >= 10),
-gone AS (SELECT r, place FROM long_lines JOIN boilerplate USING (line) WHERE (doc_id, place) <> first),
+gone AS (SELECT r, place FROM solid JOIN boilerplate USING (line) WHERE (doc_id, place) <> first),
 counts AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
 kept AS (
     SELECT d.r, string_agg(d.l[place], chr(10) ORDER BY place) AS text
