@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ledgerleaf.session import cut_lineage
+
 # The two dimensions of a label.
 SCENES = ("Banking", "Securities", "Insurance", "Trusts", "Mutual Funds")
 TASKS = ("NER", "Intent Classification", "Slot Filling", "Entity Disambiguation", "Consultation-style QA")
@@ -85,16 +87,48 @@ def word_windows(words: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(n)), " "))))
 
 
-def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, n: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, overlap): how many of a document's distinct n-word windows the benchmark holds; all documents."""
+def digest_windows(words: Column, n: int) -> Column:
+    """Distinct digests of the n-word windows of a word array, from the digests of its words; a shorter one is one window."""
+
+    def windows(h: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0)))
+        # Past the end of a short array, ``get`` gives null, which leaves the digest as it is.
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(n)))))
+
+    return F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), windows)[0]
+
+
+#: Bits of the filter of benchmark windows: so many for each window, between these powers of two.
+FILTER_BITS, LEAST_POWER, MOST_POWER = 32, 12, 22
 
-    def windows(df: DataFrame, *keep: str) -> DataFrame:
-        # The words are bound once: the windows read them many times.
-        of = F.transform(F.array(F.split(normalize_text(F.col(text)), " ")), lambda w: word_windows(w, n))[0]
-        return df.where(F.col(text).isNotNull()).select(*keep, of.alias("windows")).select(*keep, F.explode("windows").alias("window"))
 
-    held = windows(benchmark).distinct()
-    hits = windows(docs, key).join(held, "window", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("overlap"))
+def _digest_filter(digests: DataFrame, column: str) -> DataFrame:
+    """One row ``(bits array<long>, power)``: a bitmap of the digests of at most 2^MOST_POWER bits (512 KB), whatever their number."""
+    n = digests.count()
+    power = min(MOST_POWER, max(LEAST_POWER, (n * FILTER_BITS).bit_length()))
+    place = F.pmod(F.col(column), F.lit(1 << power))
+    cells = digests.select(F.floor(place / 64).cast("int").alias("cell"), (place % 64).cast("int").alias("bit")).groupBy("cell").agg(
+        F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")
+    )
+    every = digests.sparkSession.range(1 << (power - 6)).select(F.col("id").cast("int").alias("cell")).join(cells, "cell", "left")
+    # The list has 2^(power - 6) entries.
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda c: c["bits"]).alias("_bits")).withColumn("_power", F.lit(1 << power))
+
+
+def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, n: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, overlap): how many of a document's distinct n-word windows the benchmark holds; all documents.
+
+    A document's windows are looked up in a bitmap of the benchmark's inside the
+    row; only those it lets through become rows and meet the benchmark's windows.
+    """
+    words = lambda: F.split(normalize_text(F.col(text)), " ")
+    held = cut_lineage(benchmark.where(F.col(text).isNotNull()).select(F.explode_outer(digest_windows(words(), n)).alias("window")).where("window IS NOT NULL").distinct())
+    place = lambda w: F.pmod(w, F.col("_power"))
+    through = lambda w: F.bit_get(F.get("_bits", F.floor(place(w) / 64).cast("int")), (place(w) % 64).cast("int")) == 1
+    # The other side is one row of bounded size.
+    probed = docs.where(F.col(text).isNotNull()).select(key, digest_windows(words(), n).alias("windows")).crossJoin(F.broadcast(_digest_filter(held, "window")))
+    met = probed.select(key, F.explode_outer(F.filter("windows", through)).alias("window")).where("window IS NOT NULL")
+    hits = met.join(held, "window", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("overlap"))
     return docs.select(key).join(hits, key, "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
 
 

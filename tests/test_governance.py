@@ -74,3 +74,24 @@ def test_near_copies_go(spark, tmp_path):
     of = lambda query: {r.doc_id for r in query(spark, str(tmp_path)).collect()}
     assert of(governance_queries.deduped_documents) == {1, 2, 4, 5, 6}
     assert of(governance_queries.near_deduped_documents) == {1, 4, 5, 6}
+
+
+def test_overlaps_through_the_bitmap_against_sets(spark, monkeypatch):
+    pick = __import__("random").Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(pick.choice(words) for _ in range(pick.randrange(0, 40))) for _ in range(150)] + [None, "", "w1", "W1  w2"]
+    bench = [" ".join(pick.choice(words[:8]) for _ in range(30)) for _ in range(20)] + [texts[4], texts[9], "w1", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    held = spark.createDataFrame(list(enumerate(bench)), "item_id int, text string")
+
+    def windows(text, n):
+        w = text.lower().split() or [""]
+        return {tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))}
+
+    for n, most in ((3, 22), (8, 22), (2, 6)):  # the last with a bitmap that lets nearly all through
+        monkeypatch.setattr(gov, "MOST_POWER", most)
+        monkeypatch.setattr(gov, "LEAST_POWER", min(most, 12))
+        known = set().union(*(windows(t, n) for t in bench if t is not None))
+        got = {r.doc_id: r.overlap for r in gov.benchmark_overlap(docs, held, n).collect()}
+        assert got == {i: 0 if t is None else len(windows(t, n) & known) for i, t in enumerate(texts)}
+    assert gov.benchmark_overlap(docs, held.limit(0)).where("overlap > 0").count() == 0
