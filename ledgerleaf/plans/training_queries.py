@@ -154,6 +154,17 @@ def streamed_chat_messages(spark, sf):
     return spark.read.schema(rows.schema).parquet(out).select("run_id", "seq", "role", "content", "agent", "type", "conversation_id")
 
 
+def streamed_folds(spark, sf):
+    """The fold as a stream with state per run: stopped half-way, restarted, and with a part of the lines replayed."""
+    lines = _stream_lines(table(spark, sf, "conversations"))
+    source, out, state = (scratch_path(spark, name) for name in ("fold-in", "fold-out", "fold-state"))
+    for part in ("seq % 2 = 0 OR seq = 1", "seq % 2 = 1 OR seq % 4 = 2"):
+        lines.where(part).write.mode("append").parquet(source)
+        jobs.write_folds(spark.readStream.schema(lines.schema).parquet(source), out, state).awaitTermination()
+    folds = jobs.latest_folds(spark, out)
+    return folds.select(F.col("run_id").cast("long").alias("run_id"), "reply", "conversation_id", "agent_messages", "failed", "detail")
+
+
 def streamed_documents(spark, sf):
     """Documents chunked and stored by a streaming query, twice: the second version replaces the first."""
     out = scratch_path(spark, "ingest")
@@ -186,7 +197,7 @@ QUERIES = {
     "prompt_messages": prompt_messages, "opd_records": opd_records, "format_gates": format_gates, "judge_prompts": judge_prompts,
     "parsed_scores": parsed_scores, "rewards": rewards, "metric_points": metric_points, "metric_series": metric_series,
     "metric_log_files": metric_log_files,
-    "metric_charts": metric_charts, "folded_chat_runs": folded_chat_runs, "streamed_chat_messages": streamed_chat_messages,
+    "metric_charts": metric_charts, "folded_chat_runs": folded_chat_runs, "streamed_folds": streamed_folds, "streamed_chat_messages": streamed_chat_messages,
     "streamed_documents": streamed_documents, "streamed_runs": streamed_runs,
 }
 
@@ -242,3 +253,4 @@ ORACLE = {
         SELECT conv_id || '-' || turn AS what, CASE WHEN role = 'assistant' AND turn IN (SELECT t.turn FROM t WHERE t.conv_id = plain.conv_id) THEN 'call 138****8000 or ***@example.org ' || turn END AS trace FROM plain
         UNION ALL SELECT 'oops ' || conv_id || '-' || turn, 'quarantined' FROM conversations WHERE role <> 'assistant'""",
 }
+ORACLE["streamed_folds"] = ORACLE["folded_chat_runs"]

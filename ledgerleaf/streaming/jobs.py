@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerleaf.operators.history import attach_traces, redact_runs
 from ledgerleaf.operators.lifecycle import upsert_by_doc
@@ -68,6 +70,81 @@ def fold_chat_stream(lines: DataFrame, watermark: str | None = None) -> DataFram
     return folded.select("run_id", "reply", "conversation_id", "agent_messages", "failed", "detail")
 
 
+_FOLDED = "run_id string, reply string, conversation_id long, agent_messages long, failed boolean, detail string, version long, closed boolean"
+_FOLD_STATE = "seen array<long>, done_seq long, reply string, conversation_id long, agent_messages long, failed boolean, detail_seq long, detail string, until long"
+
+
+def _fold_run(quiet_ms: int):
+    """One run's new events and its state -> its fold so far, and once more, closed, when it stays quiet."""
+
+    columns, names = (T.StructType.fromDDL(x).fieldNames() for x in (_FOLDED, _FOLD_STATE))
+
+    def row(key: tuple, s: dict, closed: bool) -> pd.DataFrame:
+        return pd.DataFrame([(
+            key[0], s["reply"] or "", s["conversation_id"], s["agent_messages"], s["failed"], s["detail"], len(s["seen"]), closed
+        )], columns=columns).astype({"conversation_id": "Int64"})
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        s = dict(zip(names, state.get)) if state.exists else dict(zip(names, ([], None, None, None, 0, False, None, None, 0)))
+        if state.hasTimedOut:
+            state.remove()
+            yield row(key, s, True)
+            return
+        seen, fresh = set(s["seen"]), False
+        for events in batches:
+            for seq, at, kind, content, reply, conversation, detail in zip(*(events[c] for c in ("seq", "at", "type", "content", "reply", "conversation_id", "detail"))):
+                s["until"] = max(s["until"], int(at.timestamp() * 1000) + quiet_ms)
+                if seq in seen:
+                    continue  # replayed
+                seq, fresh = int(seq), True
+                seen.add(seq)
+                if kind == "agent_message" and content:
+                    s["agent_messages"] += 1
+                elif kind == "done" and (s["done_seq"] is None or seq > s["done_seq"]):
+                    s.update(done_seq=seq, reply=reply or "", conversation_id=None if pd.isna(conversation) else int(conversation))
+                elif kind == "error":
+                    s["failed"] = True
+                    if s["detail_seq"] is None or seq > s["detail_seq"]:
+                        s.update(detail_seq=seq, detail=detail)
+        s["seen"] = sorted(seen)
+        state.update(tuple(s[n] for n in names))
+        state.setTimeoutTimestamp(max(s["until"], state.getCurrentWatermarkMs() + 1))
+        if fresh:
+            yield row(key, s, False)
+
+    return run
+
+
+def fold_runs_with_state(lines: DataFrame, late: str = "10 minutes", quiet_ms: int = 600_000) -> DataFrame:
+    """A stream of ``(run_id, seq, line, at)`` -> the fold of each run whenever it has new events (update mode).
+
+    ``version`` counts the run's distinct events, so the row with the largest one
+    is the newest, also where a batch is written twice. Replayed sequence numbers
+    change nothing. A run without events for ``quiet_ms`` of event time is given
+    out once more as ``closed`` and forgotten. State per run: its sequence
+    numbers and the fold. Rows without a sequence number or a time are left out.
+    """
+    events = parse_stream_events(lines).where("seq IS NOT NULL AND at IS NOT NULL")
+    typed = events.select(F.col("run_id").cast("string").alias("run_id"), F.col("seq").cast("long").alias("seq"), "at", "type", "content", "reply", "conversation_id", "detail")
+    return typed.withWatermark("at", late).groupBy("run_id").applyInPandasWithState(
+        _fold_run(quiet_ms), _FOLDED, _FOLD_STATE, "update", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def write_folds(lines: DataFrame, path: str, checkpoint: str, **how) -> StreamingQuery:
+    """Appends every fold of ``fold_runs_with_state`` under ``path``; ``latest_folds`` reads them."""
+    folds = fold_runs_with_state(lines, **how)
+    write = lambda batch, _number: batch.write.mode("append").parquet(path)
+    return folds.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_folds(spark: SparkSession, path: str) -> DataFrame:
+    """The newest fold of each run."""
+    rows = spark.read.schema(_FOLDED).parquet(path)
+    newest = rows.groupBy("run_id").agg(F.max_by(F.struct(*rows.columns[1:]), F.struct("version", "closed")).alias("f"))
+    return newest.select("run_id", "f.*")
+
+
 # ---------------------------------------------------------------- tables in buckets
 def write_buckets(df: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
     """Write ``df`` split by a hash of ``key``; only the buckets it holds are replaced.

@@ -41,3 +41,31 @@ def test_null_keys_keep_their_place(spark):
     rows = [(None, 1), (None, 2), ("a", 1)]
     df = spark.createDataFrame(rows, "k string, at long").withColumn("tie", F.lit(0))
     assert sorted((r.k or "", r.at, r.no) for r in rank_in_group(df, ["k"], "at", "tie", "no").collect()) == [("", 1, 1), ("", 2, 2), ("a", 1, 1)]
+
+
+def test_folds_survive_a_restart_drop_replays_and_expire(spark, tmp_path):
+    def line(**event):
+        return "data: " + json.dumps(event)
+
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "run_id string, seq long, line string, at timestamp"
+
+    def arrive(*rows):
+        at = lambda s: f"timestamp_seconds({1_700_000_000 + s})"
+        parts = [spark.createDataFrame([(r, n, text)], "run_id string, seq long, line string").selectExpr("*", f"{at(s)} AS at") for r, n, text, s in rows]
+        df = parts[0]
+        for p in parts[1:]:
+            df = df.unionByName(p)
+        df.coalesce(1).write.mode("append").parquet(source)
+        jobs.write_folds(spark.readStream.schema(schema).parquet(source), out, state, late="10 seconds", quiet_ms=60_000).awaitTermination()
+        return {r.run_id: (r.reply, r.conversation_id, r.agent_messages, r.failed, r.detail, r.version, r.closed) for r in jobs.latest_folds(spark, out).collect()}
+
+    got = arrive(("a", 0, line(type="agent_message", content="x"), 0), ("b", 0, line(type="agent_message", content="y"), 0), ("a", 0, line(type="agent_message", content="x"), 0), ("a", 9, "no event", 0))
+    assert got == {"a": ("", None, 1, False, None, 1, False), "b": ("", None, 1, False, None, 1, False)}
+    got = arrive(("a", 2, line(type="done", reply="second", conversation_id=7), 3), ("a", 1, line(type="done", reply="first", conversation_id=6), 2), ("a", 0, line(type="agent_message", content="x"), 1))
+    assert got["a"] == ("second", 7, 1, False, None, 3, False)
+    # Much later events of another run let the others expire.
+    got = arrive(("c", 0, line(type="error", detail="broken"), 500))
+    got = arrive(("c", 1, line(type="agent_message", content=""), 501))
+    assert got["c"] == ("", None, 0, True, "broken", 2, False)
+    assert got["a"][-1] and got["b"][-1] and got["a"][:2] == ("second", 7)
