@@ -138,16 +138,40 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, most: int =
     return docs.join(dirty, key, "left_anti")
 
 
+#: Different word sets of one query in a tile.
+TILE = 64
+
+
 def ensemble_consistency(answers: DataFrame, query: str = "query", model: str = "model", answer: str = "answer") -> DataFrame:
     """Answers of several models -> per query: models, similarity (mean Jaccard of word sets over
-    pairs of models, null for one), vote (share of the most frequent answer)."""
-    worded = answers.select(query, model, F.array_distinct(F.split(normalize_text(F.col(answer)), " ")).alias("w"))
-    pair = worded.alias("a").join(worded.alias("b"), (F.col(f"a.{query}") == F.col(f"b.{query}")) & (F.col(f"a.{model}") < F.col(f"b.{model}")))
-    both, either = F.size(F.array_intersect("a.w", "b.w")), F.size(F.array_union("a.w", "b.w"))
-    similar = pair.groupBy(F.col(f"a.{query}").alias(query)).agg(F.avg(both / either).alias("similarity"))
-    counted = answers.groupBy(query, F.sha2(normalize_text(F.col(answer)), 256).alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    votes = counted.groupBy(query).agg(F.sum("n").alias("models"), (F.max("n") / F.sum("n")).alias("vote"))
-    return votes.join(similar, query, "left")
+    pairs of models, null for one), vote (share of the most frequent answer).
+
+    Every row is a model's answer. Equal word sets of a query are one row with a
+    weight; different ones are dealt into tiles, and pairs of tiles are compared,
+    so a query with very many answers is spread over tasks. Null answers are
+    compared with nothing; null queries are one query.
+    """
+    words = F.array_sort(F.array_distinct(F.split(normalize_text(F.col(answer)), " ")))
+    of = F.struct(F.col(query).alias("q"))  # a struct is never null, so null queries meet as well
+    sets = answers.where(F.col(answer).isNotNull()).select(of.alias("of"), words.alias("w")).groupBy("of", "w").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sets.groupBy("of").agg(F.count(F.lit(1)).alias("different"), F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("alike"))
+    tiles = F.ceil(F.col("different") / TILE).cast("int")
+    dealt = cut_lineage(
+        sets.join(sizes.where("different > 1").select("of", tiles.alias("tiles")), "of")
+        .withColumn("h", F.xxhash64("w")).withColumn("tile", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int"))
+    )
+    first = dealt.select("of", F.col("tile").alias("i"), F.explode(F.expr("sequence(tile, tiles - 1)")).alias("j"), F.col("w").alias("wa"), F.col("n").alias("na"), F.col("h").alias("ha"))
+    second = dealt.select("of", F.explode(F.expr("sequence(0, tile)")).alias("i"), F.col("tile").alias("j"), F.col("w").alias("wb"), F.col("n").alias("nb"), F.col("h").alias("hb"))
+    met = first.join(second, ["of", "i", "j"]).where("i < j OR (ha, wa) < (hb, wb)")
+    both, either = F.size(F.array_intersect("wa", "wb")), F.size(F.array_union("wa", "wb"))
+    different = met.groupBy("of").agg(F.sum(F.col("na") * F.col("nb") * both / either).alias("sum"))
+    pairs = F.col("rows") * (F.col("rows") - 1) / 2
+    similar = sizes.join(different, "of", "left").select(
+        "of", F.when(pairs > 0, (F.col("alike") + F.coalesce("sum", F.lit(0.0))) / pairs).alias("similarity")
+    )
+    counted = answers.groupBy(of.alias("of"), F.sha2(normalize_text(F.col(answer)), 256).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    votes = counted.groupBy("of").agg(F.sum("n").alias("models"), (F.max("n") / F.sum("n")).alias("vote"))
+    return votes.join(similar, "of", "left").select(F.col("of.q").alias(query), "models", "vote", "similarity")
 
 
 def stratified_sample(df: DataFrame, label: Sequence[str], n: int, key: str, seed: str = "s") -> DataFrame:

@@ -95,3 +95,21 @@ def test_overlaps_through_the_bitmap_against_sets(spark, monkeypatch):
         got = {r.doc_id: r.overlap for r in gov.benchmark_overlap(docs, held, n).collect()}
         assert got == {i: 0 if t is None else len(windows(t, n) & known) for i, t in enumerate(texts)}
     assert gov.benchmark_overlap(docs, held.limit(0)).where("overlap > 0").count() == 0
+
+
+def test_consistency_of_one_hot_query(spark, monkeypatch):
+    pick = __import__("random").Random(5)
+    rows = [("hot", m, " ".join(pick.choice("abcdefgh") for _ in range(pick.randrange(1, 6)))) for m in range(300)]
+    rows += [("one", 0, "x"), ("two", 0, "A  b"), ("two", 1, "a b"), (None, 0, "p q"), (None, 1, "p"), ("gap", 0, None), ("gap", 1, "z"), ("gap", 2, "z y")]
+    monkeypatch.setattr(gov, "TILE", 7)
+    got = {r.query: r for r in gov.ensemble_consistency(spark.createDataFrame(rows, "query string, model int, answer string")).collect()}
+
+    def mean(texts):
+        sets = [set(t.lower().split()) for t in texts if t is not None]
+        pairs = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+        return sum(pairs) / len(pairs) if pairs else None
+
+    for q in {r[0] for r in rows}:
+        texts = [t for k, _, t in rows if k == q]
+        assert got[q].models == len(texts) and got[q].similarity == (None if mean(texts) is None else pytest.approx(mean(texts)))
+    assert got["two"].vote == 1.0 and got["gap"].vote == pytest.approx(1 / 3)
