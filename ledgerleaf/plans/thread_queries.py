@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerleaf.operators import history as h
+from ledgerleaf.operators import history as h, trigrams
 from ledgerleaf.plans import history_queries as one, sqlparts as q
 from ledgerleaf.plans.text_queries import table
+from ledgerleaf.session import scratch_path
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
 
 
 def _records(spark, sf):
@@ -53,6 +57,15 @@ def thread_hits(spark, sf):
     return h.keyword_search(messages, "root", "EN", limit=60, admins=["root"], allow_admin_all=True)
 
 
+def thread_hits_indexed(spark, sf):
+    """The newest messages with a word, by the stored index of trigrams."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _INDEXES:
+        _INDEXES[at] = scratch_path(spark, "trigrams")
+        trigrams.store_trigrams(h.explode_messages(_records(spark, sf)), _INDEXES[at])
+    return trigrams.indexed_search(trigrams.open_trigrams(spark, _INDEXES[at]), "root", "TION", limit=60, admins=["root"], allow_admin_all=True)
+
+
 def thread_exports(spark, sf):
     return h.render_export(h.session_detail(_records(spark, sf)))
 
@@ -70,7 +83,7 @@ def thread_reviews(spark, sf):
     return h.review_context(h.session_detail(_records(spark, sf)))
 
 
-QUERIES = {f.__name__: f for f in (thread_messages, thread_summaries, thread_page, thread_details, thread_turns, thread_hits, thread_exports, thread_json, thread_reviews)}
+QUERIES = {f.__name__: f for f in (thread_messages, thread_summaries, thread_page, thread_details, thread_turns, thread_hits, thread_hits_indexed, thread_exports, thread_json, thread_reviews)}
 
 _NL = "chr(10)"
 _FIRST_ASK = "arg_min(text, turn) FILTER (role = 'user' AND length(text) > 0)"
@@ -98,6 +111,8 @@ ORACLE = {
         FROM placed WHERE role = 'assistant'""",
     "thread_hits": f"""WITH {_PLACED} SELECT CAST(conv_id AS VARCHAR) AS conversation_id, coalesce(turn_id, '') AS turn_id, idx AS event_id, substr(text, 1, 200) AS snippet, CAST(1 AS DOUBLE) AS score,
         role AS type, said_at AS created_at FROM placed WHERE contains(lower(text), 'en') ORDER BY said_at DESC, CAST(conv_id AS VARCHAR), idx LIMIT 60""",
+    "thread_hits_indexed": f"""WITH {_PLACED} SELECT CAST(conv_id AS VARCHAR) AS conversation_id, coalesce(turn_id, '') AS turn_id, idx AS event_id, substr(text, 1, 200) AS snippet, CAST(1 AS DOUBLE) AS score,
+        role AS type, said_at AS created_at FROM placed WHERE contains(lower(text), 'tion') ORDER BY said_at DESC, CAST(conv_id AS VARCHAR), idx LIMIT 60""",
     "thread_exports": f"""WITH {_TALKS}, said AS (SELECT conv_id, string_agg('**' || role || '**：' || text, {_NL} ORDER BY turn) AS talk,
           string_agg({_RUN}, {_NL} ORDER BY turn) FILTER (role = 'assistant') AS traces FROM conversations GROUP BY 1)
         SELECT conversation_id, '# 会话复盘文档' || {_NL} || {_NL} || '- 会话 ID：`' || conversation_id || '`' || {_NL} || '- 场景：' || scene || {_NL} || '- 标题：' || coalesce(nullif(title, ''), '—') || {_NL}
