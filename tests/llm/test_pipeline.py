@@ -49,3 +49,27 @@ def test_empty_table(spark, docs):
     for name, stage in pipeline.STAGES:
         out = stage(spark, empty, "")
         assert out.count() == 0, name
+
+
+def test_run_on_odd_rows(spark, tmp_path):
+    pick = random.Random(9)
+    words = [f"word{i}" for i in range(400)]
+    prose = lambda n: " ".join(pick.choice(words) for _ in range(n)) + "."
+    good = [(i, "\n".join(prose(40) for _ in range(4)), "en", f"s{i % 12}", 0) for i in range(60)]
+    rows = good + [
+        (100, None, "en", "s1", None), (101, "", None, "s1", 0), (102, " \n\t", "en", None, 0), (None, "\n".join(prose(50) for _ in range(3)), "en", None, 0),
+        (None, good[3][1], None, "s2", 0), good[5], good[5], (103, "\n".join(prose(60) for _ in range(1500)), "en", None, 0), (5, "\n".join(prose(45) for _ in range(3)), "en", "s3", 0),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = docs.selectExpr("*", "'x' AS mix_copies", "1 AS lines_removed", "'y' AS n_tokens", "2 AS node", "'z' AS kept", "3 AS k")
+    extra.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert got and got[0].__fields__ == ["doc_id", "source", "n_tokens", "ids"]
+    assert all(r.n_tokens == len(r.ids) > 0 for r in got) and not {100, 101, 102} & {r.doc_id for r in got}
+    # Without the extra columns, and in another order of rows, the result is the same.
+    docs.repartition(5, "source").write.parquet(str(tmp_path / "plain" / "documents.parquet"))
+    again = pipeline.run(spark, str(tmp_path / "plain")).collect()
+    key = lambda r: (r.doc_id or -1, r.source or "", r.ids)
+    assert sorted(got, key=key) == sorted(again, key=key)
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path / "none")).count() == 0
