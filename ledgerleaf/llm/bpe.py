@@ -12,7 +12,9 @@ memory does not depend on the corpus or on how often a word or text occurs.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import hashlib
 import json
 import re
@@ -26,13 +28,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tokenizers import Tokenizer
 
 from ledgerleaf.session import scratch_path
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 44 << 20
 PART_BYTES = 1 << 19
+#: How hard blocks are compressed; they are written once and read twice.
+LEVEL = 12
 
 #: First character of a listed word: of a special token, of any other word.
 SPECIAL, ORDINARY = "s", "o"
@@ -130,6 +135,14 @@ def _pieces_of(texts: list[str], special: list[str]) -> tuple[list[str], list[in
     return [p for part in parts for p in part], [len(p) for p in parts]
 
 
+def release_memory() -> None:
+    """Hands back what a worker no longer uses; it serves other tasks afterwards."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 class _Block:
     """Distinct words of a block and its documents as positions among them."""
 
@@ -189,22 +202,23 @@ class _Block:
         text_of = np.repeat(np.arange(len(texts)), per_text)
         self.counts.append(np.bincount(text_of[owner[begins]], minlength=len(texts)))
 
-    def record(self, docs: pa.StructArray) -> pa.RecordBatch:
-        codes = np.concatenate(self.codes) if self.codes else np.empty(0, np.int32)
+    def record(self, number: int, docs: pa.StructArray) -> pa.RecordBatch:
         # Frequent words get small numbers, which compress well, as does each byte of them by itself;
         # equally frequent ones stand in the order of their letters.
-        seen = np.bincount(codes, minlength=len(self.words))
+        seen = np.zeros(len(self.words), np.int64)
+        for codes in self.codes:
+            seen += np.bincount(codes, minlength=len(self.words))
         listed = np.array(sorted(range(len(self.words)), key=self.words.__getitem__), np.int64)
         order = listed[np.argsort(-seen[listed], kind="stable")]
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
-        planes = np.ascontiguousarray(rank[codes]).view(np.uint8).reshape(-1, 4).T.tobytes()
         counts = np.concatenate(self.counts).astype(np.int64)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([uuid.uuid4().int >> 65], pa.int64()),
+                pa.array([number], pa.int64()),
                 pa.array([[self.words[i] for i in order]], pa.list_(pa.string())),
-                pa.array([zstandard.compress(planes)], pa.binary()),
+                # Part by part, so that no array of all positions is copied.
+                pa.array([[zstandard.compress(rank[codes].view(np.uint8).reshape(-1, 4).T.tobytes(), LEVEL) for codes in self.codes]], pa.list_(pa.binary())),
                 pa.array([counts], pa.list_(pa.int64())),
                 pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
             ],
@@ -212,13 +226,26 @@ class _Block:
         )
 
 
+def _positions(places: pa.Array) -> np.ndarray:
+    """The positions of a block's words from their compressed parts."""
+    parts = [np.frombuffer(zstandard.decompress(x.as_py()), np.uint8).reshape(4, -1) for x in places]
+    out = np.empty(sum(p.shape[1] for p in parts), np.int32)
+    at = 0
+    for i, part in enumerate(parts):
+        out[at:at + part.shape[1]] = np.ascontiguousarray(part.T).view(np.int32).reshape(-1)
+        at, parts[i] = at + part.shape[1], None
+    return out
+
+
 def _to_blocks(classes, special: list[str], block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
         block, keys, size = _Block(table, special), [], 0
+        # Numbers in a row compress well, as there is one for each word and block.
+        number = TaskContext.get().partitionId() << 32
 
         def flush():
-            return block.record(pa.concat_arrays(keys))
+            return block.record(number, pa.concat_arrays(keys))
 
         for batch in batches:
             text, docs = batch.column("text").fill_null(""), batch.column("docs")
@@ -230,6 +257,7 @@ def _to_blocks(classes, special: list[str], block_bytes: int) -> Callable[[Itera
                 part = int(weights[at:upto].sum())
                 if keys and size + part > block_bytes:
                     yield flush()
+                    number += 1
                     block, keys, size = _Block(table, special), [], 0
                 block.add(text.slice(at, upto - at).to_pylist())
                 keys.append(docs.slice(at, upto - at))
@@ -237,6 +265,8 @@ def _to_blocks(classes, special: list[str], block_bytes: int) -> Callable[[Itera
                 at = upto
         if keys:
             yield flush()
+        del block, keys
+        release_memory()
 
     return run
 
@@ -262,6 +292,8 @@ def _encoder(tokenizer_json: str) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             if words:
                 last = (words[-1], ids[words[-1]])
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), packed], ["block", "at", "ids"])
+        del tokenizer
+        release_memory()
 
     return run
 
@@ -291,7 +323,8 @@ def _texts_from_words(pieces, emit: Callable) -> Callable[[pa.Table, pa.Table],
 
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
         if not block.num_rows:
-            return emit(None, [], np.empty(0, np.uint32), np.zeros(1, np.int64), [])
+            return emit(None, [], np.empty(0, np.uint32), np.zeros(1, np.int64), {})
+        release_memory()  # of the block before
         piece = pieces.value
         kind = id_kind(max(piece) + 1)
         # All ids in one array, and where each word's begin; as single arrays they would take ten times the memory.
@@ -299,33 +332,29 @@ def _texts_from_words(pieces, emit: Callable) -> Callable[[pa.Table, pa.Table],
         offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset:packed.offset + len(packed) + 1]
         ids = np.frombuffer(packed.buffers()[2] or b"", kind)
         bounds = offsets.astype(np.int64) // np.dtype(kind).itemsize
-        decoded = [b"".join([piece[i] for i in ids[a:b].tolist()]) for a, b in pairwise(bounds.tolist())]
-        planes = np.frombuffer(zstandard.decompress(block.column("places")[0].as_py()), np.uint8)
-        places = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).reshape(-1)
-        del planes
+        places = _positions(block.column("places").chunk(0).flatten())
         counts = np.asarray(block.column("counts").chunk(0).values)
         ends = np.cumsum(counts)
         docs = block.column("docs").chunk(0).flatten()
-        return emit(docs, [places[e - n:e] for e, n in zip(ends.tolist(), counts.tolist())], ids, bounds, decoded)
+        return emit(docs, [places[e - n:e] for e, n in zip(ends.tolist(), counts.tolist())], ids, bounds, piece)
 
     return run
 
 
-def _digests(docs, places, ids, bounds, decoded) -> pa.Table:
-    listed = [b"".join([b"%d," % i for i in ids[a:b].tolist()]) for a, b in pairwise(bounds.tolist())]
-    sizes = np.diff(bounds)
-    tokens, coded, texts = [], [], []
-    for p in places:
-        words = p.tolist()
-        tokens.append(int(sizes[p].sum()))
-        coded.append(hashlib.sha256(b"".join([listed[i] for i in words])[:-1]).hexdigest())
-        text = b"".join([decoded[i] for i in words]).decode("utf-8", "replace")
-        texts.append(hashlib.sha256(text.encode()).hexdigest())
+def _digests(docs, places, ids, bounds, piece) -> pa.Table:
+    sizes, words = np.diff(bounds), list(pairwise(bounds.tolist()))
+    tokens = [int(sizes[p].sum()) for p in places]
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    # One list of words at a time: first as decimal ids, then as bytes.
+    shown = [b"".join([b"%d," % i for i in ids[a:b].tolist()]) for a, b in words]
+    coded = [sha(b"".join([shown[i] for i in p.tolist()])[:-1]) for p in places]
+    shown = [b"".join([piece[i] for i in ids[a:b].tolist()]) for a, b in words]
+    texts = [sha(b"".join([shown[i] for i in p.tolist()]).decode("utf-8", "replace").encode()) for p in places]
     columns = dict(zip((f.name for f in docs.type), docs.flatten())) if docs is not None else {}
     return pa.table(columns | {"n_tokens": pa.array(tokens, pa.int64()), "ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(texts, pa.string())})
 
 
-def _id_lists(docs, places, ids, bounds, decoded) -> pa.Table:
+def _id_lists(docs, places, ids, bounds, _piece) -> pa.Table:
     sizes = np.diff(bounds)
 
     def gathered(p: np.ndarray) -> np.ndarray:
@@ -346,16 +375,17 @@ def _encoded(docs: DataFrame, tokenizer_json: str, keep: Sequence[str], block_by
     special = [t["content"] for t in json.loads(tokenizer_json)["added_tokens"]]
     classes = spark.sparkContext.broadcast(character_classes(tokenizer_json))
     pieces = spark.sparkContext.broadcast(enumerate_pieces(tokenizer_json))
+    keep = [c for c in keep if c.lower() not in T.StructType.fromDDL(fields).fieldNames()]
     kept = docs.select(*(f"`{c}`" for c in keep)).schema
     slim = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in keep)).alias("docs"))
     blocks = slim.mapInArrow(
         _to_blocks(classes, special, block_bytes),
-        T.StructType.fromDDL("block long, words array<string>, places binary, counts array<long>").add("docs", T.ArrayType(kept)),
+        T.StructType.fromDDL("block long, words array<string>, places array<binary>, counts array<long>").add("docs", T.ArrayType(kept)),
     )
     # Written in buckets, so that the blocks wait where the ids of their words arrive.
     name, path = f"bpe_blocks_{uuid.uuid4().hex}", scratch_path(spark, "bpe-blocks")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks.write.bucketBy(parts, "block").option("compression", "zstd").option("path", path).saveAsTable(name)
+    blocks.write.bucketBy(parts, "block").option("compression", "zstd").option("parquet.compression.codec.zstd.level", LEVEL).option("path", path).saveAsTable(name)
     blocks = spark.table(name)
     words = blocks.select(F.posexplode("words").alias("at", "word"), "block")
     ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoder(tokenizer_json), "block long, at int, ids binary")

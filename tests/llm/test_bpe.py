@@ -50,6 +50,11 @@ def test_odd_rows(spark, library):
     assert bpe.digest(docs.limit(0), tokenizer_path()).count() == 0
 
 
+def test_kept_columns_with_names_of_results(spark):
+    docs = spark.createDataFrame([(1, "a b", 9, "x")], "doc_id long, text string, n_tokens int, block string")
+    assert bpe.encode(docs, tokenizer_path(), keep=("doc_id", "n_tokens", "block")).first().asDict() == {"doc_id": 1, "block": "x", "n_tokens": 2, "ids": [64, 275]}
+
+
 def test_ids_and_decoding(spark, library):
     rows = list(enumerate(random_texts(200)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
