@@ -9,14 +9,17 @@ joined with itself: the overlap of two nodes is at most the sum of the minima of
 their coordinates, and that of two subtrees at most the sum over the tree nodes'
 upper corners. Pairs that survive are verified on their whole sets.
 
-Two measures keep buckets small. First, each node is verified against the most
-central node that it shares shingles with, so that large groups of near copies
-become one component; afterwards only pairs of different components are looked
-for.
-Second, prefixes are longer than needed, so that a node may leave out as many
-frequent shingles as its prefix is longer and still meets all its partners
-elsewhere; only nodes with more frequent ones look into frequent buckets.
-No pair is lost by either.
+Three measures keep buckets few and small. Prefixes are longer than needed, so
+similar nodes share several of their shingles: a node that shares fewer with all
+others takes no part, and a node may leave its most frequent shingles out, as
+many as its prefix is longer, since two similar nodes still meet in the rarest
+shingle they share. Each node is verified against the most central node that it
+shares shingles with, so that large groups of near copies become one component;
+afterwards only pairs of different components are looked for. Buckets are cut
+into tiles, and pairs of tiles are compared, so no task holds a whole group.
+Candidates leave a bucket as nodes, not as pairs: their sets are sent to the
+bucket and verified there, and of the links found only those go out that connect
+what was not yet connected. No component is lost by any of this.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerleaf.llm.common import WORD_PATTERN, stored
 from ledgerleaf.llm.graphs import components
@@ -34,12 +37,12 @@ from ledgerleaf.llm.shingles import finish, shingle_sets
 #: Shingles in a group of a point, about; the number of groups is a power of two and grows with the set.
 GROUP_SIZE = 2
 LEAF, FANOUT = 32, 8
-#: A shingle in so many prefixes is frequent.
-FREQUENT = 128
-#: So many look-up rows (40 bytes each) may be broadcast; beyond it, texts are shuffled.
+#: So many look-up rows (60 bytes each) may be broadcast; beyond it, texts are shuffled.
 BROADCAST_ROWS = 500_000
 #: Sets that are compared with one and the same set in one group.
 STAR = 500
+#: Points, and whole sets, of one side of a pair of tiles, about.
+POINT_TILE, SET_TILE = 4096, 512
 
 
 def _needed(n: int) -> int:
@@ -50,7 +53,10 @@ def _prefix(n: int) -> int:
     return min(n, _needed(n) + 4 + n // 25)
 
 
-_SPARE = "least(n, n DIV 4 + 5 + n DIV 25) - (n DIV 4 + 1)"
+# How many shingles of their prefixes a node of n shares with any similar one, at
+# least: as many and one as the prefix of the smallest of them, lo, is longer than needed.
+_LO = "((3 * n + 3) DIV 4)"
+_COMMON = f"(least({_LO}, {_LO} DIV 4 + 5 + {_LO} DIV 25) - {_LO} DIV 4)"
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -142,10 +148,10 @@ def _enough(a: np.ndarray, b: np.ndarray, overlap: np.ndarray) -> np.ndarray:
     return 7 * overlap >= 3 * (a + b)
 
 
-def tree_join(points: np.ndarray, n: np.ndarray, label: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tree_join(points: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs i < j of a bucket that may be similar: R-tree self-join on count vectors.
 
-    Rows are sorted by ``n``. Pairs of one label, and pairs of which neither ``asks``, are left out.
+    Rows are sorted by ``n``. Pairs of one label are left out, and pairs of one side, but for side 2.
     """
     levels = []
     high, small, large, width = points, n, n, LEAF
@@ -168,7 +174,7 @@ def tree_join(points: np.ndarray, n: np.ndarray, label: np.ndarray, asks: np.nda
             a, b = a[keep], b[keep]
             keep = 4 * large[a] >= 3 * small[b]
             if depth < 0:
-                keep &= (a < b) & (label[a] != label[b]) & (asks[a] | asks[b])
+                keep &= (a < b) & (label[a] != label[b]) & ((side[a] != side[b]) | (side[a] == 2))
             a, b = a[keep], b[keep]
             for part in range(0, len(a), 20_000):
                 x, y = a[part:part + 20_000], b[part:part + 20_000]
@@ -179,7 +185,7 @@ def tree_join(points: np.ndarray, n: np.ndarray, label: np.ndarray, asks: np.nda
     return i, j
 
 
-def level_join(points: list[bytes], n: np.ndarray, label: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def level_join(points: list[bytes], n: np.ndarray, label: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``tree_join`` of a bucket whose points have different numbers of groups.
 
     Similar sets differ by a third in size at most, hence by one level; each
@@ -189,80 +195,100 @@ def level_join(points: list[bytes], n: np.ndarray, label: np.ndarray, asks: np.n
     found = []
     for groups in np.unique(width).tolist():
         rows = np.flatnonzero((width == groups) | (width == 2 * groups))
-        i, j = tree_join(_folded([points[r] for r in rows.tolist()], groups), n[rows], label[rows], asks[rows])
+        i, j = tree_join(_folded([points[r] for r in rows.tolist()], groups), n[rows], label[rows], side[rows])
         lower = (width[rows[i]] == groups) | (width[rows[j]] == groups)
         found.append((rows[i[lower]], rows[j[lower]]))
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets (rows sorted by token, n) -> pairs a, b that the tree leaves.
-
-    A row holds the tokens of all buckets its node is in, ``rare`` and
-    ``often``: a pair is given out in the bucket of its smallest common rare
-    token, else of its smallest frequent one, so once.
-    """
-
-    def first_common(x: np.ndarray, y: np.ndarray) -> int | None:
-        both = np.intersect1d(x, y, assume_unique=True)
-        return int(both[0]) if len(both) else None
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int]]:
+    """Rows sorted by token, part -> (table, first, end) of every group of equal ones."""
     kept: list[pa.RecordBatch] = []
 
-    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        t, v, n, label, asks = (np.asarray(table.column(c)) for c in ("token", "node", "n", "label", "asks"))
-        points, frequent = table.column("point").to_pylist(), table.column("frequent").to_pylist()
-        rare, often = ([np.asarray(own.values) for chunk in table.column(c).chunks for own in chunk] for c in ("rare", "often"))
-
-        def here(x: int, y: int) -> bool:
-            token = first_common(rare[x], rare[y])
-            if token is not None:
-                return not frequent[x] and token == t[x]
-            return frequent[x] and first_common(often[x], often[y]) == t[x]
-
-        a, b, first, size = [], [], 0, 0
-        for end in (np.flatnonzero(np.append(t[1:] != t[:-1], True)) + 1).tolist():
-            i, j = level_join(points[first:end], n[first:end], label[first:end], asks[first:end])
-            once = np.array([here(x, y) for x, y in zip((first + i).tolist(), (first + j).tolist())], bool)
-            i, j = i[once], j[once]
-            x, y = v[first + i], v[first + j]
-            a.append(np.minimum(x, y))
-            b.append(np.maximum(x, y))
-            first, size = end, size + len(x)
-            if size > 200_000:
-                yield distinct(a, b)
-                a, b, size = [], [], 0
-        if a:
-            yield distinct(a, b)
-
-    def distinct(a: list, b: list) -> pa.RecordBatch:
-        a, b = np.concatenate(a), np.concatenate(b)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+    def cuts(table: pa.Table) -> list[int]:
+        t, p = (np.asarray(table.column(c)) for c in ("token", "part"))
+        return [0, *(np.flatnonzero((t[1:] != t[:-1]) | (p[1:] != p[:-1])) + 1).tolist()]
 
     for batch in batches:
         if not batch.num_rows:
             continue
         kept.append(batch)
-        tokens = np.asarray(batch.column("token"))
-        if tokens[0] != tokens[-1] or kept[0].column("token")[0].as_py() != tokens[-1]:
+        if any(kept[0].column(c)[0].as_py() != batch.column(c)[batch.num_rows - 1].as_py() for c in ("token", "part")):
             table = pa.Table.from_batches(kept)
-            t = np.asarray(table.column("token"))
-            # The last bucket may go on in the next batch.
-            cut = int(np.flatnonzero(t != t[-1])[-1]) + 1
-            yield from pairs(table.slice(0, cut))
-            kept = table.slice(cut).combine_chunks().to_batches()
+            # The last group may go on in the next batch.
+            at = cuts(table)
+            for first, end in zip(at, at[1:]):
+                yield table, first, end
+            kept = table.slice(at[-1]).combine_chunks().to_batches()
     if kept:
-        yield from pairs(pa.Table.from_batches(kept))
+        table = pa.Table.from_batches(kept)
+        at = cuts(table) + [table.num_rows]
+        for first, end in zip(at, at[1:]):
+            yield table, first, end
+
+
+def _bucket_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles of buckets (rows sorted by token, part, n) -> token, node of the pairs that the tree leaves.
+
+    A row holds the tokens of all buckets its node is in, ``own``, and a pair
+    counts in the bucket of its smallest common one only.
+    """
+    seen, out, size, tokens = None, [], 0, []
+    for table, first, end in _whole(batches):
+        if table is not seen:
+            seen = table
+            t, v, n, label, side = (np.asarray(table.column(c)) for c in ("token", "node", "n", "label", "side"))
+        if end - first < 2:
+            continue
+        group = table.slice(first, end - first)
+        i, j = level_join(group.column("point").to_pylist(), n[first:end], label[first:end], side[first:end])
+        if not len(i):
+            continue
+        own = {r: np.asarray(group.column("own")[r].values) for r in np.union1d(i, j).tolist()}
+        token = t[first]
+        once = np.array([np.intersect1d(own[x], own[y], assume_unique=True)[0] == token for x, y in zip(i.tolist(), j.tolist())])
+        found = v[first + np.union1d(i[once], j[once])]
+        out.append(found)
+        tokens.append(np.full(len(found), token))
+        size += len(found)
+        if size > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(out))], ["token", "node"])
+            out, size, tokens = [], 0, []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(out))], ["token", "node"])
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles of buckets with whole sets (rows sorted by token, part, n) -> links between different components."""
+    for table, first, end in _whole(batches):
+        group = table.slice(first, end - first)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in group.column("shingles").chunks for x in c]
+        v, label, side = (np.asarray(group.column(c)) for c in ("node", "label", "side"))
+        n = np.array([len(s) for s in sets], np.int64)
+        top = {x: x for x in label.tolist()}
+
+        def root(x: int) -> int:
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        a, b = [], []
+        i, j = level_join([_point(s) for s in sets], n, label, side)
+        for x, y in zip(i.tolist(), j.tolist()):
+            one, other = root(int(label[x])), root(int(label[y]))
+            if one != other and 7 * len(np.intersect1d(sets[x], sets[y], assume_unique=True)) >= 3 * (n[x] + n[y]):
+                top[one] = other
+                a.append(v[x])
+                b.append(v[y])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """center, part, node, text -> center, part, node, shingles (packed)."""
+    """A column of texts, the last, replaced by their sets (packed)."""
     for batch in batches:
         packed = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("center"), batch.column("part"), batch.column("node"), packed], ["center", "part", "node", "shingles"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], [*batch.schema.names[:-1], "shingles"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,8 +306,21 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _with_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` (with a column node) with the set of each node, from the text of one document."""
+    one = nodes.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
+        F.min(F.struct("k", F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("one")
+    )
+    wanted = stored(members.join(one, "node").select(*members.columns, F.col("one.k").alias("k"), F.col("one.doc_id").alias("id")), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    match = (docs["k"] == wanted["k"]) & docs["doc_id"].eqNullSafe(wanted["id"])
+    texts = docs.join(F.broadcast(wanted) if few else wanted, match).select(*members.columns, "text")
+    kinds = ", ".join(f"{c} {members.schema[c].dataType.simpleString()}" for c in members.columns)
+    return texts.mapInArrow(_sets, f"{kinds}, shingles binary")
+
+
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Verify pairs (a, b) on whole sets; stored.
+    """Verify pairs (a, b), one of each b, on whole sets; stored.
 
     Pairs are gathered into stars around ``a``, large ones in parts, so a set
     travels once for each star it is in.
@@ -292,17 +331,53 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     members = stars.select(F.col("a").alias("center"), "part", F.col("b").alias("node")).union(
         stars.select(F.col("a").alias("center"), "part", F.col("a").alias("node")).distinct()
     )
-    # One document of each wanted node.
-    one = nodes.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
-        F.min(F.struct("k", F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("one")
-    )
-    wanted = stored(members.join(one, "node").select("center", "part", "node", F.col("one.k").alias("k"), F.col("one.doc_id").alias("id")), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    match = (docs["k"] == wanted["k"]) & docs["doc_id"].eqNullSafe(wanted["id"])
-    texts = docs.join(F.broadcast(wanted) if few else wanted, match).select("center", "part", "node", "text")
+    sets = _with_sets(docs, nodes, members)
     order = [F.col("center"), F.col("part"), F.col("node") != F.col("center"), F.col("node")]
-    sets = texts.mapInArrow(_sets, "center long, part int, node long, shingles binary")
-    return stored(sets.repartition("center", "part").sortWithinPartitions(*order).mapInArrow(_verified, "a long, b long").distinct(), "links")
+    return stored(sets.repartition("center", "part").sortWithinPartitions(*order).mapInArrow(_verified, "a long, b long"), "links")
+
+
+def _tiled(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` (with token, node, label) with part, side: buckets cut into pairs of tiles; those of one component go.
+
+    Nodes of a bucket's largest component are never compared with each other: a
+    tile of them meets the tiles of the others only, and these meet all.
+    """
+    mixed = F.xxhash64("node")
+    of_label = rows.groupBy("token", "label").agg(
+        F.count(F.lit(1)).alias("c"), F.bit_xor(mixed).alias("x"), F.sum(F.shiftright(mixed, 20)).alias("s")
+    )
+    buckets = of_label.groupBy("token").agg(
+        F.sum("c").alias("m"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("most"),
+        F.bit_xor("x").alias("x"), F.sum("s").alias("s"),
+    ).where("labels > 1")
+    # Buckets of the same nodes give the same pairs: one of them is enough.
+    buckets = buckets.groupBy("m", "x", "s").agg(F.min(F.struct("token", "most")).alias("one"))
+    count = lambda c: F.ceil(c / size).cast("long")
+    buckets = buckets.select(
+        "one.token", "m", F.col("one.most.label").alias("most"),
+        count(F.col("m") - F.col("one.most.c")).alias("others"), count(F.col("one.most.c")).alias("tiles"),
+    )
+    tile = F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.expr("label = most"), F.col("tiles")).otherwise(F.col("others")))
+    both = "CAST({0} * (others + tiles) + {1} AS BIGINT) AS part, {2} AS side"
+    places = F.expr(f"""
+        CASE WHEN m <= {size} THEN array(named_struct('part', 0L, 'side', 2))
+        WHEN label = most THEN transform(sequence(0L, others - 1), p -> struct({both.format("p", "others + tile", "1")}))
+        ELSE concat(
+            transform(sequence(0L, others - 1), p -> struct({both.format("least(tile, p)", "greatest(tile, p)", "CASE WHEN p = tile THEN 2 WHEN p > tile THEN 0 ELSE 1 END")})),
+            transform(sequence(0L, tiles - 1), p -> struct({both.format("tile", "others + p", "0")}))) END""")
+    return rows.join(buckets, "token").withColumn("tile", tile).withColumn("place", F.explode(places)).select(*rows.columns, "place.part", "place.side")
+
+
+def _sharing(shared: DataFrame) -> DataFrame:
+    """Rows (token, node, n) of nodes that share enough shingles of their prefixes to be similar to any; stored."""
+    own = Window.partitionBy("node")
+    for again in (False, True):
+        if again:
+            several = shared.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
+            shared = shared.join(several, "token", "left_semi")
+        counted = shared.withColumn("c", F.count(F.lit(1)).over(own))
+        shared = stored(counted.where(f"c >= {_COMMON}").select("token", "node", "n"), "sharing")
+    return shared
 
 
 def _central_pairs(shared: DataFrame) -> DataFrame:
@@ -330,41 +405,29 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, n int"),
         "shared",
     )
+    shared = _sharing(shared)
     first = _links(keyed, nodes, _central_pairs(shared))
     labels = components(first)
 
     # What is left to look for: buckets with several components.
-    named = shared.select("token", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = F.xxhash64("node")
-    buckets = named.groupBy("token").agg(
-        F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high"),
-        F.bit_xor(mixed).alias("x"), F.sum(F.shiftright(mixed, 20)).alias("s"),
-    )
-    buckets = stored(buckets, "buckets")
-    frequent = buckets.where(F.col("m") >= FREQUENT)
-    full = (
-        shared.join(frequent.select("token"), "token", "left_semi").groupBy("node", "n").agg(F.count(F.lit(1)).alias("f"))
-        .where(f"f > {_SPARE}").select("node", F.lit(True).alias("full"))
-    )
-    # Buckets of the same nodes give the same pairs: one of them is enough.
-    open_buckets = buckets.where("low <> high").groupBy("m", "x", "s").agg(F.min("token").alias("token"))
-    rows = (
-        named.join(open_buckets.select("token", "m"), "token").join(full, "node", "left")
-        .withColumn("asks", (F.col("m") < FREQUENT) | F.coalesce("full", F.lit(False)))
-    )
-    asked = rows.where("asks").select("token").distinct()
-    rows = stored(rows.join(asked, "token", "left_semi").select("token", "node", "n", "label", "asks", (F.col("m") >= FREQUENT).alias("frequent")), "open")
-    points = nodes.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("point").alias("point"))
+    named = stored(shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+    mixed = named.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    rarest = Window.partitionBy("node").orderBy(F.desc("m"), F.desc("token"))
+    open_rows = named.join(mixed.select("token", "m"), "token").withColumn("place", F.row_number().over(rarest))
+    open_rows = stored(open_rows.where(f"place >= {_COMMON}").select("token", "node", "n", "label"), "open")
+    tiles = stored(_tiled(open_rows, POINT_TILE), "tiles")
+    points = nodes.join(tiles.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("point").alias("point"))
     # At most as many tokens as the node's prefix has.
-    some = lambda which: F.array_sort(F.collect_list(F.when(which, F.col("token"))))
-    lists = rows.groupBy("node").agg(some(~F.col("frequent")).alias("rare"), some(F.col("frequent")).alias("often"))
-    rows = rows.join(points, "node").join(lists, "node").select("token", "node", "n", "label", "asks", "frequent", "point", "rare", "often")
-    pairs = (
-        rows.repartition("token").sortWithinPartitions("token", "n", "node")
-        .mapInArrow(_bucket_pairs, "a long, b long").distinct()
+    own = tiles.groupBy("node").agg(F.array_sort(F.collect_set("token")).alias("own"))
+    rows = tiles.join(points.join(own, "node"), "node").select("token", "part", "side", "node", "n", "label", "point", "own")
+    found = (
+        rows.repartition("token", "part").sortWithinPartitions("token", "part", "n", "node")
+        .mapInArrow(_bucket_candidates, "token long, node long").distinct()
     )
-    second = _links(keyed, nodes, pairs)
-    return nodes, components(first.union(second))
+    found = stored(found, "found").join(open_rows, ["token", "node"])
+    sets = _with_sets(keyed, nodes, _tiled(stored(found, "candidates"), SET_TILE).select("token", "part", "side", "node", "n", "label"))
+    second = sets.repartition("token", "part").sortWithinPartitions("token", "part", "n", "node").mapInArrow(_bucket_links, "a long, b long")
+    return nodes, components(first.union(stored(second, "links")))
 
 
 def _text_key() -> Column:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ledgerleaf.llm import jaccard
 from ledgerleaf.llm.graphs import components
@@ -65,11 +66,19 @@ def test_against_brute_force(spark):
 
 
 def test_frequent_shingles(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "FREQUENT", 4)
     monkeypatch.setattr(jaccard, "STAR", 2)
+    monkeypatch.setattr(jaccard, "POINT_TILE", 6)
+    monkeypatch.setattr(jaccard, "SET_TILE", 3)
     check(spark, list(enumerate(near_copies(220, 8, 25))))
 
 
+def test_without_stars(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "_central_pairs", lambda shared: shared.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b")))
+    monkeypatch.setattr(jaccard, "POINT_TILE", 5)
+    monkeypatch.setattr(jaccard, "SET_TILE", 4)
+    check(spark, list(enumerate(near_copies(220, 9, 40))))
+
+
 def test_tree_join_loses_no_pair():
     rng = np.random.default_rng(1)
     base = rng.poisson(4, (40, 64))
@@ -77,9 +86,9 @@ def test_tree_join_loses_no_pair():
     n = points.sum(axis=1)
     order = np.argsort(n, kind="stable")
     points, n = points[order].astype(np.int32), n[order]
-    label, asks = np.arange(len(n)), rng.random(len(n)) < 0.5
-    got = set(zip(*(x.tolist() for x in jaccard.tree_join(points, n, label, asks))))
-    want = {(i, j) for j in range(len(n)) for i in range(j) if (asks[i] or asks[j]) and 7 * np.minimum(points[i], points[j]).sum() >= 3 * (n[i] + n[j])}
+    label, side = np.arange(len(n)), rng.integers(0, 3, len(n))
+    got = set(zip(*(x.tolist() for x in jaccard.tree_join(points, n, label, side))))
+    want = {(i, j) for j in range(len(n)) for i in range(j) if (side[i] != side[j] or side[i] == 2) and 7 * np.minimum(points[i], points[j]).sum() >= 3 * (n[i] + n[j])}
     assert got == want and want
 
 
