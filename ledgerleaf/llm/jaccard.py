@@ -10,8 +10,8 @@ their coordinates, and that of two subtrees at most the sum over the tree nodes'
 upper corners. Pairs that survive are verified on their whole sets.
 
 Three measures keep buckets few and small. Prefixes are longer than needed, so
-similar nodes share several of their shingles: a node that shares fewer with all
-others takes no part, and a node may leave its most frequent shingles out, as
+similar nodes share several of their shingles: a node that shares fewer with
+others leaves, and a node may leave its most frequent shingles out, as
 many as its prefix is longer, since two similar nodes still meet in the rarest
 shingle they share. Each node is verified against the most central node that it
 shares shingles with, so that large groups of near copies become one component;
@@ -75,19 +75,26 @@ def _groups(n: int) -> int:
 def _point(shingles: np.ndarray) -> bytes:
     groups = _groups(len(shingles))
     counts = np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups)
-    # The first byte tells the width of the numbers.
-    return b"\x01" + counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"\x04" + counts.astype(np.uint32).tobytes()
+    # The first byte tells the width of the numbers in half bytes.
+    if counts.max() < 16:
+        return b"\x01" + (counts[0::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+    return b"\x02" + counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"\x08" + counts.astype(np.uint32).tobytes()
 
 
 def _width(point: bytes) -> int:
-    return (len(point) - 1) // point[0]
+    return (len(point) - 1) * 2 // point[0]
+
+
+def _counts(point: bytes) -> np.ndarray:
+    own = np.frombuffer(point, np.uint32 if point[0] == 8 else np.uint8, offset=1)
+    return np.stack([own & 15, own >> 4], axis=1).reshape(-1) if point[0] == 1 else own
 
 
 def _folded(points: list[bytes], groups: int) -> np.ndarray:
     """Points in ``groups`` coordinates: those of more are added up, which keeps the bound."""
     out = np.empty((len(points), groups), np.int32)
     for i, point in enumerate(points):
-        out[i] = np.frombuffer(point, np.uint8 if point[0] == 1 else np.uint32, offset=1).reshape(-1, groups).sum(axis=0)
+        out[i] = _counts(point).reshape(-1, groups).sum(axis=0)
     return out
 
 
@@ -368,30 +375,20 @@ def _tiled(rows: DataFrame, size: int) -> DataFrame:
     return rows.join(buckets, "token").withColumn("tile", tile).withColumn("place", F.explode(places)).select(*rows.columns, "place.part", "place.side")
 
 
-def _sharing(shared: DataFrame) -> DataFrame:
-    """Rows (token, node, n) of nodes that share enough shingles of their prefixes to be similar to any; stored."""
-    own = Window.partitionBy("node")
-    for again in (False, True):
-        if again:
-            several = shared.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
-            shared = shared.join(several, "token", "left_semi")
-        counted = shared.withColumn("c", F.count(F.lit(1)).over(own))
-        shared = stored(counted.where(f"c >= {_COMMON}").select("token", "node", "n"), "sharing")
-    return shared
-
-
 def _central_pairs(shared: DataFrame) -> DataFrame:
     """Each node (b) with one central node (a) of its buckets, where they share enough to be promising.
 
     A node is the more central the more other nodes its shingles are shared
-    with, for its size: the text that near copies were made of comes first.
+    with, for its size: the text that near copies were made of comes first. Of
+    large sets a half to an eighth of the shingles tells that; what is missed
+    here is found in the buckets.
     """
-    m = shared.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
-    weight = shared.join(m, "token").groupBy("node").agg((F.sum("m") / F.first("n")).alias("weight"))
-    weighed = shared.join(weight, "node")
+    told = shared.withColumn("times", F.expr("CASE WHEN n < 300 THEN 1 WHEN n < 600 THEN 2 WHEN n < 1200 THEN 4 ELSE 8 END")).where("pmod(token, times) = 0")
+    m = told.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
+    weighed = told.join(m, "token").withColumn("weight", F.sum(F.col("m") * F.col("times")).over(Window.partitionBy("node")) / F.col("n"))
     leaders = weighed.groupBy("token").agg(F.max(F.struct("weight", "node", "n")).alias("top")).select("token", "top.*").toDF("token", "a_weight", "a", "a_n")
-    pairs = shared.join(leaders, "token").where("node <> a AND 4 * a_n >= 3 * n AND 4 * n >= 3 * a_n")
-    counted = pairs.groupBy("node", "a").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("a_weight").alias("weight"))
+    pairs = told.join(leaders, "token").where("node <> a AND 4 * a_n >= 3 * n AND 4 * n >= 3 * a_n")
+    counted = pairs.groupBy("node", "a").agg(F.sum("times").alias("c"), F.first("n").alias("n"), F.first("a_weight").alias("weight"))
     return counted.where("3 * c >= n DIV 4 + 1").groupBy("node").agg(F.max_by("a", F.struct("weight", "c", "a")).alias("a")).select("a", F.col("node").alias("b"))
 
 
@@ -405,12 +402,11 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, n int"),
         "shared",
     )
-    shared = _sharing(shared)
     first = _links(keyed, nodes, _central_pairs(shared))
     labels = components(first)
 
     # What is left to look for: buckets with several components.
-    named = stored(shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+    named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     rarest = Window.partitionBy("node").orderBy(F.desc("m"), F.desc("token"))
     open_rows = named.join(mixed.select("token", "m"), "token").withColumn("place", F.row_number().over(rarest))
