@@ -43,6 +43,8 @@ BROADCAST_ROWS = 500_000
 STAR = 500
 #: Points, and whole sets, of one side of a pair of tiles, about.
 POINT_TILE, SET_TILE = 4096, 512
+#: Tokens of a node that tell in which bucket a pair counts; with fewer, some pairs count several times.
+OWN = 12
 
 
 def _needed(n: int) -> int:
@@ -237,8 +239,8 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, i
 def _bucket_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tiles of buckets (rows sorted by token, part, n) -> token, node of the pairs that the tree leaves.
 
-    A row holds the tokens of all buckets its node is in, ``own``, and a pair
-    counts in the bucket of its smallest common one only.
+    A row holds the smallest tokens of its node's buckets, ``own``: a pair known
+    to share a smaller one is left to that bucket.
     """
     seen, out, size, tokens = None, [], 0, []
     for table, first, end in _whole(batches):
@@ -253,7 +255,7 @@ def _bucket_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             continue
         own = {r: np.asarray(group.column("own")[r].values) for r in np.union1d(i, j).tolist()}
         token = t[first]
-        once = np.array([np.intersect1d(own[x], own[y], assume_unique=True)[0] == token for x, y in zip(i.tolist(), j.tolist())])
+        once = np.array([not (np.intersect1d(own[x], own[y], assume_unique=True) < token).any() for x, y in zip(i.tolist(), j.tolist())])
         found = v[first + np.union1d(i[once], j[once])]
         out.append(found)
         tokens.append(np.full(len(found), token))
@@ -414,7 +416,7 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tiles = stored(_tiled(open_rows, POINT_TILE), "tiles")
     points = nodes.join(tiles.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("point").alias("point"))
     # At most as many tokens as the node's prefix has.
-    own = tiles.groupBy("node").agg(F.array_sort(F.collect_set("token")).alias("own"))
+    own = tiles.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("token")), 1, OWN).alias("own"))
     rows = tiles.join(points.join(own, "node"), "node").select("token", "part", "side", "node", "n", "label", "point", "own")
     found = (
         rows.repartition("token", "part").sortWithinPartitions("token", "part", "n", "node")

@@ -76,6 +76,7 @@ def test_without_stars(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_central_pairs", lambda shared: shared.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b")))
     monkeypatch.setattr(jaccard, "POINT_TILE", 5)
     monkeypatch.setattr(jaccard, "SET_TILE", 4)
+    monkeypatch.setattr(jaccard, "OWN", 1)
     check(spark, list(enumerate(near_copies(220, 9, 40))))
 
 
