@@ -237,12 +237,16 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))
 
 
-class _TopK:
+class TopK:
     """The k best (score, id) seen so far by one task for one query and route."""
 
     def __init__(self, k: int) -> None:
         self.k, self.scores, self.ids = k, np.empty(0), None
 
+    def least(self) -> float:
+        """What a score must reach to count."""
+        return self.scores[-1] if len(self.scores) == self.k else -math.inf
+
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         if len(self.scores) == self.k:
             keep = np.flatnonzero(scores >= self.scores[-1])
@@ -340,7 +344,7 @@ def _local_top(prepare: Callable[[dict], tuple], k: int, full: bool, vec_weight:
     """The task function: best k per pair and route, or per pair by fused score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops: dict[tuple[int, int, str], _TopK] = {}
+        tops: dict[tuple[int, int, str], TopK] = {}
         pairs: dict[int, list[_Pair]] = {}
         for block, (asked, scorer, ranges), pack in _met(batches, prepare):
             pairs[block] = asked.pairs
@@ -354,7 +358,7 @@ def _local_top(prepare: Callable[[dict], tuple], k: int, full: bool, vec_weight:
                     routes = {"vector": similar, "bm25": lexical}
                 for route, scores in routes.items():
                     if scores is not None:
-                        tops.setdefault((block, no, route), _TopK(k)).add(scores, ids[rows])
+                        tops.setdefault((block, no, route), TopK(k)).add(scores, ids[rows])
         for (block, no, route), top in tops.items():
             size = len(top.scores)
             yield pa.RecordBatch.from_arrays(

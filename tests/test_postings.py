@@ -84,3 +84,10 @@ def test_jobs_do_not_grow_with_the_queries(spark, corpus, monkeypatch):
         assert len(rows) == n * 4
     context.setLocalProperty("spark.jobGroup.id", None)
     assert counts[1] <= counts[0] + 1  # whether Spark broadcasts a side may differ
+
+
+def test_few_rows_leave_the_packs(spark, stored):
+    asked = ask(spark, *["w0 w1 w2 w3 w4"] * 8)
+    packs = stored.blocks.select("pack").distinct().count()
+    rows = ps._matches(asked, stored, 5).groupBy("query_id").count().collect()
+    assert len(rows) == 8 and all(5 <= r["count"] <= 5 * packs for r in rows)
