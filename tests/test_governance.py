@@ -113,3 +113,33 @@ def test_consistency_of_one_hot_query(spark, monkeypatch):
         texts = [t for k, _, t in rows if k == q]
         assert got[q].models == len(texts) and got[q].similarity == (None if mean(texts) is None else pytest.approx(mean(texts)))
     assert got["two"].vote == 1.0 and got["gap"].vote == pytest.approx(1 / 3)
+
+
+def test_all_marking_terms_count(spark):
+    words = " ".join("t" + "".join(chr(97 + int(d)) for d in f"{i:04d}") for i in range(1200))
+    docs = spark.createDataFrame([(i, words) for i in range(10)] + [(10, words.split()[-1]), (11, "fine"), (12, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, toxic int")
+    terms = gov.toxic_terms(docs, labels)
+    assert terms.count() == 1200
+    assert {r.doc_id for r in gov.detox_unlabelled(docs.where("doc_id >= 10"), labels, terms).collect()} == {11, 12}
+
+
+def _same_as_sql(spark, folder, name, **tables):
+    import duckdb
+
+    from ledgerleaf.plans import governance_queries as gq
+
+    con = duckdb.connect()
+    for table, df in tables.items():
+        df.coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    query = gq.QUERIES[name](spark, str(folder))
+    found = sorted(map(tuple, query.collect()))
+    assert found == sorted(con.execute(f"SELECT {', '.join(query.columns)} FROM ({gq.ORACLE[name]})").fetchall())
+    return found
+
+
+def test_detoxed_documents_leave_out_listed_words(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "You MORON!"), (2, "fine"), (3, None), (4, "stupid, but judged"), (5, "toxic")], "doc_id long, text string")
+    labels = spark.createDataFrame([(4, 0), (5, 1)], "doc_id long, toxic int")
+    assert _same_as_sql(spark, tmp_path, "detoxed_documents", documents=docs, labels=labels) == [(2,), (3,)]
