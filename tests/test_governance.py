@@ -143,3 +143,13 @@ def test_detoxed_documents_leave_out_listed_words(spark, tmp_path):
     docs = spark.createDataFrame([(1, "You MORON!"), (2, "fine"), (3, None), (4, "stupid, but judged"), (5, "toxic")], "doc_id long, text string")
     labels = spark.createDataFrame([(4, 0), (5, 1)], "doc_id long, toxic int")
     assert _same_as_sql(spark, tmp_path, "detoxed_documents", documents=docs, labels=labels) == [(2,), (3,)]
+
+
+def test_rounds_end_at_the_second_they_end(spark, tmp_path):
+    end = 1704240000  # a multiple of five days; the half second before it is still the round before
+    rows = [("click", end - 0.1, 3.0), ("click", end - 0.8, 5.0), ("click", end + 0.0, 2.0), ("click", end + 0.5, 4.0)]
+    events = spark.createDataFrame(rows, "event_type string, at double, value double").selectExpr(
+        "event_type", "CAST(timestamp_micros(CAST(at * 1000000 AS BIGINT)) AS TIMESTAMP_NTZ) AS ts", "value"
+    )
+    found = _same_as_sql(spark, tmp_path, "rolled_back", events=events)
+    assert [(r[2], r[3], r[4]) for r in found] == [(4.0, 2, False), (3.0, 2, True)]
