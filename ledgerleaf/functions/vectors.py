@@ -60,12 +60,11 @@ def mean_pool_normalize(token_vectors: Column, mask: Column) -> Column:
 def char_hash_embedder(dim: int = 32) -> Embedder:
     """Counts of ``(code point * 31) mod dim``: a deterministic built-in embedder."""
 
-    def run(texts: Sequence[str]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-            out.append(np.bincount((codes * 31) % dim, minlength=dim).astype(np.float64))
-        return out
+    def run(texts: Sequence[str]) -> np.ndarray:
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        counts = np.bincount(row * dim + (codes * 31) % dim, minlength=len(texts) * dim)
+        return counts.reshape(len(texts), dim).astype(np.float64)
 
     return run
 
@@ -93,15 +92,18 @@ def embed(
     read the vectors do not compute them. The built-in embedder takes any batch.
     """
     if embedder is None:
-        embedder, batch = char_hash_embedder(), 4096
+        embedder, batch = char_hash_embedder(), 256
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def vectors(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in arrays:
-            texts = ["" if t is None else t for t in array.to_pylist()]
-            made: list[np.ndarray] = []
-            for at in range(0, len(texts), batch):
-                made.extend(np.asarray(v, dtype=np.float64) for v in embedder(texts[at : at + batch]))
-            yield pa.array(made, type=pa.list_(pa.float64()))
+            made = [pa.array([], pa.list_(pa.float64()))]
+            # Only one batch of texts at a time is held as Python strings.
+            for at in range(0, len(array), batch):
+                texts = ["" if t is None else t for t in array.slice(at, batch).to_pylist()]
+                found = [np.asarray(v, dtype=np.float64) for v in embedder(texts)]
+                ends = np.cumsum([0, *map(len, found)])
+                made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found))))
+            yield pa.concat_arrays(made)
 
     return df.withColumn(out, vectors(F.col(text)))

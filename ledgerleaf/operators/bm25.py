@@ -2,34 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerleaf.functions.text import tokenize
 
 # Fixed values of the ranking function.
 K1, B = 1.5, 0.75
+# Below U+0860, a word of ``tokenize`` is a run of these (tested on every code point).
+WORDS = re.compile(r"\w+")
+NEWER = r"[^\x{0}-\x{85F}]"
+
+
+_COUNTS = T.StructType([
+    T.StructField("dl", T.IntegerType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))
+])
+COUNTS_ARROW = pa.struct([("dl", pa.int32()), ("terms", pa.list_(pa.string())), ("tfs", pa.list_(pa.int32()))])
+
+
+@F.arrow_udf(_COUNTS)
+def _counted(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Word counts of a row: of its words where they are given, else of those that ``WORDS`` finds in its text."""
+    for lowered, given in columns:
+        made = [pa.array([], COUNTS_ARROW)]
+        for at in range(0, len(lowered), 256):  # only these rows' words are held as Python strings
+            lengths, terms, tfs = [], [], []
+            for text, words in zip(lowered.slice(at, 256).to_pylist(), given.slice(at, 256).to_pylist()):
+                words = WORDS.findall(text or "") if words is None else words
+                counts = Counter(words)
+                distinct = sorted(counts)
+                lengths.append(len(words))
+                terms.append(distinct)
+                tfs.append([counts[t] for t in distinct])
+            found = [pa.array(lengths, pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32()))]
+            made.append(pa.StructArray.from_arrays(found, fields=list(COUNTS_ARROW)))
+        yield pa.concat_arrays(made)
 
 
 def index_terms(df: DataFrame, text: str = "content") -> DataFrame:
     """Adds ``dl`` (words), ``terms`` (distinct, sorted) and ``tfs`` (their counts).
 
-    Counting happens inside the row, in one pass: in the sorted word list a word
-    starts where it differs from the one before, and its count is the distance to
-    the next start.
+    Counting happens inside the row. Texts in the older alphabets, whose letters
+    every Unicode version knows, are cut into words where they are counted;
+    the others by Spark's ``tokenize``, so that all have its words.
     """
-    with_words = df.withColumn("_words", F.sort_array(tokenize(F.coalesce(F.col(text), F.lit("")))))
-    place = F.when(F.size("_words") > 0, F.sequence(F.lit(0), F.size("_words") - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    starts = F.filter(place, lambda i: (i == 0) | (F.get("_words", i) != F.get("_words", i - 1)))
-    with_starts = with_words.withColumn("dl", F.size("_words")).withColumn("_starts", starts)
-    following = F.concat(F.slice("_starts", 2, F.greatest(F.size("_starts"), F.lit(1))), F.array("dl"))
-    counts = F.zip_with("_starts", following, lambda here, after: after - here)
-    return (
-        with_starts.withColumn("terms", F.array_distinct("_words"))
-        .withColumn("tfs", F.when(F.col("dl") > 0, counts).otherwise(F.array().cast("array<int>")))
-        .drop("_words", "_starts")
-    )
+    body = F.coalesce(F.col(text), F.lit(""))
+    newer = F.lower(body).rlike(NEWER)
+    counts = _counted(F.when(~newer, F.lower(body)), F.when(newer, tokenize(body)))
+    return df.withColumn("_counts", counts).select(*df.columns, *(F.col(f"_counts.{c}").alias(c) for c in ("dl", "terms", "tfs")))
 
 
 def bm25_index(chunks: DataFrame, text: str = "content") -> DataFrame:

@@ -164,3 +164,25 @@ def test_blocks_give_the_same_as_one_batch(spark, monkeypatch):
     assert key(rc.recall(q, corpus, k=4)) == whole
     one = key(rc.recall(q.filter("query_id = 5"), corpus, k=4))
     assert one == [r for r in whole if r[0] == 5]
+
+
+def test_words_are_those_of_tokenize_in_every_alphabet(spark):
+    from ledgerleaf.functions.text import tokenize
+
+    characters = spark.range(1, 0x30000).where("id NOT BETWEEN 55296 AND 57343").selectExpr(
+        "CAST(id AS STRING) AS chunk_id", "concat('a', decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32'), 'B a ', decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')) AS content"
+    )
+    indexed = index_terms(characters).withColumn("words", tokenize(F.col("content")))
+    wrong = "dl <> size(words) OR terms <> array_sort(array_distinct(words)) OR tfs <> transform(terms, t -> size(filter(words, w -> w = t)))"
+    assert indexed.where(wrong).count() == 0
+    empty = index_terms(spark.createDataFrame([("1", None), ("2", ""), ("3", "?!")], "chunk_id string, content string")).collect()
+    assert [(r.dl, r.terms, r.tfs) for r in empty] == [(0, [], [])] * 3
+
+
+def test_a_batch_of_texts_is_embedded_in_slices(spark):
+    def longest(texts):
+        return [[float(len(texts))] for _ in texts]
+
+    made = embed(spark.range(1000).coalesce(1).selectExpr("CAST(id AS STRING) AS text"), longest, batch=300).collect()
+    assert sorted({r.embedding[0] for r in made}) == [100.0, 300.0]
+    assert [tuple(r.embedding) for r in embed(spark.createDataFrame([("ab",), (None,), ("",)], "text string")).collect()][1:] == [(0.0,) * 32] * 2
