@@ -22,10 +22,17 @@ def upsert_by_doc(target: DataFrame, batch: DataFrame, key: str = "doc_id") -> D
 
 
 def delete_docs(target: DataFrame, doc_ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """``(rows that stay, deleted rows per document)``."""
-    gone = doc_ids.select(key).distinct()
-    removed = target.join(gone, key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("removed"))
-    return target.join(gone, key, "left_anti"), removed
+    """``(rows that stay, deleted rows per document)``.
+
+    The deleted keys may be as many as the target's, so they are never broadcast.
+    Both sides are dealt by key into twice the shuffle partitions. (With just as
+    many, Spark takes the deal for its own and merges partitions again.)
+    """
+    parts = 2 * int(target.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gone = doc_ids.select(key).distinct().repartition(parts, key).hint("merge")
+    dealt = target.repartition(parts, key)
+    removed = dealt.join(gone, key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("removed"))
+    return dealt.join(gone, key, "left_anti"), removed
 
 
 def cascade_delete(tables: dict[str, DataFrame], requests: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions.structured import parse_structured, strip_json_fence
 from ledgerleaf.functions.text import to_epoch_ms
-from ledgerleaf.operators import graph as g, training as tr
+from ledgerleaf.operators import graph as g, lifecycle as lc, training as tr
 from ledgerleaf.plans.ingest import ingest_documents, rebuild
 from ledgerleaf.session import scratch_path
 from ledgerleaf.sources.chat_json import read_chat_json
@@ -206,3 +206,11 @@ def test_rollups_compute_only_what_they_read(spark):
         assert "ArrowEvalPython" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     stats = dq.kb_stats(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert stats.count("ArrowEvalPython") == 1 and "corpus-" not in stats
+
+
+def test_deleted_keys_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "doc_id long, text string")
+    left, removed = lc.delete_docs(rows, spark.createDataFrame([(1,), (1,), (3,)], "doc_id long"))
+    assert {r.text for r in left.collect()} == {"c", "d"} and [tuple(r) for r in removed.collect()] == [(1, 2)]
+    for df in (left, removed):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
