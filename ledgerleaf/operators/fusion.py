@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerleaf.functions.text import fixed_point
-from ledgerleaf.operators.recall import recall
+from ledgerleaf.operators.recall import MAX_LOCAL, recall
 from ledgerleaf.session import cut_lineage
 
 RECALL_FACTOR = 3  # fixed value: each route recalls this many times top_k
@@ -88,9 +88,6 @@ def rerank(candidates: DataFrame, queries: DataFrame, reranker: Reranker, top_k:
     return texted.groupBy("query_id").applyInPandas(run, schema).filter(F.col("rank") <= top_k)
 
 
-MAX_LOCAL = 50_000  # ranked rows that are broadcast to the corpus; more of them are joined by a shuffle
-
-
 def _with_metadata(ranked: DataFrame, public: DataFrame, personal: DataFrame | None) -> DataFrame:
     """Passage columns for the ranked chunks; each corpus is read once, its texts for ranked ids only.
 

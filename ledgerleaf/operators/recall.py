@@ -33,6 +33,8 @@ from ledgerleaf.session import cut_lineage
 MAX_QUERIES = 512  # per block
 MAX_TEXT = 1_000_000  # characters of query text per block
 PACK_ROWS = 1024  # rows of the corpus in one pack
+MAX_LOCAL = 50_000  # ranked rows that are broadcast to the corpus; more of them are joined by a shuffle
+PAIR_ROWS = 65_536  # scored pairs in one batch
 RANK_DIGITS = 10  # scores closer than this are ties, decided by chunk id
 
 
@@ -466,6 +468,69 @@ def recall(
     return reduce(DataFrame.unionByName, found)
 
 
+# ---------------------------------------------------------------- all pairs that share a word
+class _Weights:
+    """The weights of a block of queries as a task uses them: those of a query lie together."""
+
+    def __init__(self, rows: list[dict]) -> None:
+        rows = sorted(rows, key=lambda r: r["query"])
+        self.vocabulary = sorted({r["term"] for r in rows})
+        place = {w: i for i, w in enumerate(self.vocabulary)}
+        self.ids = {r["query"]: r["query_id"] for r in rows}
+        self.words: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        for r in rows:
+            self.words[r["query"]].append((place[r["term"]], r["weight"]))
+
+
+def score_shared(weights: DataFrame, indexed: DataFrame, avgdl: float) -> DataFrame:
+    """``(query_id, chunk_id, score)`` of every pair that shares a weighted word, from ``weights`` (query_id, term, weight).
+
+    Over the grid of packs and blocks; a pair is complete in the task that reads
+    its chunk, and a task holds one pack and one batch of pairs at a time.
+    """
+    weights = cut_lineage(weights)
+    numbers = cut_lineage(weights.groupBy("query_id").agg(F.count(F.lit(1)).alias("words")).withColumn("query", F.monotonically_increasing_id()))
+    size = numbers.agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words")).first()
+    count = max(1, math.ceil(size["n"] / MAX_QUERIES), math.ceil((size["words"] or 0) * 8 / MAX_TEXT))
+    listed = weights.join(numbers, weights["query_id"].eqNullSafe(numbers["query_id"])).select(
+        F.pmod("query", F.lit(count)).cast("int").alias("block"), F.struct("query", weights["query_id"], "term", "weight").alias("w")
+    )
+    # The list is bounded by the number of blocks chosen above.
+    blocks = cut_lineage(listed.groupBy("block").agg(F.collect_list("w").alias("asked")))
+    query_type, id_type = weights.schema["query_id"].dataType, indexed.schema["chunk_id"].dataType
+    arrow_query, arrow_id = to_arrow_type(query_type), to_arrow_type(id_type)
+    names = ["query_id", "chunk_id", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _block, asked, pack in _met(batches, lambda row: _Weights(row["asked"])):
+            row_of, number, place = _word_numbers(pack, asked.vocabulary)
+            by_word = np.argsort(number, kind="stable")
+            start = np.searchsorted(number[by_word], np.arange(len(asked.vocabulary) + 1))
+            row_of = row_of[by_word]
+            tf = pack.column("tfs").flatten().to_numpy(zero_copy_only=False)[place[by_word]].astype(np.float64)
+            dl = pack.column("dl").to_numpy(zero_copy_only=False).astype(np.float64)
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row_of] / avgdl))
+            made, held = [], 0
+            for query, words in asked.words.items():
+                at = np.concatenate([row_of[start[t]:start[t + 1]] for t, _w in words])
+                sums = np.bincount(at, np.concatenate([part[start[t]:start[t + 1]] * w for t, w in words]), minlength=pack.num_rows)
+                rows = np.flatnonzero(np.bincount(at, minlength=pack.num_rows))
+                if not len(rows):
+                    continue
+                ids = pa.repeat(pa.scalar(asked.ids[query], arrow_query), len(rows))
+                made.append(pa.RecordBatch.from_arrays([ids, pack.column("chunk_id").take(pa.array(rows)).cast(arrow_id), pa.array(sums[rows])], names=names))
+                held += len(rows)
+                if held >= PAIR_ROWS:
+                    yield pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+                    made, held = [], 0
+            if made:
+                yield pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+
+    schema = T.StructType([T.StructField("query_id", query_type), T.StructField("chunk_id", id_type), T.StructField("score", T.DoubleType())])
+    packs = corpus_packs(indexed.select("chunk_id", "dl", "terms", "tfs"), vectors=False, words=True)
+    return packs.crossJoin(blocks).mapInArrow(run, schema)
+
+
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """Exact cosine search: ``(query_id, chunk_id, score, rank)``, score to 4 digits."""
     best = recall(queries, chunks, k=k, words=False)
