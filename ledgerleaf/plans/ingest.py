@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -18,6 +19,22 @@ MAX_FILE_MB = 20
 NO_CHUNKS = "文档切分后无有效内容块。"
 
 
+class Tables(Mapping):
+    """Tables by name, each planned when it is first asked for: edges store their entities when they are planned."""
+
+    def __init__(self, plans: dict[str, Callable[[], DataFrame]]) -> None:
+        self.plans = {name: cache(plan) for name, plan in plans.items()}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.plans[name]()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.plans)
+
+    def __len__(self) -> int:
+        return len(self.plans)
+
+
 def ingest_documents(
     files: DataFrame,
     max_file_mb: float = MAX_FILE_MB,
@@ -26,12 +43,13 @@ def ingest_documents(
     max_chars: int = 600,
     overlap: int = 80,
     staging: str | None = None,
-) -> dict[str, DataFrame]:
+) -> Mapping[str, DataFrame]:
     """Uploads ``(id, user_id, filename, content, uploaded_at)`` -> five tables.
 
     A file that is too large, unsupported, empty or without chunks becomes an
     ``error`` row of ``documents`` and owns nothing else; the others are unaffected.
-    All tables are row-local projections of the files, so nothing is shuffled.
+    All tables but the edges are row-local projections of the files, so nothing is
+    shuffled. The graph is extracted only for a caller who takes ``nodes`` or ``edges``.
     With ``staging`` (a path in shared storage) the parsed files are written there
     once, so that writing all five tables does not parse the files five times.
     """
@@ -75,8 +93,11 @@ def ingest_documents(
     accepted = parsed.select(
         F.col("id").alias("doc_id"), "user_id", "filename", F.when(fine, F.col("text")).alias("text"), *raw
     )
-    nodes, edges = extract_graph(accepted, rules)
-    return {"documents": documents, "chunks": chunks, "embeddings": vectors, "nodes": nodes, "edges": edges}
+    graph = cache(lambda: extract_graph(accepted, rules))
+    return Tables({
+        "documents": lambda: documents, "chunks": lambda: chunks, "embeddings": lambda: vectors,
+        "nodes": lambda: graph()[0], "edges": lambda: graph()[1],
+    })
 
 
 def rebuild(
