@@ -61,9 +61,10 @@ def char_hash_embedder(dim: int = 32) -> Embedder:
     """Counts of ``(code point * 31) mod dim``: a deterministic built-in embedder."""
 
     def run(texts: Sequence[str]) -> np.ndarray:
-        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        counts = np.bincount(row * dim + (codes * 31) % dim, minlength=len(texts) * dim)
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        cell = np.repeat(np.arange(len(texts)) * dim, [len(t) for t in texts])
+        cell += codes * np.uint32(31) % np.uint32(dim)
+        counts = np.bincount(cell, minlength=len(texts) * dim)
         return counts.reshape(len(texts), dim).astype(np.float64)
 
     return run
@@ -101,9 +102,13 @@ def embed(
             # Only one batch of texts at a time is held as Python strings.
             for at in range(0, len(array), batch):
                 texts = ["" if t is None else t for t in array.slice(at, batch).to_pylist()]
-                found = [np.asarray(v, dtype=np.float64) for v in embedder(texts)]
-                ends = np.cumsum([0, *map(len, found)])
-                made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found))))
+                found = embedder(texts)
+                if isinstance(found, np.ndarray):
+                    ends, flat = np.arange(len(found) + 1) * found.shape[1], found.astype(np.float64, copy=False).ravel()
+                else:
+                    found = [np.asarray(v, dtype=np.float64) for v in found]
+                    ends, flat = np.cumsum([0, *map(len, found)]), np.concatenate(found)
+                made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
             yield pa.concat_arrays(made)
 
     return df.withColumn(out, vectors(F.col(text)))
