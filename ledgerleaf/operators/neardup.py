@@ -12,9 +12,14 @@ some ten shared buckets and several rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
 
-from ledgerleaf.operators.governance import normalize_text, word_windows
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from ledgerleaf.operators.governance import normalize_text
 from ledgerleaf.session import cut_lineage
 
 WORDS, PERCENT = 5, 75
@@ -22,16 +27,76 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS, ROUNDS = 24, 3, 6
 
 
+_SLICE = 1 << 16  # windows hashed at a time
+_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _MIX[1]
+    h ^= h >> np.uint64(27)
+    h *= _MIX[2]
+    return h ^ (h >> np.uint64(31))
+
+
+def _windows_of(digests: pa.Array, words: int) -> pa.Array:
+    """The distinct windows of each array of word digests, as digests; a shorter array is one window."""
+    sizes = pc.fill_null(pc.list_value_length(digests), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    begins, values = np.cumsum(sizes) - sizes, digests.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    made = [np.empty(0, np.uint64)]
+    for begin, size in zip(begins.tolist(), sizes.tolist()):
+        width = min(words, size)
+        count = size - width + 1 if size else 0
+        window = np.full(count, width, np.uint64)
+        for k in range(width):
+            window = _mixed(window * _MIX[0] + values[begin + k:begin + k + count])
+        made.append(np.unique(window))
+    ends = np.cumsum([len(m) for m in made])  # the first is empty
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(made).view(np.int64)))
+
+
 def text_windows(text: Column, words: int = WORDS) -> Column:
     """Digests of the distinct windows of the normalised text; none for null or blank texts."""
-    made = F.transform(F.array(F.split(normalize_text(text), " ")), lambda w: word_windows(w, words))[0]
-    return F.when(F.coalesce(normalize_text(text), F.lit("")) == "", F.array().cast("array<bigint>")).otherwise(made)
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def windows(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for digests in arrays:
+            yield _windows_of(digests, words)
+
+    # A blank text is one empty word; no other text that is normalised has one.
+    return windows(F.transform(F.filter(F.split(normalize_text(text), " "), lambda w: w != ""), lambda w: F.xxhash64(w)))
+
+
+def _bands_of(sets: pa.Array, bands: int, rows: int) -> np.ndarray:
+    """One row of ``bands`` digests for each set; those of an empty set are 0."""
+    made = np.zeros((len(sets), bands), np.uint64)
+    ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(sets), 0).to_pylist()])
+    values = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    at = 0
+    while at < len(sets):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + _SLICE)))
+        to = min(to, len(sets))
+        full = at + np.flatnonzero(ends[at + 1:to + 1] > ends[at:to])
+        starts, part = ends[full] - ends[at], values[ends[at]:ends[to]]
+        for band in range(bands if len(full) else 0):
+            digest = np.full(len(full), band, np.uint64)
+            for row in range(rows):
+                seed = _mixed(np.array([band * rows + row + 1], np.uint64) * _MIX[0])
+                digest = _mixed(digest * _MIX[0] + np.minimum.reduceat(_mixed(part ^ seed), starts))
+            made[full, band] = digest
+        at = to
+    return made
 
 
 def band_keys(windows: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
     """One digest for each band of the MinHash signature of a set of digests."""
-    least = lambda i: F.array_min(F.transform(windows, lambda w: F.xxhash64(w, F.lit(i))))
-    return F.array(*(F.xxhash64(F.lit(b), *(least(b * rows + r) for r in range(rows))) for b in range(bands)))
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def keys(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for sets in arrays:
+            made = _bands_of(sets, bands, rows).view(np.int64).ravel()
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(made))
+
+    return keys(windows)
 
 
 def near_links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
@@ -40,7 +105,8 @@ def near_links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     Not all pairs of a bucket: enough for components. Texts that are null or
     blank are linked with nothing, nor are rows without a key.
     """
-    sets = cut_lineage(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), text_windows(F.col(text)).alias("set")).where(F.size("set") > 0))
+    # Filtered as stored: a filter of the plan would move below its joins and have all windows made twice.
+    sets = cut_lineage(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), text_windows(F.col(text)).alias("set"))).where(F.size("set") > 0)
     members = cut_lineage(sets.select("id", F.explode(band_keys(F.col("set"), bands, rows)).alias("band")))
     open_, found = members, None
     for number in range(rounds):

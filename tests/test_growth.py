@@ -4,8 +4,9 @@ import math
 from collections import Counter
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from ledgerleaf.operators import bm25
+from ledgerleaf.operators import bm25, governance, neardup
 from ledgerleaf.plans import ingest
 
 FILES = "id string, user_id string, filename string, content binary, uploaded_at string"
@@ -52,3 +53,29 @@ def test_no_graph_is_extracted_unless_it_is_taken(spark, monkeypatch):
     assert made["documents"].first()["status"] == "done" and made["chunks"].count() == made["embeddings"].count() == 1
     assert not taken and list(made) == ["documents", "chunks", "embeddings", "nodes", "edges"]
     assert (made["nodes"], made["edges"], len(taken)) == ("nodes", "edges", 1)
+
+
+def test_windows_and_bands_are_those_of_the_words(spark):
+    texts = ["a b c d e f", "A  b\tc d e\n f ", "ａ b　c d e f", "x a b c d e", "a b", "a", " \n ", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    plan = rows.select("id", neardup.text_windows(F.col("text")).alias("set")).select("id", "set", neardup.band_keys(F.col("set")).alias("bands"))
+    assert "array_min" not in plan._jdf.queryExecution().toString()  # hashed in arrays, not one by one
+    got = {r.id: r for r in plan.collect()}
+    assert set(got[0].set) == set(got[1].set) == set(got[2].set) and len(set(got[0].set)) == 2
+    assert len(set(got[0].set) & set(got[3].set)) == 1 and [len(got[i].set) for i in (3, 4, 5, 6, 7)] == [2, 1, 1, 0, 0]
+    assert got[0].bands == got[1].bands and len(set(got[0].bands)) == neardup.BANDS and not set(got[4].bands) & set(got[5].bands)
+
+
+def test_normalised_texts_have_single_blanks(spark):
+    texts = ["a b", "a  b", "a\tb", "\n a \x0b\f\r b \n", "a \tb", "ＡＢ　ｃ", " ", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.t for r in rows.select("id", governance.normalize_text(F.col("text")).alias("t")).collect()}
+    assert [got[i] for i in range(9)] == ["a b"] * 5 + ["ab c", "", "", None]
+
+
+def test_embedder_counts_letters():
+    from ledgerleaf.functions.vectors import char_hash_embedder
+
+    texts = ["abc", "", "养老 \U0001F600é"]
+    want = [[sum(ord(c) * 31 % 7 == d for c in t) for d in range(7)] for t in texts]
+    assert char_hash_embedder(7)(texts).tolist() == want
