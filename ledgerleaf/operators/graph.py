@@ -315,6 +315,8 @@ def filter_graph(
         nodes = nodes.filter(F.col("type").isin(*types))
     if doc_id != "all":
         nodes = nodes.filter(F.col("source_doc_id") == doc_id)
+    # Stored: three parts of the plan read them, and each would extract the entities of all documents.
+    nodes = cut_lineage(nodes)
     ids = nodes.select("id")
     visible = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(
         ids.withColumnRenamed("id", "target"), "target", "left_semi"
