@@ -15,6 +15,7 @@ from ledgerleaf.schemas import STREAM_EVENT
 from ledgerleaf.session import cut_lineage
 
 BUCKETS = 256
+RUN_BUCKETS = 2048
 
 
 # ---------------------------------------------------------------- chat event streams
@@ -71,33 +72,32 @@ def fold_chat_stream(lines: DataFrame, watermark: str | None = None) -> DataFram
 
 
 _FOLDED = "run_id string, reply string, conversation_id long, agent_messages long, failed boolean, detail string, version long, closed boolean"
-_FOLD_STATE = "seen array<long>, done_seq long, reply string, conversation_id long, agent_messages long, failed boolean, detail_seq long, detail string, until long"
+_FOLD_STATE = "run_id string, seen array<long>, done_seq long, reply string, conversation_id long, agent_messages long, failed boolean, detail_seq long, detail string, until long"
 
 
-def _fold_run(quiet_ms: int):
-    """One run's new events and its state -> its fold so far, and once more, closed, when it stays quiet."""
+def _fold_bucket(quiet_ms: int):
+    """The new events of a bucket's runs and its state -> folds so far of the runs with new events, and once more, closed, of those that stay quiet."""
 
     columns, names = (T.StructType.fromDDL(x).fieldNames() for x in (_FOLDED, _FOLD_STATE))
 
-    def row(key: tuple, s: dict, closed: bool) -> pd.DataFrame:
-        return pd.DataFrame([(
-            key[0], s["reply"] or "", s["conversation_id"], s["agent_messages"], s["failed"], s["detail"], len(s["seen"]), closed
-        )], columns=columns).astype({"conversation_id": "Int64"})
+    def row(s: dict, closed: bool) -> tuple:
+        return s["run_id"], s["reply"] or "", s["conversation_id"], s["agent_messages"], s["failed"], s["detail"], len(s["seen"]), closed
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = dict(zip(names, state.get)) if state.exists else dict(zip(names, ([], None, None, None, 0, False, None, None, 0)))
-        if state.hasTimedOut:
-            state.remove()
-            yield row(key, s, True)
-            return
-        seen, fresh = set(s["seen"]), False
+    def fold(_bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        runs = {r[0]: dict(zip(names, r)) for r in (state.get[0] if state.exists else ())}
+        touched, fresh = {}, {}  # distinct sequence numbers of the runs with events; those runs that have new ones
         for events in batches:
-            for seq, at, kind, content, reply, conversation, detail in zip(*(events[c] for c in ("seq", "at", "type", "content", "reply", "conversation_id", "detail"))):
+            for run_id, seq, at, kind, content, reply, conversation, detail in zip(*(events[c] for c in ("run_id", "seq", "at", "type", "content", "reply", "conversation_id", "detail"))):
+                s = runs.get(run_id)
+                if s is None:
+                    s = runs[run_id] = dict(zip(names, (run_id, [], None, None, None, 0, False, None, None, 0)))
+                if run_id not in touched:
+                    touched[run_id] = set(s["seen"])
                 s["until"] = max(s["until"], int(at.timestamp() * 1000) + quiet_ms)
-                if seq in seen:
+                if seq in touched[run_id]:
                     continue  # replayed
-                seq, fresh = int(seq), True
-                seen.add(seq)
+                seq, fresh[run_id] = int(seq), True
+                touched[run_id].add(seq)
                 if kind == "agent_message" and content:
                     s["agent_messages"] += 1
                 elif kind == "done" and (s["done_seq"] is None or seq > s["done_seq"]):
@@ -106,16 +106,24 @@ def _fold_run(quiet_ms: int):
                     s["failed"] = True
                     if s["detail_seq"] is None or seq > s["detail_seq"]:
                         s.update(detail_seq=seq, detail=detail)
-        s["seen"] = sorted(seen)
-        state.update(tuple(s[n] for n in names))
-        state.setTimeoutTimestamp(max(s["until"], state.getCurrentWatermarkMs() + 1))
-        if fresh:
-            yield row(key, s, False)
+        watermark = state.getCurrentWatermarkMs()
+        for run_id, seen in touched.items():
+            runs[run_id].update(seen=sorted(seen), until=max(runs[run_id]["until"], watermark + 1))
+        quiet = [run_id for run_id, s in runs.items() if s["until"] < watermark]
+        rows = [row(runs[run_id], False) for run_id in fresh] + [row(runs.pop(run_id), True) for run_id in quiet]
+        if runs:
+            state.update(([tuple(s[n] for n in names) for s in runs.values()],))
+            state.setTimeoutTimestamp(min(s["until"] for s in runs.values()))
+        else:
+            state.remove()
+        if rows:
+            # Numbers with gaps would become floats, which hold no large ones.
+            yield pd.DataFrame(rows, columns=columns, dtype=object).astype({"conversation_id": "Int64"})
 
-    return run
+    return fold
 
 
-def fold_runs_with_state(lines: DataFrame, late: str = "10 minutes", quiet_ms: int = 600_000) -> DataFrame:
+def fold_runs_with_state(lines: DataFrame, late: str = "10 minutes", quiet_ms: int = 600_000, buckets: int = RUN_BUCKETS) -> DataFrame:
     """A stream of ``(run_id, seq, line, at)`` -> the fold of each run whenever it has new events (update mode).
 
     ``version`` counts the run's distinct events, so the row with the largest one
@@ -123,11 +131,19 @@ def fold_runs_with_state(lines: DataFrame, late: str = "10 minutes", quiet_ms: i
     change nothing. A run without events for ``quiet_ms`` of event time is given
     out once more as ``closed`` and forgotten. State per run: its sequence
     numbers and the fold. Rows without a sequence number or a time are left out.
+
+    Runs share a state row by a hash, as each call of Python takes longer than some
+    hundred runs inside it. Choose ``buckets`` so that one holds about that many open
+    runs; it stays the same for the life of a checkpoint.
     """
     events = parse_stream_events(lines).where("seq IS NOT NULL AND at IS NOT NULL")
-    typed = events.select(F.col("run_id").cast("string").alias("run_id"), F.col("seq").cast("long").alias("seq"), "at", "type", "content", "reply", "conversation_id", "detail")
-    return typed.withWatermark("at", late).groupBy("run_id").applyInPandasWithState(
-        _fold_run(quiet_ms), _FOLDED, _FOLD_STATE, "update", GroupStateTimeout.EventTimeTimeout
+    typed = events.select(
+        F.col("run_id").cast("string").alias("run_id"), F.col("seq").cast("long").alias("seq"), "at", "type", "content", "reply",
+        F.col("conversation_id").cast("string").alias("conversation_id"), "detail",  # pandas would make numbers with nulls floats
+    )
+    bucketed = typed.withColumn("_bucket", F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int"))
+    return bucketed.withWatermark("at", late).groupBy("_bucket").applyInPandasWithState(
+        _fold_bucket(quiet_ms), _FOLDED, f"runs array<struct<{_FOLD_STATE}>>", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 

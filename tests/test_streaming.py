@@ -69,3 +69,40 @@ def test_folds_survive_a_restart_drop_replays_and_expire(spark, tmp_path):
     got = arrive(("c", 1, line(type="agent_message", content=""), 501))
     assert got["c"] == ("", None, 0, True, "broken", 2, False)
     assert got["a"][-1] and got["b"][-1] and got["a"][:2] == ("second", 7)
+
+
+def test_runs_share_rows_of_state_and_close_one_by_one(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema, large = "run_id string, seq long, line string, at timestamp", 2**60 + 1
+
+    def arrive(*rows):
+        texts = [(run, seq, "data: " + json.dumps(event), s) for run, seq, event, s in rows]
+        df = spark.createDataFrame(texts, "run_id string, seq long, line string, s int").selectExpr("run_id", "seq", "line", "timestamp_seconds(1700000000 + s) AS at")
+        df.coalesce(1).write.mode("append").parquet(source)
+        query = jobs.write_folds(spark.readStream.schema(schema).parquet(source), out, state, late="10 seconds", quiet_ms=60_000, buckets=3)
+        query.awaitTermination()
+        assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) <= 3
+        return {r.run_id: (r.reply, r.conversation_id, r.agent_messages, r.failed, r.version, r.closed) for r in jobs.latest_folds(spark, out).collect()}
+
+    runs = [None, *(f"r{i}" for i in range(20))]
+    done = lambda i: {"type": "done", "reply": f"reply {i}", "conversation_id": large + i}
+    talk = {"type": "agent_message", "content": "x"}
+    got = arrive(*((run, 0, done(i) if i % 2 else talk, i) for i, run in enumerate(runs)))
+    first = {run: (f"reply {i}", large + i, 0, False, 1, False) if i % 2 else ("", None, 1, False, 1, False) for i, run in enumerate(runs)}
+    assert got == first
+    # New events of one run and replays of others change that one run only.
+    got = arrive(("r4", 1, {"type": "error", "detail": "broken"}, 30), ("r4", 0, done(5), 30), ("r7", 0, talk, 30))
+    first["r4"] = (*first["r4"][:3], True, 2, False)
+    assert got == first
+    # Runs whose quiet time the watermark has passed close in the next batch, also beside a run with events.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        first["r12"] = (*first["r12"][:2], first["r12"][2] + 1, False, 2, False)
+        assert arrive(("r12", 1, talk, 79)) == first
+        first["r12"] = (*first["r12"][:2], first["r12"][2] + 1, False, 3, False)
+        quiet = lambda i, run: i < 9 and run not in ("r4", "r7")
+        assert arrive(("r12", 2, talk, 90)) == {run: (*f[:5], quiet(i, run)) for i, (run, f) in enumerate(first.items())}
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    got = arrive(("r12", 3, talk, 90))
+    assert {run for run, f in got.items() if f[-1]} == set(runs[:20]) - {"r4", "r7", "r12"}
