@@ -6,6 +6,8 @@ import subprocess
 import sys
 from itertools import combinations
 
+import pyarrow as pa
+
 from ledgerleaf.operators import neardup as nd
 
 SCHEMA = "doc_id long, text string"
@@ -78,6 +80,65 @@ def test_large_group_of_copies_and_empty_table(spark):
     assert nd.near_dedup(docs.limit(0)).count() == 0
 
 
+def crowd(texts, pairs, pick):
+    """Texts of one template, few of them near each other, and some with a near text each."""
+    base = [f"w{i}" for i in range(200)]
+
+    def changed(words, places, tag):
+        own = list(words)
+        for k, at in enumerate(pick.sample(range(len(own)), places)):
+            own[at] = f"{tag}x{k}"
+        return own
+
+    rows = [changed(base, 5, f"a{i}") for i in range(texts)]
+    rows += [changed(own, 4, f"b{i}") for i, own in enumerate(rows[:pairs])]
+    return [(i, " ".join(own)) for i, own in enumerate(pick.sample(rows, len(rows)))]
+
+
+def components_of(rows, links):
+    got = {r.id: r.component for r in nd.components(links).collect()}
+    return {i: got.get(i, i) for i, _ in rows if i is not None}
+
+
+def test_near_texts_in_a_crowd_are_linked(spark):
+    """Texts that share their buckets with many they are not near to."""
+    rows = crowd(400, 40, random.Random(5))
+    links, want = exact_components(rows)
+    assert 40 < len(links) < 400
+    found = nd.near_links(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    assert {(r.a, r.b) for r in found.collect()} <= set(links)
+    assert components_of(rows, found) == want
+
+
+def test_no_link_is_lost_whatever_the_signatures_find(spark, monkeypatch):
+    pick = random.Random(12)
+    rows = texts(30, 6, pick) + [(900 + i, t) for i, t in crowd(40, 10, pick)]
+    rows += [(2000, "a b"), (2001, "A  b"), (2002, "a b c"), (2003, "word " * 20), (2004, "word " * 9), (2005, None), (2006, " "), (None, "a b")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    links, want = exact_components(rows)
+    monkeypatch.setattr(nd, "TILE", 2)
+    monkeypatch.setattr(nd, "BROADCAST_ROWS", 5)
+    found = nd.near_links(docs, bands=1, rows=12)
+    assert {(r.a, r.b) for r in found.collect()} <= set(links)
+    assert components_of(rows, found) == want
+
+
+def test_texts_whose_windows_meet_others(monkeypatch):
+    """Against a plain version: none too few, and beyond it only those at the ends and in long runs."""
+    monkeypatch.setattr(nd, "_HELD", 6)
+    pick = random.Random(4)
+    for size in (1, 2, 3, 50):
+        rows = sorted((pick.randrange(25), pick.randrange(3), i) for i in range(60)) + [(30, 0, 100 + i) for i in range(8)] + [(31, 1, 5), (32, 0, 6), (32, 2, 7)]
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("window", "label", "id"), r)) for r in rows[at:at + size]]) for at in range(0, len(rows), size)]
+        given = sorted(i for b in nd._meeting(iter(batches)) for i in b.column("id").to_pylist() if i < 100)  # the long run may be told of
+        labels = {}
+        for window, label, _ in rows:
+            labels.setdefault(window, set()).add(label)
+        ends = {rows[0][0], rows[-1][0]}
+        assert given == sorted(i for w, _, i in rows if len(labels[w]) > 1 or w in ends)
+    assert not list(nd._meeting(iter(())))
+
+
 def test_long_chain_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 300)] + [(900, 901)], "a long, b long")
     got = {r.id: r.component for r in nd.components(links).collect()}
